@@ -7,8 +7,8 @@ windows.  Around each anchor the match is then extended word by word (all
 windows that hold the anchor, compared by 128-bit hashes), which yields maximal
 exact repeats as the union of matching windows.
 
-Plan: fingerprints travel packed, one row for each (task chunk, hash bucket),
-never one row a word; a bucket is a hash range, so neither a hot passage nor a
+Plan: fingerprints travel packed, one row for each (task chunk, hash bucket) and
+back one for each (bucket, part of the documents), never one row a word; a bucket is a hash range, so neither a hot passage nor a
 large group of copies gathers in one: inside a bucket only the smallest id per
 fingerprint is kept, so work stays linear in the input.
 """
@@ -63,14 +63,41 @@ def _deal(buckets: int, ids, tags, first, at, hashes: list[np.ndarray]):
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "payload"])
 
 
-def _by_document(ids, tags, doc, place):
-    """Rows (doc_id, tag, places) from word places grouped by document."""
+def _by_part(parts: int, ids, tags, doc, place) -> pa.Table:
+    """Rows (part, payload): word places dealt by a hash of the document."""
+    part = (W.mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((place, doc, part[doc]))
+    doc, place = doc[order], place[order]
+    which, first = np.unique(doc, return_index=True) if len(doc) else (doc, np.zeros(0, np.int64))
+    which = which[np.argsort(first)]
+    first, count = np.sort(first), np.diff(np.append(np.sort(first), len(doc)))
+    cuts = np.searchsorted(part[which], np.arange(parts + 1))
+    rows, full = [], [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+    for p in full:
+        a, b = cuts[p], cuts[p + 1]
+        own = place[first[a] : first[b - 1] + count[b - 1]]
+        rows.append(b"".join([np.array([b - a], "<u4").tobytes(), ids[which[a:b]].astype("<i8").tobytes(), tags[which[a:b]].astype("<u4").tobytes(), count[a:b].astype("<u4").tobytes(), own.astype("<u4").tobytes()]))
+    return pa.Table.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.binary())], ["part", "payload"])
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """Rows (doc_id, tag, places), one for each document of a part."""
+    ids, tags, doc, place, n = [], [], [], [], 0
+    for data in table.column("payload"):
+        data = data.as_py()
+        m = int(np.frombuffer(data[:4], "<u4")[0])
+        ids.append(np.frombuffer(data, "<i8", m, 4))
+        tags.append(np.frombuffer(data, "<u4", m, 4 + 8 * m))
+        doc.append(np.repeat(np.arange(n, n + m), np.frombuffer(data, "<u4", m, 4 + 12 * m)))
+        place.append(np.frombuffer(data, "<u4", offset=4 + 16 * m))
+        n += m
+    ids, tags, doc, place = (np.concatenate(x) for x in (ids, tags, doc, place))
+    keys, one = np.unique(np.stack([ids, tags.astype(np.int64)], 1), axis=0, return_inverse=True)
+    doc = one.ravel()[doc]
     order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order].astype("<u4")
-    which, cuts = np.unique(doc, return_index=True)
-    cuts = [*cuts, len(doc)]
+    place, cuts = place[order], np.searchsorted(doc[order], np.arange(len(keys) + 1))
     return pa.Table.from_arrays(
-        [pa.array(ids[which], pa.int64()), pa.array(tags[which].astype(np.int64), pa.int64()), pa.array([place[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
+        [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([place[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
         ["doc_id", "tag", "places"],
     )
 
@@ -88,7 +115,7 @@ def _gathered(table: pa.Table, n_keys: int):
 def _anchor_rows(stream, buckets: int, window: int):
     """Every rolling run of half a window in every text long enough for a window."""
     block = window // 2
-    for batch in W.batches(stream, 1 << 16, 8 << 20):
+    for batch in W.batches(stream, 1 << 16, 4 << 20):
         batch = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
         raw, offsets = W.column_bytes(batch.column("text"))
         starts, ends, first = W.split(raw, offsets, W.spaces_split())
@@ -104,7 +131,7 @@ def _anchor_rows(stream, buckets: int, window: int):
         yield _deal(buckets, ids[keep], _tags(batch.column("text"))[keep], np.append(first[:-1][keep], first[-1]), at, [hashes])
 
 
-def _anchors(table: pa.Table, window: int) -> pa.Table:
+def _anchors(table: pa.Table, parts: int, window: int) -> pa.Table:
     """Words at which a run meets a block of another document, on the side of the larger and of the smaller id."""
     ids, tags, doc, place, (key,) = _gathered(table, 1)
     block = place % (window // 2) == 0
@@ -122,20 +149,20 @@ def _anchors(table: pa.Table, window: int) -> pa.Table:
     later = maybe[lowest[slot] < ids[doc[maybe]]]
     earlier = np.flatnonzero(block)[highest[where] > ids[doc[block]]]
     both = np.unique(np.concatenate([later, earlier]))
-    return _by_document(ids, tags, doc[both], place[both])
+    return _by_part(parts, ids, tags, doc[both], place[both])
 
 
 def _window_rows(stream, buckets: int, window: int):
     """All windows that hold an anchor, with 96 hash bits beside the bucket."""
     block = window // 2
-    for batch in W.batches((b.filter(pa.compute.is_valid(b.column("places"))) for b in stream), 1 << 16, 8 << 20):
+    for batch in W.batches((b.filter(pa.compute.is_valid(b.column("places"))) for b in stream), 1 << 16, 4 << 20):
         raw, offsets = W.column_bytes(batch.column("text"))
         starts, ends, first = W.split(raw, offsets, W.spaces_split())
         spots = []
-        for i, parts in enumerate(batch.column("places").to_pylist()):
+        for i, places in enumerate(batch.column("places")):
             n = int(first[i + 1] - first[i])
             mark = np.zeros(n + 1, np.int32)  # an anchor at p lies in the windows that start from p - (window - block) to p
-            p = np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
+            p = np.frombuffer(places.as_buffer(), "<u4").astype(np.int64)
             p = p[p <= n - block]
             np.add.at(mark, np.maximum(p - (window - block), 0), 1)
             np.add.at(mark, p + 1, -1)
@@ -149,7 +176,7 @@ def _window_rows(stream, buckets: int, window: int):
         yield _deal(buckets, ids, _tags(batch.column("text")), first, at, [W.window_hashes(plain, window)[at], W.window_hashes(plain, window, 1)[at]])
 
 
-def _matches(table: pa.Table) -> pa.Table:
+def _matches(table: pa.Table, parts: int) -> pa.Table:
     """Starts of windows that a document with a smaller id has too."""
     ids, tags, doc, place, (a, b, c) = _gathered(table, 3)
     order = np.lexsort((a, b, c))
@@ -158,7 +185,7 @@ def _matches(table: pa.Table) -> pa.Table:
     group = np.cumsum(new) - 1
     lowest = np.minimum.reduceat(ids[doc[order]], np.flatnonzero(new))
     again = order[lowest[group] < ids[doc[order]]]
-    return _by_document(ids, tags, doc[again], place[again])
+    return _by_part(parts, ids, tags, doc[again], place[again])
 
 
 def _covered(places: np.ndarray, window: int) -> np.ndarray:
@@ -185,22 +212,22 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
         raise ValueError("window must be an even number of words")
     buckets = spread(docs.select("text"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = "doc_id long, tag long, places binary"
-    anchors = own.mapInArrow(lambda s: _anchor_rows(s, buckets, window), "bucket int, payload binary").groupBy("bucket").applyInArrow(lambda t: _anchors(t, window), kind)
+    parts, kind = max(12, buckets // 8), "part int, payload binary"
+    anchors = own.mapInArrow(lambda s: _anchor_rows(s, buckets, window), "bucket int, payload binary").groupBy("bucket").applyInArrow(lambda t: _anchors(t, parts, window), kind)
 
     def with_places(found: DataFrame) -> DataFrame:
         tagged = own.withColumn("tag", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)))
-        gathered = found.groupBy("doc_id", "tag").agg(F.collect_list("places").alias("places"))
+        gathered = found.groupBy("part").applyInArrow(_by_document, "doc_id long, tag long, places binary")
         return tagged.repartition(buckets, "doc_id", "tag").join(gathered.repartition(buckets, "doc_id", "tag").hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "text", "places")
 
     windows = with_places(anchors).mapInArrow(lambda s: _window_rows(s, buckets, window), "bucket int, payload binary")
-    matches = windows.groupBy("bucket").applyInArrow(_matches, kind)
+    matches = windows.groupBy("bucket").applyInArrow(lambda t: _matches(t, parts), kind)
 
     def spans(stream):
         for batch in stream:
             found = []
-            for parts in batch.column("places").to_pylist():
-                s = _covered(np.unique(np.frombuffer(b"".join(parts or []), "<u4").astype(np.int64)), window)
+            for places in batch.column("places").to_pylist():
+                s = _covered(np.frombuffer(places or b"", "<u4").astype(np.int64), window)
                 found.append([{"start": int(a), "stop": int(b)} for a, b in s])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["doc_id", "text", "spans"])
 
