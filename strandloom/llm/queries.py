@@ -21,11 +21,21 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.benchmark_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import runtime, tokens
+
+    out = runtime.scratch(spark, "tokens")
+    tokens.write_tokens(read(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.token_table(spark, out)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_substring_dedup, op6_decontamination, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_substring_dedup, op6_decontamination, op7_token_binary, op10_minhash_near_dedup)}
 SQL: dict[str, str] = {}
