@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .runtime import read
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repeats
 
@@ -31,11 +38,18 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(spark, out)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_substring_dedup, op6_decontamination, op7_token_binary, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_classifier, op5_substring_dedup, op6_decontamination, op7_token_binary, op8_toxicity, op10_minhash_near_dedup)}
 SQL: dict[str, str] = {}

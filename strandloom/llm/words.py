@@ -98,17 +98,33 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.
     a = 0
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK, "right")))
-        lo, hi = int(starts[a]), int(ends[b - 1])
-        up, down = _powers(hi - lo + 1)
-        piece = raw[lo:hi] if fold is None else fold[raw[lo:hi]]
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])
-        s, e = starts[a:b] - lo, ends[a:b] - lo
-        out[a:b] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        piece = slice(int(starts[a]), int(ends[b - 1]))
+        part = raw[piece] if fold is None else fold[raw[piece]]
+        out[a:b] = _spans(part, starts[a:b] - piece.start, ends[a:b] - piece.start)
         a = b
     return out
 
 
+def word_hashes_loose(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """word_hashes() of short spans that may overlap, by ascending start."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + CHUNK // 2)))
+        out[a:b] = _spans(raw, starts[a:b], ends[a:b])
+        a = b
+    return out
+
+
+def _spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    lo, hi = int(starts[0]), int(ends.max())
+    up, down = _powers(hi - lo + 1)
+    total = np.zeros(hi - lo + 1, np.uint64)
+    np.cumsum((raw[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])
+    s, e = starts - lo, ends - lo
+    return mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+
+
 def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Hash of every run of `size` words; len(words) - size + 1 of them."""
     n = len(words) - size + 1
