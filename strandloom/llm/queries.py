@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linerules
+from . import linerules, mixing
 from .runtime import read
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -56,5 +60,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_classifier, op5_substring_dedup, op6_decontamination, op7_token_binary, op8_toxicity, op9_quality_rules, op10_minhash_near_dedup)}
-SQL: dict[str, str] = {"op9_quality_rules": linerules.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mixing, op4_quality_classifier, op5_substring_dedup, op6_decontamination, op7_token_binary, op8_toxicity, op9_quality_rules, op10_minhash_near_dedup)}
+SQL: dict[str, str] = {"op3_mixing": mixing.sql(), "op9_quality_rules": linerules.SQL}
