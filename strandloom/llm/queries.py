@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linerules, mixing
+from . import chat, linerules, mixing, sharding
 from .runtime import read
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(read(spark, sf_dir, "documents")).select("doc_id", "shard", "level", "shard_docs", "shard_bytes")
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(read(spark, sf_dir, "conversations"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read(spark, sf_dir, "documents"))
 
@@ -60,5 +68,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mixing, op4_quality_classifier, op5_substring_dedup, op6_decontamination, op7_token_binary, op8_toxicity, op9_quality_rules, op10_minhash_near_dedup)}
-SQL: dict[str, str] = {"op3_mixing": mixing.sql(), "op9_quality_rules": linerules.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_chat_formatting, op3_mixing, op4_quality_classifier, op5_substring_dedup, op6_decontamination, op7_token_binary, op8_toxicity, op9_quality_rules, op10_minhash_near_dedup)}
+SQL: dict[str, str] = {"op1_sharding": sharding.sql(), "op2_chat_formatting": chat.SQL, "op3_mixing": mixing.sql(), "op9_quality_rules": linerules.SQL}
