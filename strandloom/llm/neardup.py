@@ -7,11 +7,10 @@ a document whose registers all lie below the next level is finished (early
 stopping), so long documents cost little more than one step an element.
 
 Documents with equal sets are one class and only its smallest id is banded.
-Within a bucket everyone is compared with the bucket's smallest id first; pairs
-of a bucket that are then still in different components are compared too, save
-those that the triangle inequality of the Jaccard distance (measured to the
-common pivot) or the set sizes rule out.  So no candidate link is lost and no
-group is paired off wholesale.
+Within a bucket everyone is compared with one central member first; members of
+a bucket that are then still in different components are compared too, save
+the pairs that set sizes or bitmaps of the sets rule out with certainty.  So no
+candidate link is lost and no group is paired off wholesale.
 """
 
 from __future__ import annotations
@@ -104,14 +103,112 @@ def _compared(stream):
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["x", "y", "n_common", "n_union"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """pairs (x, y) with n_common and n_union of their whole shingle sets."""
-    parts = spread(docs.select("text"))
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    texts = docs.repartition(parts, "doc_id").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(lambda s: _set_rows(s, shingle), "doc_id long, elements binary"))
+def _bit_rows(stream):
+    """A bitmap of each set, eight bits an element (a power of two, 64 at least)."""
+    for batch in stream:
+        maps = []
+        for e in batch.column("elements"):
+            own = np.frombuffer(e.as_buffer(), np.uint64)
+            width = max(64, 1 << int(8 * len(own) - 1).bit_length())
+            bits = np.zeros(width, np.uint8)
+            bits[own & np.uint64(width - 1)] = 1
+            maps.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(maps, pa.binary())], ["x", "bits"])
+
+
+def _possible(n1: np.ndarray, bits1: np.ndarray, n2: np.ndarray, bits2: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of sets that their bitmaps do not rule out: a bit of one alone is an element of one alone."""
+    only1 = np.bitwise_count(bits1[:, None, :] & ~bits2[None, :, :]).sum(axis=2, dtype=np.int64)
+    only2 = np.bitwise_count(bits2[None, :, :] & ~bits1[:, None, :]).sum(axis=2, dtype=np.int64)
+    common = np.minimum(n1[:, None] - only1, n2[None, :] - only2)
+    return 100 * common >= percent * (n1[:, None] + n2[None, :] - common)
+
+
+def _tile_pairs(stream, percent: int):
+    """Possible pairs of each tile (rows sorted by band, ct, ut): members of minor components with members of others."""
+    kept: list[pa.RecordBatch] = []
+    names = ["band", "ct", "ut", "x", "n", "c", "minor", "bits"]
+
+    def folded(rows: list[bytes], width: int) -> np.ndarray:
+        out = np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+        while out.shape[1] * 8 > width:  # the low bits of a place decide in a narrower map
+            out = out.reshape(len(rows), -1, width // 8)
+            out = np.bitwise_or.reduce(out, axis=1)
+        return out
+
+    def pairs(t: pa.Table):
+        x, n, c = (t.column(k).to_numpy() for k in ("x", "n", "c"))
+        minor = t.column("minor").to_numpy(zero_copy_only=False)
+        bits = [v.as_py() for v in t.column("bits")]
+        width = np.array([len(v) for v in bits])
+        left, right = [], []
+        for w1 in np.unique(width[minor]):
+            for w2 in (w1 // 2, w1, w1 * 2):
+                a, b = np.flatnonzero(minor & (width == w1)), np.flatnonzero(~minor & (width == w2))
+                if len(a) and len(b):
+                    w = min(w1, w2)
+                    step = max(1, (1 << 22) // (len(a) * max(1, w // 8)))
+                    for i in range(0, len(b), step):
+                        part = b[i : i + step]
+                        hit = _possible(n[a], folded([bits[k] for k in a], w), n[part], folded([bits[k] for k in part], w), percent) & (c[a][:, None] != c[part][None, :])
+                        p, q = np.nonzero(hit)
+                        left.append(x[a][p]), right.append(x[part][q])
+        left, right = np.concatenate([x[:0], *left]), np.concatenate([x[:0], *right])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["x", "y"])
+
+    def groups(batch: pa.RecordBatch):
+        keys = np.stack([batch.column(k).to_numpy() for k in names[:3]])
+        return [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        if kept and any(batch.column(k)[0] != kept[-1].column(k)[-1] for k in names[:3]):
+            yield pairs(pa.Table.from_batches(kept))
+            kept = []
+        cuts = groups(batch)
+        for a, b in zip(cuts, cuts[1:-1]):
+            kept.append(batch.slice(a, b - a))
+            yield pairs(pa.Table.from_batches(kept))
+            kept = []
+        kept.append(batch.slice(cuts[-2]))
+    if kept:
+        yield pairs(pa.Table.from_batches(kept))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (x, y) with n_common and n_union of their whole shingle sets (doc_id, elements)."""
     x, y = sets.toDF("x", "ex"), sets.toDF("y", "ey")
-    return pairs.join(x, "x").repartition(parts, "y").join(y, "y").select("x", "y", "ex", "ey").mapInArrow(_compared, "x long, y long, n_common long, n_union long")
+    return pairs.join(x, "x").join(y, "y").select("x", "y", "ex", "ey").mapInArrow(_compared, "x long, y long, n_common long, n_union long")
+
+
+def still_apart(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, tile: int = 256, small: int = 12) -> DataFrame:
+    """Pairs (x, y) that may link although a bucket holds them in different components.
+
+    A bucket's largest component is never paired with itself.  Small buckets
+    are joined; larger ones are dealt in tiles of members by members of minor
+    components, compared by bitmaps that rule out pairs with certainty, so rows
+    grow with the bucket times the tiles of its minor members, not with pairs.
+    """
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    placed = members.join(groups.toDF("x", "c").join(sizes.toDF("c", "size"), "c"), "x", "left").select("band", "x", "n", F.coalesce("c", "x").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
+    per = placed.groupBy("band", "c").agg(F.count("*").alias("k"), F.max("size").alias("size"))
+    mixed = per.groupBy("band").agg(F.max(F.struct("k", "size", "c")).alias("m"), F.sum("k").alias("k"), F.count("*").alias("parts")).filter("parts > 1").select("band", "k", F.col("m.c").alias("main"), (F.col("k") - F.col("m.k")).alias("minors"))
+    rows = cut(placed.drop("size").join(mixed, "band").withColumn("minor", F.col("c") != F.col("main")))
+    few = rows.filter(F.col("k") <= small)
+    left = few.filter("minor").select("band", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
+    near = (few["band"] == left["band"]) & (F.col("c") != F.col("cy")) & (F.lit(100) * F.least("n", "ny") >= F.lit(percent) * F.greatest("n", "ny"))
+    joined = left.join(few, near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    many = rows.filter(F.col("k") > small).withColumns({"nc": F.ceil(F.col("k") / tile).cast("int"), "nu": F.ceil(F.col("minors") / tile).cast("int")})
+    place = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["band", "ct", "ut"]
+    whole = many.withColumn("ct", place("nc")).withColumn("ut", span("nu")).withColumn("minor", F.lit(False))
+    minor = many.filter("minor").withColumn("ut", place("nu")).withColumn("ct", span("nc"))
+    bits = sets.mapInArrow(_bit_rows, "x long, bits binary").join(many.select("x").distinct(), "x", "left_semi")
+    tiles = whole.select(*key, "x", "n", "c", "minor").union(minor.select(*key, "x", "n", "c", "minor")).join(bits, "x").select(*key, "x", "n", "c", "minor", "bits")
+    tested = tiles.repartition(spread(sets), *key).sortWithinPartitions(*key).mapInArrow(lambda s: _tile_pairs(s, percent), "x long, y long")
+    return joined.union(tested).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -130,38 +227,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("n_shingles", "s1", "s2").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("r"))
     banded = classes.select(F.col("r.doc_id").alias("x"), F.col("r.n_shingles").alias("n"), F.explode("r.bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("x").alias("pivot"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    shared = banded.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band")
     members = cut(banded.join(shared, "band"))
+    # The pivot of a bucket is the member that shares most buckets: the one that most resembles the others.
+    central = members.groupBy("x").agg(F.count("*").alias("degree"))
+    pivots = members.join(central, "x").groupBy("band").agg(F.max(F.struct("degree", (-F.col("x")).alias("less"))).alias("p")).select("band", (-F.col("p.less")).alias("y"))
+    stars = cut(members.join(pivots, "band").filter("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    parts = spread(own.select("text"))
+    texts = own.repartition(parts, "doc_id").join(members.select(F.col("x").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    # Of rows that share an id the class member counts; the set's size tells it apart.
+    sets = cut(texts.mapInArrow(lambda s: _set_rows(s, shingle), "doc_id long, elements binary"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return cut(verified(own, pairs, shingle))
-
-    def edges(tested: DataFrame) -> DataFrame:
-        return tested.filter(F.lit(100) * F.col("n_common") >= F.lit(percent) * F.col("n_union")).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    def edges(pairs: DataFrame) -> DataFrame:
+        linked = F.lit(100) * F.col("n_common") >= F.lit(percent) * F.col("n_union")
+        return cut(verified(pairs, sets).filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v")))
 
-    tested = linked(members.filter("x != pivot").select("x", F.col("pivot").alias("y")).distinct())
-    groups = components(edges(tested))
-    # Pairs of a bucket that are still apart: those that neither sizes nor distances to the pivot rule out.
-    far = tested.select("x", F.col("y").alias("pivot"), (F.lit(1.0) - F.col("n_common") / F.col("n_union")).alias("far"))
-    placed = (
-        members.join(far, ["x", "pivot"], "left")
-        .join(groups.withColumnRenamed("node", "x"), "x", "left")
-        .select("band", "x", "n", "pivot", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "x").alias("c"))
-    )
-    mixed = placed.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b").select("band")
-    left = cut(placed.filter("x != pivot").join(mixed, "band"))
-    limit = 1 - percent / 100 + 1e-9
-    right = left.select("band", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("far").alias("fy"), F.col("c").alias("cy"))
-    apart = (
-        left.join(right, "band")
-        .filter((F.col("x") < F.col("y")) & (F.col("c") != F.col("cy")) & (F.abs(F.col("far") - F.col("fy")) <= limit))
-        .filter(F.lit(100) * F.least("n", "ny") >= F.lit(percent) * F.greatest("n", "ny"))
-        .select("x", "y")
-        .distinct()
-    )
-    apart = cut(apart)
+    first = edges(stars)
+    groups = components(first)
+    apart = cut(still_apart(members, groups, sets, percent))
     if not apart.isEmpty():
-        groups = components(edges(tested).union(edges(linked(apart))))
+        groups = components(first.union(edges(apart)))
     # Copies follow the smallest id of their class; classes that share an id are one.
     copies = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     by_class = copies.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component"))
@@ -178,3 +263,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         .withColumn("component_id", F.coalesce("component", "doc_id"))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
+
+
+def remove_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """docs without rows whose group has a smaller id; all columns stay as they are, rows with a null id stay."""
+    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("_gone"), "left_anti")
