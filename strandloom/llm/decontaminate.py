@@ -168,6 +168,22 @@ def _counted(stream):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n_words", "matches", "n_hit", "items"])
 
 
+def test_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    """The test side, broadcast in blocks of items of about block_bytes each."""
+    context = benchmark.sparkSession.sparkContext
+    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    blocks, ids, texts, held = [], [], [], 0
+    for row in tests.toLocalIterator():
+        ids.append(row[0]), texts.append(row[1])
+        held += len(row[1] or "")
+        if held > block_bytes:
+            blocks.append(context.broadcast(test_suffixes(ids, texts, window)))
+            ids, texts, held = [], [], 0
+    if ids or not blocks:
+        blocks.append(context.broadcast(test_suffixes(ids, texts, window)))
+    return blocks
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Longest verbatim matches of test items: one row for each row of docs.
 
@@ -181,18 +197,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, b
     count once.  Empty tables: no rows, or no matches.  If the test texts
     exceed block_bytes, each block of items is one more pass over docs.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks, ids, texts, held = [], [], [], 0
-    for row in tests.toLocalIterator():
-        ids.append(row[0]), texts.append(row[1])
-        held += len(row[1] or "")
-        if held > block_bytes:
-            blocks.append(spark.sparkContext.broadcast(test_suffixes(ids, texts, window)))
-            ids, texts, held = [], [], 0
-    if ids or not blocks:
-        blocks.append(spark.sparkContext.broadcast(test_suffixes(ids, texts, window)))
+    blocks = test_blocks(benchmark, window, block_bytes)
     found = own.withColumn("n_words", F.lit(0).cast("long")).withColumn("matches", F.array().cast(_MATCHES))
     for i, block in enumerate(blocks):
         found = found.mapInArrow(lambda s, b=block: _match_rows(s, b), f"doc_id long, text string, n_words long, matches {_MATCHES}")
@@ -212,10 +218,24 @@ def digest(matches: DataFrame) -> DataFrame:
     return matches.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """docs without contaminated documents, all columns as they were; rows with a null doc_id stay.
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without contaminated rows; all columns stay as they are.
 
-    The ids to drop come from one map over the texts; rows sharing an id go together.
+    One map over the texts decides row by row.  Only if the test texts exceed
+    block_bytes, the ids to drop come from benchmark_matches(), and rows that
+    share an id go together.
     """
-    bad = benchmark_matches(docs, benchmark, window).filter(contaminated()).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    blocks = test_blocks(benchmark, window, block_bytes)
+    if len(blocks) > 1:
+        bad = benchmark_matches(docs, benchmark, window, block_bytes).filter(contaminated()).select(F.col("doc_id").alias("_bad")).distinct()
+        return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+
+    def rows(stream):
+        for batch in W.batches(stream, 1 << 16, 4 << 20):
+            n = batch.num_rows
+            bare = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), batch.column("text"), pa.array(np.zeros(n, np.int64)), pa.array([[]] * n, pa.list_(_MATCH))], ["doc_id", "text", "n_words", "matches"])
+            for found in _counted(b.select(["doc_id", "n_words", "matches"]) for b in _match_rows([bare], blocks[0])):
+                hit, words = found.column("n_hit").to_numpy(), found.column("n_words").to_numpy()
+                yield batch.filter(pa.array((hit == 0) | (20 * hit < words)))
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -10,7 +10,7 @@ most whatever the input holds.  All steps are DataFrame expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linerules import _size, words
@@ -91,12 +91,29 @@ def raked(table: DataFrame, power: float, rounds: int) -> DataFrame:
     return fitted.select(F.explode("cells").alias("c")).select(*(F.col(f"c.{k}").alias(k) for k in CELL), F.col("c.n").alias("n"), F.col("c.w").alias("weight"))
 
 
-def mixed(docs: DataFrame, topic: Column | None = None, power: float = 0.7, rounds: int = 12, seed: str = "mix", most: int = 24) -> DataFrame:
+def scale_for(rate: DataFrame, budget: float) -> DataFrame:
+    """One row, scale: the factor at which min(1, r * scale) keeps a share `budget` of all tokens.
+
+    With cells by falling rate, each is tried as the first that is not taken whole.
+    """
+    order = Window.orderBy(F.desc("r"), *CELL)
+    everything = Window.partitionBy()
+    tried = rate.select(
+        "r",
+        ((F.lit(budget) * F.sum("n").over(everything) - F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+         / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))).alias("s"),
+    )
+    return tried.agg(F.coalesce(F.max_by(F.when(F.col("s") * F.col("r") <= 1, F.col("s")), F.when(F.col("s") * F.col("r") <= 1, F.col("r"))), 1 / F.min("r")).alias("scale"))
+
+
+def mixed(docs: DataFrame, topic: Column | None = None, power: float = 0.7, rounds: int = 12, seed: str = "mix", most: int = 24, budget: float | None = None) -> DataFrame:
     """docs with the columns _source, _lang, _topic, _tokens, _weight (of its cell), _p and _kept.
 
     docs needs doc_id, text, source and lang.  _p is the cell's weight by its
     tokens, scaled so that the largest is 1: expected tokens then stand in the
-    raked proportions and no document is drawn twice.  _kept compares _p with a
+    raked proportions and no document is drawn twice; with a budget (a share of
+    all tokens) it is scaled to that many expected tokens, and cells that would
+    exceed 1 are taken whole.  _kept compares _p with a
     number from the id's md5, so runs agree and repeated ids share their fate.
     Documents without words have no weight of their own: they are drawn with
     their cell's probability, or 0 where the whole cell has none.  Null ids are
@@ -106,9 +123,9 @@ def mixed(docs: DataFrame, topic: Column | None = None, power: float = 0.7, roun
     table = cut(table)
     tops = heaviest(table, most)
     rate = cut(raked(bounded(table, tops), power, rounds).withColumn("r", F.col("weight") / F.col("n")))
-    top = rate.agg(F.max("r").alias("top"))
+    top = rate.agg((1 / F.max("r")).alias("scale")) if budget is None else scale_for(rate, budget)
     # (most + 1) ** 3 rows at most
-    by_cell = rate.join(F.broadcast(top), F.lit(True)).select(*(F.col(c).alias(f"_f_{c}") for c in CELL), F.col("weight").alias("_weight"), (F.col("r") / F.col("top")).alias("_p"))
+    by_cell = rate.join(F.broadcast(top), F.lit(True)).select(*(F.col(c).alias(f"_f_{c}") for c in CELL), F.col("weight").alias("_weight"), F.least(F.col("r") * F.col("scale"), F.lit(1.0)).alias("_p"))
     found = bounded(own, tops).join(F.broadcast(by_cell), [f"_f_{c}" for c in CELL], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("_weight", "_p")})
     return found.withColumn("_kept", sampling_number(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) < F.col("_p"))
 

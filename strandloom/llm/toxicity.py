@@ -220,3 +220,20 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = own.mapInArrow(rows, "doc_id long, score double, n_matches long")
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_matches")
+
+
+def remove_toxic(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
+    """docs without rows that score `threshold` or more; all columns stay as they are, and nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(stream):
+        known = shared.value
+        matcher, table, curve = Matcher(known["lexicon"], known["exceptions"]), fold_table(), known["curve"]
+        for batch in stream:
+            keep = []
+            for text in batch.column("text"):
+                a, b = measures(matcher, fold(text.as_py() or "", table))
+                keep.append(bool(1 / (1 + np.exp(-np.clip(curve[0] * a + curve[1] * b + curve[2], -30, 30))) < threshold))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
