@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import cut
+
 BLANK = r"[ \t\n\x0B\f\r]+"
 _TRIM = " \t\n\x0b\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,11 +71,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """Distinct lines of each distinct text: host, h, line (hash), n_words under them in the text."""
-    folded = lambda line: F.translate(F.array_join(words(line), " "), _UPPER, _LOWER)
-    hashed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.xxhash64(folded(x)).alias("line"), _size(words(x)).alias("n")))
+    split = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words)
+    hashed = F.transform(split, lambda w: F.struct(F.xxhash64(F.translate(F.array_join(w, " "), _UPPER, _LOWER)).alias("line"), _size(w).alias("n")))
     lines = docs.select("host", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "doc_id", F.explode(hashed).alias("l")).filter("l.n > 0")
     own = lines.groupBy("host", "h", "doc_id", F.col("l.line").alias("line")).agg(F.sum("l.n").alias("n"))
-    return own.groupBy("host", "h", "line").agg(F.max("n").alias("n"))  # equal texts hold equal lines
+    return cut(own.groupBy("host", "h", "line").agg(F.max("n").alias("n")))  # equal texts hold equal lines; read twice
 
 
 def quality_rules(docs: DataFrame, host: str = "source", least: int = 100, share: float = 0.02, left: float = 0.2) -> DataFrame:
