@@ -15,44 +15,94 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import spread
+from .runtime import cut, spread
 
+#: Encoded words that are remembered, in each of two generations.
+MEMORY = 500_000
 #: A lone space between two characters that are no white space ends a pre-token of a byte-level BPE
-#: and begins the next one, so texts may be cut there and equal pieces encoded once.
-_CUT = r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])"
-#: Encoded pieces that are remembered; all are forgotten beyond it.
-MEMORY = 400_000
+#: and begins the next one, so texts may be cut there.
+_CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])")
+#: Texts without these, or a space at either end, are words between lone spaces and line feeds.
+_UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+_BLANKS = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+
+
+#: ASCII characters that are neither letters nor digits nor blank.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    table, n = {}, 256
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF:
+            table[b] = chr(b)
+        else:
+            table[b], n = chr(n), n + 1
+    return table
+
+
+class _Words(dict):
+    """Ids of words after `lead` ('' or ' '), as little-endian bytes; what is long unused is forgotten."""
+
+    def __init__(self, tokenizer, lead: str):
+        super().__init__()
+        self.tokenizer, self.model, self.lead, self.letters, self.old = tokenizer, tokenizer.model, lead, _byte_letters(), {}
+        self.mark = lead.translate(self.letters)
+        self.packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        self.runs: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMORY:
+            self.old = dict(self)
+            self.clear()
+            self.runs.clear()
+        ids = self.old.get(word)
+        if ids is None:
+            stem = word.rstrip(_SIGNS)
+            if not stem.isalpha():
+                ids = self.whole(self.lead + word)
+            elif len(stem) < len(word):  # signs after letters are a pre-token of their own
+                run = word[len(stem) :]
+                ids = self[stem] + (self.runs.get(run) or self.runs.setdefault(run, self.whole(run)))
+            else:  # one pre-token
+                mapped = self.mark + word if word.isascii() else (self.lead + word).encode().decode("latin-1").translate(self.letters)
+                ids = b"".join([self.packed[t.id] for t in self.model.tokenize(mapped)])
+        self[word] = ids
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def encoder(path: str, end_id: int = 0):
-    """A function from a list of texts to a list of little-endian unsigned 32-bit id strings, end_id after each."""
+    """A function from a list of texts to a list of little-endian unsigned 32-bit id strings, end_id after each.
+
+    Equal words are encoded once and remembered; that holds for tokenizers that
+    split texts by the usual byte-level pattern, for others use the library itself.
+    """
     import tokenizers
 
     # Functions arrive anew with each task; the library's own module lives as long as the worker.
     kept = vars(tokenizers).setdefault("_strandloom_encoders", {})
-    tokenizer, known = kept.setdefault(path, (None, {}))
-    if tokenizer is None:
+    if path not in kept:
         tokenizer = tokenizers.Tokenizer.from_file(path)
-        kept[path] = (tokenizer, known)
-    cut = re.compile(_CUT)
-    end = np.array([end_id], "<u4").tobytes()
-    plain = all(len(t.content) and " " not in t.content for t in tokenizer.get_added_tokens_decoder().values())
-    if not plain:
-        raise ValueError("special tokens with spaces cannot be told from cut texts")
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        pieces = [cut.split(t) if t else [] for t in texts]
-        new = list({p for own in pieces for p in own if p not in known})
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = list({p for own in pieces for p in own})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for p, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in own]) + end for own in pieces]
-
-    return encode
+        kept[path] = (_Words(tokenizer, ""), _Words(tokenizer, " "))
+    first, later = kept[path]
+    line_feed, end = first.whole("\n"), np.array([end_id], "<u4").tobytes()
+
+    def line(text: str) -> bytes:
+        words = text.split(" ")
+        return first[words[0]] + b"".join(map(later.__getitem__, words[1:]))
+
+    def encode(text: str | None) -> bytes:
+        if not text:
+            return end
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _UNEVEN) or not text.isascii() and _BLANKS.search(text):
+            return b"".join(map(first.whole, _CUT.split(text))) + end
+        return line_feed.join(map(line, text.split("\n"))) + end
+
+    return lambda texts: [encode(t) for t in texts]
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
@@ -87,7 +137,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 0, stripe_b
     (
         encoded(own.repartitionByRange(parts, "doc_id"), path, end_id)
         .sortWithinPartitions("doc_id")
-        .write.option("compression", "zstd")
+        .write.option("compression", "none")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", index_stride)
@@ -120,7 +170,7 @@ def token_table(spark: SparkSession, out: str) -> DataFrame:
     follow each other by checksum.
     """
     stored = read_tokens(spark, out).select("doc_id", "tokens", F.col("_metadata.file_name").alias("file"))
-    docs = stored.mapInArrow(_checksums, "doc_id long, n_tokens long, ids_crc32 long, file string")
+    docs = cut(stored.mapInArrow(_checksums, "doc_id long, n_tokens long, ids_crc32 long, file string"))
     files = docs.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min(F.struct("doc_id", "file")).alias("at"))
     # One row a file; the range partitioning keeps equal ids in one file.
     offsets = files.select("file", (F.sum("n").over(Window.orderBy("at")) - F.col("n")).alias("base"))
