@@ -59,8 +59,12 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame, per_part: int = 8 << 20) -> int:
-    """Number of partitions or buckets: the session's shuffle partitions, more where the input asks for it."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, planned_bytes(df) // per_part))
+    """Number of partitions or buckets: the session's shuffle partitions, more where the input asks for it.
+
+    Sizes of a petabyte and more are what the optimizer says of inputs that it knows nothing of.
+    """
+    size = planned_bytes(df)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, size // per_part) if size < 1 << 50 else 0)
 
 
 def held_out(doc_id: str) -> Column:
