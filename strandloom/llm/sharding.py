@@ -60,10 +60,11 @@ class Store:
         fs, at = self._fs(f"{self.root}/commits/{version:012d}")
         fs.create(at, False).close()
 
-    def _write(self, docs: DataFrame, partitions: int) -> None:
-        # Hot runs are no larger than the target, so one task a run is bounded.
+    def _write(self, docs: DataFrame, partitions: int, slot: str | None = None) -> None:
+        # Merged runs are about the target size, so one task a run is bounded; numbered runs do not share tasks.
+        dealt = docs.repartitionById(partitions, F.col(slot)).drop(slot) if slot else docs.repartition(partitions, RUN)
         with passing_shuffles(self.spark):
-            docs.repartition(partitions, RUN).sortWithinPartitions(RUN, self.order).write.mode("append").option("compression", "zstd").partitionBy(RUN).parquet(f"{self.root}/data")
+            dealt.sortWithinPartitions(RUN, self.order).write.mode("append").option("compression", "zstd").partitionBy(RUN).parquet(f"{self.root}/data")
 
     def append(self, docs: DataFrame, arrival) -> None:
         """Appends docs as level-0 runs, one for each value of the column expression `arrival` (long)."""
@@ -94,12 +95,14 @@ class Store:
         while True:
             plan = self.plan(target, fanout, base)
             moves = plan.filter("run != goes_to").select("run", "goes_to")
-            n_new = moves.select("goes_to").distinct().count()
+            new = moves.select("goes_to").distinct().withColumn("_slot", F.row_number().over(Window.orderBy("goes_to")) - 1)  # one row a merged file
+            n_new = new.count()
             if not n_new:
                 return rounds
             stored = self.spark.read.parquet(f"{self.root}/data")
+            moves = moves.join(new, "goes_to")
             moved = stored.join(F.broadcast(moves) if moves.count() < 100_000 else moves, stored[RUN] == F.col("run")).drop(RUN, "run").withColumnRenamed("goes_to", RUN)
-            self._write(moved, n_new)
+            self._write(moved, n_new, "_slot")
             runs = plan.groupBy(F.col("goes_to").alias("run")).agg(
                 F.max(F.when(F.col("run") == F.col("goes_to"), F.col("level")).otherwise(F.col("level") + 1)).alias("level"),
                 F.sum("n_docs").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"), F.min("first").alias("first"),
@@ -135,7 +138,7 @@ def sharded(docs: DataFrame, root: str | None = None, target: int = TARGET_BYTES
     ids arrive first; repeated rows are stored as often as they stand.  An
     empty table makes a store with no runs and an empty result.
     """
-    taken = [RUN, "run", "goes_to", "level", "n_docs", "n_bytes", "first", "shard", "shard_docs", "shard_bytes"]
+    taken = [RUN, "run", "goes_to", "level", "n_docs", "n_bytes", "first", "shard", "shard_docs", "shard_bytes", "_slot"]
     names = []
     for c in docs.columns:
         names.append(fresh(c, taken + names))
