@@ -64,13 +64,17 @@ def subtract(a: DataFrame, b: DataFrame, keys: list[str], ident: str) -> DataFra
     return out.withColumns({"start": F.col("_p.s"), "end": F.col("_p.e"), "piece": F.when(F.col("_cuts").isNull(), 0).otherwise(F.col("_i") + 1)}).drop("_i", "_p", "_cuts")
 
 
-def running_depth(events: DataFrame, keys: list[str], *values: str, width: int = BIN) -> DataFrame:
-    """Events (keys, p, values; one row a position) with each value's running sum up to and with p."""
+def running_depth(events: DataFrame, keys: list[str], *sums: str, xors: tuple[str, ...] = (), width: int = BIN) -> DataFrame:
+    """Events (keys, p, values; one row a position) with each value's running sum, or exclusive or, up to and with p."""
     rows = with_bin(events, "p", width)
     inner = Window.partitionBy(*keys, "_bin").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    for v in values:
-        rows = carried(rows, keys, F.sum(v), F.sum, "_in").withColumn(v, F.coalesce("_in", F.lit(0)) + F.sum(v).over(inner)).drop("_in")
-    return rows
+    values = {v: F.sum for v in sums} | {v: F.bit_xor for v in xors}
+    outer = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    per_bin = rows.groupBy(*keys, "_bin").agg(*(f(v).alias(v) for v, f in values.items()))
+    per_bin = per_bin.select(*keys, "_bin", *(F.coalesce(f(v).over(outer), F.lit(0)).alias(f"_in_{v}") for v, f in values.items()))
+    rows = rows.join(per_bin, [*keys, "_bin"])
+    own = {v: f(v).over(inner) for v, f in values.items()}
+    return rows.withColumns({v: F.col(f"_in_{v}") + own[v] if v in sums else F.col(f"_in_{v}").bitwiseXOR(own[v]) for v in values}).drop(*(f"_in_{v}" for v in values))
 
 
 def next_position(rows: DataFrame, keys: list[str], last: Column | None = None) -> DataFrame:
@@ -86,15 +90,14 @@ def next_position(rows: DataFrame, keys: list[str], last: Column | None = None)
 def disjoin_unique(df: DataFrame, keys: list[str], owner: str) -> DataFrame:
     """Segments that exactly one owner covers: keys, owner (long), start, end; neighbouring segments of an owner join.
 
-    An owner's own overlaps count once.  Events carry +1 / -1 and the same
-    times the owner; where the running count is 1, the running sum is the owner.
+    An owner's own overlaps count once.  Events carry +1 / -1 and the owner;
+    where the running count is 1, the running exclusive or is the owner.
     """
     own = merge(df, [*keys, owner])
-    plus = own.select(*keys, F.col("start").alias("p"), F.lit(1).alias("d"), F.col(owner).cast("decimal(38,0)").alias("o"))
-    minus = own.select(*keys, F.col("end").alias("p"), F.lit(-1).alias("d"), (-F.col(owner)).cast("decimal(38,0)").alias("o"))
-    events = plus.union(minus).groupBy(*keys, "p").agg(F.sum("d").alias("d"), F.sum("o").cast("decimal(38,0)").alias("o"))
-    depth = next_position(running_depth(events, keys, "d", "o"), keys)
-    single = depth.filter("d = 1").select(*keys, F.col("o").cast("long").alias(owner), F.col("p").alias("start"), "end")
+    ends = F.explode(F.array(F.struct(F.col("start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end").alias("p"), F.lit(-1).alias("d"))))
+    events = own.select(*keys, F.col(owner).cast("long").alias("o"), ends.alias("x")).groupBy(*keys, F.col("x.p").alias("p")).agg(F.sum("x.d").alias("d"), F.bit_xor("o").alias("o"))
+    depth = next_position(running_depth(events, keys, "d", xors=("o",)), keys)
+    single = depth.filter("d = 1").select(*keys, F.col("o").alias(owner), F.col("p").alias("start"), "end")
     return merge(single, [*keys, owner])
 
 
