@@ -182,7 +182,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").select("x", "y", "ex", "ey").mapInArrow(_compared, "x long, y long, n_common long, n_union long")
 
 
-def still_apart(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, tile: int = 256, small: int = 12) -> DataFrame:
+def still_apart(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, parts: int, tile: int = 256, small: int = 12) -> DataFrame:
     """Pairs (x, y) that may link although a bucket holds them in different components.
 
     A bucket's largest component is never paired with itself.  Small buckets
@@ -207,7 +207,7 @@ def still_apart(members: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     minor = many.filter("minor").withColumn("ut", place("nu")).withColumn("ct", span("nc"))
     bits = sets.mapInArrow(_bit_rows, "x long, bits binary").join(many.select("x").distinct(), "x", "left_semi")
     tiles = whole.select(*key, "x", "n", "c", "minor").union(minor.select(*key, "x", "n", "c", "minor")).join(bits, "x").select(*key, "x", "n", "c", "minor", "bits")
-    tested = tiles.repartition(spread(sets), *key).sortWithinPartitions(*key).mapInArrow(lambda s: _tile_pairs(s, percent), "x long, y long")
+    tested = tiles.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(lambda s: _tile_pairs(s, percent), "x long, y long")
     return joined.union(tested).distinct()
 
 
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     # The pivot of a bucket is the member that shares most buckets: the one that most resembles the others.
     central = members.groupBy("x").agg(F.count("*").alias("degree"))
     pivots = members.join(central, "x").groupBy("band").agg(F.max(F.struct("degree", (-F.col("x")).alias("less"))).alias("p")).select("band", (-F.col("p.less")).alias("y"))
-    stars = cut(members.join(pivots, "band").filter("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    stars = members.join(pivots, "band").filter("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     parts = spread(own.select("text"))
     texts = own.repartition(parts, "doc_id").join(members.select(F.col("x").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     # Of rows that share an id the class member counts; the set's size tells it apart.
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     first = edges(stars)
     groups = components(first)
-    apart = cut(still_apart(members, groups, sets, percent))
+    apart = cut(still_apart(members, groups, sets, percent, parts))
     if not apart.isEmpty():
         groups = components(first.union(edges(apart)))
     # Copies follow the smallest id of their class; classes that share an id are one.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -67,6 +69,14 @@ def spread(df: DataFrame, per_part: int = 8 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, size // per_part) if size < 1 << 50 else 0)
 
 
+def give_back() -> None:
+    """Returns freed memory of the driver's Python to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def held_out(doc_id: str) -> Column:
     """Rows that no model may learn from: crc32 of the id as text leaves remainder 0 modulo 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0

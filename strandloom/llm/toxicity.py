@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .labelled import labelled_sample
-from .runtime import held_out
+from .runtime import give_back, held_out
 
 # Digits and signs that stand for letters, and letters of other scripts that look like Latin ones.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -33,7 +33,7 @@ HOMOGLYPHS = {
 #: i and l are easily swapped for each other and for 1, so all three fold to i.
 ALIKE = {"l": "i"}
 #: Labelled documents that a model learns from, and entries of its lexicon, at most.
-TRAIN_ROWS = 10000
+TRAIN_ROWS = 5000
 LEXICON = 4000
 STEMS = (4, 5, 6)
 
@@ -183,7 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
     """Learns from `limit` labelled rows at most that are not held out; without labels of both kinds nothing scores."""
     table = fold_table()
     rows = [(fold(text, table), y) for text, y in labelled_sample(docs, labels, label, limit).select("text", "label").orderBy(F.xxhash64("doc_id")).toLocalIterator()]
-    return learn(rows)
+    model = learn(rows)
+    del rows
+    give_back()
+    return model
 
 
 def learn(rows: list[tuple[str, int]]) -> dict:
