@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, linerules, mixing, sharding
+from . import chat, linerules, mixing, oracles, sharding
 from .runtime import read
 
 
@@ -69,4 +69,4 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_chat_formatting, op3_mixing, op4_quality_classifier, op5_substring_dedup, op6_decontamination, op7_token_binary, op8_toxicity, op9_quality_rules, op10_minhash_near_dedup)}
-SQL: dict[str, str] = {"op1_sharding": sharding.sql(), "op2_chat_formatting": chat.SQL, "op3_mixing": mixing.sql(), "op9_quality_rules": linerules.SQL}
+SQL: dict[str, str] = {"op1_sharding": sharding.sql(), "op2_chat_formatting": chat.SQL, "op3_mixing": mixing.sql(), "op5_substring_dedup": oracles.SUBSTRING, "op6_decontamination": oracles.CONTAMINATION, "op9_quality_rules": linerules.SQL, "op10_minhash_near_dedup": oracles.NEAR}
