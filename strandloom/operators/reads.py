@@ -176,3 +176,30 @@ def flagstats(reads: DataFrame) -> DataFrame:
     """Mapped and unmapped reads of each sequence."""
     gone = has(F.col("flag"), UNMAPPED)
     return reads.groupBy("seqname").agg(F.count_if(~gone).alias("mapped"), F.count_if(gone).alias("unmapped"))
+
+
+def in_region(reads: DataFrame, seqname: str, start: int = 0, end: int | None = None, only_strand: str | None = None, mate: int | None = None) -> DataFrame:
+    """Mapped reads that overlap [start, end), of one strand or mate if given.  The filter on seqname and pos reaches the scan."""
+    rows = mapped(reads).filter(F.col("seqname") == seqname)
+    if end is not None:
+        rows = rows.filter(F.col("pos") < end)
+    rows = rows.filter(reference_end(F.col("pos"), F.col("cigar")) > start)
+    if only_strand:
+        rows = rows.filter(strand(F.col("flag")) == only_strand)
+    return rows if mate is None else of_mate(rows, mate)
+
+
+def end_counts(reads: DataFrame, seqname: str, start: int, end: int, only_strand: str | None = None, mate: int | None = None) -> DataFrame:
+    """at, n for every position of [start, end): 5' ends, zeros included; from the far end on the reverse strand."""
+    ends = five_prime(in_region(reads, seqname, start, end, only_strand, mate)).filter((F.col("at") >= start) & (F.col("at") < end))
+    counts = ends.groupBy("at").agg(F.count("*").alias("n"))
+    grid = reads.sparkSession.range(start, end).select(F.col("id").alias("at"))
+    out = grid.join(counts, "at", "left").select("at", F.coalesce("n", F.lit(0)).alias("n"))
+    return out.orderBy(F.desc("at") if only_strand == "-" else "at")
+
+
+def region_depth(reads: DataFrame, targets: DataFrame, seqname: str, start: int, end: int, only_strand: str | None = None) -> DataFrame:
+    """start, end, depth runs of coverage inside a region."""
+    runs = depth_runs(in_region(reads, seqname, start, end, only_strand), targets.filter(F.col("seqname") == seqname))
+    cut = runs.filter((F.col("end") > start) & (F.col("start") < end))
+    return cut.select(F.greatest("start", F.lit(start)).alias("start"), F.least("end", F.lit(end)).alias("end"), "depth")

@@ -11,6 +11,16 @@ from .lines import numbered, text
 _ATTRIBUTE = r"""([^\s;"'=]+)[ \t]+(?:"([^"]*)"|'([^']*)'|([^\s;"']+))"""
 
 
+class Fields:
+    """Elements of an array column; null beyond its end, also where a filter on the size is applied later."""
+
+    def __init__(self, array: Column):
+        self.array = array
+
+    def __getitem__(self, i: int) -> Column:
+        return F.get(self.array, F.lit(i))
+
+
 def attributes(column: Column) -> Column:
     """GTF column 9 as a map: quoted or bare values, a missing last ';' allowed, of repeated keys the last."""
     group = lambda i: F.regexp_extract_all(column, F.lit(_ATTRIBUTE), F.lit(i))
@@ -21,13 +31,13 @@ def attributes(column: Column) -> Column:
 
 def read_gtf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """seqname, source, feature, start, end, score, strand, frame, attributes; comments and short lines are skipped."""
-    f = F.split("value", "\t")
+    f = Fields(F.split("value", "\t"))
     rows = text(spark, path).filter(~F.col("value").startswith("#") & (F.size(F.split("value", "\t")) >= 8))
     dot = lambda i: F.when(f[i] != ".", f[i])
     return rows.select(
         f[0].alias("seqname"), f[1].alias("source"), f[2].alias("feature"), (f[3].try_cast("long") - 1).alias("start"), f[4].try_cast("long").alias("end"),
         F.coalesce(dot(5).try_cast("double"), F.lit(0.0)).alias("score"), f[6].alias("strand"), F.coalesce(dot(7).try_cast("int"), F.lit(-1)).alias("frame"),
-        attributes(F.coalesce(F.get(f, F.lit(8)), F.lit(""))).alias("attributes"),
+        attributes(F.coalesce(f[8], F.lit(""))).alias("attributes"),
     )
 
 
@@ -43,23 +53,24 @@ def read_bed(spark: SparkSession, path: str | list[str], blanks: bool = False) -
     rows = text(spark, path).filter(~F.col("value").rlike("^(#|track|browser)")).select(f.alias("f")).filter(F.size("f") >= 3)
     get = lambda i, default: F.coalesce(F.get("f", F.lit(i)), F.lit(default))
     return rows.select(
-        F.col("f")[0].alias("seqname"), F.col("f")[1].try_cast("long").alias("start"), F.col("f")[2].try_cast("long").alias("end"), get(3, "").alias("name"),
+        F.get("f", F.lit(0)).alias("seqname"), F.get("f", F.lit(1)).try_cast("long").alias("start"), F.get("f", F.lit(2)).try_cast("long").alias("end"), get(3, "").alias("name"),
         F.coalesce(get(4, "0").try_cast("double"), F.lit(0.0)).alias("score"), get(4, "0").alias("score_text"), get(5, ".").alias("strand"), F.slice("f", 7, F.greatest(F.size("f") - 6, F.lit(0))).alias("extra"),
     )
 
 
 def read_sizes(spark: SparkSession, path: str) -> DataFrame:
     """seqname, length."""
-    f = F.split("value", "\t")
-    return text(spark, path).filter("value != ''").select(f[0].alias("seqname"), F.get(f, F.lit(1)).try_cast("long").alias("length"))
+    f = Fields(F.split("value", "\t"))
+    return text(spark, path).filter("value != ''").select(f[0].alias("seqname"), f[1].try_cast("long").alias("length"))
 
 
 def parse_sam(lines: DataFrame) -> DataFrame:
     """Alignment lines (value) in the canonical schema; header lines are skipped.  Mapped reads without CIGAR become unmapped."""
-    f = F.split("value", "\t")
-    rows = lines.filter(~F.col("value").startswith("@") & (F.size(f) >= 11))
+    whole = F.split("value", "\t")
+    f = Fields(whole)
+    rows = lines.filter(~F.col("value").startswith("@") & (F.size(whole) >= 11))
     star = lambda i: F.when(f[i] != "*", f[i])
-    tags = F.transform(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.struct(F.substring(t, 4, 1).alias("type"), F.substr(t, F.lit(6)).alias("value")).alias("value")))
+    tags = F.transform(F.slice(whole, 12, F.greatest(F.size(whole) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.struct(F.substring(t, 4, 1).alias("type"), F.substr(t, F.lit(6)).alias("value")).alias("value")))
     flag = f[1].try_cast("int")
     return rows.select(
         f[0].alias("qname"), F.when((f[5] == "*") & ~R.has(flag, R.UNMAPPED), flag.bitwiseOR(R.UNMAPPED)).otherwise(flag).alias("flag"), star(2).alias("seqname"),
@@ -130,8 +141,8 @@ def read_emf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     heads = F.filter(lines, lambda x: x.startswith("SEQ"))
     rows = F.slice(lines, F.array_position(lines, F.lit("DATA")).cast("int") + 1, F.size(lines))
     cells = blocks.select("block", heads.alias("h"), rows.alias("r")).select("block", F.posexplode("h").alias("col", "head"), "r")
-    f = F.split("head", r"\s+")
-    each = cells.select("block", "col", f[1].alias("species"), f[2].alias("seqname"), f[3].cast("long").alias("start"), f[4].cast("long").alias("end"), F.when(f[5].cast("int") < 0, "-").otherwise("+").alias("strand"), F.posexplode("r").alias("row", "line"))
+    f = Fields(F.split("head", r"\s+"))
+    each = cells.select("block", "col", f[1].alias("species"), f[2].alias("seqname"), f[3].try_cast("long").alias("start"), f[4].try_cast("long").alias("end"), F.when(f[5].try_cast("int") < 0, "-").otherwise("+").alias("strand"), F.posexplode("r").alias("row", "line"))
     return each.select("block", "col", (F.col("row") + 1).alias("row"), "species", "seqname", "start", "end", "strand", F.substr(F.split("line", r"\s+")[0], F.col("col") + 1, F.lit(1)).alias("base"))
 
 

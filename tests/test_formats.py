@@ -148,3 +148,35 @@ def test_streams(spark, tmp_path):
     assert run(pipelines.filtered(pipelines.renamed(stream), "^AC"), "append") == [("chr1", "ACGT", 5), ("chr1", "ACGT", 6)]
     ids = spark.createDataFrame([("X",)], "seqname string")
     assert len(run(pipelines.listed(stream, ids, "seqname", keep=False), "append")) == 2
+
+
+def test_trims(spark):
+    from strandloom.operators import trimming as T
+
+    colors = spark.createDataFrame([("a", "T0120000000", [20] * 10, 0), ("b", "T01200", [20] * 5, 1), ("c", "T0120000000", [20] * 3 + [1] * 7, 2)], "name string, colors string, qual array<int>, ord long")
+    assert [(r.name, r.colors, len(r.qual)) for r in T.trim_color_tails(colors).collect()] == [("a", "T01", 2)]
+    assert [(r.id1, r.seq, r.qual) for r in T.colors_to_fastq(colors.limit(1)).collect()] == [("a", "CGAAAAAAA", "5" * 9)]
+    assert T.colors_to_fastq(colors.limit(1), decode=True).first().seq == "TGAAAAAAAA"
+    fq = spark.createDataFrame([("x", "TTTTTACGAAAA", "", "hhhhhBBBhhhh", 0), ("y", "ACG", "", "hhh", 1), ("z", "ACAAAA", "", "hhBBBB", 2)], "id1 string, seq string, id2 string, qual string, ord long")
+    assert [(r.id1, r.seq, r.qual) for r in T.trim_poly(fq).collect()] == [("x", "ACG", "BBB")]
+    assert [r.seq for r in T.trim_poly(fq, stranded=True).collect()] == ["TTTTTACG"]
+    assert T.first_records(fq, 2).count() == 2
+
+
+def test_bed_tables(spark, tmp_path):
+    from strandloom.operators import trimming as T
+
+    df = formats.read_bed(spark, put(tmp_path, "a.bed", "c2\t3\t9\tn\t1e-5\t-\t7\t\nc1\t1\t5\tm\t3\t+\tx\tq\n"))
+    sizes = spark.createDataFrame([("c1", 10)], "seqname string, length long")
+    assert [(r.seqname, r.score) for r in T.big_bed_rows(df, sizes).collect()] == [("c1", 3)]
+    assert [(r.seqname, r.score) for r in T.big_bed_rows(df, sizes.limit(0)).collect()] == [("c1", 3), ("c2", 50)]
+    assert [(r.a, r.b) for r in T.with_extra_columns(df, "1:a:int", "2:b:string").collect()] == [(7, None), (None, "q")]
+
+
+def test_regions(spark, tmp_path):
+    df = formats.read_sam(spark, put(tmp_path, "a.sam", SAM))
+    targets = formats.read_sam_targets(spark, str(tmp_path / "a.sam"))
+    assert {r.qname for r in R.in_region(df, "c1", 150, 190).collect()} == {"r1"} and R.in_region(df, "c1", 185, 200).count() == 0
+    assert R.in_region(df, "c1", only_strand="-").count() == 1
+    assert [(r.at, r.n) for r in R.end_counts(df, "c1", 217, 221, "-").collect()] == [(220, 0), (219, 1), (218, 0), (217, 0)]
+    assert sorted(map(tuple, R.region_depth(df, targets, "c1", 105, 175).collect())) == [(105, 110, 1), (110, 170, 0), (170, 175, 1)]
