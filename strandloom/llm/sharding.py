@@ -3,14 +3,15 @@
 Arrivals are appended as small immutable shards, one directory for each run.
 Compaction sorts runs into size tiers, merges neighbouring runs of a tier into
 files of the target size, and leaves the rest alone.  A version's manifest is
-a table of its runs, written aside and made current by creating one marker
+a table of its runs, written aside and made current by renaming one marker
 file, which either succeeds as a whole or fails because another writer was
 first; readers see runs of the newest marker only.  Everything runs as
-DataFrame queries; the driver only creates the marker and removes directories.
+DataFrame queries; the driver only moves the marker and removes directories.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,19 +47,30 @@ class Store:
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """run, level, n_docs, n_bytes and first arrival of each run of a version."""
-        return self.spark.read.schema("run string, level int, n_docs long, n_bytes long, first long").parquet(f"{self.root}/manifests/{self.version() if version is None else version}")
+        fs, at = self._fs(f"{self.root}/commits/{self.version() if version is None else version:012d}")
+        stream = fs.open(at)
+        try:
+            name = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return self.spark.read.schema("run string, level int, n_docs long, n_bytes long, first long").parquet(f"{self.root}/manifests/{name}")
 
     def commit(self, runs: DataFrame, version: int) -> None:
-        """Makes `runs` the manifest of `version`; fails if that version exists."""
-        aside = scratch(self.spark, "manifest")
+        """Makes `runs` the manifest of `version`; fails if that version exists.
+
+        The table and a marker that names it are written aside; renaming the marker is the commit.
+        """
+        name = uuid.uuid4().hex
         with passing_shuffles(self.spark):
-            runs.coalesce(max(1, spread(runs) // 64)).write.parquet(aside)
-        fs, at = self._fs(f"{self.root}/manifests/{version}")
+            runs.coalesce(max(1, spread(runs) // 64)).write.parquet(f"{self.root}/manifests/{name}")
+        jvm, (fs, aside), (_, at) = self.spark._jvm, self._fs(f"{self.root}/manifests/{name}.marker"), self._fs(f"{self.root}/commits/{version:012d}")
+        stream = fs.create(aside, False)
+        stream.write(name.encode())
+        stream.close()
         fs.mkdirs(at.getParent())
-        if not fs.rename(self._fs(aside)[1], at):
-            raise RuntimeError(f"version {version} was written by another writer")
-        fs, at = self._fs(f"{self.root}/commits/{version:012d}")
-        fs.create(at, False).close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(at).toUri(), self.spark._jsc.hadoopConfiguration())
+        # Without the option to overwrite, a rename onto another writer's marker throws.
+        context.rename(fs.makeQualified(aside), fs.makeQualified(at), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
 
     def _write(self, docs: DataFrame, partitions: int, slot: str | None = None) -> None:
         # Merged runs are about the target size, so one task a run is bounded; numbered runs do not share tasks.

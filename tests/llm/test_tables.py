@@ -45,7 +45,8 @@ def test_tiers(spark, make, tmp_path):
     assert store.version() >= 2 and store.manifest(1).count() == 12
     assert {os.path.basename(p).split("=")[1] for p in glob.glob(str(tmp_path / "s/data/shard_run=*"))} == set(by)
     with pytest.raises(Exception):  # noqa: B017
-        store.commit(store.manifest(), store.version())
+        store.commit(store.manifest(1), store.version())
+    assert store.manifest().count() == len(by)
 
 
 def test_append_to_a_store(spark, make, tmp_path):
