@@ -50,16 +50,19 @@ def stop_codons(seq: Column, reverse: bool = False) -> Column:
     return F.regexp_count(seq, F.lit(REVERSE_STOPS if reverse else STOPS)).cast("long")
 
 
-def dibase_decode(colors: Column) -> Column:
-    """Primer base and colours to bases: a base's code (A C G T) is the one before xor the colour; from the first unknown on, N."""
-    code = lambda c: F.instr(F.lit("ACGT"), c) - 1
-    letters = F.split(colors, "")
-    step = lambda a, c: F.struct(
-        F.when((a["code"] < 0) | ~c.rlike("[0-3]"), F.lit(-1)).otherwise(a["code"].bitwiseXOR(F.coalesce(F.try_to_number(c, F.lit("9")).cast("int"), F.lit(0)))).alias("code"), a["out"].alias("out")
-    )
+def dibase_decode(colors: Column, width: int = 512) -> Column:
+    """Primer base and colours to bases: a base's code (A C G T) is the one before xor the colour; from the first unknown on, N.
+
+    Colours are taken in pieces of `width`, so that long sequences are not copied for each base.
+    """
+    place = lambda letters, c: F.instr(F.lit(letters), c) - 1
+    step = lambda a, c: F.struct(F.when((a["code"] < 0) | (place("0123", c) < 0), F.lit(-1)).otherwise(a["code"].bitwiseXOR(place("0123", c))).alias("code"), a["out"].alias("out"))
     shown = lambda a: F.struct(a["code"].alias("code"), F.concat(a["out"], F.when(a["code"] < 0, "N").otherwise(F.substr(F.lit("ACGT"), a["code"] + 1, F.lit(1)))).alias("out"))
-    first = F.struct(code(F.substring(colors, 1, 1)).cast("int").alias("code"), F.substring(colors, 1, 1).alias("out"))
-    return F.aggregate(F.slice(letters, 2, F.greatest(F.length(colors) - 1, F.lit(0))), first, lambda a, c: shown(step(a, c)), lambda a: a["out"])
+    primer = F.substring(colors, 1, 1)
+    state = lambda code, out: F.struct(code.alias("code"), out.alias("out"))
+    pieces = F.regexp_extract_all(F.substr(colors, F.lit(2)), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    piece = lambda a, p: F.aggregate(F.split(p, ""), state(a["code"], F.lit("")), lambda b, c: shown(step(b, c)), lambda b: state(b["code"], F.concat(a["out"], b["out"])))
+    return F.aggregate(pieces, state(place("ACGT", primer).cast("int"), primer), piece, lambda a: a["out"])
 
 
 def double_encode(colors: Column) -> Column:
@@ -83,12 +86,12 @@ def mean_of(values: Column) -> Column:
 
 def color_tail(colors: Column) -> Column:
     """Index of the last colour that is not 0 or '.', counted without the primer; -1 if there is none."""
-    return F.length(F.regexp_replace(colors, "[0.]+$", "")) - 2
+    return F.length(F.rtrim(colors, F.lit("0."))) - 2
 
 
 def trimmed_colors(colors: Column) -> Column:
     """Colours up to the last that is not 0 or '.', where a tail follows; the primer is not part of it."""
-    return F.regexp_extract(colors, r"([0123.]*[123])[0.]+$", 1)
+    return F.reverse(F.regexp_extract(F.reverse(colors), r"^[0.]+([123][0123.]*)", 1))  # anchored: linear in long texts
 
 
 def trim_tails(seq: Column, m: int = 4, stranded: bool = False) -> tuple[Column, Column]:

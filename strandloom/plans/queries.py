@@ -489,27 +489,46 @@ def poly_trim(spark, d):
 _COLORS = f"{V.SEQS}, colors AS (SELECT doc_id, 'T' || translate(seq, 'ACGT', '0123') || CASE WHEN doc_id % 4 = 0 THEN '0.00' WHEN doc_id % 4 = 1 THEN '.12' ELSE '' END AS c FROM seqs WHERE length(seq) < 400)"
 
 
-def _colors(spark, d):
+_SHORT = " WHERE length(seq) < 400"  # the forms without it are the *_all queries
+
+
+def _colors(spark, d, short=True):
     i = F.col("doc_id") % 4
-    return V.seqs(spark, d).filter(F.length("seq") < 400).select("doc_id", F.concat(F.lit("T"), F.translate("seq", "ACGT", "0123"), F.when(i == 0, "0.00").when(i == 1, ".12").otherwise("")).alias("c"))
+    rows = V.seqs(spark, d)
+    return (rows.filter(F.length("seq") < 400) if short else rows).select("doc_id", F.concat(F.lit("T"), F.translate("seq", "ACGT", "0123"), F.when(i == 0, "0.00").when(i == 1, ".12").otherwise("")).alias("c"))
 
 
 @query(f"WITH {_COLORS} SELECT doc_id, (length(regexp_replace(c, '[0.]+$', '')) - 2)::INTEGER AS tail, regexp_extract(c, '([0123.]*[123])[0.]+$', 1) AS trimmed FROM colors")
-def tail_trim(spark, d):
-    return _colors(spark, d).select("doc_id", S.color_tail(F.col("c")).alias("tail"), S.trimmed_colors(F.col("c")).alias("trimmed"))
+def tail_trim(spark, d, short=True):
+    return _colors(spark, d, short).select("doc_id", S.color_tail(F.col("c")).alias("tail"), S.trimmed_colors(F.col("c")).alias("trimmed"))
+
+
+@query(SQL["tail_trim"].replace(_SHORT, ""))
+def tail_trim_all(spark, d):
+    return tail_trim(spark, d, short=False)
 
 
 @query(f"WITH {_COLORS} SELECT doc_id, regexp_replace(translate(substr(c, 3), '0123.', 'ACGTN'), '[^ACGTN]', '', 'g') AS encoded FROM colors")
-def double_encode(spark, d):
-    return _colors(spark, d).select("doc_id", S.double_encode(F.col("c")).alias("encoded"))
+def double_encode(spark, d, short=True):
+    return _colors(spark, d, short).select("doc_id", S.double_encode(F.col("c")).alias("encoded"))
+
+
+@query(SQL["double_encode"].replace(_SHORT, ""))
+def double_encode_all(spark, d):
+    return double_encode(spark, d, short=False)
 
 
 @query(f"""WITH {_COLORS}, x AS (SELECT doc_id, unnest(string_split(c, '')) AS ch, generate_subscripts(string_split(c, ''), 1) AS i FROM colors),
 n AS (SELECT doc_id, i, CASE WHEN i = 1 THEN 3 WHEN ch IN ('0', '1', '2', '3') THEN ch::INTEGER ELSE 0 END AS v, CASE WHEN i > 1 AND ch NOT IN ('0', '1', '2', '3') THEN 1 ELSE 0 END AS bad FROM x),
 b AS (SELECT doc_id, i, (sum(v & 1) OVER w % 2 + 2 * (sum(v >> 1) OVER w % 2))::INTEGER AS code, sum(bad) OVER w AS bad FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i))
 SELECT doc_id, string_agg(CASE WHEN bad > 0 THEN 'N' ELSE substr('ACGT', code + 1, 1) END, '' ORDER BY i) AS bases FROM b GROUP BY doc_id""")
-def dibase_decode(spark, d):
-    return _colors(spark, d).select("doc_id", S.dibase_decode(F.col("c")).alias("bases"))
+def dibase_decode(spark, d, short=True):
+    return _colors(spark, d, short).select("doc_id", S.dibase_decode(F.col("c")).alias("bases"))
+
+
+@query(SQL["dibase_decode"].replace(_SHORT, ""))
+def dibase_decode_all(spark, d):
+    return dibase_decode(spark, d, short=False)
 
 
 _QUALS = "q AS (SELECT l_orderkey, list(floor(l_quantity)::INTEGER - 1 ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey, l_extendedprice) AS q FROM lineitem GROUP BY l_orderkey)"
@@ -541,7 +560,7 @@ def resample(spark, d):
 
 @query()
 def shuffle(spark, d):
-    return sampling.klet_shuffle(V.seqs(spark, d).filter(F.length("seq") <= 2000), "doc_id", "seq", 2, 2)
+    return sampling.klet_shuffle(V.seqs(spark, d), "doc_id", "seq", 2, 2)
 
 
 @query()
