@@ -74,16 +74,26 @@ def interval_subtract(spark, d):
 ev AS (SELECT seqname, p, sum(d) AS d, sum(o) AS o FROM (SELECT seqname, start AS p, 1 AS d, owner AS o FROM m UNION ALL SELECT seqname, "end", -1, -owner FROM m) GROUP BY seqname, p),
 run AS (SELECT seqname, p, sum(d) OVER w AS n, sum(o) OVER w AS owner, lead(p) OVER (PARTITION BY seqname ORDER BY p) AS nx FROM ev WINDOW w AS (PARTITION BY seqname ORDER BY p)),
 seg AS (SELECT seqname, owner::BIGINT AS owner, p AS start, nx AS "end" FROM run WHERE n = 1), {V.merged_sql("seg", "seqname, owner", "f")} SELECT * FROM f""")
-def interval_disjoin_unique(spark, d):
-    owned = V.iv(spark, d).filter("part % 4 = 0").withColumn("owner", F.col("supp") % 7)
+def interval_disjoin_unique(spark, d, part="part % 4 = 0"):
+    owned = V.iv(spark, d).filter(part).withColumn("owner", F.col("supp") % 7)
     return I.disjoin_unique(owned, ["seqname"], "owner")
 
 
+@query(SQL["interval_disjoin_unique"].replace(" WHERE part % 4 = 0", ""))
+def interval_disjoin_unique_all(spark, d):
+    return interval_disjoin_unique(spark, d, part="true")
+
+
 @query(f"""WITH {V.IV}, a AS (SELECT seqname, start, "end", name FROM iv WHERE line = 1), b AS (SELECT seqname, start AS start_b, "end" AS end_b, name AS name_b FROM iv WHERE line = 2)
 SELECT a.seqname, start, "end", name, start_b, end_b, name_b FROM a JOIN b ON a.seqname = b.seqname AND start < end_b AND start_b < "end" """)
-def interval_overlap_join(spark, d):
+def interval_overlap_join(spark, d, left="line = 1", right="line = 2", width=I.BIN):
     rows = V.iv(spark, d)
-    return I.interval_join(rows.filter("line = 1").select("seqname", "start", "end", "name"), rows.filter("line = 2").select("seqname", "start", "end", "name"), ["seqname"]).drop("seqname_b")
+    return I.interval_join(rows.filter(left).select("seqname", "start", "end", "name"), rows.filter(right).select("seqname", "start", "end", "name"), ["seqname"], width).drop("seqname_b")
+
+
+@query(SQL["interval_overlap_join"].replace(" WHERE line = 1", "").replace(" WHERE line = 2", ""))
+def interval_overlap_join_all(spark, d):
+    return interval_overlap_join(spark, d, left="true", right="true", width=128)  # all are shorter than 128
 
 
 @query(f"""WITH {V.EXON}, x AS (SELECT *, lead(start) OVER (PARTITION BY transcript_id ORDER BY start, "end") AS nx FROM exon)
@@ -133,14 +143,19 @@ def _iv_reads(spark, d):
 @query(f"""WITH {V.READS}, r AS (SELECT seqname, pos AS start, pos + 10 AS e FROM reads),
 g AS (SELECT DISTINCT seqname, pos // 100 * 100 AS start, pos // 100 * 100 + 150 AS "end" FROM reads WHERE event_id % 3 = 0)
 SELECT g.seqname, g.start, g."end", count(r.start)::BIGINT AS n FROM g LEFT JOIN r ON g.seqname = r.seqname AND g.start < r.e AND r.start < g."end" GROUP BY ALL""")
-def region_read_count(spark, d):
+def region_read_count(spark, d, part="event_id % 3 = 0"):
     rows = V.reads(spark, d)
     low = F.floor(F.col("pos") / 100) * 100
-    regions = rows.filter("event_id % 3 = 0").select("seqname", low.alias("start"), (low + 150).alias("end")).distinct()
+    regions = rows.filter(part).select("seqname", low.alias("start"), (low + 150).alias("end")).distinct()
     spans = rows.select("seqname", F.col("pos").alias("start"), (F.col("pos") + 10).alias("end"))
     return I.count_overlaps(regions, spans, ["seqname"], ["seqname", "start", "end"])
 
 
+@query(SQL["region_read_count"].replace(" WHERE event_id % 3 = 0", ""))
+def region_read_count_all(spark, d):
+    return region_read_count(spark, d, part="true")
+
+
 _ENDS = V.WALK + """, span AS (SELECT event_id, sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN len ELSE 0 END)::BIGINT AS l FROM w0 GROUP BY event_id),
 ends AS (SELECT reads.*, pos + l AS rend, CASE WHEN (flag & 16) > 0 THEN pos + l - 1 ELSE pos END AS "at", CASE WHEN (flag & 16) > 0 THEN '-' ELSE '+' END AS strand FROM reads JOIN span USING (event_id))"""
 
@@ -248,15 +263,25 @@ SELECT p.seqname, p.start, p."end", g.name AS name_near, abs(g.at - p.{probe})::
 
 
 @query(_nearest_sql("max", ">=", "left", '"end"', "start"))
-def nearest_left(spark, d):
+def nearest_left(spark, d, probes="part % 10 = 1", near="part % 10 = 0"):
     rows = V.iv(spark, d)
-    return I.nearest(rows.filter("part % 10 = 1").select("seqname", "start", "end").distinct(), rows.filter("part % 10 = 0"), ["seqname"], "start", "end", "left", "name")
+    return I.nearest(rows.filter(probes).select("seqname", "start", "end").distinct(), rows.filter(near), ["seqname"], "start", "end", "left", "name")
+
+
+@query(SQL["nearest_left"].replace(" WHERE part % 10 = 0", "").replace(" WHERE part % 10 = 1", ""))
+def nearest_left_all(spark, d):
+    return nearest_left(spark, d, probes="true", near="true")
 
 
 @query(_nearest_sql("min", "<=", "right", "start", '"end"'))
-def nearest_right(spark, d):
+def nearest_right(spark, d, probes="part % 10 = 1", near="part % 10 = 0"):
     rows = V.iv(spark, d)
-    return I.nearest(rows.filter("part % 10 = 1").select("seqname", "start", "end").distinct(), rows.filter("part % 10 = 0"), ["seqname"], "end", "start", "right", "name")
+    return I.nearest(rows.filter(probes).select("seqname", "start", "end").distinct(), rows.filter(near), ["seqname"], "end", "start", "right", "name")
+
+
+@query(SQL["nearest_right"].replace(" WHERE part % 10 = 0", "").replace(" WHERE part % 10 = 1", ""))
+def nearest_right_all(spark, d):
+    return nearest_right(spark, d, probes="true", near="true")
 
 
 # --- counts and summaries ---
@@ -396,16 +421,21 @@ def _genome(spark, d):
     return whole.select("seqname", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(1000))).alias("chunk_start"), "seq").select("seqname", F.col("chunk_start").cast("long"), F.substr("seq", F.col("chunk_start") + 1, F.lit(1000)).alias("seq"))
 
 
-def _features(spark, d):
-    own = V.table(spark, d, "lineitem").filter("l_orderkey % 100 = 7").groupBy(F.col("l_orderkey").alias("transcript_id"), F.col("l_linenumber").alias("i")).agg(F.floor(F.max("l_quantity")).alias("len"))
+def _features(spark, d, part):
+    own = V.table(spark, d, "lineitem").filter(part).groupBy(F.col("l_orderkey").alias("transcript_id"), F.col("l_linenumber").alias("i")).agg(F.floor(F.max("l_quantity")).alias("len"))
     start = (F.col("transcript_id") % 50) * 20 + F.col("i") * 60
     return own.select("transcript_id", F.when(F.col("transcript_id") % 2 == 0, "+").otherwise("-").alias("strand"), F.concat(F.lit("c"), (F.col("transcript_id") % 5).cast("string")).alias("seqname"), start.alias("start"), (start + F.col("len")).alias("end"))
 
 
 @query(f"""WITH {V.SEQS}, {_GENOME}, {_FEATURES}, s AS (SELECT transcript_id, min(strand) AS strand, string_agg(substr(seq, start + 1, "end" - start), '' ORDER BY start) AS seq FROM feat JOIN genome ON sn = seqname GROUP BY transcript_id)
 SELECT transcript_id, CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq FROM s""")
-def splice_sequence(spark, d):
-    return A.spliced_sequences(_features(spark, d), _genome(spark, d))
+def splice_sequence(spark, d, part="l_orderkey % 100 = 7"):
+    return A.spliced_sequences(_features(spark, d, part), _genome(spark, d))
+
+
+@query(SQL["splice_sequence"].replace(" WHERE l_orderkey % 100 = 7", ""))
+def splice_sequence_all(spark, d):
+    return splice_sequence(spark, d, part="true")
 
 
 # --- strings ---

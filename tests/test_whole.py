@@ -36,3 +36,24 @@ def test_long_shuffles(spark, tmp_path):
     assert Counter(r.doc_id for r in got) == {1: 2, 2: 2}
     pairs = lambda s: Counter(zip(s, s[1:]))
     assert all(pairs(r.shuffled) == pairs("GATTACA" * (500 if r.doc_id == 2 else 1)) for r in got)
+
+
+def test_whole_views(spark):
+    d = "/root/testdata/sf0.001"
+    rows = own.V.iv(spark, d)
+    spans = rows.select("seqname", "start", "end").distinct().count()
+    assert own.QUERIES["nearest_left_all"](spark, d).count() == own.QUERIES["nearest_right_all"](spark, d).count() == spans
+    assert own.QUERIES["splice_sequence_all"](spark, d).count() == own.V.table(spark, d, "lineitem").select("l_orderkey").distinct().count()
+    reads = own.V.reads(spark, d)
+    assert own.QUERIES["region_read_count_all"](spark, d).count() == reads.select("seqname", F.floor(F.col("pos") / 100)).distinct().count()
+    at = {}
+    for r in rows.collect():
+        at.setdefault(r.seqname, []).append((r.start, r.end))
+    pairs = sum(a < y and x < b for v in at.values() for a, b in v for x, y in v)
+    assert own.QUERIES["interval_overlap_join_all"](spark, d).count() == pairs
+    owners = {}
+    for r in rows.collect():
+        for p in range(r.start, r.end):
+            owners.setdefault((r.seqname, p), set()).add(r.supp % 7)
+    alone = sum(len(v) == 1 for v in owners.values())
+    assert own.QUERIES["interval_disjoin_unique_all"](spark, d).agg(F.sum(F.col("end") - F.col("start"))).first()[0] == alone
