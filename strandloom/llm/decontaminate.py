@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import words as W
-from .runtime import cut
+from .runtime import cut, fresh
 
 #: Bytes of test text that are broadcast at once; larger benchmarks take several passes.
 BLOCK_BYTES = 32 << 20
@@ -221,21 +222,37 @@ def digest(matches: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without contaminated rows; all columns stay as they are.
 
-    One map over the texts decides row by row.  Only if the test texts exceed
-    block_bytes, the ids to drop come from benchmark_matches(), and rows that
-    share an id go together.
+    Each row is judged by its own text, however many rows share its id.  If the
+    test texts exceed block_bytes, each further block is one more pass, which
+    carries the rows with their matches so far.
     """
     blocks = test_blocks(benchmark, window, block_bytes)
-    if len(blocks) > 1:
-        bad = benchmark_matches(docs, benchmark, window, block_bytes).filter(contaminated()).select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    kept = fresh("_matches", docs.columns)
 
-    def rows(stream):
+    def matched(stream, block):
+        """Batches with the matches of one more block in the column `kept`."""
         for batch in W.batches(stream, 1 << 16, 4 << 20):
             n = batch.num_rows
-            bare = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), batch.column("text"), pa.array(np.zeros(n, np.int64)), pa.array([[]] * n, pa.list_(_MATCH))], ["doc_id", "text", "n_words", "matches"])
-            for found in _counted(b.select(["doc_id", "n_words", "matches"]) for b in _match_rows([bare], blocks[0])):
-                hit, words = found.column("n_hit").to_numpy(), found.column("n_words").to_numpy()
-                yield batch.filter(pa.array((hit == 0) | (20 * hit < words)))
-
-    return docs.mapInArrow(rows, docs.schema)
+            before = batch.column(kept) if kept in batch.schema.names else pa.array([[]] * n, pa.list_(_MATCH))
+            text = batch.column("text").cast(pa.string())
+            bare = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), text, pa.array(np.zeros(n, np.int64)), before], ["doc_id", "text", "n_words", "matches"])
+            parts = list(_match_rows([bare], block))
+            yield batch, (pa.Table.from_batches(parts).combine_chunks().to_batches() or parts)[0]
+
+    def carry(stream, block):
+        for batch, found in matched(stream, block):
+            names = [x for x in batch.schema.names if x != kept]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), found.column("matches")], [*names, kept])
+
+    def decide(stream, block):
+        for batch, found in matched(stream, block):
+            counts = next(_counted([found.select(["doc_id", "n_words", "matches"])]))
+            hit, words = counts.column("n_hit").to_numpy(), counts.column("n_words").to_numpy()
+            names = [x for x in batch.schema.names if x != kept]
+            yield batch.select(names).filter(pa.array((hit == 0) | (20 * hit < words)))
+
+    carried = StructType([*docs.schema.fields, StructField(kept, ArrayType(StructType([StructField(x, LongType()) for x in ("item_id", "item_start", "doc_start", "n_words")])))])
+    found = docs
+    for block in blocks[:-1]:
+        found = cut(found.mapInArrow(lambda s, b=block: carry(s, b), carried))
+    return found.mapInArrow(lambda s: decide(s, blocks[-1]), docs.schema)

@@ -48,6 +48,17 @@ def test_decontamination(spark, make, odd):
     assert not any(r.n_hit for r in decontaminate.benchmark_matches(make(rows), bench.limit(0)).collect())
 
 
+def test_blocks_judge_rows_alike(spark, make, odd):
+    items = [(1, " ".join(f"q{i}" for i in range(40))), (5, "one"), (None, "same id other"), (6, " ".join(f"p{i}" for i in range(30)))]
+    rows = odd + [(None, "x q1 " + items[0][1]), (None, items[3][1]), (40, "one"), (40, "clean"), (41, items[0][1] + " " + items[3][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((t for i, t in rows if not brute([(i, t)], items)[0][5]), key=str)
+    for block in (decontaminate.BLOCK_BYTES, 30):
+        left = decontaminate.remove_contaminated(make(rows), bench, block_bytes=block)
+        assert left.columns == make(rows).columns and sorted((r.text for r in left.collect()), key=str) == want
+    assert decontaminate.remove_contaminated(make([]), bench, block_bytes=30).count() == 0
+
+
 def test_matches_are_longest(spark, make):
     item = [f"q{i}" for i in range(40)]
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
