@@ -2,10 +2,9 @@
 
 Token counts are summed into cells (source, language, topic); the cells' weights
 are raked in turn to each target marginal until they fit all three; documents
-are then sampled with their cell's calibrated probability.  Only the cell table
-is small enough to be fitted in one row: marginal values beyond the `most`
-heaviest of a column share the value 'other', so it has (most + 1) ** 3 cells at
-most whatever the input holds.  All steps are DataFrame expressions.
+are then sampled with their cell's calibrated probability.  The fit is a windowed
+sum over the cell table for each marginal and round, so every value keeps its
+own target however many there are.  All steps are DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from .linerules import _size, words
 from .runtime import cut
 
 CELL = ("source", "lang", "topic")
+#: Rows of the cell table in a task, and the most that are broadcast; neither changes what comes out.
+CELLS_PER_TASK, BROADCAST_CELLS = 50_000, 200_000
 
 
 def form_topic(text: Column) -> Column:
@@ -49,8 +50,10 @@ def heaviest(table: DataFrame, most: int) -> dict[str, DataFrame]:
     return {c: cut(table.groupBy(f"_{c}").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), f"_{c}").limit(most).select(f"_{c}", F.col(f"_{c}").alias(c))) for c in CELL}
 
 
-def bounded(rows: DataFrame, tops: dict[str, DataFrame]) -> DataFrame:
-    """rows with the columns source, lang, topic: the raw values, rare ones folded into 'other'."""
+def bounded(rows: DataFrame, tops: dict[str, DataFrame] | None) -> DataFrame:
+    """rows with the columns _f_source, _f_lang, _f_topic: the raw values; with tops, rare ones folded into 'other'."""
+    if tops is None:
+        return rows.withColumns({f"_f_{c}": F.col(f"_{c}") for c in CELL})
     for c in CELL:
         rows = rows.join(F.broadcast(tops[c].toDF(f"_{c}", f"_f_{c}")), f"_{c}", "left")
     return rows.withColumns({f"_f_{c}": F.coalesce(f"_f_{c}", F.lit("other")) for c in CELL})
@@ -61,34 +64,23 @@ def raked(table: DataFrame, power: float, rounds: int) -> DataFrame:
 
     Target shares of a marginal value are its token share to `power`, normalised
     (1 keeps the input's mix, 0 makes values equal).  Every round scales the
-    cells to each marginal in turn, inside one expression over one row of cells.
+    cells to each marginal in turn; the lineage is cut every four rounds.
     """
-    summed = table.groupBy(*(F.col(f"_f_{c}").alias(c) for c in CELL)).agg(F.sum("n").alias("n")).filter("n > 0")
-    one = summed.agg(F.array_sort(F.collect_list(F.struct(*CELL, F.col("n").cast("double").alias("n"), F.col("n").cast("double").alias("w")))).alias("cells"))
-
-    def total(rows: Column, get) -> Column:
-        return F.aggregate(rows, F.lit(0.0), lambda a, x: a + get(x))
-
-    def with_targets(one: DataFrame, c: str) -> DataFrame:
-        values = F.array_sort(F.array_distinct(F.transform("cells", lambda x: x[c])))
-        mass = F.transform(values, lambda v: F.pow(total(F.filter("cells", lambda x: x[c] == v), lambda x: x["n"]), F.lit(power)))
-        one = one.withColumn(f"v_{c}", values).withColumn(f"m_{c}", mass)
-        return one.withColumn(f"t_{c}", F.map_from_arrays(f"v_{c}", F.transform(f"m_{c}", lambda m: m / total(F.col(f"m_{c}"), lambda x: x))))
-
+    n = F.col("n")
+    summed = cut(table.groupBy(*(F.col(f"_f_{c}").alias(c) for c in CELL)).agg(F.sum("n").cast("double").alias("n")).filter("n > 0"))
+    tasks = 1 + summed.count() // CELLS_PER_TASK
+    summed = summed.coalesce(tasks)  # in one task the windows below need no shuffle
+    fitted = summed.withColumn("weight", n)
     for c in CELL:
-        one = with_targets(one, c)
-    one = cut(one)  # one row; else the targets are computed anew for each cell and step
-
-    def scaled(rows: Column, c: str) -> Column:
-        sums = F.map_from_arrays(F.col(f"v_{c}"), F.transform(f"v_{c}", lambda v: total(F.filter(rows, lambda x: x[c] == v), lambda x: x["w"])))
-        # the sums ride along as a one-element array, so that they are built once a step
-        return F.flatten(F.transform(F.array(sums), lambda s: F.transform(rows, lambda x: x.withField("w", x["w"] * F.col(f"t_{c}")[x[c]] / s[x[c]]))))
-
-    def step(rows: Column, i: Column) -> Column:
-        return F.when(i % 3 == 0, scaled(rows, "source")).when(i % 3 == 1, scaled(rows, "lang")).otherwise(scaled(rows, "topic"))
-
-    fitted = one.select(F.aggregate(F.sequence(F.lit(0), F.lit(3 * rounds - 1)), F.col("cells"), step).alias("cells"))
-    return fitted.select(F.explode("cells").alias("c")).select(*(F.col(f"c.{k}").alias(k) for k in CELL), F.col("c.n").alias("n"), F.col("c.w").alias("weight"))
+        whole = summed.groupBy(c).agg(F.pow(F.sum("n"), F.lit(power)).alias("m")).agg(F.sum("m").alias("_all"))
+        mass = F.pow(F.sum("n").over(Window.partitionBy(c)), F.lit(power))
+        fitted = fitted.withColumn(f"t_{c}", mass).join(F.broadcast(whole), F.lit(True)).withColumn(f"t_{c}", F.col(f"t_{c}") / F.col("_all")).drop("_all")
+    for i in range(rounds):
+        if i % 4 == 0:
+            fitted = cut(fitted).coalesce(tasks)
+        for c in CELL:
+            fitted = fitted.withColumn("weight", F.col("weight") * F.col(f"t_{c}") / F.sum("weight").over(Window.partitionBy(c)))
+    return fitted.select(*CELL, "n", "weight")
 
 
 def scale_for(rate: DataFrame, budget: float) -> DataFrame:
@@ -106,7 +98,7 @@ def scale_for(rate: DataFrame, budget: float) -> DataFrame:
     return tried.agg(F.coalesce(F.max_by(F.when(F.col("s") * F.col("r") <= 1, F.col("s")), F.when(F.col("s") * F.col("r") <= 1, F.col("r"))), 1 / F.min("r")).alias("scale"))
 
 
-def mixed(docs: DataFrame, topic: Column | None = None, power: float = 0.7, rounds: int = 12, seed: str = "mix", most: int = 24, budget: float | None = None) -> DataFrame:
+def mixed(docs: DataFrame, topic: Column | None = None, power: float = 0.7, rounds: int = 12, seed: str = "mix", most: int | None = None, budget: float | None = None) -> DataFrame:
     """docs with the columns _source, _lang, _topic, _tokens, _weight (of its cell), _p and _kept.
 
     docs needs doc_id, text, source and lang.  _p is the cell's weight by its
@@ -117,16 +109,17 @@ def mixed(docs: DataFrame, topic: Column | None = None, power: float = 0.7, roun
     number from the id's md5, so runs agree and repeated ids share their fate.
     Documents without words have no weight of their own: they are drawn with
     their cell's probability, or 0 where the whole cell has none.  Null ids are
-    drawn as the id ''.  An empty table gives an empty result.
+    drawn as the id ''.  An empty table gives an empty result.  Every source,
+    language and topic has a target of its own; only a caller that gives `most`
+    has the values beyond each column's `most` heaviest folded into 'other'.
     """
     own, table = cells(docs, form_topic(F.col("text")) if topic is None else topic)
     table = cut(table)
-    tops = heaviest(table, most)
+    tops = None if most is None else heaviest(table, most)
     rate = cut(raked(bounded(table, tops), power, rounds).withColumn("r", F.col("weight") / F.col("n")))
     top = rate.agg((1 / F.max("r")).alias("scale")) if budget is None else scale_for(rate, budget)
-    # (most + 1) ** 3 rows at most
     by_cell = rate.join(F.broadcast(top), F.lit(True)).select(*(F.col(c).alias(f"_f_{c}") for c in CELL), F.col("weight").alias("_weight"), F.least(F.col("r") * F.col("scale"), F.lit(1.0)).alias("_p"))
-    found = bounded(own, tops).join(F.broadcast(by_cell), [f"_f_{c}" for c in CELL], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("_weight", "_p")})
+    found = bounded(own, tops).join(F.broadcast(by_cell) if rate.count() <= BROADCAST_CELLS else by_cell, [f"_f_{c}" for c in CELL], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("_weight", "_p")})
     return found.withColumn("_kept", sampling_number(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) < F.col("_p"))
 
 

@@ -106,6 +106,14 @@ def test_mixture_odd(make, odd):
     assert mixing.mixture(many, most=5).count() == 60
 
 
+def test_mixture_keeps_rare_values(make):
+    names = [f"s{i}" for i in range(40)] + ["other"]
+    rows = [(100 * i + j, "word " * (5 + i), "en" if j % 2 else "fr", s, 0) for i, s in enumerate(names) for j in range(4)]
+    cells = {(r.source, r.lang, r.topic): r.weight for r in mixing.mixture(make(rows), power=0.0).collect()}
+    for s in names:  # equal targets for all 41 sources
+        assert abs(sum(w for k, w in cells.items() if k[0] == s) - 1 / 41) < 1e-6
+
+
 def brute_rules(text):
     w = (text or "").encode().split()
     w = [x.decode() for x in w]
