@@ -73,8 +73,10 @@ def line_table(docs: DataFrame) -> DataFrame:
     """Distinct lines of each distinct text: host, h, line (hash), n_words under them in the text."""
     split = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words)
     hashed = F.transform(split, lambda w: F.struct(F.xxhash64(F.translate(F.array_join(w, " "), _UPPER, _LOWER)).alias("line"), _size(w).alias("n")))
-    lines = docs.select("host", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "doc_id", F.explode(hashed).alias("l")).filter("l.n > 0")
-    own = lines.groupBy("host", "h", "doc_id", F.col("l.line").alias("line")).agg(F.sum("l.n").alias("n"))
+    # a number for each row, given before lines are exploded: repeated rows and null ids do not add up
+    rows = docs.select("host", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), hashed.alias("ls"), F.monotonically_increasing_id().alias("row"))
+    lines = rows.select("host", "h", "row", F.explode("ls").alias("l")).filter("l.n > 0")
+    own = lines.groupBy("host", "h", "row", F.col("l.line").alias("line")).agg(F.sum("l.n").alias("n"))
     return cut(own.groupBy("host", "h", "line").agg(F.max("n").alias("n")))  # equal texts hold equal lines; read twice
 
 

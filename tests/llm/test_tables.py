@@ -142,3 +142,12 @@ def test_frequent_lines(make):
     assert got[100].kept and got[200].kept  # another host; copies count once
     texts = {r.doc_id: r.text for r in linerules.without_frequent_lines(make(rows), least=20).collect()}
     assert texts[3] == own(3) and texts[100] == banner
+
+
+def test_frequent_lines_of_repeated_rows(make):
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    banner = own("b", 45)
+    text = lambda i: f"{banner}\n{own(i, 55)}"
+    rows = [(i, text(i), "en", "host", 0) for i in range(30)] + [(1, text(1), "en", "host", 0)] + [(None, text("null"), "en", "host", 0)] * 3
+    got = linerules.quality_rules(make(rows), least=20).collect()
+    assert len(got) == 34 and all(r.n_removed_words == 45 and r.kept for r in got)
