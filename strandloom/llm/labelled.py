@@ -12,7 +12,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     """doc_id, text, label of `limit` labelled documents at most, chosen by a hash of the id.
 
     Held-out ids and rows with a null id, label or text are left out.  Repeated
-    labels of an id count once (the larger); repeated documents count once.
+    labels of an id count once (the larger), and so do documents that share an
+    id (the smallest text), so the sample is the same on every run.
     """
     ids = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
@@ -21,4 +22,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     )
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # `limit` rows of two numbers bound what is broadcast.
-    return cut(own.filter("text is not null").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]))
+    return cut(own.filter("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")))

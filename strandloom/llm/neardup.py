@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .runtime import cut, spread
+from .runtime import cut, fresh, spread
 
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 BANDS, ROWS = 32, 5
+#: Members of a bucket that are joined with its pivot by one task.
+CROWD = 2000
 
 
 def shingle_sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,17 +144,18 @@ def _tile_pairs(stream, percent: int):
         bits = [v.as_py() for v in t.column("bits")]
         width = np.array([len(v) for v in bits])
         left, right = [], []
+        reach = int(np.ceil(np.log2(100 / percent)))  # sizes that may link have widths within so many doublings
         for w1 in np.unique(width[minor]):
-            for w2 in (w1 // 2, w1, w1 * 2):
-                a, b = np.flatnonzero(minor & (width == w1)), np.flatnonzero(~minor & (width == w2))
-                if len(a) and len(b):
-                    w = min(w1, w2)
-                    step = max(1, (1 << 22) // (len(a) * max(1, w // 8)))
-                    for i in range(0, len(b), step):
-                        part = b[i : i + step]
-                        hit = _possible(n[a], folded([bits[k] for k in a], w), n[part], folded([bits[k] for k in part], w), percent) & (c[a][:, None] != c[part][None, :])
-                        p, q = np.nonzero(hit)
-                        left.append(x[a][p]), right.append(x[part][q])
+            for w2 in np.unique(width[~minor]):
+                if max(w1, w2) > min(w1, w2) << reach:
+                    continue
+                a, b, w = np.flatnonzero(minor & (width == w1)), np.flatnonzero(~minor & (width == w2)), min(w1, w2)
+                step = max(1, (1 << 22) // (len(a) * max(1, w // 8)))
+                for i in range(0, len(b), step):
+                    part = b[i : i + step]
+                    hit = _possible(n[a], folded([bits[k] for k in a], w), n[part], folded([bits[k] for k in part], w), percent) & (c[a][:, None] != c[part][None, :])
+                    p, q = np.nonzero(hit)
+                    left.append(x[a][p]), right.append(x[part][q])
         left, right = np.concatenate([x[:0], *left]), np.concatenate([x[:0], *right])
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["x", "y"])
 
@@ -191,7 +194,7 @@ def still_apart(members: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     grow with the bucket times the tiles of its minor members, not with pairs.
     """
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    placed = members.join(groups.toDF("x", "c").join(sizes.toDF("c", "size"), "c"), "x", "left").select("band", "x", "n", F.coalesce("c", "x").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
+    placed = members.drop("slot", "slots").join(groups.toDF("x", "c").join(sizes.toDF("c", "size"), "c"), "x", "left").select("band", "x", "n", F.coalesce("c", "x").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
     per = placed.groupBy("band", "c").agg(F.count("*").alias("k"), F.max("size").alias("size"))
     mixed = per.groupBy("band").agg(F.max(F.struct("k", "size", "c")).alias("m"), F.sum("k").alias("k"), F.count("*").alias("parts")).filter("parts > 1").select("band", "k", F.col("m.c").alias("main"), (F.col("k") - F.col("m.k")).alias("minors"))
     rows = cut(placed.drop("size").join(mixed, "band").withColumn("minor", F.col("c") != F.col("main")))
@@ -221,45 +224,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     than a shingle are one shingle.  Rows that share an id are one document to
     the grouping (each row keeps its own n_shingles).  Rows with a null id are
     returned with a null component and kept.  Empty tables give empty results.
+    Bands that would miss a pair at `percent` in more than one of a thousand
+    cases are an error: lower limits need more bands or fewer rows.
     """
+    if (1 - (percent / 100) ** rows) ** bands > 1e-3:
+        raise ValueError("these bands and rows miss pairs at that limit")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(own.mapInArrow(lambda s: _signature_rows(s, shingle, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
-    full = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("n_shingles", "s1", "s2").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("r"))
+    full, equal = signed.filter("n_shingles > 0 and doc_id is not null"), ["n_shingles", "s1", "s2"]
+    classes = full.groupBy(*equal).agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("r"))
     banded = classes.select(F.col("r.doc_id").alias("x"), F.col("r.n_shingles").alias("n"), F.explode("r.bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").select("band")
-    members = cut(banded.join(shared, "band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1")
+    # Members of a crowded bucket are dealt over slots, so that no later join meets a bucket in one task.
+    members = cut(banded.join(shared, "band").withColumns({"slots": F.ceil(F.col("k") / CROWD).cast("int"), "slot": F.pmod(F.xxhash64("x"), F.ceil(F.col("k") / CROWD)).cast("int")}).drop("k"))
     # The pivot of a bucket is the member that shares most buckets: the one that most resembles the others.
     central = members.groupBy("x").agg(F.count("*").alias("degree"))
-    pivots = members.join(central, "x").groupBy("band").agg(F.max(F.struct("degree", (-F.col("x")).alias("less"))).alias("p")).select("band", (-F.col("p.less")).alias("y"))
-    stars = members.join(pivots, "band").filter("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    best = F.max(F.struct("degree", (-F.col("x")).alias("less"))).alias("p")
+    pivots = members.join(central, "x").groupBy("band", "slots").agg(best).select("band", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), (-F.col("p.less")).alias("y"))
+    stars = members.join(pivots, ["band", "slot"]).filter("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     parts = spread(own.select("text"))
     texts = own.repartition(parts, "doc_id").join(members.select(F.col("x").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    # Of rows that share an id the class member counts; the set's size tells it apart.
     sets = cut(texts.mapInArrow(lambda s: _set_rows(s, shingle), "doc_id long, elements binary"))
 
     def edges(pairs: DataFrame) -> DataFrame:
         linked = F.lit(100) * F.col("n_common") >= F.lit(percent) * F.col("n_union")
-        return cut(verified(pairs, sets).filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v")))
+        return verified(pairs, sets).filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
-    first = edges(stars)
-    groups = components(first)
+    groups = components(edges(stars))
     apart = cut(still_apart(members, groups, sets, percent, parts))
-    if not apart.isEmpty():
-        groups = components(first.union(edges(apart)))
-    # Copies follow the smallest id of their class; classes that share an id are one.
-    copies = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    by_class = copies.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    found = full.select("doc_id", "n_shingles", "s1", "s2").join(by_class, ["n_shingles", "s1", "s2"]).select("doc_id", "component")
-    twice = found.groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("k"))
-    torn = twice.filter("a != b").select("doc_id")
-    if not torn.isEmpty():  # ids on several rows join their groups
-        joint = components(found.join(torn, "doc_id").select(F.col("doc_id").alias("u"), F.col("component").alias("v")).union(found.select(F.col("doc_id"), F.col("component"))).toDF("u", "v"))
-        one = joint.select(F.col("node").alias("doc_id"), "component")
-    else:
-        one = twice.select("doc_id", F.col("a").alias("component"))
+    # Equal sets are linked with the smallest id of their class; so rows that share an id join their classes.
+    first = full.groupBy(*equal).agg(F.min("doc_id").alias("v"))
+    copies = full.join(first, equal).filter("doc_id != v").select(F.col("doc_id").alias("u"), "v")
+    links = groups.toDF("u", "v").union(copies)
+    found = components(links if apart.isEmpty() else links.union(edges(apart))).toDF("doc_id", "component")
     return (
-        signed.select("doc_id", "n_shingles").join(one, "doc_id", "left")
+        signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
         .withColumn("component_id", F.coalesce("component", "doc_id"))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
@@ -267,5 +266,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
 def remove_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs without rows whose group has a smaller id; all columns stay as they are, rows with a null id stay."""
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = fresh("gone", docs.columns)
+    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col(name), "left_anti")

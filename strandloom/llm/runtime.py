@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -13,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or (where unset, as in tests) one of our own."""
+    """Folder that all executors share: spark.checkpoint.dir; where it is unset, a local session gets one of its own.
+
+    On a cluster a folder of the driver's machine would be of no use, so there an unset one is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(shared_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
         shared_dir.own = root
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -69,14 +72,6 @@ def spread(df: DataFrame, per_part: int = 8 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, size // per_part) if size < 1 << 50 else 0)
 
 
-def give_back() -> None:
-    """Returns freed memory of the driver's Python to the system, where the C library can."""
-    gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def held_out(doc_id: str) -> Column:
     """Rows that no model may learn from: crc32 of the id as text leaves remainder 0 modulo 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0

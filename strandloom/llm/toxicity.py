@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .labelled import labelled_sample
-from .runtime import give_back, held_out
+from .runtime import cut, held_out
 
 # Digits and signs that stand for letters, and letters of other scripts that look like Latin ones.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -33,7 +33,7 @@ HOMOGLYPHS = {
 #: i and l are easily swapped for each other and for 1, so all three fold to i.
 ALIKE = {"l": "i"}
 #: Labelled documents that a model learns from, and entries of its lexicon, at most.
-TRAIN_ROWS = 5000
+TRAIN_ROWS = 10_000
 LEXICON = 4000
 STEMS = (4, 5, 6)
 
@@ -73,35 +73,20 @@ def _cluster(folded: str) -> int:
     raw, offsets = W.column_bytes(pa.array([folded]))
     starts, ends, _ = W.split(raw, offsets, W.spaces_split())
     low = np.unique(W.word_hashes(raw, starts, ends))[:3]
-    return hash(low.tobytes())
+    return int(np.bitwise_xor.reduce(W.mix(low)).view(np.int64)) if len(low) else 0
 
 
-def learn_lexicon(rows: list[tuple[str, int]], least: int = 5, purity: float = 8.0) -> dict[str, float]:
-    """Entries and weights from (folded text, label): units of toxic texts, counted once for each group of near copies.
+def listed(toxic: dict[str, int], other: dict[str, int], n: tuple[int, int], purity: float = 8.0) -> dict[str, float]:
+    """Entries and weights from counts of units in toxic and other texts (each group of near copies counted once), n texts of each kind.
 
-    An entry is listed if `least` groups of toxic texts and a hundredth of them
-    have it and it is `purity` times likelier there.
+    An entry has to be `purity` times likelier in toxic texts.  What a listed
+    stem covers is left out, and so is a stem that one longer entry explains.
     """
-    seen, toxic, other = set(), Counter(), Counter()
-    n = [0, 0]
-    for text, label in rows:
-        key = (_cluster(text), label)
-        if key not in seen:
-            seen.add(key)
-            n[label] += 1
-            if label:
-                toxic.update(units(text))
-    least = max(least, n[1] // 100)
-    for text, label in rows:
-        if not label and (key := (_cluster(text), 0)) in seen:
-            seen.discard(key)
-            other.update(u for u in units(text) if toxic[u] >= least)
     weight = {}
     for u, k in toxic.items():
-        if k >= least:
-            odds = (k + 0.5) / (n[1] + 1) / ((other[u] + 0.5) / (n[0] + 1))
-            if odds >= purity:
-                weight[u] = float(np.log(odds))
+        odds = (k + 0.5) / (n[1] + 1) / ((other.get(u, 0) + 0.5) / (n[0] + 1))
+        if odds >= purity:
+            weight[u] = float(np.log(odds))
     # The most specific entry that explains nearly all of a stem's texts stands for it.
     for u in sorted((u for u in weight if u[0] == "p"), key=len):
         if u in weight and max((toxic[v] for v in weight if v != u and v[2:].startswith(u[2:])), default=0) >= 0.9 * toxic[u]:
@@ -149,24 +134,22 @@ class Matcher:
         return [h for h in hits.values() if not any(a <= h[0] and h[1] <= b for a, b in free)]
 
 
-def measures(matcher: Matcher, folded: str) -> tuple[float, float]:
-    """Sum of weights, and that sum by length, both on a log scale."""
-    total = sum(h[3] for h in matcher.found(folded))
-    return np.log1p(total), np.log1p(100 * total / (folded.count(" ") + folded.count("\n") + 20))
+def measures(matcher: Matcher, folded: str) -> tuple[float, float, int]:
+    """Sum of weights, and that sum by length, both on a log scale, and the number of matches."""
+    hits = matcher.found(folded)
+    total = sum(h[3] for h in hits)
+    return np.log1p(total), np.log1p(100 * total / (folded.count(" ") + folded.count("\n") + 20)), len(hits)
 
 
-def learn_exceptions(rows: list[tuple[str, int]], lexicon: dict[str, float], least: int = 5) -> list[str]:
-    """Pairs of words around a match that only texts without the label have."""
-    matcher, by = Matcher(lexicon, []), (Counter(), Counter())
-    for text, label in rows:
-        pairs = set()
-        for start, end, _, _ in matcher.found(text):
-            before, after = re.search(r"(\w+ )$", text[max(0, start - 40) : start]), re.match(r"\w*( \w+)?", text[end : end + 40])
-            own = text[start:end] + re.match(r"\w*", text[end : end + 40])[0]
-            pairs |= {before[1] + own} if before else set()
-            pairs |= {text[start:end] + after[0]} if after and after[1] else set()
-        by[label].update(pairs)
-    return sorted(p for p, n in by[0].items() if n >= least and not by[1][p])
+def phrases(matcher: Matcher, folded: str) -> set[str]:
+    """Pairs of words around the matches of a text."""
+    pairs = set()
+    for start, end, _, _ in matcher.found(folded):
+        before, after = re.search(r"(\w+ )$", folded[max(0, start - 40) : start]), re.match(r"\w*( \w+)?", folded[end : end + 40])
+        own = folded[start:end] + re.match(r"\w*", folded[end : end + 40])[0]
+        pairs |= {before[1] + own} if before else set()
+        pairs |= {folded[start:end] + after[0]} if after and after[1] else set()
+    return pairs
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
@@ -179,25 +162,73 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAIN_ROWS) -> dict:
-    """Learns from `limit` labelled rows at most that are not held out; without labels of both kinds nothing scores."""
-    table = fold_table()
-    rows = [(fold(text, table), y) for text, y in labelled_sample(docs, labels, label, limit).select("text", "label").orderBy(F.xxhash64("doc_id")).toLocalIterator()]
-    model = learn(rows)
-    del rows
-    give_back()
-    return model
+def _counts(rows: DataFrame, make) -> DataFrame:
+    """unit, toxic, other: texts of each label that have it, summed up in tasks first; make() gives what takes a folded text's units."""
+
+    def each(stream):
+        taken, both = make(), (Counter(), Counter())
+        for batch in stream:
+            for text, label in zip(batch.column("text"), batch.column("label")):
+                both[label.as_py()].update(taken(text.as_py()))
+        names = list(both[0] | both[1])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[u] for u in names], pa.int64()) for c in (both[1], both[0]))], ["unit", "toxic", "other"])
+
+    return rows.mapInArrow(each, "unit string, toxic long, other long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def learn(rows: list[tuple[str, int]]) -> dict:
-    """A model from (folded text, label)."""
-    lexicon = learn_lexicon(rows)
-    exceptions = learn_exceptions(rows, lexicon)
-    matcher = Matcher(lexicon, exceptions)
-    if len({y for _, y in rows}) < 2:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAIN_ROWS, least: int = 3, purity: float = 8.0, common: int = 5) -> dict:
+    """Learns from `limit` labelled rows at most that are not held out; without labels of both kinds nothing scores.
+
+    Texts stay on the executors: tasks fold them and count, and the driver gets
+    the units that may become entries (`least` groups of toxic texts and a
+    hundredth of them have it), the exception phrases (`common` other texts and
+    no toxic one have it) and two numbers for each row.
+    """
+
+    def folded(stream):
+        table = fold_table()
+        for batch in stream:
+            texts = [fold(t.as_py() or "", table) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([_cluster(t) for t in texts], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "label", "near", "text"])
+
+    rows = cut(labelled_sample(docs, labels, label, limit).mapInArrow(folded, "doc_id long, label int, near long, text string"))
+    firsts = rows.groupBy("near", "label").agg(F.min("doc_id").alias("doc_id"))
+    count = {r["label"]: r["n"] for r in firsts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n = (count.get(0, 0), count.get(1, 0))
+    if not all(n):
         return {"lexicon": {}, "exceptions": [], "curve": [0.0, 0.0, -4.0]}
-    curve = logistic(np.array([measures(matcher, t) for t, _ in rows]), np.array([y for _, y in rows]))
-    return {"lexicon": lexicon, "exceptions": exceptions, "curve": curve.tolist()}
+    single = rows.join(F.broadcast(firsts.select("doc_id")), "doc_id", "left_semi")  # `limit` numbers at most
+    likelier = (F.col("toxic") + 0.5) / (n[1] + 1) >= purity * (F.col("other") + 0.5) / (n[0] + 1)
+    able = _counts(single, lambda: units).filter((F.col("toxic") >= max(least, n[1] // 100)) & likelier).orderBy(F.desc("toxic"), "unit").limit(4 * LEXICON).collect()
+    lexicon = listed({r["unit"]: r["toxic"] for r in able}, {r["unit"]: r["other"] for r in able}, n, purity)
+
+    def around():
+        matcher = Matcher(lexicon, [])
+        return lambda text: phrases(matcher, text)
+
+    free = _counts(rows, around).filter((F.col("other") >= common) & (F.col("toxic") == 0)).orderBy(F.desc("other"), "unit").limit(LEXICON)
+    exceptions = sorted(r["unit"] for r in free.collect())
+
+    def measured(stream):
+        own = Matcher(lexicon, exceptions)
+        for batch in stream:
+            two = np.array([measures(own, t.as_py())[:2] for t in batch.column("text")]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(two[:, 0]), pa.array(two[:, 1])], ["doc_id", "label", "a", "b"])
+
+    seen = rows.mapInArrow(measured, "doc_id long, label int, a double, b double").orderBy("doc_id").select("a", "b", "label").collect()
+    x = np.array([tuple(r) for r in seen], np.float64)
+    return {"lexicon": lexicon, "exceptions": exceptions, "curve": logistic(x[:, :2], x[:, 2]).tolist()}
+
+
+def _scorer(known: dict):
+    """A function from a text to its score and number of matches."""
+    matcher, table, curve = Matcher(known["lexicon"], known["exceptions"]), fold_table(), known["curve"]
+
+    def one(text: str | None) -> tuple[float, int]:
+        a, b, n = measures(matcher, fold(text or "", table))
+        return float(1 / (1 + np.exp(-np.clip(curve[0] * a + curve[1] * b + curve[2], -30, 30)))), n
+
+    return one
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
@@ -209,16 +240,10 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON entries at most
 
     def rows(stream):
-        known = shared.value
-        matcher, table, curve = Matcher(known["lexicon"], known["exceptions"]), fold_table(), known["curve"]
+        one = _scorer(shared.value)
         for batch in stream:
-            scores, matches = [], []
-            for text in batch.column("text"):
-                folded = fold(text.as_py() or "", table)
-                a, b = measures(matcher, folded)
-                scores.append(float(1 / (1 + np.exp(-np.clip(curve[0] * a + curve[1] * b + curve[2], -30, 30)))))
-                matches.append(len(matcher.found(folded)) if a else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(matches, pa.int64())], ["doc_id", "score", "n_matches"])
+            found = [one(text.as_py()) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "score", "n_matches"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = own.mapInArrow(rows, "doc_id long, score double, n_matches long")
@@ -226,17 +251,15 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
-    """docs without rows that score `threshold` or more; all columns stay as they are, and nothing is shuffled."""
+    """docs without rows that score `threshold` or more; all columns stay as they are, and nothing is shuffled.
+
+    Null and empty texts have no matches and stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(stream):
-        known = shared.value
-        matcher, table, curve = Matcher(known["lexicon"], known["exceptions"]), fold_table(), known["curve"]
+        one = _scorer(shared.value)
         for batch in stream:
-            keep = []
-            for text in batch.column("text"):
-                a, b = measures(matcher, fold(text.as_py() or "", table))
-                keep.append(bool(1 / (1 + np.exp(-np.clip(curve[0] * a + curve[1] * b + curve[2], -30, 30))) < threshold))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([one(text.as_py())[0] < threshold for text in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)

@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy, folding, exceptions, odd inputs."""
 
+import re
 import zlib
 
 import numpy as np
@@ -50,11 +51,37 @@ def test_matches():
     assert toxicity.Matcher({}, []).found("x") == []
 
 
-def test_learned_exceptions():
-    rows = [("you scum here", 1)] * 9 + [("pond scum is green", 0)] * 9 + [("nothing at all", 0)] * 200
-    lexicon = {"w=scum": 4.0}
-    phrases = toxicity.learn_exceptions(rows, lexicon)
-    assert "pond scum" in phrases and "scum here" not in phrases
+def test_learned_exceptions(spark):
+    texts = [("you scum here", 1)] * 9 + [("pond scum is green", 0)] * 9 + [("nothing at all", 0)] * 200
+    free = [i for i in range(1000) if not held(i)]
+    docs = spark.createDataFrame([(i, f"{t} {i}") for i, (t, _) in zip(free, texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(free, texts)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, purity=2.0)
+    assert "pond scum" in model["exceptions"] and "scum here" not in model["exceptions"]
+    got = {r.text.split()[0]: r.score for r in toxicity.score(docs, model).join(docs, "doc_id").collect()}
+    assert got["you"] > 0.5 > max(got["pond"], got["nothing"])
+
+
+def test_scores_follow_from_the_parts(spark):
+    docs, labels = read(spark, "/root/testdata/sf0.01", "documents"), read(spark, "/root/testdata/sf0.01", "labels")
+    model, table = toxicity.fit(docs, labels), toxicity.fold_table()
+    lexicon, exceptions = model["lexicon"], model["exceptions"]
+
+    def plain(text):
+        """Every word and stem looked up on its own, without the automaton."""
+        folded, total = toxicity.fold(text or "", table), 0.0
+        free = [(m.start(), m.end()) for p in exceptions for m in re.finditer(rf"(?<!\w)(?={re.escape(p)}(?!\w))", folded) for m in [re.compile(re.escape(p)).match(folded, m.start())]]
+        for m in re.finditer(r"\w+", folded):
+            w = m[0]
+            kinds = [(lexicon.get("w=" + w, 0), len(w))] + [(lexicon.get("p=" + w[:n], 0), n) for n in toxicity.STEMS if len(w) > n]
+            weight, size = max(kinds)
+            if weight and not any(a <= m.start() and m.start() + size <= b for a, b in free):
+                total += weight
+        a, b = np.log1p(total), np.log1p(100 * total / (folded.count(" ") + folded.count("\n") + 20))
+        return 1 / (1 + np.exp(-np.clip(model["curve"] @ np.array([a, b, 1.0]), -30, 30)))
+
+    scored = toxicity.score(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert max(abs(r.score - plain(r.text)) for r in scored) < 1e-9 and any(r.predicted for r in scored)
 
 
 @pytest.mark.parametrize("module, name", [(toxicity, "toxic"), (quality, "quality")])
