@@ -28,23 +28,39 @@ def _size(found: Column) -> Column:
     return F.when(found[0] == "", 0).otherwise(F.size(found)).cast("long")
 
 
-def repeat_words(hashes: Column, n: Column) -> Column:
-    """Words under 3-word windows that stand twice or more in the text, from the words' hashes.
+#: Texts of so many words or more are windowed twice, with two seeds.
+LONG = 1 << 16
 
-    A window is one long: hash bits above, its place below, so that one sort of
-    longs brings equal windows together.
-    """
-    bits = F.ceil(F.log2(n + F.lit(1))).cast("int")
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - F.lit(1).cast("long")
-    windows = F.transform(
+
+def _place_bits(n: Column) -> Column:
+    """The low bits that hold a place in a text of n words."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(n + F.lit(1))).cast("int")) - F.lit(1).cast("long")
+
+
+def windows(hashes: Column, n: Column, seed: int) -> Column:
+    """3-word windows, sorted, from the words' hashes: each one long, hash bits above and its place below."""
+    low = _place_bits(n)
+    return F.sort_array(F.transform(
         F.slice(hashes, 1, F.greatest(n - 2, F.lit(0)).cast("int")),
-        lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")),
-    )
-    return F.sort_array(windows), low
+        lambda h, i: F.xxhash64(F.lit(seed), h, F.get(hashes, i + 1), F.get(hashes, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")),
+    ))
+
+
+def repeat_places(column: str) -> Column:
+    """Places, ascending, of the windows in a column of windows() that have a neighbour of the same hash bits."""
+    same = lambda x, j: F.coalesce(F.get(column, j).bitwiseXOR(x).between(F.lit(0), F.col("low")), F.lit(False))
+    places = F.transform(column, lambda x, i: F.when(same(x, i + 1) | ((i > 0) & same(x, F.greatest(i - 1, F.lit(0)))), x.bitwiseAND(F.col("low"))).otherwise(F.lit(-1).cast("long")))
+    return F.sort_array(F.filter(places, lambda p: p >= 0))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, host, text hash, and the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    """doc_id, host, text hash, and the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+
+    n_repeat_words compares windows by 64 - log2(n_words) hash bits, in texts
+    under 65,536 words: less than 2e-5 false pairs are expected in the longest
+    of them.  In longer texts a window has to be found again under two seeds,
+    which leaves less than 1e-4 of them in a text of 6 million words.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(_TRIM)) != "")
     step = docs.select(
@@ -58,15 +74,13 @@ def base_counts(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("w", lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    windows, low = repeat_words(F.col("hashes"), F.col("n_words"))
-    step = step.select("doc_id", "host", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", windows.alias("windows"), low.alias("low"))
-    high = F.bitwise_not(F.col("low"))
-    key = lambda x: x.bitwiseAND(high)
-    same = lambda x, j: F.coalesce(key(F.get("windows", j)) == key(x), F.lit(False))
-    places = F.transform("windows", lambda x, i: F.when(same(x, i + 1) | ((i > 0) & same(x, F.greatest(i - 1, F.lit(0)))), x.bitwiseAND(F.col("low"))).otherwise(F.lit(-1).cast("long")))
-    step = step.select("doc_id", "host", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.sort_array(F.filter(places, lambda p: p >= 0)).alias("p"))
+    counts = ["doc_id", "host", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    n, none = F.col("n_words"), F.array().cast("array<bigint>")
+    step = step.select(*counts, _place_bits(n).alias("low"), windows(F.col("hashes"), n, 1).alias("one"), F.when(n >= LONG, windows(F.col("hashes"), n, 2)).otherwise(none).alias("two"))
+    step = step.select(*counts, repeat_places("one").alias("p"), repeat_places("two").alias("q"))
+    step = step.select(*counts, F.when(n >= LONG, F.sort_array(F.array_intersect("p", "q"))).otherwise(F.col("p")).alias("p"))
     covered = F.aggregate(F.transform("p", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("p", i + 1), p + 3) - p)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return step.select("doc_id", "host", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
+    return step.select(*counts, covered.alias("n_repeat_words"))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -80,7 +94,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     return cut(own.groupBy("host", "h", "line").agg(F.max("n").alias("n")))  # equal texts hold equal lines; read twice
 
 
-def quality_rules(docs: DataFrame, host: str = "source", least: int = 100, share: float = 0.02, left: float = 0.2) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", least: int = 5, share: float = 0.02, left: float = 0.2) -> DataFrame:
     """One row for each row of docs: the counts, n_removed_words, base_failed and kept.
 
     docs needs doc_id (any type), text and the host column; other columns are
@@ -102,7 +116,7 @@ def quality_rules(docs: DataFrame, host: str = "source", least: int = 100, share
     return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", failed.alias("base_failed"), (~failed & enough).alias("kept"))
 
 
-def without_frequent_lines(docs: DataFrame, host: str = "source", least: int = 100, share: float = 0.02) -> DataFrame:
+def without_frequent_lines(docs: DataFrame, host: str = "source", least: int = 5, share: float = 0.02) -> DataFrame:
     """doc_id and text of docs with the lines above the limit taken out; other lines stay as they are."""
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
     lines = line_table(own)
@@ -125,7 +139,7 @@ raw AS (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line FROM d
 ln AS (SELECT r, host, text, line, translate(trim(regexp_replace(line, '[ \t\n\x0B\f\r]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS f, len(list_filter(string_split_regex(line, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS k FROM raw),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE k > 0 GROUP BY r),
 texts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
-freq AS (SELECT host, f FROM (SELECT host, f, count(DISTINCT text) AS k FROM ln WHERE k > 0 GROUP BY host, f) JOIN texts USING (host) WHERE k > 100 AND k > 0.02 * texts),
+freq AS (SELECT host, f FROM (SELECT host, f, count(DISTINCT text) AS k FROM ln WHERE k > 0 GROUP BY host, f) JOIN texts USING (host) WHERE k > 5 AND k > 0.02 * texts),
 gone AS (SELECT r, sum(k) AS n_removed_words FROM ln JOIN freq USING (host, f) GROUP BY r),
 a AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,

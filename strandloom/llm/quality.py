@@ -21,6 +21,8 @@ from .runtime import held_out
 #: Slots of the hashed table; the last stands for a word that repeats the one before it.
 SLOTS = 1 << 17
 GRAMS = (3, 4)
+#: How often the last slot counts for each such word.
+REPEAT = 4
 WIDTH = 10
 #: Labelled documents that a model learns from, at most.
 TRAIN_ROWS = 4000
@@ -69,19 +71,20 @@ def repeats(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(slots, weights that sum to 1) of each text; empty for texts without words."""
+    """(distinct slots, weights that sum to 1) of each text; empty for texts without words."""
     raw, offsets = W.column_bytes(column)
     starts, ends, first = W.split(raw, offsets, W.spaces_split())
     hashes, example, kind = distinct_words(raw, starts, ends)
     slots, count = subwords(raw, starts[example], ends[example])
     bounds = np.concatenate([[0], np.cumsum(count)])
-    again = repeats(hashes, first)
-    out = []
+    again, out = repeats(hashes, first), []
     for a, b in zip(first, first[1:]):
         kinds, times = np.unique(kind[a:b], return_counts=True)
         own = np.concatenate([slots[:0], *(slots[bounds[k] : bounds[k + 1]] for k in kinds), np.full(1, SLOTS - 1, np.int32)])
-        weight = np.concatenate([np.repeat(times, count[kinds]), [again[a:b].sum() * 4]]).astype(np.float32)
-        out.append((own, weight / max(1.0, weight.sum())) if b > a else (own[:0], weight[:0]))
+        weight = np.concatenate([np.repeat(times, count[kinds]), [again[a:b].sum() * REPEAT]])
+        one, place = np.unique(own, return_inverse=True)
+        weight = np.bincount(place, weight)
+        out.append((one, (weight / max(1.0, weight.sum())).astype(np.float32)) if b > a else (own[:0], np.zeros(0, np.float32)))
     return out
 
 
@@ -100,10 +103,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
         random.shuffle(known)
         for a in range(0, len(known), batch):
             part = known[a : a + batch]
-            slots = np.concatenate([rows[i][0] for i in part])
-            weights = np.concatenate([rows[i][1] for i in part])
-            cuts = np.cumsum([0, *(len(rows[i][0]) for i in part[:-1])])
-            hidden = np.add.reduceat(table[slots] * weights[:, None], cuts)
+            hidden = np.stack([rows[i][1] @ table[rows[i][0]] for i in part])
             logits = hidden @ layer + bias
             odds = np.exp(logits - logits.max(axis=1, keepdims=True))
             error = odds / odds.sum(axis=1, keepdims=True) - target[part]
@@ -111,28 +111,30 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
             back = error @ layer.T
             layer -= speed * hidden.T @ error
             bias -= speed * 0.1 * error.sum(axis=0)
-            spread = np.repeat(back, [len(rows[i][0]) for i in part], axis=0) * weights[:, None]
-            np.add.at(table, slots, -speed * 30 * spread)
+            for i, g in zip(part, back):  # a text's slots are distinct
+                table[rows[i][0]] -= (speed * 30 * rows[i][1])[:, None] * g
             step += 1
     return table @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
 
+def _feature_rows(stream):
+    for batch in W.batches(stream, 200, 4 << 20):
+        own = features(batch.column("text"))
+        packed = [pa.array([x[k].tobytes() for x in own], pa.binary()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *packed], ["doc_id", "label", "slots", "weights"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """Learns from `limit` labelled rows at most that are not held out."""
-    sample = labelled_sample(docs, labels, label, limit).orderBy(F.xxhash64("doc_id"))
+    """Learns from `limit` labelled rows at most that are not held out.
+
+    Tasks take the texts apart; the driver, which trains, gets each text's
+    distinct slots and weights (eight bytes a slot, SLOTS of them at most).
+    """
+    sample = labelled_sample(docs, labels, label, limit).mapInArrow(_feature_rows, "doc_id long, label int, slots binary, weights binary")
     rows, target = [], []
-    held: list[tuple[str, int]] = []
-
-    def take() -> None:
-        rows.extend(features(pa.array([t for t, _ in held], pa.string())))
-        target.extend(y for _, y in held)
-        held.clear()
-
-    for row in sample.select("text", "label").toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == 200:
-            take()
-    take()
+    for row in sample.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        rows.append((np.frombuffer(row["slots"], np.int32), np.frombuffer(row["weights"], np.float32)))
+        target.append(row["label"])
     return train(rows, np.array(target, np.int64))
 
 
@@ -152,12 +154,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
             hashes, example, kind = distinct_words(raw, starts, ends)
             slots, count = subwords(raw, starts[example], ends[example])
             bounds = np.concatenate([[0], np.cumsum(count)])
-            sums = np.concatenate([[0.0], np.cumsum(values[slots], dtype=np.float64)])
-            own = (sums[bounds[1:]] - sums[bounds[:-1]])[kind]
-            again = repeats(hashes, first)
-            value = np.concatenate([[0.0], np.cumsum(own + again * 4 * float(values[-1]))])
-            number = np.concatenate([[0], np.cumsum(count[kind] + again * 4)])
-            logit = (value[first[1:]] - value[first[:-1]]) / np.maximum(1, number[first[1:]] - number[first[:-1]]) + bias
+            again, full = repeats(hashes, first), np.flatnonzero(np.diff(first))
+            value, number = np.zeros((2, batch.num_rows))
+            if len(full):  # sums within a word and within a text, so that equal texts score alike wherever they stand
+                own = np.add.reduceat(values[slots].astype(np.float64), bounds[:-1])[kind] + again * REPEAT * float(values[-1])
+                value[full], number[full] = np.add.reduceat(own, first[full]), np.add.reduceat(count[kind] + again * REPEAT, first[full])
+            logit = value / np.maximum(1, number) + bias
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-logit)))], ["doc_id", "score"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -38,7 +38,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
-    return decontaminate.digest(decontaminate.benchmark_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+    return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

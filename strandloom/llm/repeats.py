@@ -3,14 +3,17 @@
 Every text's words are cut into non-overlapping reference blocks of half a
 window.  Any window that two documents share holds a whole block of either, so
 probing the blocks with every rolling run of the same length finds all shared
-windows.  Around each anchor the match is then extended word by word (all
-windows that hold the anchor, compared by 128-bit hashes), which yields maximal
-exact repeats as the union of matching windows.
+windows.  A hit is extended to all windows that hold the anchor: those that start
+in a document with a smaller id match, and the union of matching windows is the
+maximal exact repeat.  Windows are compared by hash (96 bits and the bucket, which
+takes another 32) in one grouping instead of word by word for each pair of
+places, since a passage that n documents share has n * n such pairs.
 
 Plan: fingerprints travel packed, one row for each (task chunk, hash bucket) and
-back one for each (bucket, part of the documents), never one row a word; a bucket is a hash range, so neither a hot passage nor a
-large group of copies gathers in one: inside a bucket only the smallest id per
-fingerprint is kept, so work stays linear in the input.
+back one for each (bucket, part of the documents), never one row a word.  What a
+chunk can decide by itself does not travel as fingerprints: of a passage that many
+of its documents share, a bucket gets the entries of the smallest and largest ids
+and those that are still open, so a hot passage costs a few entries a chunk.
 """
 
 from __future__ import annotations
@@ -60,7 +63,32 @@ def _deal(buckets: int, ids, tags, first, at, hashes: list[np.ndarray]):
     at, keys = at[order], [k[order].astype(np.uint32) for k in keys]
     full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
     rows = [_payload(ids, tags, first[:-1], at[cuts[b] : cuts[b + 1]], [k[cuts[b] : cuts[b + 1]] for k in keys]) for b in full]
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.nulls(len(full), pa.int32()), pa.array(rows, pa.binary())], ["bucket", "part", "payload"])
+
+
+def _decided(buckets: int, parts: int, ids, tags, doc, place):
+    """Rows of places that a chunk has settled by itself: they pass through any bucket to their parts."""
+    table = _by_part(parts, ids, tags, doc, place).combine_chunks()
+    part = table.column("part").to_numpy()
+    spread_over = (W.mix(part.astype(np.uint64), len(doc)) % np.uint64(buckets)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(spread_over), pa.array(part), table.column("payload").combine_chunks()], ["bucket", "part", "payload"])
+
+
+def _same(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, where groups of equal hashes begin in it, group of each entry)."""
+    order = np.lexsort(hashes)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([h[order][1:] != h[order][:-1] for h in hashes])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), group
+
+
+def _open(table: pa.Table) -> tuple[pa.Table, list[pa.Table]]:
+    """(payloads that a bucket has to settle, what passes through)."""
+    settled = pa.compute.is_valid(table.column("part"))
+    through = table.filter(settled).select(["part", "payload"])
+    return table.filter(pa.compute.invert(settled)), [through] if through.num_rows else []
 
 
 def _by_part(parts: int, ids, tags, doc, place) -> pa.Table:
@@ -112,8 +140,8 @@ def _gathered(table: pa.Table, n_keys: int):
     return np.concatenate(ids), np.concatenate(tags), np.concatenate(doc), np.concatenate(place), [np.concatenate(x) for x in zip(*keys)]
 
 
-def _anchor_rows(stream, buckets: int, window: int):
-    """Every rolling run of half a window in every text long enough for a window."""
+def _anchor_rows(stream, buckets: int, parts: int, window: int):
+    """Every rolling run of half a window in every text long enough for a window, less what the chunk settles."""
     block = window // 2
     for batch in W.batches(stream, 1 << 16, 4 << 20):
         batch = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
@@ -125,14 +153,27 @@ def _anchor_rows(stream, buckets: int, window: int):
         at = W.inside(first, block)
         at = at[np.repeat(long, np.maximum(np.diff(first) - block + 1, 0))]
         hashes = W.window_hashes(W.word_hashes(raw, starts, ends), block)[at]
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, tags = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), _tags(batch.column("text"))
+        doc = np.searchsorted(first, at, "right") - 1
+        place, own = at - first[doc], ids[doc]
+        order, begin, group = _same([hashes])
+        is_block = place % block == 0
+        lowest = np.minimum.reduceat(np.where(is_block, own, np.iinfo(np.int64).max)[order], begin)[group]
+        highest = np.maximum.reduceat(own[order], begin)[group]
+        settled = (own > lowest) | (is_block & (own < highest))
+        if settled.any():
+            yield _decided(buckets, parts, ids, tags, doc[settled], place[settled])
+        send = ~settled | (is_block & (own == lowest)) | (own == highest)
         # Only documents with a window are listed; word numbers count on from the first of them.
         keep = np.flatnonzero(long)
-        yield _deal(buckets, ids[keep], _tags(batch.column("text"))[keep], np.append(first[:-1][keep], first[-1]), at, [hashes])
+        yield _deal(buckets, ids[keep], tags[keep], np.append(first[:-1][keep], first[-1]), at[send], [hashes[send]])
 
 
 def _anchors(table: pa.Table, parts: int, window: int) -> pa.Table:
     """Words at which a run meets a block of another document, on the side of the larger and of the smaller id."""
+    table, through = _open(table)
+    if not table.num_rows:
+        return pa.concat_tables(through)
     ids, tags, doc, place, (key,) = _gathered(table, 1)
     block = place % (window // 2) == 0
     known, where = np.unique(key[block], return_inverse=True)
@@ -149,11 +190,11 @@ def _anchors(table: pa.Table, parts: int, window: int) -> pa.Table:
     later = maybe[lowest[slot] < ids[doc[maybe]]]
     earlier = np.flatnonzero(block)[highest[where] > ids[doc[block]]]
     both = np.unique(np.concatenate([later, earlier]))
-    return _by_part(parts, ids, tags, doc[both], place[both])
+    return pa.concat_tables([_by_part(parts, ids, tags, doc[both], place[both]), *through])
 
 
-def _window_rows(stream, buckets: int, window: int):
-    """All windows that hold an anchor, with 96 hash bits beside the bucket."""
+def _window_rows(stream, buckets: int, parts: int, window: int):
+    """All windows that hold an anchor, with 96 hash bits beside the bucket, less those that match inside the chunk."""
     block = window // 2
     for batch in W.batches((b.filter(pa.compute.is_valid(b.column("places"))) for b in stream), 1 << 16, 4 << 20):
         raw, offsets = W.column_bytes(batch.column("text"))
@@ -173,11 +214,20 @@ def _window_rows(stream, buckets: int, window: int):
             continue
         plain = W.word_hashes(raw, starts, ends)
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        yield _deal(buckets, ids, _tags(batch.column("text")), first, at, [W.window_hashes(plain, window)[at], W.window_hashes(plain, window, 1)[at]])
+        hashes, tags = [W.window_hashes(plain, window)[at], W.window_hashes(plain, window, 1)[at]], _tags(batch.column("text"))
+        doc = np.searchsorted(first, at, "right") - 1
+        order, begin, group = _same(hashes)
+        settled = ids[doc] > np.minimum.reduceat(ids[doc][order], begin)[group]
+        if settled.any():
+            yield _decided(buckets, parts, ids, tags, doc[settled], (at - first[doc])[settled])
+        yield _deal(buckets, ids, tags, first, at[~settled], [h[~settled] for h in hashes])
 
 
 def _matches(table: pa.Table, parts: int) -> pa.Table:
     """Starts of windows that a document with a smaller id has too."""
+    table, through = _open(table)
+    if not table.num_rows:
+        return pa.concat_tables(through)
     ids, tags, doc, place, (a, b, c) = _gathered(table, 3)
     order = np.lexsort((a, b, c))
     new = np.ones(len(order), bool)
@@ -185,7 +235,7 @@ def _matches(table: pa.Table, parts: int) -> pa.Table:
     group = np.cumsum(new) - 1
     lowest = np.minimum.reduceat(ids[doc[order]], np.flatnonzero(new))
     again = order[lowest[group] < ids[doc[order]]]
-    return _by_part(parts, ids, tags, doc[again], place[again])
+    return pa.concat_tables([_by_part(parts, ids, tags, doc[again], place[again]), *through])
 
 
 def _covered(places: np.ndarray, window: int) -> np.ndarray:
@@ -212,15 +262,15 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
         raise ValueError("window must be an even number of words")
     buckets = spread(docs.select("text"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts, kind = max(12, buckets // 8), "part int, payload binary"
-    anchors = own.mapInArrow(lambda s: _anchor_rows(s, buckets, window), "bucket int, payload binary").groupBy("bucket").applyInArrow(lambda t: _anchors(t, parts, window), kind)
+    parts, kind, sent = max(12, buckets // 8), "part int, payload binary", "bucket int, part int, payload binary"
+    anchors = own.mapInArrow(lambda s: _anchor_rows(s, buckets, parts, window), sent).groupBy("bucket").applyInArrow(lambda t: _anchors(t, parts, window), kind)
 
     def with_places(found: DataFrame) -> DataFrame:
         tagged = own.withColumn("tag", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)))
         gathered = found.groupBy("part").applyInArrow(_by_document, "doc_id long, tag long, places binary")
         return tagged.repartition(buckets, "doc_id", "tag").join(gathered.repartition(buckets, "doc_id", "tag").hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "text", "places")
 
-    windows = with_places(anchors).mapInArrow(lambda s: _window_rows(s, buckets, window), "bucket int, payload binary")
+    windows = with_places(anchors).mapInArrow(lambda s: _window_rows(s, buckets, parts, window), sent)
     matches = windows.groupBy("bucket").applyInArrow(lambda t: _matches(t, parts), kind)
 
     def spans(stream):

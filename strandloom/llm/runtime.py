@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import scratch, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir; where it is unset, a local session gets one of its own.
-
-    On a cluster a folder of the driver's machine would be of no use, so there an unset one is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = getattr(shared_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
-        shared_dir.own = root
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["cut", "fresh", "held_out", "passing_shuffles", "planned_bytes", "read", "scratch", "shared_dir", "spread"]
 
 
 @contextmanager
@@ -45,9 +26,8 @@ def passing_shuffles(spark: SparkSession):
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
     with passing_shuffles(df.sparkSession):
-        return df.checkpoint(eager=True)
+        return stored(df)
 
 
 def fresh(name: str, taken: list[str]) -> str:

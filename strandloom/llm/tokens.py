@@ -8,6 +8,8 @@ metadata rule out the rest) and written as stripes that tasks read in parallel.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -83,8 +85,8 @@ def encoder(path: str, end_id: int = 0):
     """
     import tokenizers
 
-    # Functions arrive anew with each task; the library's own module lives as long as the worker.
-    kept = vars(tokenizers).setdefault("_strandloom_encoders", {})
+    # Functions arrive anew with each task; a module of our own lives as long as the worker.
+    kept = vars(sys.modules.setdefault("strandloom_encoders", types.ModuleType("strandloom_encoders"))).setdefault("kept", {})
     if path not in kept:
         tokenizer = tokenizers.Tokenizer.from_file(path)
         kept[path] = (_Words(tokenizer, ""), _Words(tokenizer, " "))

@@ -139,6 +139,18 @@ def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     return out
 
 
+class Runs:
+    """Hashes of runs of words of any place and length, from one array of prefix sums."""
+
+    def __init__(self, words: np.ndarray):
+        up, self.down = _powers(len(words) + 1)
+        self.total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * up[: len(words)], out=self.total[1:])
+
+    def hashes(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.total[at + size] - self.total[at]) * self.down[at]
+
+
 def inside(first: np.ndarray, size: int) -> np.ndarray:
     """Word numbers at which a run of `size` words lies within one text, ascending."""
     count = np.maximum(np.diff(first) - size + 1, 0)

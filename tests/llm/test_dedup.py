@@ -52,6 +52,20 @@ def test_repeats_odd(make, odd):
         repeats.repeated_spans(make([]), 7)
 
 
+def test_hot_passages_send_few_entries():
+    """A passage that all documents of a chunk share: what a chunk sends does not grow with the documents."""
+    passage = " ".join(f"p{i}" for i in range(80))
+    sizes = []
+    for n in (500, 4000):
+        texts = [f"{' '.join(f'd{i}w{j}' for j in range(i % 25))} {passage}" for i in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+        rows = pa.Table.from_batches(repeats._anchor_rows(iter([batch]), 16, 4, 50))
+        fresh = rows.filter(pa.compute.is_null(rows.column("part")))
+        parts = [repeats._parts(x.as_py(), 1) for x in fresh.column("payload")]
+        sizes.append(sum(int((place >= ids[doc] % 25).sum()) for ids, _, doc, place, _ in parts))  # runs inside the passage
+    assert 0 < sizes[1] < 1.2 * sizes[0]
+
+
 def test_spans_are_maximal(make):
     a = [f"a{i}" for i in range(100)]
     rows = [(1, " ".join(a)), (2, " ".join(["x"] + a[10:80] + ["y"])), (3, " ".join(a[:30] + ["z"] + a[30:]))]
@@ -121,6 +135,23 @@ def test_near_tiles(make, monkeypatch):
     assert got == brute_components(rows, 2)
 
 
+def test_low_limits(make, monkeypatch):
+    """Sets of very different sizes link at 30 percent, in tiles too; bands that would miss such pairs are an error."""
+    rows = near_rows(7, 60, 4) + [(1000 + i, " ".join(f"t{j}" for j in range(40 if i % 2 else 120))) for i in range(6)]
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(make(rows), 2, percent=30)
+    small = neardup.still_apart
+    for tile in (256, 8):
+        monkeypatch.setattr(neardup, "still_apart", lambda *a, t=tile: small(*a, tile=t, small=3))
+        got = sorted(map(tuple, neardup.near_duplicates(make(rows), 2, percent=30, bands=80, rows=2).collect()), key=str)
+        assert got == brute_components(rows, 2, 30)
+
+
+def test_clashing_names(make, odd):
+    docs = make(odd).withColumnsRenamed({"lang": "gone", "source": "component_id"})
+    assert neardup.remove_near_duplicates(docs, shingle=2).columns == docs.columns
+
+
 def test_near_odd(make, odd):
     got = sorted(map(tuple, neardup.near_duplicates(make(odd), 2).collect()), key=str)
     assert got == brute_components(odd, 2)
@@ -156,4 +187,18 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame(edges, "u long, v long").repartition(5)
     assert sorted(map(tuple, components.components(df).collect())) == sorted((x, root(x)) for x in list(parent))
+    assert sorted(map(tuple, components.components(df, finish=0).collect())) == sorted((x, root(x)) for x in list(parent))
     assert components.components(df.limit(0)).count() == 0
+
+
+def test_forests_are_bounded(monkeypatch):
+    monkeypatch.setattr(components, "HELD", 50)
+    r = random.Random(5)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in e]), pa.array([b for _, b in e])], ["u", "v"]) for e in (edges[i : i + 20] for i in range(0, 400, 20))]
+    out = [x for b in components._forest(iter(batches)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    u, v = np.array(edges).T
+    nodes, roots = components.union_find(u, v)
+    a, b = np.array(out).T
+    again = dict(zip(*(x.tolist() for x in components.union_find(a, b))))
+    assert {x: again.get(x, x) for x in nodes.tolist()} == dict(zip(nodes.tolist(), roots.tolist()))

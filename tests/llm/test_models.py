@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandloom.llm import quality, toxicity
@@ -94,6 +95,23 @@ def test_odd(spark, make, odd, module, name):
     assert module.score(make([]), module.fit(make([]), labels)).count() == 0
 
 
+def test_quality_scores_follow_from_features(spark, make, odd):
+    """Scores against the plain sum over a text's features; equal texts score alike in any batch."""
+    docs, labels = read(spark, "/root/testdata/sf0.01", "documents"), read(spark, "/root/testdata/sf0.01", "labels")
+    values, bias = model = quality.fit(docs, labels)
+    rows = [(10_000 + r.doc_id, r.text) for r in docs.select("doc_id", "text").limit(200).collect()] + odd + [(5000 + i, odd[5][1]) for i in range(3)]
+    both = make(rows).repartition(3)
+    want = {t: 1 / (1 + np.exp(-(float(w.astype(np.float64) @ values[s]) + bias))) for (_, t), (s, w) in zip(rows, quality.features(pa.array([t for _, t in rows], pa.string())))}
+    texts = both.select("doc_id", "text").withColumnRenamed("text", "t").distinct()
+    got = quality.score(both, model).join(texts, "doc_id").collect()
+    by = {}
+    for r in got:
+        if r.doc_id != 8:  # that id stands on two texts
+            by.setdefault(r.t, set()).add(r.score)
+            assert abs(r.score - want[r.t]) < 1e-6
+    assert all(len(v) == 1 for v in by.values())
+
+
 def test_subwords():
     raw = np.frombuffer("abc né x".encode(), np.uint8)
     starts, ends = np.array([0, 4, 8]), np.array([3, 7, 9])

@@ -1,7 +1,11 @@
 """Decontamination and the pipeline against brute force."""
 
 import hashlib
+import random
 import re
+import tracemalloc
+
+import pyarrow as pa
 
 import corpus_pipeline
 from strandloom.llm import decontaminate, neardup, sharding, toxicity
@@ -38,14 +42,14 @@ def test_decontamination(spark, make, odd):
     items = [(1, " ".join(f"q{i}" for i in range(40))), (2, "Short ITEM"), (3, None), (4, ""), (5, "one"), (None, "same id other"), (6, " ".join(f"q{i}" for i in range(10, 30))), (2, "Short ITEM")]
     rows = odd + [(30, "x " + " ".join(f"Q{i}," for i in range(5, 35)) + " y"), (31, "a short-item! here, ONE"), (32, " ".join(f"q{i}" for i in range(12))), (33, "q0 " * 50)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (decontaminate.BLOCK_BYTES, 30):
-        got = decontaminate.digest(decontaminate.benchmark_matches(make(rows), bench, block_bytes=block)).collect()
+    clean = sorted(((i, t) for i, t in rows if not brute([(i, t)], items)[0][5]), key=str)
+    for block in (decontaminate.BLOCK_BYTES, 30, 1):
+        got = decontaminate.digest(decontaminate.contamination(make(rows), bench, block_bytes=block)).collect()
         assert sorted(map(tuple, got), key=str) == brute(rows, items)
-        bad = {r[0] for r in brute(rows, items) if r[5] and r[0] is not None}
         left = decontaminate.remove_contaminated(make(rows), bench, block_bytes=block).collect()
-        assert {r.doc_id for r in left} - {None, 8} == {i for i, _ in rows} - bad - {None, 8}  # 8 stands on two texts, one of them contaminated
-    assert decontaminate.benchmark_matches(make([]), bench).count() == 0
-    assert not any(r.n_hit for r in decontaminate.benchmark_matches(make(rows), bench.limit(0)).collect())
+        assert sorted(((r.doc_id, r.text) for r in left), key=str) == clean  # every row by its own text, null ids too
+    assert decontaminate.contamination(make([]), bench).count() == 0
+    assert not any(r.n_hit for r in decontaminate.contamination(make(rows), bench.limit(0)).collect())
 
 
 def test_blocks_judge_rows_alike(spark, make, odd):
@@ -62,8 +66,52 @@ def test_blocks_judge_rows_alike(spark, make, odd):
 def test_matches_are_longest(spark, make):
     item = [f"q{i}" for i in range(40)]
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
-    got = decontaminate.benchmark_matches(make([(9, " ".join(["a"] + item[3:20] + ["b"] + item[20:40]))]), bench).first()
-    assert [(m.item_start, m.doc_start, m.n_words) for m in got.matches] == [(3, 1, 17), (20, 19, 20)] and got.n_hit == 37
+    docs = make([(9, " ".join(["a"] + item[3:20] + ["b"] + item[20:40]))])
+    got = decontaminate.benchmark_matches(docs, bench).collect()
+    assert sorted((m.item_start, m.doc_start, m.n_words) for m in got) == [(3, 1, 17), (20, 19, 20)]
+    assert decontaminate.contamination(docs, bench).first().n_hit == 37
+
+
+def brute_matches(rows, items, window):
+    out = []
+    for d, t in rows:
+        for i, u in items:
+            a, b = words(t), words(u)
+            least = min(window, len(b))
+            for p in range(len(a)):
+                for q in range(len(b)):
+                    n = 0
+                    while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                        n += 1
+                    if n >= least > 0 and (least < window or not (p and q and a[p - 1] == b[q - 1])):
+                        out.append((d, i, q, p, n))
+    return sorted(out, key=str)
+
+
+def test_matches_of_few_words(spark, make):
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choice("abc") for _ in range(n))
+    rows, items = [(i, text(r.randrange(40))) for i in range(30)] + [(None, "a b a"), (5, None)], [(i, text(r.randrange(20))) for i in range(15)] + [(None, "c c c c")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontaminate.BLOCK_BYTES, 100):
+        got = decontaminate.benchmark_matches(make(rows), bench, window=4, block_bytes=block).collect()
+        assert sorted(map(tuple, got), key=str) == brute_matches([(d, t) for d, t in rows], items, 4)
+
+
+def test_equal_words_are_linear():
+    """A text and an item of 20,000 equal words: memory by words, not by pairs."""
+    n = 20_000
+    column = pa.array(["same " * n, "one other text"])
+    words_of, first = decontaminate._words(column)
+    block = decontaminate.test_side([1], [words_of[:n].tobytes()])
+    tracemalloc.start()
+    test = decontaminate.test_suffixes(block, 13)
+    doc, start, stop, holder, item = decontaminate.shard_hits(test, words_of, first)
+    matches = decontaminate.shard_matches(test, words_of, first)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (doc.tolist(), start.tolist(), stop.tolist(), holder.tolist(), item.tolist()) == ([0], [0], [n], [0], [1])
+    assert len(matches[0]) == 2 * (n - 12) - 1 and peak < 200 << 20
 
 
 def test_stages(spark, sf, tmp_path):

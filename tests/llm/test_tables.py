@@ -34,16 +34,25 @@ def test_sql(spark, duck, sf, name):
     assert sorted(rel.columns) == columns and got == sorted(repr([plain(r[i]) for i in at]) for r in rel.fetchall())
 
 
+def filled(store, rows, make):
+    """An arrival for each 256 ids."""
+    store.append(make(rows), F.shiftright("doc_id", 8))
+    return store
+
+
 def test_tiers(spark, make, tmp_path):
     rows = [(256 * i + j, "x" * (4000 if i == 5 else 100)) for i in range(12) for j in range(4)]
-    out = sharding.sharded(make(rows), str(tmp_path / "s"), target=3000, fanout=2, base=100)
-    by = {r.shard: (r.shard_docs, r.shard_bytes) for r in out.collect()}
+    store = filled(sharding.Store(spark, str(tmp_path / "s")), rows, make)
+    store.compact(target=3000, fanout=2, base=100)
+    out = store.read()
+    by = {r[sharding.RUN]: (r.n_docs, r.n_bytes) for r in out.collect()}
+    big = f"L0-{5:019d}"
     assert out.count() == 48 and sum(d for d, _ in by.values()) == 48
-    assert by["L0-000000000000005"] == (4, 16000)  # already above the target, never merged
-    assert all(b <= 2 * 3000 for s, (_, b) in by.items() if s != "L0-000000000000005") and len(by) < 12
-    store = sharding.Store(spark, str(tmp_path / "s"))
+    assert by[big] == (4, 16000)  # already above the target, never merged
+    assert all(b <= 2 * 3000 for s, (_, b) in by.items() if s != big) and len(by) < 12
     assert store.version() >= 2 and store.manifest(1).count() == 12
-    assert {os.path.basename(p).split("=")[1] for p in glob.glob(str(tmp_path / "s/data/shard_run=*"))} == set(by)
+    assert {os.path.basename(p).split("=")[1] for p in glob.glob(str(tmp_path / "s/data/*/shard_run=*"))} == set(by)
+    assert sorted(a for r in store.manifest().collect() for a in r.arrivals) == list(range(12))
     with pytest.raises(Exception):  # noqa: B017
         store.commit(store.manifest(1), store.version())
     assert store.manifest().count() == len(by)
@@ -55,6 +64,37 @@ def test_append_to_a_store(spark, make, tmp_path):
     store.append(make([(2, None)]), F.lit(8).cast("long"))
     assert store.version() == 2 and store.read().count() == 3
     assert store.compact(target=1000, fanout=2, base=10) == 1 and store.read().count() == 3 and store.manifest().count() == 1
+    store.append(make([(1, "a"), (300, "b")]), F.lit(7).cast("long"))  # again, after its run was merged
+    store.append(make([(1, "a"), (9, "new")]), F.when(F.col("doc_id") == 9, 9).otherwise(7).cast("long"))
+    assert sorted(r.doc_id for r in store.read().collect()) == [1, 2, 9, 300]
+
+
+def test_interrupted_writers(spark, make, tmp_path, monkeypatch):
+    rows = [(256 * i + j, f"t{i}") for i in range(6) for j in range(4)]
+    store = filled(sharding.Store(spark, str(tmp_path / "s")), rows, make)
+    ids = sorted(r[0] for r in rows)
+    own = sharding.Store.commit
+
+    def lost(*_):
+        raise RuntimeError("the writer dies before its commit")
+
+    for work in (lambda: store.compact(1000, 2, 10), lambda: store.append(make([(5000, "x")]), F.lit(99))):
+        monkeypatch.setattr(sharding.Store, "commit", lost)
+        with pytest.raises(RuntimeError):
+            work()
+        monkeypatch.setattr(sharding.Store, "commit", own)
+        assert store.version() == 1 and sorted(r.doc_id for r in store.read().collect()) == ids
+    store.compact(1000, 2, 10)
+    assert sorted(r.doc_id for r in store.read().collect()) == ids and store.manifest().count() == 1
+    store.append(make([(5000, "x")]), F.lit(99))
+    assert sorted(r.doc_id for r in store.read().collect()) == ids + [5000]
+    assert store.vacuum() == 2 and store.vacuum() == 0 and store.read().count() == len(ids) + 1
+
+
+def test_arrivals_do_not_hang_on_ids(make):
+    rows = [(None, f"some text {i}") for i in range(300)] + [(i << 40, "x" * 50) for i in range(300)] + [(7, f"another {i}") for i in range(300)]
+    out = sharding.sharded(make(rows), target=1 << 20, fanout=100).groupBy("shard").count().collect()
+    assert len(out) == sharding.ARRIVALS_PER_TARGET and sum(r["count"] for r in out) == 900 and max(r["count"] for r in out) < 200
 
 
 def test_shard_odd(spark, make, odd):
@@ -102,8 +142,20 @@ def test_mixture_odd(make, odd):
     assert mixing.mixture(make([])).count() == 0
     none = make([(1, None, None, None, 0), (2, "", None, "s", 0)])
     assert [r.kept for r in mixing.mixture(none).collect()] == [False, False]
-    many = make([(i, "a b c", "en", f"s{i}", 5) for i in range(60)])
-    assert mixing.mixture(many, most=5).count() == 60
+    clash = make(odd).withColumnsRenamed({"n_chars": "tokens"}).withColumns({"p": F.lit(1), "_p": F.lit(2), "kept": F.lit("x"), "weight": F.lit(0), "topic": F.lit("t"), "row": F.lit(3)})
+    drawn = mixing.sampled(clash, budget=0.9)
+    assert drawn.columns == clash.columns and {r.kept for r in drawn.collect()} == {"x"}
+
+
+def test_stated_targets(spark, make):
+    r = random.Random(2)
+    rows = [(i, "word " * r.choice([5, 9, 200, 400]), r.choice(["en", "en", "fr", "de"]), r.choice(["hot"] * 6 + ["s1", "s2", "s3"]), 0) for i in range(900)]
+    share = lambda **v: spark.createDataFrame(list(v.items()), "value string, share double")
+    targets = {"source": share(hot=1.0, s1=1.0, s2=2.0, absent=9.0), "lang": share(en=0.2, fr=0.3, de=0.5)}
+    got = {(r.marginal, r.value): r for r in mixing.fit(make(rows), rounds=60, targets=targets).collect()}
+    want = {("source", "hot"): 0.25, ("source", "s1"): 0.25, ("source", "s2"): 0.5, ("source", "s3"): 0.0, ("lang", "en"): 0.2, ("lang", "fr"): 0.3, ("lang", "de"): 0.5}
+    assert all(abs(got[k].target - v) < 1e-9 and abs(got[k].residual) < 1e-3 for k, v in want.items()) and ("source", "absent") not in got
+    assert {r.source for r in mixing.sampled(make(rows), targets=targets).collect()} == {"hot", "s1", "s2"}
 
 
 def test_mixture_keeps_rare_values(make):
@@ -151,3 +203,12 @@ def test_frequent_lines_of_repeated_rows(make):
     rows = [(i, text(i), "en", "host", 0) for i in range(30)] + [(1, text(1), "en", "host", 0)] + [(None, text("null"), "en", "host", 0)] * 3
     got = linerules.quality_rules(make(rows), least=20).collect()
     assert len(got) == 34 and all(r.n_removed_words == 45 and r.kept for r in got)
+
+
+def test_repeats_of_long_texts(spark):
+    """Six million different words; and one window that stands twice in a text of 100,000 words."""
+    n = 6_000_000
+    numbers = lambda k: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ")
+    docs = spark.range(2).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, numbers(n)).otherwise(F.concat(numbers(100_000), F.lit(" w5 w6 w7"))).alias("text"), F.lit("s").alias("source"))
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in linerules.quality_rules(docs).collect()}
+    assert got == {0: (n, 0), 1: (100_003, 6)}
