@@ -129,3 +129,44 @@ def score_to_phred(text: Column) -> Column:
     log = F.when(x > 0, F.when(x * 0 == 0, -10 * F.log10(x)))
     value = F.when(text.rlike(r"[e.]"), log.try_cast("long")).otherwise(text.try_cast("long"))
     return F.coalesce(value, F.lit(0).cast("long"))
+
+
+def klets(seq: Column, k: int) -> Column:
+    """All substrings of length k, in order; none in shorter sequences."""
+    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1))), lambda i: i <= F.length(seq) - k + 1), lambda i: F.substr(seq, i, F.lit(k)))
+
+
+def block_line_to_ucsc(line: Column, field: int = 2) -> Column:
+    """A SEQ line of an alignment file with the chromosome in `field` renamed: MT as chrM, names that begin with a digit after 'chr'.
+
+    Blanks between fields become single ones; other lines stay as they are.
+    """
+    parts = F.split(F.trim(line), r"\s+")
+    name = lambda x: F.when(x == "MT", "chrM").when(x.rlike("^[0-9]"), F.concat(F.lit("chr"), x)).otherwise(x)
+    return F.when(line.startswith("SEQ"), F.array_join(F.transform(parts, lambda x, i: F.when(i == field, name(x)).otherwise(x)), " ")).otherwise(line)
+
+
+def table_name(path: Column, ending: str = ".bed") -> Column:
+    """A file's name without folders and `ending`."""
+    base = F.substring_index(path, "/", -1)
+    return F.when(base.endswith(ending), F.substr(base, F.lit(1), F.length(base) - len(ending))).otherwise(base)
+
+
+# Fixed value: which part of an alignment file's path names its chromosome.
+ALIGNMENT_FILE = r"([^\/^\.]+)[^\/]+\.fasta$"
+
+
+def file_chromosome(path: Column) -> Column:
+    """The chromosome that an alignment file's name begins with; other paths as they are."""
+    name = F.regexp_extract(path, ALIGNMENT_FILE, 1)
+    return F.when(name == "", path).otherwise(name)
+
+
+def scientific(value: Column, digits: int = 6) -> Column:
+    """A number as %e prints it, with `digits` decimals."""
+    return F.format_string(f"%.{digits}e", value.cast("double"))
+
+
+def fixed(value: Column, digits: int = 6) -> Column:
+    """A number as %f prints it, with `digits` decimals."""
+    return F.format_string(f"%.{digits}f", value.cast("double"))

@@ -9,7 +9,7 @@ from ..functions import sequences as S
 
 
 def project(cells: DataFrame, reference: str, species: list[str]) -> DataFrame:
-    """species, pos (0-based on the reference), base: alignment columns at reference bases; insertions are dropped.
+    """ref_seqname, block, col, species, pos (0-based on the reference), base: alignment columns at reference bases; insertions are dropped.
 
     cells as from read_emf.  On the reverse strand positions run down and bases
     are complemented; species that are not listed are left out.
@@ -19,16 +19,29 @@ def project(cells: DataFrame, reference: str, species: list[str]) -> DataFrame:
     step = ref.withColumn("k", F.sum(F.when(F.col("base") != "-", 1).otherwise(0)).over(w)).filter("base != '-'")
     place = F.when(F.col("strand") == "-", F.col("end") - F.col("k")).otherwise(F.col("start") + F.col("k") - 2)
     places = step.select("block", "row", place.alias("pos"), F.col("strand").alias("ref_strand"), F.col("seqname").alias("ref_seqname"))
-    own = cells.filter(F.col("species").isin(species)).select("block", "row", "species", "base").join(places, ["block", "row"])
-    return own.select("ref_seqname", "species", "pos", F.when(F.col("ref_strand") == "-", S.complement(F.col("base"))).otherwise(F.col("base")).alias("base"))
+    own = cells.filter(F.col("species").isin(species)).select("block", "col", "row", "species", "base").join(places, ["block", "row"])
+    return own.select("ref_seqname", "block", "col", "species", "pos", F.when(F.col("ref_strand") == "-", S.complement(F.col("base"))).otherwise(F.col("base")).alias("base"))
 
 
-def projected_sequences(cells: DataFrame, reference: str, species: list[str], length: int) -> DataFrame:
-    """species, seq over [0, length) of the reference, '-' where nothing aligns; of several bases the last block's."""
-    bases = project(cells, reference, species).groupBy("species", "pos").agg(F.max("base").alias("base"))
-    grid = cells.sparkSession.range(length).select(F.col("id").alias("pos")).join(F.broadcast(cells.sparkSession.createDataFrame([(s,) for s in species], "species string")), F.lit(True))
-    rows = grid.join(bases, ["species", "pos"], "left").select("species", F.struct("pos", F.coalesce("base", F.lit("-")).alias("base")).alias("p"))
-    return rows.groupBy("species").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["base"]), "").alias("seq"))
+def projected_sequences(cells: DataFrame, reference: str, species: list[str], targets: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """seqname, species, chunk_start, seq: each species along the reference in chunks of `width`, '-' where nothing aligns.
+
+    targets: seqname, length of the reference's sequences.  Where several blocks
+    lie over a base the last block's counts, and of several rows of one species
+    in a block the last column's.
+    """
+    bases = project(cells, reference, species).groupBy("ref_seqname", "species", "pos").agg(F.max_by("base", F.struct("block", "col")).alias("base"))
+    chunk = F.floor(F.col("pos") / width) * width
+    pieces = bases.groupBy(F.col("ref_seqname").alias("seqname"), "species", chunk.alias("chunk_start")).agg(F.sort_array(F.collect_list(F.struct("pos", "base"))).alias("b"))
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(width).cast("long"))
+    grid = targets.filter("length > 0").select("seqname", "length", F.explode(starts).alias("chunk_start")).select("*", F.explode(F.array(*map(F.lit, species))).alias("species"))
+    rows = grid.join(pieces, ["seqname", "species", "chunk_start"], "left").withColumn("b", F.filter(F.coalesce("b", F.array().cast("array<struct<pos:bigint,base:string>>")), lambda x: x["pos"] < F.col("length")))
+    end = F.least(F.col("length"), F.col("chunk_start") + width)
+    blank = lambda n: F.repeat(F.lit("-"), n.cast("int"))
+    after = lambda i: F.coalesce(F.get("b", i - 1)["pos"] + 1, F.col("chunk_start"))
+    text = F.array_join(F.transform("b", lambda x, i: F.concat(blank(x["pos"] - F.when(i > 0, after(i)).otherwise(F.col("chunk_start"))), x["base"])), "")
+    rest = blank(end - F.coalesce(F.try_element_at("b", F.lit(-1))["pos"] + 1, F.col("chunk_start")))
+    return rows.select("seqname", "species", "chunk_start", F.concat(text, rest).alias("seq"))
 
 
 def slices(regions: DataFrame, alignment: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from ..functions import sequences as S
 from . import intervals
 
 _TID = ["transcript_id"]
+#: Width of the pieces of a chunked sequence.
+CHUNK = 1 << 16
 
 
 def consistent(exons: DataFrame, group: list[str] = _TID) -> DataFrame:
@@ -59,9 +61,8 @@ def isolated(exons: DataFrame, cds: DataFrame | None = None) -> DataFrame:
         spans = spans.join(firsts, ["seqname", "strand", "transcript_id"], "left").withColumn("at", F.coalesce("at", F.lit(0)))
     else:
         spans = spans.withColumn("at", F.col("start"))
-    w = Window.partitionBy("seqname", "strand").orderBy("at", "transcript_id")
-    near = spans.withColumns({"_end": F.lag("end").over(w), "_start": F.lead("start").over(w)})
-    alone = ~F.coalesce(F.col("_end") > F.col("start"), F.lit(False)) & ~F.coalesce(F.col("_start") < F.col("end"), F.lit(False))
+    near = intervals.neighbours(spans, ["seqname", "strand"], ["at", "transcript_id"], before="lag:end", after="lead:start")
+    alone = ~F.coalesce(F.col("before") > F.col("start"), F.lit(False)) & ~F.coalesce(F.col("after") < F.col("end"), F.lit(False))
     return near.filter(alone).select("transcript_id", "seqname", "strand", "start", "end")
 
 
@@ -79,13 +80,31 @@ def reads_per_feature(isolated_ids: DataFrame, exons: DataFrame, reads: DataFram
     return rows.groupBy("transcript_id").agg(*(pick(k, c) for c in ("reads", "length") for k in ("exon", "intron"))).filter("exon_length > 0 and intron_length > 0")
 
 
-def unique_segment_counts(features: DataFrame, owner: str, samples: DataFrame) -> DataFrame:
+def unique_segment_counts(features: DataFrame, owner: str, samples: DataFrame, weight: str | None = None) -> DataFrame:
     """Reads of each sample over segments that one owner alone covers: owner, sample, n (long form of the matrix).
 
     features: seqname, owner (long), start, end; samples: sample, seqname, start, end.
+    With `weight`, a column of samples, n is its sum.
     """
     segments = intervals.disjoin_unique(features, ["seqname"], owner)
-    return intervals.interval_join(segments, samples, ["seqname"]).groupBy(owner, F.col("sample_b").alias("sample")).agg(F.count("*").alias("n"))
+    n = F.count("*") if weight is None else F.sum(f"{weight}_b")
+    return intervals.interval_join(segments, samples, ["seqname"]).groupBy(owner, F.col("sample_b").alias("sample")).agg(n.alias("n"))
+
+
+def count_matrix(counts: DataFrame, owner: str, samples: list[str]) -> DataFrame:
+    """The long form as a matrix: owner and a column for each sample, 0 where there is none."""
+    wide = counts.groupBy(owner).pivot("sample", samples).agg(F.sum("n"))
+    return wide.select(owner, *(F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(s) for s in samples))
+
+
+def slope_through_origin(rows: DataFrame, x: str, y: str, *group: str) -> DataFrame:
+    """group and slope: the least-squares line y = slope * x."""
+    return rows.groupBy(*group).agg(F.try_divide(F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x))).alias("slope"))
+
+
+def pair_marginals(pairs: DataFrame, i: str = "i", j: str = "j", p: str = "p") -> DataFrame:
+    """k and p: for each position the sum of the probabilities of its pairs, on either side."""
+    return pairs.select(F.explode(F.array(i, j)).alias("k"), F.col(p).alias("p")).groupBy("k").agg(F.sum("p").alias("p"))
 
 
 def exon_offsets(exons: DataFrame) -> DataFrame:
@@ -110,6 +129,13 @@ def lift(alignments: DataFrame, exons: DataFrame) -> DataFrame:
     return rows.select("qname", "seqname", F.col("p")[0]["s"].alias("pos"), F.array_join(F.transform("p", text), "").alias("cigar")).distinct()
 
 
+def distinct_rows(rows: DataFrame, *fields: str) -> DataFrame:
+    """One row for each value of the fields, in their order: of several the smallest."""
+    rest = [c for c in rows.columns if c not in fields]
+    one = rows.groupBy(*fields).agg(F.min(F.struct(*rest)).alias("_r")).select(*fields, "_r.*") if rest else rows.distinct()
+    return one.select(rows.columns).orderBy(*fields)
+
+
 def metagene(exons: DataFrame, reads: DataFrame, n: int = 100, min_length: int = 1000, min_count: int = 25) -> DataFrame:
     """Average profile of 5' ends along genes: bin, x (percent), y (sums to 1), over genes long and deep enough.
 
@@ -161,12 +187,11 @@ def median(array: str) -> Column:
     return F.when(n > 0, (F.get(s, low) + F.get(s, high)) / 2.0)
 
 
-def spliced_sequences(exons: DataFrame, genome: DataFrame, group: str = "transcript_id") -> DataFrame:
+def spliced_sequences(exons: DataFrame, genome: DataFrame, group: str = "transcript_id", width: int = CHUNK) -> DataFrame:
     """group, seq: exon sequences joined in genome order, reverse-complemented on the reverse strand.
 
-    genome is chunked: seqname, chunk_start, seq.  Exons are dealt to the chunks they touch.
+    genome is cut into chunks of `width`: seqname, chunk_start, seq.  Exons are dealt to the chunks they touch.
     """
-    width = genome.agg(F.max(F.length("seq"))).first()[0] or 1
     parts = exons.select(group, "seqname", "strand", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("c"))
     chunks = genome.select("seqname", F.floor(F.col("chunk_start") / width).alias("c"), "chunk_start", "seq")
     cut = parts.join(chunks, ["seqname", "c"]).withColumn("from", F.greatest(F.col("start"), F.col("chunk_start")))
@@ -175,15 +200,15 @@ def spliced_sequences(exons: DataFrame, genome: DataFrame, group: str = "transcr
     return joined.select(group, F.when(F.col("strand") == "-", S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
 
 
-def transcript_statistics(exons: DataFrame, genome: DataFrame, start_codons: DataFrame | None = None) -> DataFrame:
+def transcript_statistics(exons: DataFrame, genome: DataFrame, start_codons: DataFrame | None = None, width: int = CHUNK) -> DataFrame:
     """transcript_structure() with GC shares, stop-codon counts over introns, and whether a start codon is annotated."""
     gc = lambda seqs, name: seqs.select("transcript_id", S.gc_fraction(F.col("seq")).alias(name))
     gaps = introns(exons)
-    per = spliced_sequences(gaps.withColumn("key", F.concat_ws(":", "transcript_id", "start")), genome, "key").withColumn("transcript_id", F.regexp_extract("key", "^(.*):[0-9]+$", 1))
+    per = spliced_sequences(gaps.withColumn("key", F.concat_ws(":", "transcript_id", "start")), genome, "key", width).withColumn("transcript_id", F.regexp_extract("key", "^(.*):[0-9]+$", 1))
     stops = per.select("transcript_id", S.stop_codons(F.col("seq")).alias("k")).groupBy("transcript_id").agg(F.sum("k").alias("intronic_tc_count"), F.count_if(F.col("k") > 0).alias("tc_intron_count"))
     keyed = transcript_structure(exons).withColumn("transcript_id", F.col("transcript_id").cast("string"))
     text = lambda df: df.withColumn("transcript_id", F.col("transcript_id").cast("string"))
-    out = keyed.join(gc(text(spliced_sequences(exons, genome)), "exonic_gc"), "transcript_id", "left").join(gc(text(spliced_sequences(gaps, genome)), "intronic_gc"), "transcript_id", "left").join(stops, "transcript_id", "left")
+    out = keyed.join(gc(text(spliced_sequences(exons, genome, width=width)), "exonic_gc"), "transcript_id", "left").join(gc(text(spliced_sequences(gaps, genome, width=width)), "intronic_gc"), "transcript_id", "left").join(stops, "transcript_id", "left")
     if start_codons is None:
         return out.withColumn("defined_start_codon", F.lit(False))
     known = text(start_codons.select("transcript_id").distinct()).withColumn("defined_start_codon", F.lit(True))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..coords import BIN, bins
-from .sweep import carried, merge_runs, with_bin
+from .sweep import before, binned, first_after, from_bins, last_before, merge_runs
 
 
 def merge(df: DataFrame, keys: list[str], *aggregates: Column, touching: bool = True) -> DataFrame:
@@ -64,27 +64,18 @@ def subtract(a: DataFrame, b: DataFrame, keys: list[str], ident: str) -> DataFra
     return out.withColumns({"start": F.col("_p.s"), "end": F.col("_p.e"), "piece": F.when(F.col("_cuts").isNull(), 0).otherwise(F.col("_i") + 1)}).drop("_i", "_p", "_cuts")
 
 
-def running_depth(events: DataFrame, keys: list[str], *sums: str, xors: tuple[str, ...] = (), width: int = BIN) -> DataFrame:
-    """Events (keys, p, values; one row a position) with each value's running sum, or exclusive or, up to and with p."""
-    rows = with_bin(events, "p", width)
-    inner = Window.partitionBy(*keys, "_bin").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+def running(events: DataFrame, keys: list[str], *sums: str, xors: tuple[str, ...] = (), last: Column | None = None, width: int = BIN) -> DataFrame:
+    """Events (keys, p, values; one row a position) with each value's running sum, or exclusive or, up to and with p, and `end`.
+
+    `end` is the next p of the key, or `last`.
+    """
     values = {v: F.sum for v in sums} | {v: F.bit_xor for v in xors}
-    outer = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    per_bin = rows.groupBy(*keys, "_bin").agg(*(f(v).alias(v) for v, f in values.items()))
-    per_bin = per_bin.select(*keys, "_bin", *(F.coalesce(f(v).over(outer), F.lit(0)).alias(f"_in_{v}") for v, f in values.items()))
-    rows = rows.join(per_bin, [*keys, "_bin"])
-    own = {v: f(v).over(inner) for v, f in values.items()}
-    return rows.withColumns({v: F.col(f"_in_{v}") + own[v] if v in sums else F.col(f"_in_{v}").bitwiseXOR(own[v]) for v in values}).drop(*(f"_in_{v}" for v in values))
-
-
-def next_position(rows: DataFrame, keys: list[str], last: Column | None = None) -> DataFrame:
-    """rows (keys, p, _bin) with `end`: the next p of the key, or `last`."""
-    per_bin = rows.groupBy(*keys, "_bin").agg(F.min("p").alias("_own"))
-    order = Window.partitionBy(*keys).orderBy("_bin")
-    rows = rows.join(per_bin.select(*keys, "_bin", F.lead("_own").over(order).alias("_later")), [*keys, "_bin"])
+    rows = from_bins(binned(events, "p", width), keys, _later=(F.min("p"), first_after), **{f"_in_{v}": (f(v), before(f)) for v, f in values.items()})
     inner = Window.partitionBy(*keys, "_bin").orderBy("p")
-    out = rows.withColumn("end", F.coalesce(F.lead("p").over(inner), F.col("_later"), *([last] if last is not None else [])))
-    return out.drop("_later")
+    here = inner.rowsBetween(Window.unboundedPreceding, 0)
+    whole = {v: F.coalesce(F.col(f"_in_{v}"), F.lit(0)) + f(v).over(here) if v in sums else F.coalesce(F.col(f"_in_{v}"), F.lit(0)).bitwiseXOR(f(v).over(here)) for v, f in values.items()}
+    end = F.coalesce(F.lead("p").over(inner), F.col("_later"), *([last] if last is not None else []))
+    return rows.withColumns(whole | {"end": end}).drop("_bin", "_later", *(f"_in_{v}" for v in values))
 
 
 def disjoin_unique(df: DataFrame, keys: list[str], owner: str) -> DataFrame:
@@ -96,43 +87,58 @@ def disjoin_unique(df: DataFrame, keys: list[str], owner: str) -> DataFrame:
     own = merge(df, [*keys, owner])
     ends = F.explode(F.array(F.struct(F.col("start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end").alias("p"), F.lit(-1).alias("d"))))
     events = own.select(*keys, F.col(owner).cast("long").alias("o"), ends.alias("x")).groupBy(*keys, F.col("x.p").alias("p")).agg(F.sum("x.d").alias("d"), F.bit_xor("o").alias("o"))
-    depth = next_position(running_depth(events, keys, "d", xors=("o",)), keys)
+    depth = running(events, keys, "d", xors=("o",))
     single = depth.filter("d = 1").select(*keys, F.col("o").alias(owner), F.col("p").alias("start"), "end")
     return merge(single, [*keys, owner])
 
 
 def gaps(df: DataFrame, group: list[str], *carry: str) -> DataFrame:
-    """Non-empty gaps between a group's intervals in order; `carry` columns come from the interval before the gap."""
+    """Non-empty gaps between a group's intervals; `carry` columns come from the interval that begins last before the gap.
+
+    Intervals may lie inside others: a gap begins where all intervals before it have ended.
+    """
     w = Window.partitionBy(*group).orderBy("start", "end")
-    rows = df.withColumn("_next", F.lead("start").over(w))
-    return rows.filter(F.col("_next") > F.col("end")).select(*group, *carry, F.col("end").alias("start"), F.col("_next").alias("end"))
+    rows = df.withColumns({"_next": F.lead("start").over(w), "_reach": F.max("end").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return rows.filter(F.col("_next") > F.col("_reach")).select(*group, *carry, F.col("_reach").alias("start"), F.col("_next").alias("end"))
 
 
 def coverage(blocks: DataFrame, targets: DataFrame, keys: list[str] = ["seqname"]) -> DataFrame:  # noqa: B006
     """Depth along each sequence that has blocks, run-length encoded, zero runs included: keys, start, end, depth.
 
-    targets has seqname and length, where the last run ends.
+    targets has seqname and length, where the last run ends.  Places where as
+    many blocks end as begin are no events, so every event is a run's start.
     """
-    plus = blocks.select(*keys, F.col("start").alias("p"), F.lit(1).alias("d"))
-    minus = blocks.select(*keys, F.col("end").alias("p"), F.lit(-1).alias("d"))
-    zero = blocks.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("p"), F.lit(0).alias("d"))
-    events = plus.union(minus).union(zero).groupBy(*keys, "p").agg(F.sum("d").alias("d"))
-    depth = running_depth(events, keys, "d").select(*keys, "p", F.col("d").alias("depth"))
-    return run_lengths(depth, keys, "depth", targets)
+    ends = F.array(F.struct(F.col("start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end").alias("p"), F.lit(-1).alias("d")), F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).alias("d")))
+    return depth_runs(blocks.select(*keys, F.explode(ends).alias("x")).groupBy(*keys, F.col("x.p").alias("p")).agg(F.sum("x.d").alias("d")), targets, keys)
+
+
+def depth_runs(changes: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of equal depth from the changes d at places p (one row a place, place 0 among them): keys, start, end, depth."""
+    lengths = targets.select("seqname", F.col("length").alias("_len"))
+    depth = running(changes.filter("d != 0 or p = 0").join(lengths, "seqname", "left"), keys, "d", last=F.col("_len"))
+    return depth.filter(F.col("end") > F.col("p")).select(*keys, F.col("p").alias("start"), "end", F.col("d").alias("depth"))
 
 
 def run_lengths(points: DataFrame, keys: list[str], value: str, targets: DataFrame) -> DataFrame:
     """Runs of equal value from points (keys, p, value), each valid up to the next: keys, start, end, value."""
-    rows = with_bin(points, "p")
     inner = Window.partitionBy(*keys, "_bin").orderBy("p")
-    rows = carried(rows, keys, F.max_by(value, "p"), F.last, "_in")
-    before = F.coalesce(F.lag(value).over(inner), F.col("_in"))
-    rows = rows.withColumn("_changes", before.isNull() | (before != F.col(value))).drop("_in").filter("_changes").drop("_changes")
+    rows = from_bins(binned(points, "p"), keys, _in=(F.max_by(value, "p"), last_before))
+    earlier = F.coalesce(F.lag(value).over(inner), F.col("_in"))
+    changes = rows.withColumn("_changes", earlier.isNull() | (earlier != F.col(value))).filter("_changes").select(*keys, "p", value)
     lengths = targets.select("seqname", F.col("length").alias("_len"))
-    ends = next_position(rows.join(lengths, "seqname", "left"), keys, F.col("_len"))
+    ends = running(changes.join(lengths, "seqname", "left"), keys, last=F.col("_len"))
     return ends.filter(F.col("end") > F.col("p")).select(*keys, F.col("p").alias("start"), "end", value)
 
 
+def neighbours(rows: DataFrame, keys: list[str], order: list[str], width: int = BIN, **taken: str) -> DataFrame:
+    """rows with columns of the rows next to them in `order` (the first of them a position): name='lag:column' or 'lead:column'."""
+    stand, inner = F.struct(*order), Window.partitionBy(*keys, "_bin").orderBy(*order)
+    split = {name: spec.split(":") for name, spec in taken.items()}
+    far = {f"_{name}": ((F.max_by if side == "lag" else F.min_by)(c, stand), last_before if side == "lag" else first_after) for name, (side, c) in split.items()}
+    found = from_bins(binned(rows, order[0], width), keys, **far)
+    return found.withColumns({name: F.coalesce((F.lag if side == "lag" else F.lead)(c).over(inner), F.col(f"_{name}")) for name, (side, c) in split.items()}).drop("_bin", *far)
+
+
 def bin_counts(rows: DataFrame, targets: DataFrame, width: int) -> DataFrame:
     """Rows per fixed-width bin of `pos`, empty bins included: seqname, bin, n; a sequence has length / width + 1 bins."""
     counts = rows.groupBy("seqname", F.floor(F.col("pos") / width).alias("bin")).agg(F.count("*").alias("n"))
@@ -151,10 +157,33 @@ def nearest(probes: DataFrame, rows: DataFrame, keys: list[str], probe: str, at:
     pick = F.struct(F.col(at).alias("at"), *(F.col(v) for v in values))
     marks = rows.groupBy(*keys, F.col(at).alias("_p")).agg(F.min(pick).alias("_near")).select(*keys, "_p", F.lit(0).alias("_kind"), "_near", F.lit(None).alias("_row"))
     asks = probes.select(*keys, F.col(probe).alias("_p"), F.lit(1).alias("_kind"), F.lit(None).alias("_near"), F.struct(*probes.columns).alias("_row"))
-    both = with_bin(marks.unionByName(asks), "_p")
-    per_bin = both.groupBy(*keys, "_bin").agg((F.max_by if left else F.min_by)("_near", F.when(F.col("_near").isNotNull(), F.col("_p"))).alias("_own"))
-    outer = Window.partitionBy(*keys).orderBy("_bin" if left else F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
-    both = both.join(per_bin.select(*keys, "_bin", F.last("_own", ignorenulls=True).over(outer).alias("_in")), [*keys, "_bin"])
+    own = (F.max_by if left else F.min_by)("_near", F.when(F.col("_near").isNotNull(), F.col("_p")))
+    both = from_bins(binned(marks.unionByName(asks), "_p"), keys, _in=(own, last_before if left else first_after))
     inner = Window.partitionBy(*keys, "_bin").orderBy(F.col("_p") if left else F.desc("_p"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_n", F.coalesce(F.last("_near", ignorenulls=True).over(inner), F.col("_in"))).filter("_kind = 1")
     return found.select("_row.*", *(F.col(f"_n.{v}").alias(f"{v}_near") for v in values), F.abs(F.col("_n.at") - F.col("_p")).alias("_distance"))
+
+
+def nearest_of_both(probes: DataFrame, rows: DataFrame, keys: list[str], ties: str = "left", *values: str) -> DataFrame:
+    """probes with the nearer of the row that ends last at or before their start and the row that begins first at or after their end.
+
+    Its values (suffix _near), its distance _distance and its _side; `ties` names the side that wins equal distances.
+    """
+    own = probes.columns
+    one = nearest(probes, rows, keys, "start", "end", "left", *values)
+    two = nearest(one.withColumnsRenamed({f"{v}_near": f"_l_{v}" for v in values} | {"_distance": "_l"}), rows, keys, "end", "start", "right", *values)
+    closer = F.col("_l") < F.col("_distance") if ties == "right" else F.col("_l") <= F.col("_distance")
+    left = F.col("_distance").isNull() | F.coalesce(closer, F.lit(False))
+    side = F.when(F.coalesce("_l", "_distance").isNotNull(), F.when(left, "left").otherwise("right"))
+    return two.select(*own, *(F.when(left, F.col(f"_l_{v}")).otherwise(F.col(f"{v}_near")).alias(f"{v}_near") for v in values), F.least("_l", "_distance").alias("_distance"), side.alias("_side"))
+
+
+def merge_first(df: DataFrame, keys: list[str], order: list[str], *columns: str) -> DataFrame:
+    """Union of intervals per key with the given columns of each union's first row (by start, then `order`), and `top`: of its largest score the text.
+
+    Rows are seqname-wise unions as in merge(); df may have score and score_text.
+    """
+    first = F.min_by(F.struct(*columns), F.struct("start", *order))
+    top = [F.max_by("score_text", F.struct("score", "score_text")).alias("top")] if "score_text" in df.columns else []
+    out = merge(df, keys, first.alias("_f"), *top)
+    return out.select("*", *(F.col("_f")[c].alias(c) for c in columns)).drop("_f")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from . import intervals
 
 UNMAPPED, REVERSE, READ1, READ2, PAIRED = 4, 16, 64, 128, 1
@@ -131,9 +132,10 @@ def zipped(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select("ord", *(F.col(c).alias(f"{c}_2") for c in b.columns if c != "ord")), "ord")
 
 
-def multiplicity(rows: DataFrame, column: Column) -> DataFrame:
-    """key and n for each distinct key, map-side combined."""
-    return rows.groupBy(column.alias("key")).agg(F.count("*").alias("n"))
+def multiplicity(rows: DataFrame, column: Column, ordered: bool = False) -> DataFrame:
+    """key and n for each distinct key, map-side combined; `ordered`: by falling n, then key."""
+    counts = rows.groupBy(column.alias("key")).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "key") if ordered else counts
 
 
 def duplicates(rows: DataFrame, seq: str, ignore_n: bool = True) -> DataFrame:
@@ -150,7 +152,7 @@ def hamming_counts(rows: DataFrame, seq: Column, k: int, distance: int = 1, lett
 
     Neighbours are generated and joined by equality; each neighbour counts once.
     """
-    counts = multiplicity(rows.filter(F.length(seq) >= k), F.substring(seq, 1, k))
+    counts = stored(multiplicity(rows.filter(F.length(seq) >= k), F.substring(seq, 1, k)))  # read three times
     near = counts.select("key", F.array("key").alias("seen"))
     variants = lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.transform(F.array(*map(F.lit, letters)), lambda c: F.concat(F.substr(s, F.lit(1), i - 1), c, F.substr(s, i + 1)))))
     for _ in range(distance):
@@ -198,6 +200,12 @@ def end_counts(reads: DataFrame, seqname: str, start: int, end: int, only_strand
     return out.orderBy(F.desc("at") if only_strand == "-" else "at")
 
 
+def end_count(reads: DataFrame, seqname: str, start: int, end: int, only_strand: str | None = None) -> DataFrame:
+    """n: 5' ends inside [start, end)."""
+    ends = five_prime(in_region(reads, seqname, start, end, only_strand)).filter((F.col("at") >= start) & (F.col("at") < end))
+    return ends.agg(F.count("*").alias("n"))
+
+
 def region_depth(reads: DataFrame, targets: DataFrame, seqname: str, start: int, end: int, only_strand: str | None = None) -> DataFrame:
     """start, end, depth runs of coverage inside a region."""
     runs = depth_runs(in_region(reads, seqname, start, end, only_strand), targets.filter(F.col("seqname") == seqname))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) from a hash of the keys and the seed: the same in every run and partitioning."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11).cast("double") / F.lit(float(1 << 53))
+    """A number in [0, 1) from the md5 of the seed and the keys: the same in every run, partitioning and engine."""
+    text = F.concat_ws("/", F.lit(str(seed)), *(k.cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
 def resample(lines: DataFrame, m: int, k: int = 1, seed: int = 1) -> DataFrame:
@@ -77,6 +78,12 @@ def klet_shuffle(rows: DataFrame, ident: str, seq: str, k: int = 2, draws: int =
     return rows.select(ident, F.col(seq).alias("_s"), F.xxhash64(ident).alias("_h")).mapInPandas(each, f"{ident} {kind}, draw int, shuffled string")
 
 
+def shuffled_matches(rows: DataFrame, ident: str, seq: str, pattern: str, k: int, draws: int = 1, seed: int = 1, invert: bool = False) -> DataFrame:
+    """Shuffles of sequences that match a pattern (or do not): ident, draw, shuffled."""
+    hit = F.col("shuffled").rlike(pattern)
+    return klet_shuffle(rows, ident, seq, k, draws, seed).filter(~hit if invert else hit)
+
+
 def permutation_z(scores: DataFrame, ident: str, score: str, permuted: DataFrame, permuted_score: str) -> DataFrame:
     """ident and z: a score against the mean and population deviation of the scores of its permutations."""
     stats = permuted.groupBy(ident).agg(F.avg(permuted_score).alias("m"), F.stddev_pop(permuted_score).alias("s"))

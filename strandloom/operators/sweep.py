@@ -1,8 +1,8 @@
 """Sweeps over positions that do not put a whole sequence into one task.
 
 A sweep needs, for each row, a summary of all rows before it.  Rows are binned
-by position; a window works inside each (key, bin), and what comes in from
-earlier bins is summed up over one row a bin.
+by position and stored once; a window works inside each (key, bin), and what
+comes in from other bins is summed up over one row a bin, from the stored rows.
 """
 
 from __future__ import annotations
@@ -11,32 +11,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..coords import BIN
+from ..shared import stored
 
 
 def with_bin(df: DataFrame, position: str, width: int = BIN) -> DataFrame:
     return df.withColumn("_bin", F.floor(F.col(position) / width))
 
 
-def carried(df: DataFrame, keys: list[str], summary: Column, combine, name: str) -> DataFrame:
-    """df with `name`: `combine` (a window aggregate of a column) over the summaries of earlier bins."""
-    per_bin = df.groupBy(*keys, "_bin").agg(summary.alias("_own"))
-    order = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(per_bin.select(*keys, "_bin", combine("_own").over(order).alias(name)), [*keys, "_bin"])
+def binned(df: DataFrame, position: str, width: int = BIN) -> DataFrame:
+    """df with _bin, stored: a sweep reads its rows twice."""
+    return stored(with_bin(df, position, width))
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column) -> DataFrame:
-    """df with _island: the number of rows with `starts` up to this one, per key; needs _bin in the order of `order`."""
-    inner = Window.partitionBy(*keys, "_bin").orderBy(*order, F.desc("_new"))  # of equal rows the one that starts an island comes first
-    df = df.withColumn("_new", starts.cast("long"))
-    df = carried(df, keys, F.sum("_new"), F.sum, "_before")
-    return df.withColumn("_island", F.coalesce("_before", F.lit(0)) + F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_before")
+def from_bins(rows: DataFrame, keys: list[str], **summaries: tuple[Column, object]) -> DataFrame:
+    """Stored rows with a column for each summary: (aggregate of a bin, function from its name to a window column over the bins).
+
+    Windows over bins have one row a bin; see before() and after().
+    """
+    per_bin = rows.groupBy(*keys, "_bin").agg(*(a.alias(f"_{name}") for name, (a, _) in summaries.items()))
+    order = Window.partitionBy(*keys).orderBy("_bin")
+    return rows.join(per_bin.select(*keys, "_bin", *(over(f"_{name}", order).alias(name) for name, (_, over) in summaries.items())), [*keys, "_bin"])
+
+
+def before(combine):
+    """`combine` (an aggregate) over the summaries of all earlier bins."""
+    return lambda name, order: combine(name).over(order.rowsBetween(Window.unboundedPreceding, -1))
+
+
+def last_before(name: str, order) -> Column:
+    """The summary of the nearest earlier bin that has any."""
+    return F.last(name, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+
+
+def first_after(name: str, order) -> Column:
+    """The summary of the nearest later bin that has any."""
+    return F.first(name, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
 
 
 def merge_runs(df: DataFrame, keys: list[str], touching: bool = True, width: int = BIN) -> DataFrame:
-    """df (start, end) with _island: overlapping rows of a key share it; touching decides whether book-ended ones do."""
-    df = carried(with_bin(df, "start", width), keys, F.max("end"), F.max, "_in")
+    """df (start, end) with _island: overlapping rows of a key share it; touching decides whether book-ended ones do.
+
+    An island is known by the place of its first row.
+    """
+    rows = from_bins(binned(df, "start", width), keys, _in=(F.max("end"), before(F.max)))
     inner = Window.partitionBy(*keys, "_bin").orderBy("start", "end")
     reach = F.greatest(F.max("end").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.col("_in"))
-    df = df.withColumn("_reach", reach)
+    rows = rows.withColumn("_reach", reach)
     apart = F.col("_reach").isNull() | ((F.col("_reach") < F.col("start")) if touching else (F.col("_reach") <= F.col("start")))
-    return islands(df, keys, ["start", "end"], apart).drop("_in", "_reach")
+    # With book-ended rows apart several empty or equal rows may begin at one place; the end tells their islands apart.
+    rows = stored(rows.withColumn("_new", F.when(apart, F.struct("start", "end"))).drop("_in", "_reach"))
+    rows = from_bins(rows, keys, _from=(F.max("_new"), last_before))
+    return rows.withColumn("_island", F.coalesce(F.max("_new").over(inner.rangeBetween(Window.unboundedPreceding, 0)), F.col("_from"))).drop("_new", "_from")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
@@ -13,20 +11,7 @@ from ..operators import intervals as I
 from ..operators import reads as R
 from ..operators import sampling
 from . import view as V
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import QUERIES, SQL, query
 
 # --- interval algebra ---
 
@@ -70,30 +55,20 @@ def interval_subtract(spark, d):
     return I.subtract(_a(spark, d), V.iv(spark, d).filter("line > 3"), ["seqname", "strand"], "id").drop("id")
 
 
-@query(f"""WITH {V.IV}, o AS (SELECT seqname, strand, supp % 7 AS owner, start, "end" FROM iv WHERE part % 4 = 0), {V.merged_sql("o", "seqname, owner", "m")},
+@query(f"""WITH {V.IV}, o AS (SELECT seqname, strand, supp % 7 AS owner, start, "end" FROM iv), {V.merged_sql("o", "seqname, owner", "m")},
 ev AS (SELECT seqname, p, sum(d) AS d, sum(o) AS o FROM (SELECT seqname, start AS p, 1 AS d, owner AS o FROM m UNION ALL SELECT seqname, "end", -1, -owner FROM m) GROUP BY seqname, p),
 run AS (SELECT seqname, p, sum(d) OVER w AS n, sum(o) OVER w AS owner, lead(p) OVER (PARTITION BY seqname ORDER BY p) AS nx FROM ev WINDOW w AS (PARTITION BY seqname ORDER BY p)),
 seg AS (SELECT seqname, owner::BIGINT AS owner, p AS start, nx AS "end" FROM run WHERE n = 1), {V.merged_sql("seg", "seqname, owner", "f")} SELECT * FROM f""")
-def interval_disjoin_unique(spark, d, part="part % 4 = 0"):
-    owned = V.iv(spark, d).filter(part).withColumn("owner", F.col("supp") % 7)
+def interval_disjoin_unique(spark, d):
+    owned = V.iv(spark, d).withColumn("owner", F.col("supp") % 7)
     return I.disjoin_unique(owned, ["seqname"], "owner")
 
 
-@query(SQL["interval_disjoin_unique"].replace(" WHERE part % 4 = 0", ""))
-def interval_disjoin_unique_all(spark, d):
-    return interval_disjoin_unique(spark, d, part="true")
-
-
-@query(f"""WITH {V.IV}, a AS (SELECT seqname, start, "end", name FROM iv WHERE line = 1), b AS (SELECT seqname, start AS start_b, "end" AS end_b, name AS name_b FROM iv WHERE line = 2)
+@query(f"""WITH {V.IV}, a AS (SELECT seqname, start, "end", name FROM iv), b AS (SELECT seqname, start AS start_b, "end" AS end_b, name AS name_b FROM iv)
 SELECT a.seqname, start, "end", name, start_b, end_b, name_b FROM a JOIN b ON a.seqname = b.seqname AND start < end_b AND start_b < "end" """)
-def interval_overlap_join(spark, d, left="line = 1", right="line = 2", width=I.BIN):
-    rows = V.iv(spark, d)
-    return I.interval_join(rows.filter(left).select("seqname", "start", "end", "name"), rows.filter(right).select("seqname", "start", "end", "name"), ["seqname"], width).drop("seqname_b")
-
-
-@query(SQL["interval_overlap_join"].replace(" WHERE line = 1", "").replace(" WHERE line = 2", ""))
-def interval_overlap_join_all(spark, d):
-    return interval_overlap_join(spark, d, left="true", right="true", width=128)  # all are shorter than 128
+def interval_overlap_join(spark, d):
+    rows = V.iv(spark, d).select("seqname", "start", "end", "name")
+    return I.interval_join(rows, rows, ["seqname"], width=128).drop("seqname_b")  # all are shorter than 128
 
 
 @query(f"""WITH {V.EXON}, x AS (SELECT *, lead(start) OVER (PARTITION BY transcript_id ORDER BY start, "end") AS nx FROM exon)
@@ -141,21 +116,16 @@ def _iv_reads(spark, d):
 
 
 @query(f"""WITH {V.READS}, r AS (SELECT seqname, pos AS start, pos + 10 AS e FROM reads),
-g AS (SELECT DISTINCT seqname, pos // 100 * 100 AS start, pos // 100 * 100 + 150 AS "end" FROM reads WHERE event_id % 3 = 0)
+g AS (SELECT DISTINCT seqname, pos // 100 * 100 AS start, pos // 100 * 100 + 150 AS "end" FROM reads)
 SELECT g.seqname, g.start, g."end", count(r.start)::BIGINT AS n FROM g LEFT JOIN r ON g.seqname = r.seqname AND g.start < r.e AND r.start < g."end" GROUP BY ALL""")
-def region_read_count(spark, d, part="event_id % 3 = 0"):
+def region_read_count(spark, d):
     rows = V.reads(spark, d)
     low = F.floor(F.col("pos") / 100) * 100
-    regions = rows.filter(part).select("seqname", low.alias("start"), (low + 150).alias("end")).distinct()
+    regions = rows.select("seqname", low.alias("start"), (low + 150).alias("end")).distinct()
     spans = rows.select("seqname", F.col("pos").alias("start"), (F.col("pos") + 10).alias("end"))
     return I.count_overlaps(regions, spans, ["seqname"], ["seqname", "start", "end"])
 
 
-@query(SQL["region_read_count"].replace(" WHERE event_id % 3 = 0", ""))
-def region_read_count_all(spark, d):
-    return region_read_count(spark, d, part="true")
-
-
 _ENDS = V.WALK + """, span AS (SELECT event_id, sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN len ELSE 0 END)::BIGINT AS l FROM w0 GROUP BY event_id),
 ends AS (SELECT reads.*, pos + l AS rend, CASE WHEN (flag & 16) > 0 THEN pos + l - 1 ELSE pos END AS "at", CASE WHEN (flag & 16) > 0 THEN '-' ELSE '+' END AS strand FROM reads JOIN span USING (event_id))"""
 
@@ -189,29 +159,29 @@ rl AS (SELECT seqname, p AS start, lead(p) OVER (PARTITION BY seqname ORDER BY p
 SELECT seqname, start, coalesce(nx, length) AS "end", depth FROM rl JOIN targets USING (seqname) WHERE coalesce(nx, length) > start"""
 
 
-@query(_coverage_sql("SELECT seqname, s, s + len AS e FROM walk WHERE op = 'M'"))
+@query(_coverage_sql("SELECT seqname, s, s + len AS e FROM walk WHERE op = 'M' AND (flag & 4) = 0"))
 def coverage_bedgraph(spark, d):
     return R.depth_runs(V.reads(spark, d), V.targets(spark, d))
 
 
-@query(_coverage_sql("SELECT seqname, pos AS s, pos + 1 AS e FROM reads WHERE (flag & 16) = 0"))
+@query(_coverage_sql("SELECT seqname, pos AS s, pos + 1 AS e FROM reads WHERE (flag & 20) = 0"))
 def coverage_starts(spark, d):
     return R.depth_runs(V.reads(spark, d), V.targets(spark, d), "+", True)
 
 
-@query(f"WITH {V.WALK} SELECT qname, seqname, s AS start, s + len AS \"end\" FROM walk WHERE op = 'N'")
+@query(f"WITH {V.WALK} SELECT qname, seqname, s AS start, s + len AS \"end\" FROM walk WHERE op = 'N' AND (flag & 4) = 0")
 def junctions(spark, d):
     return R.junctions(V.reads(spark, d))
 
 
-@query(f"""WITH {V.WALK} SELECT CASE WHEN (flag & 16) > 0 THEN seqname || ':' || (s + len) || '..' || s ELSE seqname || ':' || s || '..' || (s + len) END AS junction FROM walk WHERE op = 'N' AND val % 2 = 0""")
+@query(f"""WITH {V.WALK} SELECT CASE WHEN (flag & 16) > 0 THEN seqname || ':' || (s + len) || '..' || s ELSE seqname || ':' || s || '..' || (s + len) END AS junction FROM walk WHERE op = 'N' AND val % 2 = 0 AND (flag & 4) = 0""")
 def junctions_stranded(spark, d):
     tag = F.when(F.col("val") % 2 == 0, F.create_map(F.lit("XS"), F.struct(F.lit("A").alias("type"), R.strand(F.col("flag")).alias("value"))))
     return R.junction_labels(V.reads(spark, d).withColumn("aux", tag))
 
 
 @query(f"""WITH {V.WALK}, a AS (SELECT event_id, qname || CASE WHEN (flag & 64) > 0 THEN '/1' WHEN (flag & 128) > 0 THEN '/2' ELSE '' END || '#' || (event_id // 3) AS key, bool_or(op IN ('S', 'H')) AS clipped,
-  bool_or(op = 'N' AND len >= 50) AS spliced, bool_or(op = 'N' AND len < 50) AS gapped, bool_and(op IN ('M', 'N')) AS perfect FROM walk GROUP BY ALL),
+  bool_or(op = 'N' AND len >= 50) AS spliced, bool_or(op = 'N' AND len < 50) AS gapped, bool_and(op IN ('M', 'N')) AS perfect FROM walk WHERE (flag & 4) = 0 GROUP BY ALL),
 k AS (SELECT key, count(*) AS n, count_if(NOT spliced AND perfect) AS up, count_if(spliced AND perfect) AS sp, count_if(spliced) AS s, count_if(gapped) AS g FROM a WHERE NOT clipped GROUP BY key)
 SELECT (SELECT count(*) FROM a) AS alignment_count, count(*) AS read_count, count_if(n > 1)::BIGINT AS multi_count, sum(up)::BIGINT AS unspliced_perfect_cnt, sum(sp)::BIGINT AS spliced_perfect_cnt, sum(s)::BIGINT AS spliced_cnt, sum(g)::BIGINT AS gapped_cnt,
  coalesce(sum(up) FILTER (n = 1), 0)::BIGINT AS unique_unspliced_perfect_cnt, coalesce(sum(sp) FILTER (n = 1), 0)::BIGINT AS unique_spliced_perfect_cnt, coalesce(sum(s) FILTER (n = 1), 0)::BIGINT AS unique_spliced_cnt, coalesce(sum(g) FILTER (n = 1), 0)::BIGINT AS unique_gapped_cnt FROM k""")
@@ -258,30 +228,20 @@ def zip_files(spark, d):
 
 
 def _nearest_sql(best: str, sign: str, side: str, at: str, probe: str) -> str:
-    return f"""WITH {V.IV}, g AS (SELECT seqname, {at} AS at, min(name) AS name FROM iv WHERE part % 10 = 0 GROUP BY ALL), p AS (SELECT DISTINCT seqname, start, "end" FROM iv WHERE part % 10 = 1)
+    return f"""WITH {V.IV}, g AS (SELECT seqname, {at} AS at, min(name) AS name FROM iv GROUP BY ALL), p AS (SELECT DISTINCT seqname, start, "end" FROM iv)
 SELECT p.seqname, p.start, p."end", g.name AS name_near, abs(g.at - p.{probe})::BIGINT AS _distance FROM p ASOF LEFT JOIN g ON p.seqname = g.seqname AND p.{probe} {sign} g.at"""
 
 
 @query(_nearest_sql("max", ">=", "left", '"end"', "start"))
-def nearest_left(spark, d, probes="part % 10 = 1", near="part % 10 = 0"):
+def nearest_left(spark, d):
     rows = V.iv(spark, d)
-    return I.nearest(rows.filter(probes).select("seqname", "start", "end").distinct(), rows.filter(near), ["seqname"], "start", "end", "left", "name")
-
-
-@query(SQL["nearest_left"].replace(" WHERE part % 10 = 0", "").replace(" WHERE part % 10 = 1", ""))
-def nearest_left_all(spark, d):
-    return nearest_left(spark, d, probes="true", near="true")
+    return I.nearest(rows.select("seqname", "start", "end").distinct(), rows, ["seqname"], "start", "end", "left", "name")
 
 
 @query(_nearest_sql("min", "<=", "right", "start", '"end"'))
-def nearest_right(spark, d, probes="part % 10 = 1", near="part % 10 = 0"):
+def nearest_right(spark, d):
     rows = V.iv(spark, d)
-    return I.nearest(rows.filter(probes).select("seqname", "start", "end").distinct(), rows.filter(near), ["seqname"], "end", "start", "right", "name")
-
-
-@query(SQL["nearest_right"].replace(" WHERE part % 10 = 0", "").replace(" WHERE part % 10 = 1", ""))
-def nearest_right_all(spark, d):
-    return nearest_right(spark, d, probes="true", near="true")
+    return I.nearest(rows.select("seqname", "start", "end").distinct(), rows, ["seqname"], "end", "start", "right", "name")
 
 
 # --- counts and summaries ---
@@ -299,10 +259,12 @@ def hamming_counts(spark, d):
     return R.hamming_counts(V.seqs(spark, d), F.col("seq"), 6, 2)
 
 
-@query(f"""WITH {V.SEQS}, c AS (SELECT seq, count(*) AS n FROM seqs WHERE NOT contains(seq, '.') AND NOT contains(seq, 'N') GROUP BY seq)
+@query(f"""WITH {V.SEQS.replace("seqs AS", "s0 AS")}, seqs AS (SELECT CASE doc_id % 9 WHEN 1 THEN seq || 'N' WHEN 2 THEN '.' || seq ELSE seq END AS seq FROM s0), c AS (SELECT seq, count(*) AS n FROM seqs WHERE NOT contains(seq, '.') AND NOT contains(seq, 'N') GROUP BY seq)
 SELECT n, count(*) AS distinct_seqs FROM c GROUP BY n UNION ALL SELECT 0, count(*) FILTER (contains(seq, '.') OR contains(seq, 'N')) FROM seqs""")
 def duplicate_reads(spark, d):
-    return R.duplicates(V.seqs(spark, d), "seq")
+    i = F.col("doc_id") % 9
+    some = F.when(i == 1, F.concat("seq", F.lit("N"))).when(i == 2, F.concat(F.lit("."), "seq")).otherwise(F.col("seq"))
+    return R.duplicates(V.seqs(spark, d).withColumn("seq", some), "seq")
 
 
 @query(f"""WITH {V.READS}, c AS (SELECT qname, count(*) AS n FROM reads GROUP BY qname)
@@ -325,14 +287,14 @@ def attribute_pivot(spark, d):
 
 @query("SELECT l_returnflag AS g, round(sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity), 6) AS slope FROM lineitem WHERE l_discount < 0.05 GROUP BY 1")
 def ratio_regression(spark, d):
-    rows = V.table(spark, d, "lineitem").filter("l_discount < 0.05")
-    return rows.groupBy(F.col("l_returnflag").alias("g")).agg(F.round(F.sum(F.col("l_quantity") * F.col("l_extendedprice")) / F.sum(F.col("l_quantity") * F.col("l_quantity")), 6).alias("slope"))
+    rows = V.table(spark, d, "lineitem").filter("l_discount < 0.05").withColumnRenamed("l_returnflag", "g")
+    return A.slope_through_origin(rows, "l_quantity", "l_extendedprice", "g").withColumn("slope", F.round("slope", 6))
 
 
 @query(f"""WITH {V.IV}, u AS (SELECT supp % 20 AS i, supp % 13 AS j, score AS p FROM iv) SELECT k, round(sum(p), 6) AS p FROM (SELECT i AS k, p FROM u UNION ALL SELECT j, p FROM u) GROUP BY k""")
 def pair_marginals(spark, d):
     u = V.iv(spark, d).select((F.col("supp") % 20).alias("i"), (F.col("supp") % 13).alias("j"), F.col("score").alias("p"))
-    return u.select(F.explode(F.array("i", "j")).alias("k"), "p").groupBy("k").agg(F.round(F.sum("p"), 6).alias("p"))
+    return A.pair_marginals(u).withColumn("p", F.round("p", 6))
 
 
 @query(f"WITH {V.IV} SELECT seqname, start, \"end\", strand, part, score FROM (SELECT *, row_number() OVER (PARTITION BY seqname, start, \"end\", strand ORDER BY line, part, score, supp) AS r FROM iv) WHERE r = 1")
@@ -411,31 +373,31 @@ def exon_intron_reads(spark, d):
 
 _GENOME = "genome AS (SELECT seqname, string_agg(seq, '' ORDER BY doc_id) AS seq FROM (SELECT doc_id, 'c' || (doc_id % 5) AS seqname, seq FROM seqs) GROUP BY seqname)"
 _FEATURES = """feat AS (SELECT f.*, 'c' || (transcript_id % 5) AS sn FROM (SELECT transcript_id, strand, (transcript_id % 50) * 20 + i * 60 AS start, (transcript_id % 50) * 20 + i * 60 + len AS "end" FROM
- (SELECT l_orderkey AS transcript_id, CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, l_linenumber AS i, floor(max(l_quantity))::BIGINT AS len FROM lineitem WHERE l_orderkey % 100 = 7 GROUP BY ALL)) f)"""
+ (SELECT l_orderkey AS transcript_id, CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, l_linenumber AS i, floor(max(l_quantity))::BIGINT AS len FROM lineitem GROUP BY ALL)) f)"""
 
 
-def _genome(spark, d):
-    """Sequences of five artificial chromosomes in chunks of 1000."""
+def _genome(spark, d, width=1000):
+    """Five artificial chromosomes, the sequences of every fifth document in order of id, in chunks of `width`."""
     parts = V.seqs(spark, d).withColumn("seqname", F.concat(F.lit("c"), (F.col("doc_id") % 5).cast("string")))
-    whole = parts.groupBy("seqname").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "seq"))), lambda x: x["seq"]), "").alias("seq"))
-    return whole.select("seqname", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(1000))).alias("chunk_start"), "seq").select("seqname", F.col("chunk_start").cast("long"), F.substr("seq", F.col("chunk_start") + 1, F.lit(1000)).alias("seq"))
+    ends = I.running(parts.select("seqname", F.col("doc_id").alias("p"), F.length("seq").cast("long").alias("size")), ["seqname"], "size")
+    at = parts.join(ends.select("seqname", F.col("p").alias("doc_id"), F.col("size").alias("stop")), ["seqname", "doc_id"]).withColumn("begin", F.col("stop") - F.length("seq"))
+    dealt = at.filter("stop > begin").select("seqname", "seq", "begin", F.explode(F.sequence(F.floor(F.col("begin") / width), F.floor((F.col("stop") - 1) / width))).alias("c"))
+    first = F.greatest(F.col("c") * width - F.col("begin"), F.lit(0))
+    piece = F.struct(F.col("begin"), F.substr("seq", (first + 1).cast("int"), F.least((F.col("c") + 1) * width - F.col("begin") - first, F.lit(width)).cast("int")).alias("seq"))
+    chunks = dealt.groupBy("seqname", "c").agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    return chunks.select("seqname", (F.col("c") * width).alias("chunk_start"), F.array_join(F.transform("p", lambda x: x["seq"]), "").alias("seq"))
 
 
-def _features(spark, d, part):
-    own = V.table(spark, d, "lineitem").filter(part).groupBy(F.col("l_orderkey").alias("transcript_id"), F.col("l_linenumber").alias("i")).agg(F.floor(F.max("l_quantity")).alias("len"))
+def _features(spark, d):
+    own = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("transcript_id"), F.col("l_linenumber").alias("i")).agg(F.floor(F.max("l_quantity")).alias("len"))
     start = (F.col("transcript_id") % 50) * 20 + F.col("i") * 60
     return own.select("transcript_id", F.when(F.col("transcript_id") % 2 == 0, "+").otherwise("-").alias("strand"), F.concat(F.lit("c"), (F.col("transcript_id") % 5).cast("string")).alias("seqname"), start.alias("start"), (start + F.col("len")).alias("end"))
 
 
 @query(f"""WITH {V.SEQS}, {_GENOME}, {_FEATURES}, s AS (SELECT transcript_id, min(strand) AS strand, string_agg(substr(seq, start + 1, "end" - start), '' ORDER BY start) AS seq FROM feat JOIN genome ON sn = seqname GROUP BY transcript_id)
 SELECT transcript_id, CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq FROM s""")
-def splice_sequence(spark, d, part="l_orderkey % 100 = 7"):
-    return A.spliced_sequences(_features(spark, d, part), _genome(spark, d))
-
-
-@query(SQL["splice_sequence"].replace(" WHERE l_orderkey % 100 = 7", ""))
-def splice_sequence_all(spark, d):
-    return splice_sequence(spark, d, part="true")
+def splice_sequence(spark, d):
+    return A.spliced_sequences(_features(spark, d), _genome(spark, d), width=1000)
 
 
 # --- strings ---
@@ -516,49 +478,30 @@ def poly_trim(spark, d):
     return cut.filter(F.col("size") < F.length("seq")).select("doc_id", "head", F.substr("seq", F.col("head") + 1, F.col("size")).alias("kept"))
 
 
-_COLORS = f"{V.SEQS}, colors AS (SELECT doc_id, 'T' || translate(seq, 'ACGT', '0123') || CASE WHEN doc_id % 4 = 0 THEN '0.00' WHEN doc_id % 4 = 1 THEN '.12' ELSE '' END AS c FROM seqs WHERE length(seq) < 400)"
-
+_COLORS = f"{V.SEQS}, colors AS (SELECT doc_id, 'T' || translate(seq, 'ACGT', '0123') || CASE WHEN doc_id % 4 = 0 THEN '0.00' WHEN doc_id % 4 = 1 THEN '.12' ELSE '' END AS c FROM seqs)"
 
-_SHORT = " WHERE length(seq) < 400"  # the forms without it are the *_all queries
 
-
-def _colors(spark, d, short=True):
+def _colors(spark, d):
     i = F.col("doc_id") % 4
-    rows = V.seqs(spark, d)
-    return (rows.filter(F.length("seq") < 400) if short else rows).select("doc_id", F.concat(F.lit("T"), F.translate("seq", "ACGT", "0123"), F.when(i == 0, "0.00").when(i == 1, ".12").otherwise("")).alias("c"))
+    return V.seqs(spark, d).select("doc_id", F.concat(F.lit("T"), F.translate("seq", "ACGT", "0123"), F.when(i == 0, "0.00").when(i == 1, ".12").otherwise("")).alias("c"))
 
 
 @query(f"WITH {_COLORS} SELECT doc_id, (length(regexp_replace(c, '[0.]+$', '')) - 2)::INTEGER AS tail, regexp_extract(c, '([0123.]*[123])[0.]+$', 1) AS trimmed FROM colors")
-def tail_trim(spark, d, short=True):
-    return _colors(spark, d, short).select("doc_id", S.color_tail(F.col("c")).alias("tail"), S.trimmed_colors(F.col("c")).alias("trimmed"))
-
-
-@query(SQL["tail_trim"].replace(_SHORT, ""))
-def tail_trim_all(spark, d):
-    return tail_trim(spark, d, short=False)
+def tail_trim(spark, d):
+    return _colors(spark, d).select("doc_id", S.color_tail(F.col("c")).alias("tail"), S.trimmed_colors(F.col("c")).alias("trimmed"))
 
 
 @query(f"WITH {_COLORS} SELECT doc_id, regexp_replace(translate(substr(c, 3), '0123.', 'ACGTN'), '[^ACGTN]', '', 'g') AS encoded FROM colors")
-def double_encode(spark, d, short=True):
-    return _colors(spark, d, short).select("doc_id", S.double_encode(F.col("c")).alias("encoded"))
-
-
-@query(SQL["double_encode"].replace(_SHORT, ""))
-def double_encode_all(spark, d):
-    return double_encode(spark, d, short=False)
+def double_encode(spark, d):
+    return _colors(spark, d).select("doc_id", S.double_encode(F.col("c")).alias("encoded"))
 
 
 @query(f"""WITH {_COLORS}, x AS (SELECT doc_id, unnest(string_split(c, '')) AS ch, generate_subscripts(string_split(c, ''), 1) AS i FROM colors),
 n AS (SELECT doc_id, i, CASE WHEN i = 1 THEN 3 WHEN ch IN ('0', '1', '2', '3') THEN ch::INTEGER ELSE 0 END AS v, CASE WHEN i > 1 AND ch NOT IN ('0', '1', '2', '3') THEN 1 ELSE 0 END AS bad FROM x),
 b AS (SELECT doc_id, i, (sum(v & 1) OVER w % 2 + 2 * (sum(v >> 1) OVER w % 2))::INTEGER AS code, sum(bad) OVER w AS bad FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i))
 SELECT doc_id, string_agg(CASE WHEN bad > 0 THEN 'N' ELSE substr('ACGT', code + 1, 1) END, '' ORDER BY i) AS bases FROM b GROUP BY doc_id""")
-def dibase_decode(spark, d, short=True):
-    return _colors(spark, d, short).select("doc_id", S.dibase_decode(F.col("c")).alias("bases"))
-
-
-@query(SQL["dibase_decode"].replace(_SHORT, ""))
-def dibase_decode_all(spark, d):
-    return dibase_decode(spark, d, short=False)
+def dibase_decode(spark, d):
+    return _colors(spark, d).select("doc_id", S.dibase_decode(F.col("c")).alias("bases"))
 
 
 _QUALS = "q AS (SELECT l_orderkey, list(floor(l_quantity)::INTEGER - 1 ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey, l_extendedprice) AS q FROM lineitem GROUP BY l_orderkey)"
@@ -579,20 +522,33 @@ def quality_text(spark, d):
     return _quals(spark, d).select("l_orderkey", S.quality_text(F.col("q")).alias("text"))
 
 
-# --- random operators: the rows are seeded, so tests compare properties ---
+# --- random operators: numbers are md5 sums of a row and a seed, so SQL can draw the same ---
 
 
-@query()
+@query(f"""WITH {V.SEQS}, n AS (SELECT (max(doc_id) + 1) // 4 AS n FROM seqs), t AS (SELECT floor({V.uniform_sql("1", "id")} * n)::BIGINT AS g, count(*) AS c FROM (SELECT unnest(range(0, 500)) AS id), n WHERE n > 0 GROUP BY g)
+SELECT doc_id AS ord, seq, unnest(range(0, c)) AS copy FROM seqs JOIN t ON doc_id // 4 = g""")
 def resample(spark, d):
     lines = V.seqs(spark, d).select(F.col("doc_id").alias("ord"), "seq")
     return sampling.resample(lines, 500, 4)
 
 
-@query()
+_KLETS = "unnest(list_transform(range(1, length(seq)), lambda i: substr(seq, i, 2)))"
+
+
+@query(f"""WITH {V.SEQS}, k AS (SELECT doc_id, unnest(range(0, 2))::INTEGER AS draw, seq FROM seqs), e AS (SELECT doc_id, draw, {_KLETS} AS klet FROM k WHERE length(seq) > 1) SELECT doc_id, draw, klet, count(*) AS n FROM e GROUP BY ALL""")
 def shuffle(spark, d):
-    return sampling.klet_shuffle(V.seqs(spark, d), "doc_id", "seq", 2, 2)
+    """How often each k-let stands in the shuffles, which is how often it stands in the sequences."""
+    drawn = sampling.klet_shuffle(V.seqs(spark, d), "doc_id", "seq", 2, 2)
+    return drawn.select("doc_id", "draw", F.explode(S.klets(F.col("shuffled"), 2)).alias("klet")).groupBy("doc_id", "draw", "klet").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT id, i, {V.uniform_sql("1", "id", "i")} AS u FROM (SELECT unnest(range(0, 50)) AS id), (SELECT unnest(range(1, 301)) AS i)),
+s AS (SELECT id, string_agg(CASE WHEN u < 0.3 THEN 'G' WHEN u < 0.6 THEN 'C' WHEN u < 0.8 THEN 'A' ELSE 'T' END, '' ORDER BY i) AS seq FROM b GROUP BY id)
+SELECT id, seq, regexp_replace(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') AS wrapped FROM s""")
 def randseq(spark, d):
     return sampling.random_sequences(spark, 50, 300, 0.6)
+
+
+from . import details, exchange  # noqa: E402, F401
+
+__all__ = ["QUERIES", "SQL"]

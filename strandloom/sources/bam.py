@@ -1,18 +1,23 @@
 """BAM as a Python data source: block-gzip files split at compressed offsets, records found inside the splits.
 
-A split starts at the first block at or after its offset; the first record in
-it is the first place from which a chain of plausible records runs, checked
-over all that the first blocks hold.
+A split has the records that begin in a block at or after its start and before
+its end.  Where its first block does not begin with the header's end, the first
+record is the first place from which a chain of plausible records runs, over a
+few records and all that the blocks read so far hold.  Filters on seqname and
+pos are tried before a record is decoded, and an index beside the file (.bai)
+rules out splits.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..coords import ALIGNMENTS
 
@@ -20,6 +25,11 @@ from ..coords import ALIGNMENTS
 NUCLEOTIDES, OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 TAG_TYPES = {"c": ("b", 1), "C": ("B", 1), "s": ("h", 2), "S": ("H", 2), "i": ("i", 4), "I": ("I", 4), "f": ("f", 4)}
 SPLIT = 32 << 20
+#: Records in a batch, and records in a row that tell where one begins.
+BATCH, CHAIN = 4096, 4
+_TAG = pa.struct([("type", pa.string()), ("value", pa.string())])
+_KINDS = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())])), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), _TAG)]
+_NAMES = ["qname", "flag", "seqname", "pos", "mapq", "cigar", "mseqname", "mpos", "isize", "seq", "qual", "aux"]
 
 
 class Split(InputPartition):
@@ -27,13 +37,27 @@ class Split(InputPartition):
         self.path, self.start, self.stop = path, start, stop
 
 
-def _opened(path: str):
+def _system(path: str):
     import pyarrow.fs as fs
 
-    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _opened(path: str):
+    system, name = _system(path)
     return system.open_input_file(name), system.get_file_info(name).size
 
 
+def _files(path: str) -> list[str]:
+    """The file, or the .bam files of a folder."""
+    import pyarrow.fs as fs
+
+    system, name = _system(path)
+    if system.get_file_info(name).type != fs.FileType.Directory:
+        return [path]
+    return [f"{path.rstrip('/')}/{f.base_name}" for f in sorted(system.get_file_info(fs.FileSelector(name)), key=lambda f: f.base_name) if f.base_name.endswith(".bam")]
+
+
 def _block_size(head: bytes) -> int:
     """Size of the block that begins here; 0 if none does."""
     if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
@@ -114,13 +138,17 @@ def _plausible(data: bytes, at: int, n_targets: int) -> int:
     return at + 4 + size if good else 0
 
 
-def _first_record(data: bytes, n_targets: int) -> int | None:
-    for at in range(len(data)):
-        end, chain = at, 0
-        while end and end + 36 <= len(data):
-            end = _plausible(data, end, n_targets)
-            chain += 1
-        if end and chain:
+def _first_record(data: bytes, n_targets: int, whole: bool) -> int | None:
+    """The first place from which CHAIN plausible records run (or, at the end of the file, as many as there are up to it)."""
+    for at in range(len(data) - 3):
+        end, run = at, 0
+        while run < CHAIN and end + 36 <= len(data):
+            after = _plausible(data, end, n_targets)
+            if not after:
+                end = -1
+                break
+            end, run = after, run + 1
+        if run == CHAIN or whole and run and end == len(data):
             return at
     return None
 
@@ -166,15 +194,71 @@ def decode(data: bytes, names: list[str]) -> tuple:
     return (qname, flag, name(tid), pos, bits >> 8 & 0xFF, walk, name(mtid), mpos, isize, seq, None if not l_seq or qual[0] == 0xFF else "".join(chr(q + 33) for q in qual), aux)
 
 
+def read_index(path: str) -> list[tuple[int, int] | None] | None:
+    """For each target the compressed offsets (first block, last block) of its records, from the index beside the file, if there is one."""
+    system, name = _system(path + ".bai")
+    if not system.get_file_info(name).is_file:
+        return None
+    data = system.open_input_file(name).read()
+    if data[:4] != b"BAI\1":
+        raise ValueError("not a BAM index")
+    (n,), at, out = struct.unpack_from("<i", data, 4), 8, []
+    for _ in range(n):
+        (bins,), at, low, high = struct.unpack_from("<i", data, at), at + 4, None, 0
+        for _ in range(bins):
+            number, chunks = struct.unpack_from("<Ii", data, at)
+            for begin, end in struct.iter_unpack("<QQ", data[at + 8 : at + 8 + 16 * chunks]):
+                if number != 37450:  # the last number holds counts, no places
+                    low, high = begin if low is None else min(low, begin), max(high, end)
+            at += 8 + 16 * chunks
+        (linear,) = struct.unpack_from("<i", data, at)
+        at += 4 + 8 * linear
+        out.append(None if low is None else (low >> 16, high >> 16))
+    return out
+
+
 class BamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.size = options["path"], int(options.get("splitbytes", SPLIT))
+        self.seqname, self.low, self.high = None, None, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """seqname = x and bounds of pos skip records before they are decoded; Spark tests all filters again."""
+        for f in filters:
+            column = f.attribute[0].lower() if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if column == "seqname" and isinstance(f, EqualTo):
+                self.seqname = f.value
+            elif column == "pos" and isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                self.low = f.value if self.low is None else max(self.low, f.value)
+            if column == "pos" and isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                self.high = f.value if self.high is None else min(self.high, f.value)
+            yield f
 
     def partitions(self):
-        _, size = _opened(self.path)
-        return [Split(self.path, a, min(size, a + self.size)) for a in range(0, max(1, size), self.size)]
+        out = []
+        for path in _files(self.path):
+            file, size = _opened(path)
+            first, last = 0, size
+            if self.seqname is not None and (index := read_index(path)) is not None:
+                names = [t[0] for t in _header(file)[0]]
+                place = index[names.index(self.seqname)] if self.seqname in names else None
+                if place is None:
+                    continue
+                first, last = place[0], place[1] + 1
+            out += [Split(path, a, min(last, a + self.size)) for a in range(first, max(first + 1, last), self.size)]
+        return out
 
     def read(self, split: Split):
+        rows = []
+        for row in self._rows(split):
+            rows.append(row)
+            if len(rows) == BATCH:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
+
+    def _rows(self, split: Split):
         file, size = _opened(split.path)
         targets, block, place = _header(file)
         names = [t[0] for t in targets]
@@ -183,36 +267,44 @@ class BamReader(DataSourceReader):
         at = block if split.start <= block else _first_block(file, split.start, size)
         if at is None or at >= split.stop:
             return
-        data, ends, found = b"", [], at == block
-        drop = place if found else 0
-        for offset, content in _blocks(file, at):
-            if found and offset >= split.stop and not data:
-                return
-            if not found and offset >= split.stop:
-                return
-            ends.append((len(data), offset))
+        wanted = names.index(self.seqname) if self.seqname in names else None
+        data, begin, marks = b"", place if at == block else None, []
+        for offset, content in chain(_blocks(file, at), [(size, b"")]):
+            marks.append((len(data), offset))
             data += content
-            if not found:
-                first = _first_record(data, len(names))
-                if first is None:
+            if begin is None:  # read on, beyond the split too, until it is clear where a record begins
+                begin = _first_record(data, len(names), whole=offset == size)
+                if begin is None:
                     continue
-                drop, found = first, True
-            begin = drop
+            i = 0
             while begin + 4 <= len(data):
-                own = max(m for m in ends if m[0] <= begin)[1]
-                if own >= split.stop:
+                while i + 1 < len(marks) and marks[i + 1][0] <= begin:
+                    i += 1
+                if marks[i][1] >= split.stop:
                     return
                 length = struct.unpack_from("<i", data, begin)[0]
                 if begin + 4 + length > len(data):
                     break
-                yield decode(data[begin + 4 : begin + 4 + length], names)
+                tid, pos = struct.unpack_from("<ii", data, begin + 4)
+                if (self.seqname is None or tid == wanted) and (self.low is None or pos >= self.low) and (self.high is None or pos <= self.high):
+                    yield decode(data[begin + 4 : begin + 4 + length], names)
                 begin += 4 + length
-            ends = [(max(0, m - begin), o) for m, o in ends if m >= begin or (m, o) == max(x for x in ends if x[0] <= begin)]
-            data, drop = data[begin:], 0
+            if begin < len(data):
+                while i + 1 < len(marks) and marks[i + 1][0] <= begin:
+                    i += 1
+                data, marks, begin = data[begin:], [(max(0, m - begin), o) for m, o in marks[i:]], 0
+            else:
+                data, marks, begin = b"", [], 0
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    columns[-1] = [list(x.items()) for x in columns[-1]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS)], _NAMES)
 
 
 class BamSource(DataSource):
-    """format('bam'): one file in `path`, option splitBytes."""
+    """format('bam'): a file, or a folder of .bam files, in `path`; option splitBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -225,34 +317,104 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, the session's default one where none is named."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def read_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
+    """Alignments of a file or folder.  Filters reach the reader where the session allows it for Python sources."""
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").option("splitBytes", split_bytes).load(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("bam").option("splitBytes", split_bytes).load(_qualified(spark, path))
 
 
 def read_bam_targets(spark: SparkSession, path: str) -> DataFrame:
-    """seqname, length of the header."""
-    return spark.createDataFrame(_header(_opened(path)[0])[0], "seqname string, length long")
+    """seqname, length of the header (of a folder's first file)."""
+    return spark.createDataFrame(_header(_opened(_files(_qualified(spark, path))[0])[0])[0], "seqname string, length long")
 
 
-def write_bam(rows: list[tuple], targets: list[tuple[str, int]], path: str, block: int = 60000) -> None:
-    """A small BAM file from rows of the canonical schema, for exchange and tests."""
-    index = {n: i for i, (n, _) in enumerate(targets)}
+def encode(row: tuple, index: dict[str, int]) -> bytes:
+    """One row of the canonical schema as a record with its size; tags of types Z and A stay, others are written as integers."""
+    qname, flag, seqname, pos, mapq, walk, mseqname, mpos, isize, seq, qual, aux = row
+    codes = [NUCLEOTIDES.index(c) for c in seq or ""]
+    codes += [0] * (len(codes) % 2)
+    body = struct.pack("<iiIIiiii", index.get(seqname, -1), pos, len(qname) + 1 | mapq << 8, len(walk) | flag << 16, len(seq or ""), index.get(mseqname, -1), mpos, isize)
+    body += qname.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | OPERATIONS.index(op)) for op, n in walk)
+    body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + (bytes(ord(c) - 33 for c in qual) if qual else b"\xff" * len(seq or ""))
+    for tag, (kind, value) in (aux or {}).items():
+        body += tag.encode() + (b"Z" + value.encode() + b"\0" if kind == "Z" else b"A" + value.encode() if kind == "A" else b"i" + struct.pack("<i", int(value)))
+    return struct.pack("<i", len(body)) + body
+
+
+def _compressed(part: bytes) -> bytes:
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    packed = deflate.compress(part) + deflate.flush()
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(part), len(part))
+
+
+def _start(targets: list[tuple[str, int]]) -> bytes:
     text = "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in targets).encode()
-    data = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(targets))
-    for n, size in targets:
-        data += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size)
-    for qname, flag, seqname, pos, mapq, walk, mseqname, mpos, isize, seq, qual, aux in rows:
-        codes = [NUCLEOTIDES.index(c) for c in seq or ""]
-        codes += [0] * (len(codes) % 2)
-        body = struct.pack("<iiIIiiii", index.get(seqname, -1), pos, len(qname) + 1 | mapq << 8, len(walk) | flag << 16, len(seq or ""), index.get(mseqname, -1), mpos, isize)
-        body += qname.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | OPERATIONS.index(op)) for op, n in walk)
-        body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + (bytes(ord(c) - 33 for c in qual) if qual else b"\xff" * len(seq or ""))
-        for tag, (kind, value) in (aux or {}).items():
-            body += tag.encode() + (b"Z" + value.encode() + b"\0" if kind == "Z" else b"A" + value.encode() if kind == "A" else b"i" + struct.pack("<i", int(value)))
-        data += struct.pack("<i", len(body)) + body
-    with open(path, "wb") as out:
-        for part in [data[a : a + block] for a in range(0, len(data), block)] + [b""]:
-            deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
-            packed = deflate.compress(part) + deflate.flush()
-            out.write(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(part), len(part)))
+    return b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(targets)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in targets)
+
+
+def bam_blocks(rows: Iterable[tuple], targets: list[tuple[str, int]], block: int = 60000, aligned: bool = False) -> Iterator[bytes]:
+    """The compressed blocks of a file; aligned: records do not cross from one block into the next (unless longer than one)."""
+    index, held = {n: i for i, (n, _) in enumerate(targets)}, _start(targets)
+    if aligned:
+        yield _compressed(held)
+        held = b""
+    for row in rows:
+        record = encode(row, index)
+        if aligned and held and len(held) + len(record) > block:
+            yield _compressed(held)
+            held = b""
+        held += record
+        while len(held) > block:
+            yield _compressed(held[:block])
+            held = held[block:]
+    if held:
+        yield _compressed(held)
+    yield _compressed(b"")
+
+
+def write_bam(rows: list[tuple], targets: list[tuple[str, int]], path: str, block: int = 60000, aligned: bool = False) -> None:
+    """A small BAM file from rows of the canonical schema, for exchange and tests."""
+    system, name = _system(path)
+    with system.open_output_stream(name) as out:
+        for part in bam_blocks(rows, targets, block, aligned):
+            out.write(part)
+
+
+def save_bam(df: DataFrame, targets: list[tuple[str, int]], path: str) -> int:
+    """Rows of the canonical schema as a folder of BAM files, one for each partition; returns the number of rows.
+
+    A task writes its file aside and moves it to its place, so tasks that are tried again do no harm.
+    """
+    place = _qualified(df.sparkSession, path)
+    system, name = _system(place)
+    system.create_dir(name)
+
+    def written(stream):
+        from pyspark import TaskContext
+
+        count = 0
+
+        def rows():
+            nonlocal count
+            for batch in stream:
+                for row in batch.select(_NAMES).to_pylist():
+                    count += 1
+                    yield (*[row[c] for c in _NAMES[:5]], [(x["op"], x["len"]) for x in row["cigar"] or []], *[row[c] for c in _NAMES[6:11]], {k: (v["type"], v["value"]) for k, v in row["aux"] or []})
+
+        own, folder = _system(place)
+        task = TaskContext.get()
+        aside, at = f"{folder}/_aside-{task.taskAttemptId()}", f"{folder}/part-{task.partitionId():06d}.bam"
+        with own.open_output_stream(aside) as out:
+            for part in bam_blocks(rows(), targets):
+                out.write(part)
+        own.move(aside, at)
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], ["n"])
+
+    return df.select(*_NAMES).mapInArrow(written, "n long").groupBy().sum("n").first()[0] or 0

@@ -30,9 +30,13 @@ def attributes(column: Column) -> Column:
 
 
 def read_gtf(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_gtf(text(spark, path))
+
+
+def parse_gtf(lines: DataFrame) -> DataFrame:
     """seqname, source, feature, start, end, score, strand, frame, attributes; comments and short lines are skipped."""
     f = Fields(F.split("value", "\t"))
-    rows = text(spark, path).filter(~F.col("value").startswith("#") & (F.size(F.split("value", "\t")) >= 8))
+    rows = lines.filter(~F.col("value").startswith("#") & (F.size(F.split("value", "\t")) >= 8))
     dot = lambda i: F.when(f[i] != ".", f[i])
     return rows.select(
         f[0].alias("seqname"), f[1].alias("source"), f[2].alias("feature"), (f[3].try_cast("long") - 1).alias("start"), f[4].try_cast("long").alias("end"),
@@ -48,9 +52,13 @@ def exons(gtf: DataFrame, feature: str = "exon") -> DataFrame:
 
 
 def read_bed(spark: SparkSession, path: str | list[str], blanks: bool = False) -> DataFrame:
+    return parse_bed(text(spark, path), blanks)
+
+
+def parse_bed(lines: DataFrame, blanks: bool = False) -> DataFrame:
     """seqname, start, end, name ('' if absent), score (0), score_text, strand ('.'), extra; rows of under three columns are skipped."""
     f = F.split(F.trim("value"), r"\s+" if blanks else "\t")
-    rows = text(spark, path).filter(~F.col("value").rlike("^(#|track|browser)")).select(f.alias("f")).filter(F.size("f") >= 3)
+    rows = lines.filter(~F.col("value").rlike("^(#|track|browser)")).select(f.alias("f")).filter(F.size("f") >= 3)
     get = lambda i, default: F.coalesce(F.get("f", F.lit(i)), F.lit(default))
     return rows.select(
         F.get("f", F.lit(0)).alias("seqname"), F.get("f", F.lit(1)).try_cast("long").alias("start"), F.get("f", F.lit(2)).try_cast("long").alias("end"), get(3, "").alias("name"),
@@ -92,7 +100,7 @@ def read_sam_targets(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """id, description, seq, ord.  Records are split at '\\n>', so a large file is read by many tasks."""
-    rows = numbered(text(spark, path, "\n>").filter(F.trim("value") != ""))
+    rows = numbered(text(spark, path, "\n>", placed=True).filter(F.trim("value") != ""))
     head = F.regexp_replace(F.split("value", "\n", 2)[0], "^>", "")
     body = F.coalesce(F.get(F.split("value", "\n", 2), F.lit(1)), F.lit(""))
     return rows.select(F.split(head, r"\s", 2)[0].alias("id"), head.alias("description"), F.regexp_replace(body, r"\s", "").alias("seq"), "ord")
@@ -109,6 +117,20 @@ def chunked(fasta: DataFrame, width: int = 1 << 16) -> DataFrame:
     return fasta.select(F.col("id").alias("seqname"), at.alias("chunk_start"), "seq").select("seqname", F.col("chunk_start").cast("long").alias("chunk_start"), F.substr("seq", F.col("chunk_start") + 1, F.lit(width)).alias("seq"))
 
 
+def fetch(genome: DataFrame, regions: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Columns of regions (seqname, start, end, half-open) with seq, from a sequence in chunks of `width`.
+
+    Ends beyond the sequence are cut; a sequence that the genome lacks gives null.
+    """
+    key = ["seqname", "start", "end"]
+    parts = regions.select(*key).distinct().withColumn("c", F.explode(F.sequence(F.floor(F.greatest("start", F.lit(0)) / width), F.floor((F.greatest("end", F.lit(1)) - 1) / width))))
+    hits = parts.join(genome.select("seqname", F.floor(F.col("chunk_start") / width).alias("c"), "chunk_start", F.col("seq").alias("_s")), ["seqname", "c"])
+    low = F.greatest(F.col("start") - F.col("chunk_start"), F.lit(0))
+    piece = F.struct("c", F.substr("_s", (low + 1).cast("int"), F.greatest(F.col("end") - F.col("chunk_start") - low, F.lit(0)).cast("int")).alias("s"))
+    found = hits.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["s"]), "").alias("seq"))
+    return regions.join(found, key, "left").select(*regions.columns, "seq")
+
+
 def fasta_index(fasta: DataFrame) -> DataFrame:
     """seqname, length of each record."""
     return fasta.select(F.col("id").alias("seqname"), F.length("seq").cast("long").alias("length"))
@@ -116,27 +138,38 @@ def fasta_index(fasta: DataFrame) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str | list[str], comments: bool = False) -> DataFrame:
     """id1, seq, id2, qual, ord from four lines a record; with comments, '#' lines are skipped first."""
-    lines = text(spark, path)
+    lines = text(spark, path, placed=True)
     lines = numbered(lines.filter(~F.col("value").startswith("#")) if comments else lines, "line")
     rows = lines.groupBy(F.floor(F.col("line") / 4).alias("ord")).agg(*(F.max(F.when(F.col("line") % 4 == i, F.col("value"))).alias(c) for i, c in enumerate(("id1", "seq", "id2", "qual"))))
     return rows.select(F.regexp_replace("id1", "^@", "").alias("id1"), "seq", F.regexp_replace("id2", r"^\+", "").alias("id2"), "qual", "ord").filter("seq is not null")
 
 
-def read_csfasta(spark: SparkSession, colors: str, quals: str) -> DataFrame:
-    """name, colors, qual, ord from a pair of files; a pair of names that differ is an error."""
+def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """id1, seq, id2, qual, ord from FASTQ or FASTA, told apart by the first sign; reads of FASTA have no qualities."""
+    first = text(spark, path).filter("value != ''").select(F.substring("value", 1, 1)).first()
+    if first and first[0] == ">":
+        return read_fasta(spark, path).select(F.col("description").alias("id1"), "seq", F.lit("").alias("id2"), F.lit("").alias("qual"), "ord")
+    return read_fastq(spark, path)
+
+
+def read_csfasta(spark: SparkSession, colors: str, quals: str | None = None) -> DataFrame:
+    """name, colors, qual, ord from a pair of files; a pair of names that differ is an error.  Without a quality file qual is null."""
 
     def pairs(path: str) -> DataFrame:
-        lines = numbered(text(spark, path).filter(~F.col("value").startswith("#")), "line")
+        lines = numbered(text(spark, path, placed=True).filter(~F.col("value").startswith("#")), "line")
         return lines.groupBy(F.floor(F.col("line") / 2).alias("ord")).agg(F.max(F.when(F.col("line") % 2 == 0, F.col("value"))).alias("name"), F.max(F.when(F.col("line") % 2 == 1, F.col("value"))).alias("body"))
 
+    plain = F.regexp_replace("name", "^>", "")
+    if quals is None:
+        return pairs(colors).select(plain.alias("name"), F.col("body").alias("colors"), F.lit(None).cast("array<int>").alias("qual"), "ord")
     both = R.zipped(pairs(colors), pairs(quals))
-    same = F.when(F.col("name") != F.col("name_2"), F.raise_error(F.concat(F.lit("names differ: "), "name", F.lit(" "), "name_2"))).otherwise(F.regexp_replace("name", "^>", ""))
+    same = F.when(F.col("name") != F.col("name_2"), F.raise_error(F.concat(F.lit("names differ: "), "name", F.lit(" "), "name_2"))).otherwise(plain)
     return both.select(same.alias("name"), F.col("body").alias("colors"), F.transform(F.split(F.trim("body_2"), r"\s+"), lambda q: q.cast("int")).alias("qual"), "ord")
 
 
 def read_emf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """block, col (of the species), row (1, 2, ...), species, seqname, start, end, strand, base from alignment blocks."""
-    blocks = numbered(text(spark, path, "\n//").filter(F.col("value").contains("DATA")), "block")
+    blocks = numbered(text(spark, path, "\n//", placed=True).filter(F.col("value").contains("DATA")), "block")
     lines = F.filter(F.split("value", "\n"), lambda x: ~x.startswith("#") & (F.trim(x) != ""))
     heads = F.filter(lines, lambda x: x.startswith("SEQ"))
     rows = F.slice(lines, F.array_position(lines, F.lit("DATA")).cast("int") + 1, F.size(lines))
@@ -148,4 +181,4 @@ def read_emf(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """ord, value."""
-    return numbered(text(spark, path))
+    return numbered(text(spark, path, placed=True))

@@ -1,4 +1,4 @@
-"""Text lines with their number in the file."""
+"""Text lines with their number in the files."""
 
 from __future__ import annotations
 
@@ -7,20 +7,29 @@ from pyspark.sql import functions as F
 
 
 def numbered(df: DataFrame, name: str = "ord") -> DataFrame:
-    """df with a dense record number in scan order.
+    """Placed lines (or what filters leave of them) with a dense record number: files by path, lines in order.
 
-    Rows are counted per input partition and the few counts summed up, so no
-    row moves.  The scan's splits have to be the same in both passes, which
-    holds for files that do not change.
+    A task may scan parts of several files in any order, so rows are counted
+    for each file part (which one task scans from front to back) and the few
+    counts summed up; no row moves.  Frames that are not from files are numbered
+    by their partitions.  Both passes have to meet the same rows, which holds
+    for files that do not change.
     """
-    rows = df.withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33))
-    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("_part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_base"))
-    return rows.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_part", "_base")
+    part = ["_file", "_block"] if "_file" in df.columns else ["_part"]
+    rows = df.withColumn("_m", F.monotonically_increasing_id())
+    if part == ["_part"]:
+        rows = rows.withColumn("_part", F.shiftright("_m", 33))
+    counts = rows.groupBy(*part).agg(F.count("*").alias("_n"), F.min("_m").alias("_low"))
+    order = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)  # one row a file part
+    base = counts.select(*part, "_low", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_base"))
+    return rows.join(F.broadcast(base), part).withColumn(name, F.col("_base") + F.col("_m") - F.col("_low")).drop("_m", "_low", "_base", *part)
 
 
-def text(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
-    """Lines (or records that end in `separator`) without carriage returns: value.  Compressed files are read as such."""
+def text(spark: SparkSession, path: str | list[str], separator: str | None = None, placed: bool = False) -> DataFrame:
+    """Lines (or records that end in `separator`) without carriage returns: value.  Compressed files are read as such.
+
+    With `placed` also the file and where the scanned part of it begins, for numbered().
+    """
     reader = spark.read.option("lineSep", separator) if separator else spark.read
-    return reader.text(path).select(F.regexp_replace("value", "\r", "").alias("value"))
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")] if placed else []
+    return reader.text(path).select(F.regexp_replace("value", "\r", "").alias("value"), *where)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..operators import intervals
+from ..shared import scratch
 
 
 def renamed(lines: DataFrame, column: str = "seqname") -> DataFrame:
@@ -44,3 +46,35 @@ def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type"
 def deduplicated(events: DataFrame, key: list[str], time: str = "ts", late: str = "2 hours") -> DataFrame:
     """The first of repeated rows within the watermark."""
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
+
+
+def depth_changes(blocks: DataFrame) -> DataFrame:
+    """Incremental changes of depth: seqname, p, d over the blocks (seqname, start, end) so far; update or complete mode."""
+    ends = F.array(F.struct(F.col("start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end").alias("p"), F.lit(-1).alias("d")))
+    return blocks.select("seqname", F.explode(ends).alias("x")).groupBy("seqname", F.col("x.p").alias("p")).agg(F.sum("x.d").alias("d"))
+
+
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stream of the rows of a stored table."""
+    path = f"{folder}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def finished(counts: DataFrame) -> DataFrame:
+    """What an aggregation over a stream says once all that is there has been read: each batch's table replaces the one before."""
+    spark = counts.sparkSession
+    out = scratch(spark, "stream")
+    query = (
+        counts.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}/state")
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/table")).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{out}/table")
+
+
+def finished_coverage(changes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Coverage runs of all blocks that depth_changes() has seen of a stream."""
+    done = finished(changes)
+    zero = done.select("seqname").distinct().select("seqname", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("d"))
+    events = done.union(zero).groupBy("seqname", "p").agg(F.sum("d").alias("d"))
+    return intervals.depth_runs(events, targets, ["seqname"])

@@ -23,9 +23,13 @@ def some(n, seed, span=300, most=40):
 
 @pytest.fixture(autouse=True)
 def narrow(monkeypatch):
-    for f in (sweep.with_bin, sweep.merge_runs, I.interval_join):
+    for f in (sweep.with_bin, sweep.binned, sweep.merge_runs, I.interval_join):
         monkeypatch.setattr(f, "__defaults__", tuple(16 if d == 1 << 16 else d for d in f.__defaults__))
-    monkeypatch.setitem(I.running_depth.__kwdefaults__, "width", 16)
+    for f in (I.running, I.neighbours):
+        if f.__kwdefaults__ and "width" in f.__kwdefaults__:
+            monkeypatch.setitem(f.__kwdefaults__, "width", 16)
+        elif f.__defaults__:
+            monkeypatch.setattr(f, "__defaults__", tuple(16 if d == 1 << 16 else d for d in f.__defaults__))
 
 
 def bases(rows, key):
@@ -116,6 +120,47 @@ def test_nearest(spark):
         assert r._distance == (starts[r.seqname][i] - r.end if i < len(starts[r.seqname]) else None)
 
 
+def test_gaps_of_nested_rows(spark):
+    rows = [("t", "+", s, e, "x", 0.0, i) for i, (s, e) in enumerate([(0, 100), (10, 20), (50, 60), (200, 300), (300, 310)])]
+    got = I.gaps(spark.createDataFrame(rows, ROWS), ["seqname"]).collect()
+    assert [(r.start, r.end) for r in got] == [(100, 200)]
+
+
+def test_nearest_of_both(spark):
+    a, b = some(50, 12), some(30, 13)
+    for ties in ("left", "right"):
+        got = I.nearest_of_both(spark.createDataFrame(a, ROWS), spark.createDataFrame(b, ROWS), ["seqname"], ties, "name").collect()
+        assert len(got) == 50
+        for r in got:
+            left = [(r.start - x[3], 0 if ties == "left" else 1, "left") for x in b if x[0] == r.seqname and x[3] <= r.start]
+            right = [(x[2] - r.end, 0 if ties == "right" else 1, "right") for x in b if x[0] == r.seqname and x[2] >= r.end]
+            best = min(left + right, default=(None, 0, None))
+            assert (r._distance, r._side) == (best[0], best[2])
+
+
+def test_merge_first(spark):
+    rows = [("a", 5, 9, "second", 2.0, "2"), ("a", 1, 6, "first", 0.5, "0.50"), ("a", 1, 3, "tie", 7.0, "7e0"), ("a", 20, 21, "alone", 1.0, "1")]
+    got = I.merge_first(spark.createDataFrame(rows, "seqname string, start long, end long, name string, score double, score_text string"), ["seqname"], ["end", "name"], "name", "score").collect()
+    assert sorted((r.start, r.end, r.name, r.score, r.top) for r in got) == [(1, 9, "tie", 7.0, "7e0"), (20, 21, "alone", 1.0, "1")]
+
+
+def test_neighbours(spark):
+    r = random.Random(3)
+    rows = [(r.choice("ab"), r.randrange(300), i) for i in range(60)]
+    got = I.neighbours(spark.createDataFrame(rows, "seqname string, at long, id long"), ["seqname"], ["at", "id"], left="lag:id", right="lead:id").collect()
+    for name in "ab":
+        line = [i for _, _, i in sorted(x for x in rows if x[0] == name)]
+        around = {i: (p, n) for p, i, n in zip([None, *line], line, [*line[1:], None])}
+        assert all((x.left, x.right) == around[x.id] for x in got if x.seqname == name)
+
+
+def test_runs(spark):
+    points = [("a", p, v) for p, v in [(0, 1), (5, 1), (9, 2), (40, 2), (41, 0), (90, 2)]] + [("b", 3, 7)]
+    targets = spark.createDataFrame([("a", 100), ("b", 3)], "seqname string, length long")
+    got = I.run_lengths(spark.createDataFrame(points, "seqname string, p long, v int"), ["seqname"], "v", targets).collect()
+    assert sorted(map(tuple, got)) == [("a", 0, 9, 1), ("a", 9, 41, 2), ("a", 41, 90, 0), ("a", 90, 100, 2)]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], ROWS)
     some_rows = spark.createDataFrame(some(5, 1), ROWS)
