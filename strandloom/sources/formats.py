@@ -120,7 +120,7 @@ def chunked(fasta: DataFrame, width: int = 1 << 16) -> DataFrame:
 def fetch(genome: DataFrame, regions: DataFrame, width: int = 1 << 16) -> DataFrame:
     """Columns of regions (seqname, start, end, half-open) with seq, from a sequence in chunks of `width`.
 
-    Ends beyond the sequence are cut; a sequence that the genome lacks gives null.
+    Ends beyond the sequence are cut, so what lies beyond it is empty; a sequence that the genome lacks gives null.
     """
     key = ["seqname", "start", "end"]
     parts = regions.select(*key).distinct().withColumn("c", F.explode(F.sequence(F.floor(F.greatest("start", F.lit(0)) / width), F.floor((F.greatest("end", F.lit(1)) - 1) / width))))
@@ -128,7 +128,8 @@ def fetch(genome: DataFrame, regions: DataFrame, width: int = 1 << 16) -> DataFr
     low = F.greatest(F.col("start") - F.col("chunk_start"), F.lit(0))
     piece = F.struct("c", F.substr("_s", (low + 1).cast("int"), F.greatest(F.col("end") - F.col("chunk_start") - low, F.lit(0)).cast("int")).alias("s"))
     found = hits.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["s"]), "").alias("seq"))
-    return regions.join(found, key, "left").select(*regions.columns, "seq")
+    known = genome.select("seqname").distinct().withColumn("_known", F.lit(""))
+    return regions.join(found, key, "left").join(known, "seqname", "left").select(*regions.columns, F.coalesce("seq", "_known").alias("seq"))
 
 
 def fasta_index(fasta: DataFrame) -> DataFrame:

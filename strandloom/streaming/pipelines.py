@@ -40,7 +40,7 @@ def binned_counts(rows: DataFrame, width: int) -> DataFrame:
 
 def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts per event-time window; rows later than `late` behind the newest are dropped, state with them."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"))
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"))
 
 
 def deduplicated(events: DataFrame, key: list[str], time: str = "ts", late: str = "2 hours") -> DataFrame:
@@ -56,8 +56,8 @@ def depth_changes(blocks: DataFrame) -> DataFrame:
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stream of the rows of a stored table."""
-    path = f"{folder}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")  # a pattern may name a file or a folder
 
 
 def finished(counts: DataFrame) -> DataFrame:
