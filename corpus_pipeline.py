@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 as Parquet and read again as the next stage's docs.  All stages but the last
-return the columns of documents, and drop whole documents only.
+return the columns of documents, and drop whole documents only.  Every stage
+judges rows, so repeated rows and null ids are rows of their own; null and empty
+texts have no words.  An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -14,22 +16,28 @@ from strandloom.llm.runtime import passing_shuffles, read, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon, learned from the labels of these documents, does not reject."""
+    """Documents that the lexicon, learned from the labels of these documents, does not reject; without a word they stay."""
     return toxicity.remove_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group that shares 0.8 of its five-word shingles by a chain of links."""
+    """The document of smallest id of each group that shares 0.8 of its five-word shingles by a chain of links.
+
+    Rows with a null id and texts without words are in no group and stay.
+    """
     return neardup.remove_near_duplicates(docs, shingle=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth stands in the benchmark verbatim."""
+    """Documents of which less than a twentieth stands in the benchmark verbatim; texts without words stay."""
     return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of 0.9 of the tokens, sources, languages and topics a little flatter than the input's (token shares to the power 0.9)."""
+    """A sample of 0.9 of the tokens, sources, languages and topics a little flatter than the input's (token shares to the power 0.9).
+
+    A null source or language counts as ''; rows with a null id are drawn alike.
+    """
     return mixing.sampled(docs, power=0.9, budget=0.9)
 
 

@@ -32,17 +32,11 @@ def _size(found: Column) -> Column:
 LONG = 1 << 16
 
 
-def _place_bits(n: Column) -> Column:
-    """The low bits that hold a place in a text of n words."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(n + F.lit(1))).cast("int")) - F.lit(1).cast("long")
-
-
-def windows(hashes: Column, n: Column, seed: int) -> Column:
-    """3-word windows, sorted, from the words' hashes: each one long, hash bits above and its place below."""
-    low = _place_bits(n)
+def windows(hashes: str, n: Column, *seed: int) -> Column:
+    """3-word windows, sorted, from the words' hashes: each one long, hash bits (those of `high`) above and its place below."""
     return F.sort_array(F.transform(
         F.slice(hashes, 1, F.greatest(n - 2, F.lit(0)).cast("int")),
-        lambda h, i: F.xxhash64(F.lit(seed), h, F.get(hashes, i + 1), F.get(hashes, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")),
+        lambda h, i: F.xxhash64(*map(F.lit, seed), h, F.get(hashes, i + 1), F.get(hashes, i + 2)).bitwiseAND(F.col("high")).bitwiseOR(i),
     ))
 
 
@@ -76,20 +70,28 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
     counts = ["doc_id", "host", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     n, none = F.col("n_words"), F.array().cast("array<bigint>")
-    step = step.select(*counts, _place_bits(n).alias("low"), windows(F.col("hashes"), n, 1).alias("one"), F.when(n >= LONG, windows(F.col("hashes"), n, 2)).otherwise(none).alias("two"))
+    high = F.call_function("shiftleft", F.lit(-1).cast("long"), F.ceil(F.log2(n + F.lit(1))).cast("int"))
+    step = step.select(*counts, "hashes", high.alias("high"), F.bitwise_not(high).alias("low"))
+    step = step.select(*counts, "low", windows("hashes", n).alias("one"), F.when(n >= LONG, windows("hashes", n, 2)).otherwise(none).alias("two"))
     step = step.select(*counts, repeat_places("one").alias("p"), repeat_places("two").alias("q"))
     step = step.select(*counts, F.when(n >= LONG, F.sort_array(F.array_intersect("p", "q"))).otherwise(F.col("p")).alias("p"))
     covered = F.aggregate(F.transform("p", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("p", i + 1), p + 3) - p)), F.lit(0).cast("long"), lambda a, x: a + x)
     return step.select(*counts, covered.alias("n_repeat_words"))
 
 
+def plain_lines(text: Column) -> Column:
+    """The lines of a text: A-Z lower-cased, blanks between words single, none at the ends; '' where there is no word."""
+    single = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), r"[ \t\x0B\f\r]+", " ")
+    return F.split(F.btrim(single, F.lit(" ")), " ?\n ?")
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """Distinct lines of each distinct text: host, h, line (hash), n_words under them in the text."""
-    split = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words)
-    hashed = F.transform(split, lambda w: F.struct(F.xxhash64(F.translate(F.array_join(w, " "), _UPPER, _LOWER)).alias("line"), _size(w).alias("n")))
+    size = lambda line: (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long")
+    hashed = F.transform(F.filter(plain_lines(F.col("text")), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), size(x).alias("n")))
     # a number for each row, given before lines are exploded: repeated rows and null ids do not add up
     rows = docs.select("host", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), hashed.alias("ls"), F.monotonically_increasing_id().alias("row"))
-    lines = rows.select("host", "h", "row", F.explode("ls").alias("l")).filter("l.n > 0")
+    lines = rows.select("host", "h", "row", F.explode("ls").alias("l"))
     own = lines.groupBy("host", "h", "row", F.col("l.line").alias("line")).agg(F.sum("l.n").alias("n"))
     return cut(own.groupBy("host", "h", "line").agg(F.max("n").alias("n")))  # equal texts hold equal lines; read twice
 

@@ -142,5 +142,28 @@ def test_stages(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == len(got)
 
 
+def test_stages_on_odd_rows(spark, make, odd, tmp_path):
+    """Nulls in every column, empty, repeated and contaminated rows, and an empty table."""
+    item = " ".join(f"q{i}" for i in range(30))
+    rows = [(*r, "en", "src", 1) for r in odd] + [(None, None, None, None, None), (50, item, None, None, 5), (51, "a trash text " * 9, "en", None, 5), (52, "clean words only here", None, "s", 5)]
+    spark.createDataFrame([(1, item), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(51, 0, 1), (52, 1, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, table in (("some", make(rows)), ("none", make([]))):
+        table.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept = {}
+        for stage, f in corpus_pipeline.STAGES:
+            f(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{name}-{stage}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}-{stage}"))
+            kept[stage] = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == "none":
+            assert not any(kept.values())
+            continue
+        assert (50, item) in kept["near_duplicates"] and (50, item) not in kept["decontamination"]
+        long = [t for i, t in kept["near_duplicates"] if i in (5, 6)]
+        assert len(long) == 1 and (None, None) in kept["decontamination"] and (2, "") in kept["decontamination"]
+        assert sorted(kept["mixing"], key=str) == sorted(kept["sharding"], key=str)
+
+
 def test_sharding_module_is_last():
     assert corpus_pipeline.STAGES[-1][1].__name__ == "shard" and sharding.TARGET_BYTES == 128 << 20
