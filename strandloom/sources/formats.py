@@ -183,3 +183,9 @@ def read_emf(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """ord, value."""
     return numbered(text(spark, path, placed=True))
+
+
+def read_species(spark: SparkSession, path: str) -> DataFrame:
+    """species, ord: one name a line; blanks around it and empty lines go."""
+    name = F.trim("value")
+    return numbered(text(spark, path, placed=True).filter(name != "")).select(name.alias("species"), "ord")

@@ -89,6 +89,12 @@ def save_table(df: DataFrame, name: str, key: list[str], order: list[str]) -> No
     first.write.mode("overwrite").saveAsTable(name)
 
 
+def save_pairs(df: DataFrame, path: str, key: str, value: str) -> None:
+    """Key and value as Parquet, sorted by key within files that have ranges of keys of their own; of a repeated key the smallest value."""
+    pairs = df.groupBy(F.col(key).alias("key")).agg(F.min(value).alias("value"))
+    pairs.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+
+
 def read_tables(spark, *names: str) -> DataFrame:
     """Rows of several tables under one another."""
     out = spark.table(names[0])

@@ -260,3 +260,16 @@ def test_fetch(spark):
     regions = spark.createDataFrame([("a", 1, 9, "x"), ("a", 1, 9, "again"), ("a", 8, 99, "y"), ("b", 0, 3, "z"), ("none", 0, 3, "w"), ("b", 3, 5, "v")], "seqname string, start long, end long, name string")
     got = {r.name: r.seq for r in formats.fetch(genome, regions, 4).collect()}
     assert got["x"] == got["again"] == "CGTACGTA" and got["y"] == "AC" and got["z"] == "GGG" and got["w"] is None and not got["v"]
+
+
+def test_species_and_pairs(spark, tmp_path):
+    assert [r.species for r in formats.read_species(spark, put(tmp_path, "s.txt", "homo\n\n  pan \nmus\n")).orderBy("ord").collect()] == ["homo", "pan", "mus"]
+    sinks.save_pairs(spark.createDataFrame([("b", 2), ("a", 3), ("b", 1)], "k string, v int"), str(tmp_path / "kv"), "k", "v")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "kv")).collect())) == [("a", 3), ("b", 1)]
+
+
+def test_sequences_by_first_sign(spark, tmp_path):
+    assert [tuple(r)[:4] for r in formats.read_sequences(spark, put(tmp_path, "a.fa", ">x y\nAC\nGT\n>z\nA\n")).orderBy("ord").collect()] == [("x y", "ACGT", "", ""), ("z", "A", "", "")]
+    assert [tuple(r)[:4] for r in formats.read_sequences(spark, put(tmp_path, "a.fq", "@x\nAC\n+x\nII\n")).collect()] == [("x", "AC", "x", "II")]
+    alone = formats.read_csfasta(spark, put(tmp_path, "a.csfasta", "# c\n>x\nT01\n")).first()
+    assert (alone.name, alone.colors, alone.qual) == ("x", "T01", None)
