@@ -26,8 +26,8 @@ from .runtime import cut, fresh, spread
 
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Members of a bucket that are joined with its pivot by one task.
-CROWD = 2000
+#: Members of a bucket that meet its pivot in one task, and slots over which copies and later pairs are dealt.
+CROWD, SLOTS = 256, 64
 
 
 def shingle_sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,15 +94,27 @@ def _set_rows(stream, shingle: int):
 
 
 def _compared(stream):
+    """Pairs of a hub with its members: rows sorted by hub and slot, the hub's own sets (member null) before theirs.
+
+    An id that stands on several texts has several sets; each is compared.
+    """
+    at, own = None, []
     for batch in stream:
-        common, union = [], []
-        for a, b in zip(batch.column("ex"), batch.column("ey")):
-            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            small, large = (a, b) if len(a) < len(b) else (b, a)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            common.append(int((large[at] == small).sum()))
-            union.append(len(a) + len(b) - common[-1])
-        yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["x", "y", "n_common", "n_union"])
+        hubs, members, slots = (batch.column(c).to_pylist() for c in ("hub", "member", "slot"))
+        x, y, common, union = [], [], [], []
+        for hub, member, slot, e in zip(hubs, members, slots, batch.column("elements")):
+            e = np.frombuffer(e.as_buffer(), np.uint64)
+            if at != (hub, slot):
+                at, own = (hub, slot), []
+            if member is None:
+                own.append(e)
+                continue
+            for other in own:
+                small, large = (e, other) if len(e) < len(other) else (other, e)
+                place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                x.append(hub), y.append(member), common.append(int((large[place] == small).sum()))
+                union.append(len(small) + len(large) - common[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (x, y, common, union)], ["x", "y", "n_common", "n_union"])
 
 
 def _bit_rows(stream):
@@ -179,10 +191,16 @@ def _tile_pairs(stream, percent: int):
         yield pairs(pa.Table.from_batches(kept))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (x, y) with n_common and n_union of their whole shingle sets (doc_id, elements)."""
-    x, y = sets.toDF("x", "ex"), sets.toDF("y", "ey")
-    return pairs.join(x, "x").join(y, "y").select("x", "y", "ex", "ey").mapInArrow(_compared, "x long, y long, n_common long, n_union long")
+def verified(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """pairs (hub, member, slot) as x, y with n_common and n_union of their whole shingle sets (doc_id, elements).
+
+    Members meet their hub slot by slot: a hub's set travels once a slot, a
+    member's once a pair, and no task gets all members of a crowded hub.
+    """
+    theirs = pairs.join(sets.withColumnRenamed("doc_id", "member"), "member").select("hub", "slot", "member", "elements")
+    hubs = pairs.select("hub", "slot").distinct().join(sets.withColumnRenamed("doc_id", "hub"), "hub").select("hub", "slot", F.lit(None).cast("long").alias("member"), "elements")
+    dealt = hubs.union(theirs).repartition(parts, "hub", "slot").sortWithinPartitions("hub", "slot", F.asc_nulls_first("member"))
+    return dealt.mapInArrow(_compared, "x long, y long, n_common long, n_union long")
 
 
 def still_apart(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, parts: int, tile: int = 256, small: int = 12) -> DataFrame:
@@ -241,20 +259,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     central = members.groupBy("x").agg(F.count("*").alias("degree"))
     best = F.max(F.struct("degree", (-F.col("x")).alias("less"))).alias("p")
     pivots = members.join(central, "x").groupBy("band", "slots").agg(best).select("band", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), (-F.col("p.less")).alias("y"))
-    stars = members.join(pivots, ["band", "slot"]).filter("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    stars = members.join(pivots, ["band", "slot"]).filter("x != y").groupBy(F.col("y").alias("hub"), F.col("x").alias("member")).agg(F.max("slot").alias("slot"))
     parts = spread(own.select("text"))
     texts = own.repartition(parts, "doc_id").join(members.select(F.col("x").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(lambda s: _set_rows(s, shingle), "doc_id long, elements binary"))
 
     def edges(pairs: DataFrame) -> DataFrame:
         linked = F.lit(100) * F.col("n_common") >= F.lit(percent) * F.col("n_union")
-        return verified(pairs, sets).filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
+        # Dealt anew, so that no task runs the comparison and the forests in two Python workers at once.
+        return verified(pairs, sets, parts).filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v")).repartition(parts, "u", "v")
 
     groups = components(edges(stars))
-    apart = cut(still_apart(members, groups, sets, percent, parts))
+    slot = F.pmod(F.xxhash64("y"), F.lit(SLOTS)).cast("int")
+    apart = cut(still_apart(members, groups, sets, percent, parts).select(F.col("x").alias("hub"), F.col("y").alias("member"), slot.alias("slot")))
     # Equal sets are linked with the smallest id of their class; so rows that share an id join their classes.
-    first = full.groupBy(*equal).agg(F.min("doc_id").alias("v"))
-    copies = full.join(first, equal).filter("doc_id != v").select(F.col("doc_id").alias("u"), "v")
+    # Copies are dealt over slots and first linked inside them, so that a large class is in no single task.
+    dealt = full.select("doc_id", *equal, F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
+    inner = dealt.groupBy(*equal, "slot").agg(F.min("doc_id").alias("v"))
+    outer = inner.groupBy(*equal).agg(F.min("v").alias("u")).join(inner, equal).select("u", "v")
+    copies = dealt.join(inner, [*equal, "slot"]).select(F.col("doc_id").alias("u"), "v").union(outer).filter("u != v")
     links = groups.toDF("u", "v").union(copies)
     found = components(links if apart.isEmpty() else links.union(edges(apart))).toDF("doc_id", "component")
     return (
