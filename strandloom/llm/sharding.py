@@ -123,7 +123,10 @@ class Store:
     def _sizes(self, batch: str) -> DataFrame:
         """run, n_docs and n_bytes of a batch's runs, from its files; none if nothing was written."""
         fs, at = self._fs(f"{self.root}/data/{BATCH}={batch}")
-        if not any(f.isDirectory() and f.getPath().getName().startswith(RUN) for f in fs.listStatus(at)):
+        entries, some = fs.listStatusIterator(at), False
+        while not some and entries.hasNext():  # up to the first run
+            some = entries.next().getPath().getName().startswith(RUN)
+        if not some:
             return self.spark.createDataFrame([], "run string, n_docs long, n_bytes long")
         stored = self.spark.read.parquet(f"{self.root}/data/{BATCH}={batch}")
         return stored.groupBy(F.col(RUN).cast("string").alias("run")).agg(F.count("*").alias("n_docs"), F.sum(F.coalesce(F.octet_length(self.text), F.lit(0)).cast("long")).alias("n_bytes"))

@@ -5,6 +5,7 @@ import random
 import re
 import tracemalloc
 
+import duckdb
 import pyarrow as pa
 
 import corpus_pipeline
@@ -114,6 +115,39 @@ def test_equal_words_are_linear():
     assert len(matches[0]) == 2 * (n - 12) - 1 and peak < 200 << 20
 
 
+def brute_mixture(rows, power=0.9, budget=0.9, rounds=12):
+    """The ids that the mixing stage draws, with plain loops."""
+    cells, size = {}, {}
+    for r in rows:
+        t, n = r.text or "", len(r.text or "")
+        bars, digits = (n - len(re.sub(p, "", t)) for p in (r"\|+", r"[0-9]+"))
+        topic = "listing" if bars * 50 > n else "numeric" if digits * 20 > n else "brief" if n < 600 else "prose"
+        cells[r.doc_id] = (r.source or "", r.lang or "", topic)
+        size[r.doc_id] = len(t.encode().split())
+    mass = {}
+    for i, c in cells.items():
+        mass[c] = mass.get(c, 0) + size[i]
+    mass = {c: float(n) for c, n in mass.items() if n}
+    total = lambda w, k: {v: sum(x for c, x in w.items() if c[k] == v) for v in {c[k] for c in w}}
+    target = []
+    for k in range(3):
+        power_of = {v: n**power for v, n in total(mass, k).items()}
+        target.append({v: n / sum(power_of.values()) for v, n in power_of.items()})
+    weight = dict(mass)
+    for _ in range(rounds):
+        for k in range(3):
+            now = total(weight, k)
+            weight = {c: w * target[k][c[k]] / now[c[k]] for c, w in weight.items()}
+    rate = {c: weight[c] / mass[c] for c in mass}
+    low, high = 0.0, 1 / min(rate.values())
+    for _ in range(200):  # the scale at which the expected tokens are the budget's
+        middle = (low + high) / 2
+        kept = sum(n * min(1, rate[c] * middle) for c, n in mass.items())
+        low, high = (middle, high) if kept < budget * sum(mass.values()) else (low, middle)
+    draw = lambda i: int(hashlib.md5(f"{i}/mix".encode()).hexdigest()[:12], 16) / 2**48
+    return {i for i, c in cells.items() if draw(i) < min(1, rate.get(c, 0) * high)}
+
+
 def test_stages(spark, sf, tmp_path):
     docs = read(spark, sf, "documents")
     columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
@@ -131,14 +165,19 @@ def test_stages(spark, sf, tmp_path):
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in read(spark, sf, "benchmark").collect()]
             want = {r[0] for r in brute([(i, texts[i]) for i in ids], items) if not r[5]}
+        elif name == "mixing":
+            want = brute_mixture(docs.collect())
         else:
-            want = None
+            want = set(ids)
         stage(spark, docs, sf).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         got = [r.doc_id for r in docs.select("doc_id").collect()]
-        assert len(got) == len(set(got)) and (want is None or set(got) == want)
+        assert len(got) == len(set(got)) and set(got) == want
         assert set(got) <= set(ids) and (k == 4 or docs.columns == columns)
-    assert set(got) == set(ids) and all(r.text == before[r.doc_id].text for r in docs.collect())
+    columns = ["doc_id", "shard", "level", "shard_docs", "shard_bytes"]
+    duck = duckdb.sql(f"WITH documents AS (FROM '{tmp_path}/mixing/*.parquet') SELECT * FROM ({sharding.sql()})").project(", ".join(columns)).fetchall()
+    assert sorted(duck) == sorted(tuple(r[c] for c in columns) for r in docs.collect())
+    assert all(r.text == before[r.doc_id].text for r in docs.collect())
     assert corpus_pipeline.run(spark, sf).count() == len(got)
 
 
