@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import fresh, passing_shuffles, scratch, spread
+from .runtime import cut, fresh, passing_shuffles, scratch, spread
 
 #: Production parameters: bytes of text in a merged file, runs of a tier that make a merge worthwhile, smallest tier.
 TARGET_BYTES, FANOUT, BASE_BYTES = 128 << 20, 4, 1 << 20
@@ -149,13 +149,13 @@ class Store:
     def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT, base: int = BASE_BYTES) -> int:
         """Merges until no tier has enough neighbouring runs; returns the number of rounds."""
         rounds = 0
-        while True:
-            version, plan = self.version(), self.plan(target, fanout, base)
+        while self.manifest().count() >= fanout:
+            version, plan = self.version(), cut(self.plan(target, fanout, base))  # read four times, a row a run
             moves = plan.filter("run != goes_to").select("run", "batch", "goes_to")
             new = moves.select("goes_to").distinct().withColumn("_slot", F.row_number().over(Window.orderBy("goes_to")) - 1)  # one row a merged file
             n_new = new.count()
             if not n_new:
-                return rounds
+                break
             moved = self._stored(moves.join(new, "goes_to"))
             batch = self._write(moved.drop(RUN).withColumnRenamed("goes_to", RUN), n_new, "_slot")
             merged = F.col("run") != F.col("goes_to")
@@ -166,16 +166,19 @@ class Store:
             self.commit(runs, version + 1)
             self._forget(version)
             rounds += 1
+        return rounds
 
     def _forget(self, version: int) -> None:
         """Removes what `version` lists and the newest version does not: whole batches where no run is left, else single runs."""
         fs, _ = self._fs(self.root)
-        left = self.manifest().select("run", "batch")
-        old = self.manifest(version).join(left, ["run", "batch"], "left_anti")
-        for row in old.select("batch").distinct().join(left.select("batch").distinct(), "batch", "left_anti").collect():
-            fs.delete(self._fs(f"{self.root}/data/{BATCH}={row[0]}")[1], True)
-        for row in old.join(left.select("batch").distinct(), "batch", "left_semi").select("batch", "run").toLocalIterator():
-            fs.delete(self._fs(f"{self.root}/data/{BATCH}={row[0]}/{RUN}={row[1]}")[1], True)
+        left, gone = self.manifest().select("run", "batch"), set()
+        live = {r[0] for r in left.select("batch").distinct().collect()}  # one for each write that still has a run
+        for run, batch in self.manifest(version).select("run", "batch").join(left, ["run", "batch"], "left_anti").toLocalIterator():
+            if batch in live:
+                fs.delete(self._fs(f"{self.root}/data/{BATCH}={batch}/{RUN}={run}")[1], True)
+            elif batch not in gone:
+                gone.add(batch)
+                fs.delete(self._fs(f"{self.root}/data/{BATCH}={batch}")[1], True)
 
     def vacuum(self) -> int:
         """Removes batches that the newest version does not list (of interrupted writers); only while nobody writes."""
