@@ -11,7 +11,7 @@ from .sweep import before, binned, first_after, from_bins, last_before, merge_ru
 
 def merge(df: DataFrame, keys: list[str], *aggregates: Column, touching: bool = True) -> DataFrame:
     """Union of intervals per key: keys, start, end and the given aggregates of the merged rows."""
-    runs = merge_runs(df, keys, touching)
+    runs = merge_runs(df if aggregates else df.select(*keys, "start", "end"), keys, touching)
     return runs.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggregates).drop("_island")
 
 

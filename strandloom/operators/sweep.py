@@ -51,14 +51,15 @@ def first_after(name: str, order) -> Column:
 def merge_runs(df: DataFrame, keys: list[str], touching: bool = True, width: int = BIN) -> DataFrame:
     """df (start, end) with _island: overlapping rows of a key share it; touching decides whether book-ended ones do.
 
-    An island is known by the place of its first row.
+    An island is known by the place of its first row: twice its start, plus 1 unless it is empty.
     """
     rows = from_bins(binned(df, "start", width), keys, _in=(F.max("end"), before(F.max)))
     inner = Window.partitionBy(*keys, "_bin").orderBy("start", "end")
     reach = F.greatest(F.max("end").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.col("_in"))
     rows = rows.withColumn("_reach", reach)
     apart = F.col("_reach").isNull() | ((F.col("_reach") < F.col("start")) if touching else (F.col("_reach") <= F.col("start")))
-    # With book-ended rows apart several empty or equal rows may begin at one place; the end tells their islands apart.
-    rows = stored(rows.withColumn("_new", F.when(apart, F.struct("start", "end"))).drop("_in", "_reach"))
+    # With book-ended rows apart an empty row and another one may both begin an island at one place.
+    first = F.col("start") * 2 + (F.col("end") > F.col("start")).cast("long")
+    rows = stored(rows.withColumn("_new", F.when(apart, first)).drop("_in", "_reach"))
     rows = from_bins(rows, keys, _from=(F.max("_new"), last_before))
     return rows.withColumn("_island", F.coalesce(F.max("_new").over(inner.rangeBetween(Window.unboundedPreceding, 0)), F.col("_from"))).drop("_new", "_from")
