@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, linerules, mixing, oracles, sharding
+from . import audit, chat, linerules, mixing, oracles, sharding
 from .runtime import read
 
 
@@ -68,5 +68,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_chat_formatting, op3_mixing, op4_quality_classifier, op5_substring_dedup, op6_decontamination, op7_token_binary, op8_toxicity, op9_quality_rules, op10_minhash_near_dedup)}
-SQL: dict[str, str] = {"op1_sharding": sharding.sql(), "op2_chat_formatting": chat.SQL, "op3_mixing": mixing.sql(), "op5_substring_dedup": oracles.SUBSTRING, "op6_decontamination": oracles.CONTAMINATION, "op9_quality_rules": linerules.SQL, "op10_minhash_near_dedup": oracles.NEAR}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licences
+
+    return licences.digest(licences.scan(read(spark, sf_dir, "documents")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import spelling
+
+    return spelling.spelling_groups(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_chat_formatting, op3_mixing, op4_quality_classifier, op5_substring_dedup, op6_decontamination, op7_token_binary, op8_toxicity, op9_quality_rules, op10_minhash_near_dedup, op11_filter_audit, op12_license_scan, op13_spelling_variants)}
+SQL: dict[str, str] = {"op1_sharding": sharding.sql(), "op2_chat_formatting": chat.SQL, "op3_mixing": mixing.sql(), "op5_substring_dedup": oracles.SUBSTRING, "op6_decontamination": oracles.CONTAMINATION, "op9_quality_rules": linerules.SQL, "op10_minhash_near_dedup": oracles.NEAR, "op11_filter_audit": audit.SQL}
