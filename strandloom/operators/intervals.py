@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..coords import BIN, bins
-from .sweep import before, binned, first_after, from_bins, last_before, merge_runs
+from .sweep import before, binned, first_after, from_bins, last_before, merge_runs, referred
 
 
 def merge(df: DataFrame, keys: list[str], *aggregates: Column, touching: bool = True) -> DataFrame:
     """Union of intervals per key: keys, start, end and the given aggregates of the merged rows."""
-    runs = merge_runs(df if aggregates else df.select(*keys, "start", "end"), keys, touching)
+    read = referred(df, aggregates) if aggregates else []
+    runs = merge_runs(df.select(*keys, "start", "end", *(c for c in read if c not in (*keys, "start", "end"))), keys, touching)
     return runs.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggregates).drop("_island")
 
 
@@ -70,7 +71,7 @@ def running(events: DataFrame, keys: list[str], *sums: str, xors: tuple[str, ...
     `end` is the next p of the key, or `last`.
     """
     values = {v: F.sum for v in sums} | {v: F.bit_xor for v in xors}
-    rows = from_bins(binned(events, "p", width), keys, _later=(F.min("p"), first_after), **{f"_in_{v}": (f(v), before(f)) for v, f in values.items()})
+    rows = from_bins(binned(events, keys, "p", width), keys, _later=(F.min("p"), first_after), **{f"_in_{v}": (f(v), before(f)) for v, f in values.items()})
     inner = Window.partitionBy(*keys, "_bin").orderBy("p")
     here = inner.rowsBetween(Window.unboundedPreceding, 0)
     whole = {v: F.coalesce(F.col(f"_in_{v}"), F.lit(0)) + f(v).over(here) if v in sums else F.coalesce(F.col(f"_in_{v}"), F.lit(0)).bitwiseXOR(f(v).over(here)) for v, f in values.items()}
@@ -122,7 +123,7 @@ def depth_runs(changes: DataFrame, targets: DataFrame, keys: list[str]) -> DataF
 def run_lengths(points: DataFrame, keys: list[str], value: str, targets: DataFrame) -> DataFrame:
     """Runs of equal value from points (keys, p, value), each valid up to the next: keys, start, end, value."""
     inner = Window.partitionBy(*keys, "_bin").orderBy("p")
-    rows = from_bins(binned(points, "p"), keys, _in=(F.max_by(value, "p"), last_before))
+    rows = from_bins(binned(points, keys, "p"), keys, _in=(F.max_by(value, "p"), last_before))
     earlier = F.coalesce(F.lag(value).over(inner), F.col("_in"))
     changes = rows.withColumn("_changes", earlier.isNull() | (earlier != F.col(value))).filter("_changes").select(*keys, "p", value)
     lengths = targets.select("seqname", F.col("length").alias("_len"))
@@ -135,7 +136,7 @@ def neighbours(rows: DataFrame, keys: list[str], order: list[str], width: int =
     stand, inner = F.struct(*order), Window.partitionBy(*keys, "_bin").orderBy(*order)
     split = {name: spec.split(":") for name, spec in taken.items()}
     far = {f"_{name}": ((F.max_by if side == "lag" else F.min_by)(c, stand), last_before if side == "lag" else first_after) for name, (side, c) in split.items()}
-    found = from_bins(binned(rows, order[0], width), keys, **far)
+    found = from_bins(binned(rows, keys, order[0], width), keys, **far)
     return found.withColumns({name: F.coalesce((F.lag if side == "lag" else F.lead)(c).over(inner), F.col(f"_{name}")) for name, (side, c) in split.items()}).drop("_bin", *far)
 
 
@@ -154,14 +155,15 @@ def nearest(probes: DataFrame, rows: DataFrame, keys: list[str], probe: str, at:
     by position inside bins, and the nearest of each earlier bin carried over.
     """
     left = side == "left"
-    pick = F.struct(F.col(at).alias("at"), *(F.col(v) for v in values))
-    marks = rows.groupBy(*keys, F.col(at).alias("_p")).agg(F.min(pick).alias("_near")).select(*keys, "_p", F.lit(0).alias("_kind"), "_near", F.lit(None).alias("_row"))
+    pick, place = F.struct(F.col(at).alias("at"), *(F.col(v) for v in values)), F.col("_p")
+    marks = rows.select(*keys, F.col(at).alias("_p"), F.lit(0).alias("_kind"), pick.alias("_near"), F.lit(None).alias("_row"))
     asks = probes.select(*keys, F.col(probe).alias("_p"), F.lit(1).alias("_kind"), F.lit(None).alias("_near"), F.struct(*probes.columns).alias("_row"))
-    own = (F.max_by if left else F.min_by)("_near", F.when(F.col("_near").isNotNull(), F.col("_p")))
-    both = from_bins(binned(marks.unionByName(asks), "_p"), keys, _in=(own, last_before if left else first_after))
-    inner = Window.partitionBy(*keys, "_bin").orderBy(F.col("_p") if left else F.desc("_p"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_n", F.coalesce(F.last("_near", ignorenulls=True).over(inner), F.col("_in"))).filter("_kind = 1")
-    return found.select("_row.*", *(F.col(f"_n.{v}").alias(f"{v}_near") for v in values), F.abs(F.col("_n.at") - F.col("_p")).alias("_distance"))
+    own = F.min(F.when(F.col("_near").isNotNull(), F.struct((-place if left else place).alias("far"), "_near")))
+    both = from_bins(binned(marks.unionByName(asks), keys, "_p"), keys, _in=(own, last_before if left else first_after))
+    # at one place the probes come after the rows, and of these the least one last
+    inner = Window.partitionBy(*keys, "_bin").orderBy(place if left else F.desc("_p"), "_kind", F.desc("_near")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_n", F.coalesce(F.last("_near", ignorenulls=True).over(inner), F.col("_in._near"))).filter("_kind = 1")
+    return found.select("_row.*", *(F.col(f"_n.{v}").alias(f"{v}_near") for v in values), F.abs(F.col("_n.at") - place).alias("_distance"))
 
 
 def nearest_of_both(probes: DataFrame, rows: DataFrame, keys: list[str], ties: str = "left", *values: str) -> DataFrame:

@@ -46,6 +46,23 @@ def bam_exchange(spark, d):
     return _alignment_columns(bam.read_bam(spark, path, 1 << 18))
 
 
+def _regions(spark, d: str) -> list[tuple[str, int, int]]:
+    """Every sequence of the view by its first part, a thin slice of its middle and its last bases."""
+    return [(r.seqname, a, b) for r in V.targets(spark, d).collect() for a, b in ((100, 5000), (r.length // 2, r.length // 2 + 40), (r.length - 560, r.length))]
+
+
+@query(f"""WITH {V.WALK}, {V.TARGETS}, spans AS (SELECT DISTINCT event_id, seqname, pos, flag, pos + sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN len ELSE 0 END) OVER (PARTITION BY event_id) AS rend FROM walk),
+regions AS (SELECT seqname AS sn, unnest([100, length // 2, length - 560]) AS a, unnest([5000, length // 2 + 40, length]) AS b FROM targets)
+SELECT DISTINCT 'r' || event_id AS qname, seqname, pos, flag FROM spans JOIN regions ON seqname = sn AND pos < b AND greatest(rend, pos + 1) > a""")
+def indexed_reads(spark, d):
+    """Reads of three regions of each sequence, by way of BAM files and the indexes built for them."""
+    path = scratch(spark, "bam")
+    targets = [(r.seqname, r.length) for r in V.targets(spark, d).orderBy("seqname").collect()]
+    bam.save_bam(_alignments(spark, d).withColumn("mseqname", F.lit(None).cast("string")).repartitionByRange("seqname", "pos").sortWithinPartitions("seqname", "pos"), targets, path)
+    bam.index_bam(spark, path)
+    return bam.read_bam_regions(spark, path, _regions(spark, d)).select("qname", "seqname", "pos", "flag")
+
+
 def _alignments(spark, d):
     """The reads of the view with all columns of an alignment."""
     i = F.col("event_id")

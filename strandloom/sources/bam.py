@@ -10,6 +10,7 @@ rules out splits.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -20,11 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..coords import ALIGNMENTS
+from . import bam_index
 
 # Nucleotide codes, CIGAR operations and the sizes of numeric tag types.
 NUCLEOTIDES, OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 TAG_TYPES = {"c": ("b", 1), "C": ("B", 1), "s": ("h", 2), "S": ("H", 2), "i": ("i", 4), "I": ("I", 4), "f": ("f", 4)}
-SPLIT = 32 << 20
+#: Operations that take reference bases, by number.
+CONSUMING = frozenset(i for i, op in enumerate(OPERATIONS) if op in "MDN=X")
+SPLIT, LONGEST = 32 << 20, 1 << 29
 #: Records in a batch, and records in a row that tell where one begins.
 BATCH, CHAIN = 4096, 4
 _TAG = pa.struct([("type", pa.string()), ("value", pa.string())])
@@ -33,8 +37,8 @@ _NAMES = ["qname", "flag", "seqname", "pos", "mapq", "cigar", "mseqname", "mpos"
 
 
 class Split(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
-        self.path, self.start, self.stop = path, start, stop
+    def __init__(self, path: str, spans: list[tuple[int, int, int | None, int | None]]):
+        self.path, self.spans = path, spans
 
 
 def _system(path: str):
@@ -71,9 +75,9 @@ def _block_size(head: bytes) -> int:
     return 0
 
 
-def _blocks(file, at: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of blocks from the one at `at`."""
-    while True:
+def _blocks(file, at: int, wanted=lambda offset: True) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of blocks from the one at `at`, as long as they are wanted."""
+    while wanted(at):
         file.seek(at)
         head = file.read(64)
         size = _block_size(head)
@@ -170,7 +174,7 @@ def decode(data: bytes, names: list[str]) -> tuple:
     while at + 3 <= len(data):
         tag, kind = data[at : at + 2].decode(), chr(data[at + 2])
         at += 3
-        if kind in TAG_TYPES:
+        if kind in TAG_TYPES:  # integers of all sizes are one type in the canonical schema
             form, size = TAG_TYPES[kind]
             value = str(struct.unpack_from("<" + form, data, at)[0])
             at += size
@@ -191,35 +195,26 @@ def decode(data: bytes, names: list[str]) -> tuple:
     if not n_ops and not flag & 4:
         flag |= 4
     name = lambda i: names[i] if i >= 0 else None
-    return (qname, flag, name(tid), pos, bits >> 8 & 0xFF, walk, name(mtid), mpos, isize, seq, None if not l_seq or qual[0] == 0xFF else "".join(chr(q + 33) for q in qual), aux)
+    return (None if qname == "*" else qname, flag, name(tid), pos, bits >> 8 & 0xFF, walk, name(mtid), mpos, isize, seq, None if not l_seq or qual[0] == 0xFF else "".join(chr(q + 33) for q in qual), aux)
 
 
-def read_index(path: str) -> list[tuple[int, int] | None] | None:
-    """For each target the compressed offsets (first block, last block) of its records, from the index beside the file, if there is one."""
+def read_index(path: str) -> bam_index.Index | None:
+    """The index beside the file, if there is one."""
     system, name = _system(path + ".bai")
-    if not system.get_file_info(name).is_file:
-        return None
-    data = system.open_input_file(name).read()
-    if data[:4] != b"BAI\1":
-        raise ValueError("not a BAM index")
-    (n,), at, out = struct.unpack_from("<i", data, 4), 8, []
-    for _ in range(n):
-        (bins,), at, low, high = struct.unpack_from("<i", data, at), at + 4, None, 0
-        for _ in range(bins):
-            number, chunks = struct.unpack_from("<Ii", data, at)
-            for begin, end in struct.iter_unpack("<QQ", data[at + 8 : at + 8 + 16 * chunks]):
-                if number != 37450:  # the last number holds counts, no places
-                    low, high = begin if low is None else min(low, begin), max(high, end)
-            at += 8 + 16 * chunks
-        (linear,) = struct.unpack_from("<i", data, at)
-        at += 4 + 8 * linear
-        out.append(None if low is None else (low >> 16, high >> 16))
-    return out
+    return bam_index.load(system.open_input_file(name).read()) if system.get_file_info(name).is_file else None
+
+
+def reference_end(data: bytes, at: int) -> int:
+    """Where the record at `at` (without its size) ends on the reference; at least one base after its start."""
+    pos, bits, fn = struct.unpack_from("<iII", data, at + 4)
+    walk = struct.unpack_from(f"<{fn & 0xFFFF}I", data, at + 32 + (bits & 0xFF))
+    return max(pos + 1, pos + sum(v >> 4 for v in walk if v & 15 in CONSUMING))
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.size = options["path"], int(options.get("splitbytes", SPLIT))
+        self.regions = bam_index.Regions([tuple(r) for r in json.loads(options["regions"])]) if "regions" in options else None
         self.seqname, self.low, self.high = None, None, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -234,18 +229,43 @@ class BamReader(DataSourceReader):
                 self.high = f.value if self.high is None else min(self.high, f.value)
             yield f
 
+    def _asked(self) -> list[tuple[str, int, int]] | None:
+        """The regions that records have to overlap; None if there is no such limit."""
+        if self.regions is not None:
+            return [(name, *span) for name, own in self.regions.by.items() for span in own]
+        if self.seqname is None:
+            return None
+        return [(self.seqname, max(0, self.low or 0), LONGEST if self.high is None else self.high + 1)]
+
+    def _spans(self, path: str) -> list[tuple[int, int, int | None, int | None]]:
+        """(from, to, first record, end): compressed offsets, and virtual ones where an index tells them."""
+        file, size = _opened(path)
+        asked = self._asked()
+        index = read_index(path) if asked is not None else None
+        if index is None:
+            return [(a, min(size, a + self.size), None, None) for a in range(0, max(1, size), self.size)]
+        tids = {name: i for i, (name, _) in enumerate(_header(file)[0])}
+        asked = [(tids[name], start, end) for name, start, end in asked if name in tids and start < end]
+        chunks = bam_index.joined(c for region in asked for c in index.chunks(*region))
+        exact, out = all(index.linear[tid] for tid, *_ in asked), []
+        for begin, end in chunks:
+            first, last = begin >> 16, (end >> 16) + 1
+            out += [(a, min(last, a + self.size), begin if exact and a == first else None, end) for a in range(first, last, self.size)]
+        return out
+
     def partitions(self):
+        """One part for about splitBytes of the files' spans; a part has the spans of one file."""
         out = []
         for path in _files(self.path):
-            file, size = _opened(path)
-            first, last = 0, size
-            if self.seqname is not None and (index := read_index(path)) is not None:
-                names = [t[0] for t in _header(file)[0]]
-                place = index[names.index(self.seqname)] if self.seqname in names else None
-                if place is None:
-                    continue
-                first, last = place[0], place[1] + 1
-            out += [Split(path, a, min(last, a + self.size)) for a in range(first, max(first + 1, last), self.size)]
+            held, size = [], 0
+            for span in self._spans(path):
+                if held and size + span[1] - span[0] > self.size:
+                    out.append(Split(path, held))
+                    held, size = [], 0
+                held.append(span)
+                size += span[1] - span[0]
+            if held:
+                out.append(Split(path, held))
         return out
 
     def read(self, split: Split):
@@ -260,41 +280,80 @@ class BamReader(DataSourceReader):
 
     def _rows(self, split: Split):
         file, size = _opened(split.path)
-        targets, block, place = _header(file)
-        names = [t[0] for t in targets]
-        if split.stop <= block:
-            return
-        at = block if split.start <= block else _first_block(file, split.start, size)
-        if at is None or at >= split.stop:
-            return
+        head = _header(file)
+        names = [t[0] for t in head[0]]
         wanted = names.index(self.seqname) if self.seqname in names else None
-        data, begin, marks = b"", place if at == block else None, []
-        for offset, content in chain(_blocks(file, at), [(size, b"")]):
-            marks.append((len(data), offset))
-            data += content
-            if begin is None:  # read on, beyond the split too, until it is clear where a record begins
-                begin = _first_record(data, len(names), whole=offset == size)
-                if begin is None:
+        for span in split.spans:
+            for _, data, at, length in records(file, size, head, span):
+                tid, pos = struct.unpack_from("<ii", data, at)
+                if self.seqname is not None and tid != wanted or self.low is not None and pos < self.low or self.high is not None and pos > self.high:
+                    continue
+                if self.regions is not None and not (tid >= 0 and self.regions.meet(names[tid], pos, reference_end(data, at))):
                     continue
-            i = 0
-            while begin + 4 <= len(data):
-                while i + 1 < len(marks) and marks[i + 1][0] <= begin:
-                    i += 1
-                if marks[i][1] >= split.stop:
-                    return
-                length = struct.unpack_from("<i", data, begin)[0]
-                if begin + 4 + length > len(data):
-                    break
-                tid, pos = struct.unpack_from("<ii", data, begin + 4)
-                if (self.seqname is None or tid == wanted) and (self.low is None or pos >= self.low) and (self.high is None or pos <= self.high):
-                    yield decode(data[begin + 4 : begin + 4 + length], names)
-                begin += 4 + length
-            if begin < len(data):
-                while i + 1 < len(marks) and marks[i + 1][0] <= begin:
-                    i += 1
-                data, marks, begin = data[begin:], [(max(0, m - begin), o) for m, o in marks[i:]], 0
-            else:
-                data, marks, begin = b"", [], 0
+                yield decode(data[at : at + length], names)
+
+
+def records(file, size: int, head: tuple, span: tuple[int, int, int | None, int | None]) -> Iterator[tuple[int, bytes, int, int]]:
+    """(virtual offset, data, place of the record after its size, its length) of the records that begin in a span of the file."""
+    (targets, block, place), (start, stop, known, end) = head, span
+    end = size << 16 if end is None else end
+    if stop <= block:
+        return
+    if known is not None:
+        at, begin = known >> 16, known & 0xFFFF
+    elif start <= block:
+        at, begin = block, place
+    else:
+        at, begin = _first_block(file, start, size), None
+    if at is None or at >= stop:
+        return
+    data, marks = b"", []
+    # a block at or beyond the end is read only for a record that began before it, or to find where a record begins
+    for offset, content in chain(_blocks(file, at, lambda offset: begin is None or begin < len(data) or offset < stop and offset << 16 < end), [(size, b"")]):
+        marks.append((len(data), offset))
+        data += content
+        if begin is None:
+            begin = _first_record(data, len(targets), whole=offset == size)
+            if begin is None:
+                continue
+        i = 0
+        while begin + 4 <= len(data):
+            while i + 1 < len(marks) and marks[i + 1][0] <= begin:
+                i += 1
+            here = marks[i][1] << 16 | begin - marks[i][0]
+            if marks[i][1] >= stop or here >= end:
+                return
+            length = struct.unpack_from("<i", data, begin)[0]
+            if begin + 4 + length > len(data):
+                break
+            yield here, data, begin + 4, length
+            begin += 4 + length
+        while i + 1 < len(marks) and marks[i + 1][0] <= begin:
+            i += 1
+        if begin < len(data):
+            data, marks, begin = data[begin:], [(m - begin, o) for m, o in marks[i:]], 0
+        else:
+            data, marks, begin = b"", [], 0
+
+
+class IndexRows(BamReader):
+    """Index rows of each split, instead of its records."""
+
+    def read(self, split: Split):
+        file, size = _opened(split.path)
+        head, built = _header(file), bam_index.Builder()
+        for span in split.spans:
+            last = None
+            for here, data, at, length in records(file, size, head, span):
+                if last is not None:
+                    built.add(*last, here)
+                tid, pos, _, fn = struct.unpack_from("<iiII", data, at)
+                last = (tid, pos, reference_end(data, at), bool(fn >> 16 & 4), here)
+            if last is not None:  # the last one ends where the next record, which another split has, begins
+                built.add(*last, next((x for x, *_ in records(file, size, head, (last[4] >> 16, size, last[4], None)) if x > last[4]), size << 16))
+        rows = [(split.path, *row) for row in built.all()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()])], ["path", "tid", "kind", "number", "begin", "end"])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -304,7 +363,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class BamSource(DataSource):
-    """format('bam'): a file, or a folder of .bam files, in `path`; option splitBytes."""
+    """format('bam'): a file, or a folder of .bam files, in `path`; options splitBytes and regions (JSON: name, start, end)."""
 
     @classmethod
     def name(cls) -> str:
@@ -317,17 +376,70 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
 
+class BamIndexSource(DataSource):
+    """format('bam_index_rows'): what splits add to the index of their file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bam_index_rows"
+
+    def schema(self) -> str:
+        return "path string, tid int, kind string, number long, begin long, end long"
+
+    def reader(self, schema) -> IndexRows:
+        return IndexRows(self.options)
+
+
 def _qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system, the session's default one where none is named."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
+def _reader(spark: SparkSession, source: type[DataSource], split_bytes: int):
+    spark.dataSource.register(source)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format(source.name()).option("splitBytes", split_bytes)
+
+
 def read_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
     """Alignments of a file or folder.  Filters reach the reader where the session allows it for Python sources."""
-    spark.dataSource.register(BamSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("bam").option("splitBytes", split_bytes).load(_qualified(spark, path))
+    return _reader(spark, BamSource, split_bytes).load(_qualified(spark, path))
+
+
+def read_bam_regions(spark: SparkSession, path: str, regions: list[tuple[str, int, int]], split_bytes: int = SPLIT) -> DataFrame:
+    """Alignments that overlap any of the regions (name, start, end; half-open), each once.
+
+    Where files have an index, only the chunks that it names are opened.  Reads
+    without reference bases count as one base.  For more regions than a driver
+    plans, join with intervals.interval_join().
+    """
+    return _reader(spark, BamSource, split_bytes).option("regions", json.dumps([list(r) for r in regions])).load(_qualified(spark, path))
+
+
+def index_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> int:
+    """Writes the index (.bai) of a file, or of each .bam file of a folder, beside it; returns the number of files.
+
+    Tasks scan splits and send chunks, windows and counts; one task for each
+    file joins them, which is as much as the index holds.  Files without a
+    record on a sequence get none.  An index is written aside and moved.
+    """
+    rows = _reader(spark, BamIndexSource, split_bytes).load(_qualified(spark, path))
+
+    def written(table: pa.Table) -> pa.Table:
+        from pyspark import TaskContext
+
+        name = table.column("path")[0].as_py()
+        n = len(_header(_opened(name)[0])[0])
+        index = bam_index.merged(zip(*(table.column(c).to_pylist() for c in ("tid", "kind", "number", "begin", "end"))), n)
+        system, place = _system(name + ".bai")
+        aside = f"{place}._aside-{TaskContext.get().taskAttemptId()}"
+        with system.open_output_stream(aside) as out:
+            out.write(index.dump())
+        system.move(aside, place)
+        return pa.table({"path": [name]})
+
+    return rows.groupBy("path").applyInArrow(written, "path string").count()
 
 
 def read_bam_targets(spark: SparkSession, path: str) -> DataFrame:
@@ -335,16 +447,35 @@ def read_bam_targets(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(_header(_opened(_files(_qualified(spark, path))[0])[0])[0], "seqname string, length long")
 
 
+def _tag(kind: str, value: str) -> bytes:
+    """A tag's type and value; integers are signed 32-bit where they fit, else unsigned."""
+    if kind == "i":
+        return b"i" + struct.pack("<i", int(value)) if int(value) < 1 << 31 else b"I" + struct.pack("<I", int(value))
+    if kind == "f":
+        return b"f" + struct.pack("<f", float(value))
+    if kind == "B":
+        form, *values = value.split(",")
+        return b"B" + form.encode() + struct.pack(f"<i{len(values)}{TAG_TYPES[form][0]}", len(values), *map(float if form == "f" else int, values))
+    return kind.encode() + value.encode() + (b"" if kind == "A" else b"\0")
+
+
 def encode(row: tuple, index: dict[str, int]) -> bytes:
-    """One row of the canonical schema as a record with its size; tags of types Z and A stay, others are written as integers."""
+    """One row of the canonical schema as a record with its size.
+
+    A null name is '*', a null place -1, a null mapping quality 255; other null
+    numbers are 0.
+    """
     qname, flag, seqname, pos, mapq, walk, mseqname, mpos, isize, seq, qual, aux = row
+    qname, walk, pos = "*" if qname is None else qname, walk or [], -1 if pos is None else pos
     codes = [NUCLEOTIDES.index(c) for c in seq or ""]
     codes += [0] * (len(codes) % 2)
-    body = struct.pack("<iiIIiiii", index.get(seqname, -1), pos, len(qname) + 1 | mapq << 8, len(walk) | flag << 16, len(seq or ""), index.get(mseqname, -1), mpos, isize)
+    end = pos + sum(n for op, n in walk if op in "MDN=X")
+    number = bam_index.bin_of(pos, end) if pos >= 0 else 4680  # what the format gives to unplaced reads
+    bits = len(qname.encode()) + 1 | (255 if mapq is None else mapq) << 8 | (number & 0xFFFF) << 16
+    body = struct.pack("<iiIIiiii", index.get(seqname, -1), pos, bits, len(walk) | (flag or 0) << 16, len(seq or ""), index.get(mseqname, -1), -1 if mpos is None else mpos, isize or 0)
     body += qname.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | OPERATIONS.index(op)) for op, n in walk)
     body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + (bytes(ord(c) - 33 for c in qual) if qual else b"\xff" * len(seq or ""))
-    for tag, (kind, value) in (aux or {}).items():
-        body += tag.encode() + (b"Z" + value.encode() + b"\0" if kind == "Z" else b"A" + value.encode() if kind == "A" else b"i" + struct.pack("<i", int(value)))
+    body += b"".join(tag.encode() + _tag(kind, value) for tag, (kind, value) in (aux or {}).items())
     return struct.pack("<i", len(body)) + body
 
 

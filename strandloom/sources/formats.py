@@ -81,7 +81,7 @@ def parse_sam(lines: DataFrame) -> DataFrame:
     tags = F.transform(F.slice(whole, 12, F.greatest(F.size(whole) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.struct(F.substring(t, 4, 1).alias("type"), F.substr(t, F.lit(6)).alias("value")).alias("value")))
     flag = f[1].try_cast("int")
     return rows.select(
-        f[0].alias("qname"), F.when((f[5] == "*") & ~R.has(flag, R.UNMAPPED), flag.bitwiseOR(R.UNMAPPED)).otherwise(flag).alias("flag"), star(2).alias("seqname"),
+        star(0).alias("qname"), F.when((f[5] == "*") & ~R.has(flag, R.UNMAPPED), flag.bitwiseOR(R.UNMAPPED)).otherwise(flag).alias("flag"), star(2).alias("seqname"),
         (F.coalesce(f[3].try_cast("long"), F.lit(0)) - 1).alias("pos"), f[4].try_cast("int").alias("mapq"), R.cigar(f[5]).alias("cigar"),
         F.when(f[6] == "=", star(2)).otherwise(star(6)).alias("mseqname"), (F.coalesce(f[7].try_cast("long"), F.lit(0)) - 1).alias("mpos"), f[8].try_cast("long").alias("isize"),
         star(9).alias("seq"), star(10).alias("qual"), F.map_from_entries(tags).alias("aux"),
