@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Width of the position bins that split a sequence for joins and sweeps.
+#: Width of the position bins that split a sequence for sweeps.
 BIN = 1 << 16
 
 CIGAR = "array<struct<op:string,len:int>>"
@@ -30,8 +30,3 @@ def region(text: str) -> tuple[str, int, int]:
     first, _, last = span.partition("-")
     begin = int(first) if first else 0
     return name, max(0, begin - 1), int(last) if last else 1 << 29
-
-
-def bins(start: Column, end: Column, width: int = BIN) -> Column:
-    """All bins that [start, end) touches; an empty interval touches the bin of its start."""
-    return F.sequence(F.floor(start / width), F.greatest(F.floor(start / width), F.floor((end - 1) / width)))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..coords import BIN, bins
+from ..coords import BIN
 from .sweep import before, binned, first_after, from_bins, last_before, merge_runs, referred
 
+#: Widths of bins, in bits, at which intervals are joined.
+LEVELS = (*range(7, 32, 3), 62)
+
 
 def merge(df: DataFrame, keys: list[str], *aggregates: Column, touching: bool = True) -> DataFrame:
     """Union of intervals per key: keys, start, end and the given aggregates of the merged rows."""
@@ -27,25 +33,86 @@ def union_length(df: DataFrame, group: list[str], keys: list[str]) -> DataFrame:
     return merge(df, [*group, *keys]).groupBy(*group).agg(F.sum(F.col("end") - F.col("start")).alias("length"))
 
 
-def interval_join(a: DataFrame, b: DataFrame, keys: list[str], width: int = BIN, how: str = "inner") -> DataFrame:
+def level(start: Column, end: Column) -> Column:
+    """Number of the least of LEVELS of which the width (2 ** bits) is not under the interval's length."""
+    size, out = end - start, F.lit(len(LEVELS) - 1)
+    for i in range(len(LEVELS) - 2, -1, -1):
+        out = F.when(size <= 1 << LEVELS[i], i).otherwise(out)
+    return out
+
+
+def _dealt(df: DataFrame, other: DataFrame, home: int, visit: int, suffix: str) -> DataFrame:
+    """df with _role, _level, _bin and _first of every bin in which its rows can meet rows of `other`.
+
+    Rows of one level meet in role 0, a row that is at home meets shorter ones
+    in role `home`, and goes to the homes of longer ones in role `visit`.
+    """
+    start, end = F.col(f"start{suffix}").cast("long"), F.col(f"end{suffix}").cast("long")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1), i)
+    found = other.agg(F.bit_or(bit(level(F.col("start"), F.col("end"))))).scalar()  # one number: a bit for each level that is there
+    rows = df.withColumns({"_own": level(start, end), "_there": F.coalesce(found, F.lit(0))})
+    own, there = F.col("_own"), F.col("_there")
+    place = lambda role, i: F.lit(role * 256) + i
+    places = [F.when(there.bitwiseAND(bit(own)) != 0, place(0, own)), F.when(there.bitwiseAND(bit(own) - 1) != 0, place(home, own))]
+    places += [F.when((own < i) & (there.bitwiseAND(1 << i) != 0), place(visit, F.lit(i))) for i in range(1, len(LEVELS))]
+    rows = rows.withColumn("_at", F.explode(F.array(*places))).filter("_at is not null").drop("_own", "_there")
+    width = F.element_at(F.array(*map(F.lit, LEVELS)), F.col("_at") % 256 + 1)
+    rows = rows.withColumns({"_role": F.shiftright("_at", 8), "_level": width}).drop("_at")
+    at = lambda p: F.call_function("shiftright", p, F.col("_level"))
+    rows = rows.withColumns({"_first": at(start), "_last": F.greatest(at(start), at(end - 1))})
+    return rows.withColumn("_bin", F.explode(F.sequence("_first", "_last"))).drop("_last")
+
+
+def interval_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Overlapping pairs: columns of a, and of b with suffix _b.
 
-    Both sides are dealt to the bins they touch; a pair is kept only in the
-    first bin that both share, so nothing has to be made distinct.
+    Each interval has a level by its length, where it touches two bins at most;
+    a pair meets at the level of the longer one.  So an interval of any length
+    is a few rows - which levels the other side has is asked first - and as bins
+    are at most eight times as long as what is at home there, what meets in a
+    bin overlaps about as often as not: a task's pairs grow with its result.  A
+    pair is kept in the first bin that both share, so nothing has to be made
+    distinct.  Bins with many rows are split by Spark's skew join.
     """
-    left = a.withColumn("_bin", F.explode(bins(F.col("start"), F.col("end"), width))).withColumn("_first", F.floor(F.col("start") / width))
-    right = b.select([F.col(c).alias(f"{c}_b") for c in b.columns]).withColumn("_bin_b", F.explode(bins(F.col("start_b"), F.col("end_b"), width)))
-    on = [F.col(k) == F.col(f"{k}_b") for k in keys] + [
-        F.col("_bin") == F.col("_bin_b"), F.col("start") < F.col("end_b"), F.col("start_b") < F.col("end"),
-        F.col("_bin") == F.greatest(F.col("_first"), F.floor(F.col("start_b") / width)),
+    if how != "inner":
+        raise ValueError("only pairs that overlap are joined")
+    for c in (*keys, "start", "end"):
+        a, b = a.filter(F.col(c).isNotNull()), b.filter(F.col(c).isNotNull())
+    left = _dealt(a, b, 1, 2, "")
+    other = b.select([F.col(c).alias(f"{c}_b") for c in b.columns])
+    right = _dealt(other, a, 2, 1, "_b").withColumnsRenamed({c: f"{c}_b" for c in ("_role", "_level", "_first", "_bin")})
+    on = [F.col(k) == F.col(f"{k}_b") for k in (*keys, "_role", "_level", "_bin")] + [
+        F.col("start") < F.col("end_b"), F.col("start_b") < F.col("end"), F.col("_bin") == F.greatest("_first", "_first_b"),
     ]
-    return left.join(right, on, how).drop("_bin", "_bin_b", "_first")
+    drop = [c + x for c in ("_role", "_level", "_first", "_bin") for x in ("", "_b")]
+    return left.join(right, on).drop(*drop)
 
 
-def count_overlaps(regions: DataFrame, rows: DataFrame, keys: list[str], ident: list[str], width: int = BIN) -> DataFrame:
-    """Rows that overlap each region: ident columns and n, zero included."""
-    hits = interval_join(regions.select(*ident, *(c for c in [*keys, "start", "end"] if c not in ident)), rows.select(*keys, "start", "end"), keys, width).groupBy(*ident).agg(F.count("*").alias("n"))
-    return regions.select(*ident).join(hits, ident, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def count_overlaps(regions: DataFrame, rows: DataFrame, keys: list[str], ident: list[str]) -> DataFrame:
+    """Rows that overlap each region: ident columns, which tell regions apart, and n, zero included.
+
+    No pairs are made.  Rows that begin before a region's end, less those that
+    end at or before its start, overlap it: two numbers of one sweep over the
+    places where rows begin and end, of which there is one event each.  Empty
+    rows are counted apart, as an empty region has none of them.
+    """
+    full = (F.col("end") > F.col("start")).cast("long")
+    sides = F.array(F.struct(F.col("start").alias("p"), full.alias("s"), (1 - full).alias("s0"), F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("e0")), F.struct(F.col("end").alias("p"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("s0"), full.alias("e"), (1 - full).alias("e0")))
+    counts = ["s", "s0", "e", "e0"]
+    events = rows.select(*keys, F.explode(sides).alias("x")).groupBy(*keys, F.col("x.p").alias("_p")).agg(*(F.sum(f"x.{c}").alias(f"_{c}") for c in counts))
+    none, who = F.lit(0).cast("long"), F.struct(*ident)
+    asks = F.explode(F.array(F.struct(F.col("end").alias("p"), F.lit(0).alias("k")), F.struct(F.col("start").alias("p"), F.lit(2).alias("k"))))
+    void = reduce(or_, (F.col(c).isNull() for c in (*keys, "start", "end")))
+    asked = regions.filter(~void).select(*keys, who.alias("_who"), (F.col("end") > F.col("start")).alias("_full"), asks.alias("x"))
+    asked = asked.select(*keys, F.col("x.p").alias("_p"), F.col("x.k").alias("_kind"), "_who", "_full", *(none.alias(f"_{c}") for c in counts))
+    both = asked.unionByName(events.select(*keys, "_p", F.lit(1).alias("_kind"), F.lit(None).alias("_who"), F.lit(None).alias("_full"), *(f"_{c}" for c in counts)))
+    rows = from_bins(binned(both, keys, "_p"), keys, **{f"_in_{c}": (F.sum(f"_{c}"), before(F.sum)) for c in counts})
+    here = Window.partitionBy(*keys, "_bin").orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    total = {c: F.coalesce(F.col(f"_in_{c}"), none) + F.sum(f"_{c}").over(here) for c in counts}
+    value = lambda c: total[c] + F.when(F.col("_full"), total[f"{c}0"]).otherwise(0)
+    found = rows.withColumn("_n", F.when(F.col("_kind") == 0, value("s")).otherwise(-value("e"))).filter("_kind != 1").select("_who", "_n")
+    nowhere = regions.filter(void).select(who.alias("_who"), none.alias("_n"))
+    return found.unionByName(nowhere).groupBy(*(F.col("_who")[c].alias(c) for c in ident)).agg(F.sum("_n").alias("n"))
 
 
 def subtract(a: DataFrame, b: DataFrame, keys: list[str], ident: str) -> DataFrame:

@@ -34,15 +34,19 @@ def referred(df: DataFrame, aggregates: tuple[Column, ...]) -> list[str]:
     return [c for c in df.columns if c in found]
 
 
+def digest(rows: DataFrame, like: list[str] | None = None) -> Column:
+    """A number from all columns, or those named; maps are left out, as they have none."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return F.xxhash64(*(c for c in like or rows.columns if "map<" not in kinds[c]))
+
+
 def per_bin(rows: DataFrame, keys: list[str], *aggregates: Column, like: list[str] | None = None) -> DataFrame:
     """Aggregates of each bin of binned rows.
 
     A digest of the columns `like` (all, if not named) is asked for, too, so
     that this exchange has the same columns as the other use's and is the same.
     """
-    fields = {f.name: f for f in rows.schema.fields}
-    digest = F.xxhash64(*(c for c in like or rows.columns if "map<" not in fields[c].dataType.simpleString()))
-    return rows.groupBy(*keys, "_bin").agg(*aggregates, F.max(digest).alias("_all")).filter("_all is not null").drop("_all")
+    return rows.groupBy(*keys, "_bin").agg(*aggregates, F.max(digest(rows, like)).alias("_all")).filter("_all is not null").drop("_all")
 
 
 def from_bins(rows: DataFrame, keys: list[str], **summaries: tuple[Column, object]) -> DataFrame:

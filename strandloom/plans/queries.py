@@ -68,7 +68,7 @@ def interval_disjoin_unique(spark, d):
 SELECT a.seqname, start, "end", name, start_b, end_b, name_b FROM a JOIN b ON a.seqname = b.seqname AND start < end_b AND start_b < "end" """)
 def interval_overlap_join(spark, d):
     rows = V.iv(spark, d).select("seqname", "start", "end", "name")
-    return I.interval_join(rows, rows, ["seqname"], width=128).drop("seqname_b")  # all are shorter than 128
+    return I.interval_join(rows, rows, ["seqname"]).drop("seqname_b")
 
 
 @query(f"""WITH {V.EXON}, x AS (SELECT *, lead(start) OVER (PARTITION BY transcript_id ORDER BY start, "end") AS nx FROM exon)
