@@ -10,7 +10,7 @@ from ..operators import alignments, trimming
 from ..operators import annotation as A
 from ..operators import reads as R
 from ..shared import scratch
-from ..sources import bam, formats, sinks
+from ..sources import bam, fasta, formats, sinks
 from . import queries as Q
 from . import view as V
 from .registry import SQL, query
@@ -175,6 +175,16 @@ def fasta_fetch(spark, d):
     return formats.fetch(genome, regions, width=100).select("doc_id", "start", "end", "seq")
 
 
+@query(f"WITH {V.SEQS} SELECT doc_id, s AS start, e AS \"end\", substr(seq, s + 1, e - s) AS seq FROM (SELECT *, doc_id % 300 AS s, doc_id % 300 + 150 AS e FROM seqs)")
+def fasta_ranges(spark, d):
+    """The same stretches, and those of empty records, read by their byte ranges."""
+    rows = V.seqs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "seq")
+    found = fasta.segments(spark, _file(spark, sinks.fasta(rows)), 1 << 16)
+    at = F.col("doc_id") % 300
+    regions = V.seqs(spark, d).select("doc_id", F.col("doc_id").cast("string").alias("seqname"), at.alias("start"), (at + 150).alias("end"))
+    return fasta.fetch_ranges(regions, found).select("doc_id", "start", "end", "seq")
+
+
 _READ = f"{V.SEQS}, r AS (SELECT doc_id, seq || CASE doc_id % 4 WHEN 0 THEN 'AAAAAAA' WHEN 1 THEN 'aaaa' ELSE 'C' END AS seq FROM seqs), q AS (SELECT *, repeat(chr((97 + doc_id % 13)::INTEGER), length(seq)) AS qual FROM r)"
 
 

@@ -112,9 +112,16 @@ def read_reference(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chunked(fasta: DataFrame, width: int = 1 << 16) -> DataFrame:
-    """seqname, chunk_start, seq: sequences cut so that positions are found by a join."""
+    """seqname, chunk_start, seq: sequences cut so that positions are found by a join.
+
+    For sequences that fit a row; fasta.read_chunks() makes the same rows of a
+    file without that.  Bytes are cut where every letter is one, which takes no
+    count from the sequence's start.
+    """
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(width)))
-    return fasta.select(F.col("id").alias("seqname"), at.alias("chunk_start"), "seq").select("seqname", F.col("chunk_start").cast("long").alias("chunk_start"), F.substr("seq", F.col("chunk_start") + 1, F.lit(width)).alias("seq"))
+    rows = fasta.select(F.col("id").alias("seqname"), at.alias("chunk_start"), F.when(F.octet_length("seq") == F.length("seq"), F.col("seq").cast("binary")).alias("_b"), "seq")
+    piece = lambda c: F.substr(c, F.col("chunk_start") + 1, F.lit(width))
+    return rows.select("seqname", F.col("chunk_start").cast("long").alias("chunk_start"), F.coalesce(piece(F.col("_b")).cast("string"), piece(F.col("seq"))).alias("seq"))
 
 
 def fetch(genome: DataFrame, regions: DataFrame, width: int = 1 << 16) -> DataFrame:
