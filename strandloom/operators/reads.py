@@ -37,11 +37,20 @@ def query_length(walk: Column) -> Column:
     return F.aggregate(walk, F.lit(0).cast("long"), lambda a, x: a + F.when(x["op"].isin("M", "I", "S"), x["len"]).otherwise(0))
 
 
+def walked(walk: Column, pos: Column) -> Column:
+    """The elements of a CIGAR with their places: array of (op, len, start on the reference, query: first base of the read), in one pass."""
+    none = F.array().cast("array<struct<op:string,len:int,start:bigint,query:bigint>>")
+    step = lambda x, *ops: F.when(x["op"].isin(*ops), x["len"]).otherwise(0)
+    one = lambda a, x: F.struct(x["op"].alias("op"), x["len"].cast("int").alias("len"), a["r"].alias("start"), a["q"].alias("query"))
+    fold = lambda a, x: F.struct(F.concat(a["w"], F.array(one(a, x))).alias("w"), (a["r"] + step(x, *_WALK)).alias("r"), (a["q"] + step(x, "M", "I", "S", "=", "X")).alias("q"))
+    begin = F.struct(none.alias("w"), pos.cast("long").alias("r"), F.lit(0).cast("long").alias("q"))
+    return F.aggregate(walk, begin, fold, lambda a: a["w"])
+
+
 def blocks(reads: DataFrame, op: str, *carry: str) -> DataFrame:
     """One row for each CIGAR element of kind `op`: carry columns, start, end on the reference, i (element number)."""
-    offset = lambda i: F.aggregate(F.slice("cigar", 1, i), F.lit(0).cast("long"), lambda a, x: a + F.when(x["op"].isin(*_WALK), x["len"]).otherwise(0))
-    spans = F.transform("cigar", lambda x, i: F.struct(x["op"].alias("op"), (F.col("pos") + offset(i)).alias("start"), (F.col("pos") + offset(i) + x["len"]).alias("end")))
-    return reads.select(*carry, F.posexplode(spans).alias("i", "s")).filter(F.col("s.op") == op).select(*carry, "i", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    rows = reads.select(*carry, F.posexplode(walked(F.col("cigar"), F.col("pos"))).alias("i", "s")).filter(F.col("s.op") == op)
+    return rows.select(*carry, "i", F.col("s.start").alias("start"), (F.col("s.start") + F.col("s.len")).alias("end"))
 
 
 def mapped(reads: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import alignments, sampling
 from ..operators import annotation as A
 from ..operators import intervals as I
 from ..operators import reads as R
+from ..operators.pileup import pileup
 from ..streaming import pipelines
 from . import queries as Q
 from . import view as V
@@ -154,6 +155,34 @@ def region_depth(spark, d):
     return R.region_depth(V.reads(spark, d), V.targets(spark, d), "click", 2000, 30000)
 
 
+# --- pileup ---
+
+_LETTERS, _SCORES = "ACGTACGTACGTacNN", "%&+,-/0123456789"  # by hexadecimal digit
+
+
+def _sequenced(spark, d):
+    """Reads of the view with bases and qualities from the digits of their id's md5, and two samples."""
+    digits = F.concat(F.md5(F.col("event_id").cast("string").cast("binary")), F.md5(F.col("event_id").cast("string").cast("binary")))
+    hexa = "0123456789abcdef"
+    size = R.query_length(F.col("cigar")).cast("int")
+    cut = lambda letters, k: F.translate(F.substr(digits, F.lit(k), size), hexa, letters)
+    return V.reads(spark, d).select("seqname", "pos", "flag", "cigar", F.lit(None).cast("int").alias("mapq"), (F.col("event_id") % 2).alias("sample"), cut(_LETTERS, 1).alias("seq"), F.when(F.col("event_id") % 3 > 0, cut(_SCORES, 2)).alias("qual"))
+
+
+_PILE = f"""{V.WALK}, x AS (SELECT *, event_id % 2 AS sample, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S') THEN len ELSE 0 END) OVER (PARTITION BY event_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS q,
+  md5(event_id::VARCHAR) || md5(event_id::VARCHAR) AS digits FROM walk WHERE (flag & 1796) = 0),
+e AS (SELECT event_id, seqname, sample, op, s, q, pos, digits, unnest(range(0, CASE WHEN op = 'I' THEN 1 WHEN op IN ('M', 'D') THEN len ELSE 0 END)) AS j FROM x),
+b AS (SELECT seqname, sample, CASE op WHEN 'I' THEN s - 1 ELSE s + j END AS place, CASE op WHEN 'D' THEN 'del' WHEN 'I' THEN (CASE WHEN s > pos THEN 'ins' END) ELSE
+  (CASE WHEN event_id % 3 = 0 OR ascii(substr('{_SCORES}', strpos('0123456789abcdef', substr(digits, q + j + 2, 1)), 1)) - 33 >= 13 THEN upper(substr('{_LETTERS}', strpos('0123456789abcdef', substr(digits, q + j + 1, 1)), 1)) END) END AS k FROM e)
+SELECT seqname, sample, place AS pos, count_if(k <> 'ins')::BIGINT AS depth, count_if(k = 'A')::BIGINT AS "A", count_if(k = 'C')::BIGINT AS "C", count_if(k = 'G')::BIGINT AS "G", count_if(k = 'T')::BIGINT AS "T", count_if(k = 'N')::BIGINT AS "N",
+  count_if(k = 'del')::BIGINT AS "del", count_if(k = 'ins')::BIGINT AS "ins" FROM b WHERE k IS NOT NULL GROUP BY seqname, sample, place"""
+
+
+@query(f"WITH {_PILE}")
+def base_pileup(spark, d):
+    return pileup(_sequenced(spark, d), "sample", min_quality=13)
+
+
 # --- names and numbers ---
 
 
