@@ -133,7 +133,10 @@ def score_to_phred(text: Column) -> Column:
 
 def klets(seq: Column, k: int) -> Column:
     """All substrings of length k, in order; none in shorter sequences."""
-    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1))), lambda i: i <= F.length(seq) - k + 1), lambda i: F.substr(seq, i, F.lit(k)))
+    letters = F.filter(F.split(seq, ""), lambda c: c != "")
+    n = F.greatest(F.size(letters) - (k - 1), F.lit(0))
+    stacked = F.arrays_zip(*(F.slice(letters, j + 1, n).alias(f"c{j}") for j in range(k)))  # inside a function of its elements the letters would be split each time
+    return F.transform(stacked, lambda x: F.concat(*(x[f"c{j}"] for j in range(k))))
 
 
 def block_line_to_ucsc(line: Column, field: int = 2) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,54 +29,104 @@ def resample(lines: DataFrame, m: int, k: int = 1, seed: int = 1) -> DataFrame:
     return rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("copy")).drop("g", "c")
 
 
-def shuffled(seq: str, k: int, random: np.random.Generator) -> str:
-    """A random permutation of seq with the same counts of all substrings of length k.
+class Klets:
+    """A sequence prepared for shuffles that keep the counts of all substrings of length k; draw() as often as wanted.
 
-    Substrings of length k - 1 are the nodes of a walk.  A uniform random tree
-    towards the last node (loop-erased random walks) fixes each node's last
-    exit; the other exits are used in random order.
+    Substrings of length k - 1 are numbered nodes of a walk, the exits of a node
+    a stretch of one array.  Preparing takes a sort for each letter of a node,
+    a draw a sort and one pass over the sequence.
     """
-    n = len(seq)
-    if k >= n:
-        return seq
-    if k <= 1:
-        return "".join(random.permutation(list(seq)))
-    nodes = [seq[i : i + k - 1] for i in range(n - k + 2)]
-    exits: dict[str, list[str]] = {}
-    for a, b in zip(nodes, nodes[1:]):
-        exits.setdefault(a, []).append(b)
-    last = nodes[-1]
-    leave: dict[str, int] = {}
-    for start in exits:
-        at, path = start, {}
-        while at != last and at not in leave:
-            path[at] = int(random.integers(len(exits[at])))
-            at = exits[at][path[at]]
-        at = start
-        while at != last and at not in leave:
-            leave[at] = path[at]
-            at = exits[at][path[at]]
-    for node, own in exits.items():
-        final = own.pop(leave[node]) if node in leave else None
-        own[:] = [own[i] for i in random.permutation(len(own))] + ([final] if final is not None else [])
-    out, at, used = [nodes[0]], nodes[0], dict.fromkeys(exits, 0)
-    while at in exits and used[at] < len(exits[at]):
-        used[at] += 1
-        at = exits[at][used[at] - 1]
-        out.append(at[-1])
-    return "".join(out)
+
+    def __init__(self, seq: str, k: int):
+        self.seq, self.k = seq, k
+        self.letters = np.frombuffer(seq.encode("utf-32-le"), np.uint32)
+        if not 1 < k < len(seq):
+            return
+        kinds, own = np.unique(self.letters, return_inverse=True)
+        nodes = own
+        for i in range(1, k - 1):  # nodes of one letter more, numbered anew
+            _, nodes = np.unique(nodes[:-1] * len(kinds) + own[i:], return_inverse=True)
+        self.nodes, self.count = nodes, int(nodes.max()) + 1
+        self.order = np.argsort(nodes[:-1], kind="stable")  # exits by node
+        self.owner, self.target, self.letter = nodes[:-1][self.order], nodes[1:][self.order], self.letters[k - 1 :][self.order]
+        self.begin = np.searchsorted(self.owner, np.arange(self.count + 1))
+
+    def last_exits(self, random: np.random.Generator) -> np.ndarray:
+        """For each node but the last one of the walk the exit that is used last, -1 for that one: a uniform random tree towards it.
+
+        Loop-erased random walks from each node until they meet the tree.
+        """
+        last, begin, target = int(self.nodes[-1]), self.begin.tolist(), self.target.tolist()
+        leave = [-1] * self.count
+        done = [False] * self.count
+        done[last] = True
+        drawn: list[float] = []
+        for start in range(self.count):
+            at = start
+            while not done[at]:
+                if not drawn:
+                    drawn = random.random(1 << 10).tolist()
+                leave[at] = begin[at] + int(drawn.pop() * (begin[at + 1] - begin[at]))
+                at = target[leave[at]]
+            at = start
+            while not done[at]:
+                done[at] = True
+                at = target[leave[at]]
+        leave[last] = -1
+        return np.array(leave)
+
+    def draw(self, random: np.random.Generator) -> str:
+        """A permutation of the sequence, uniform among those with its counts of substrings."""
+        n, k = len(self.seq), self.k
+        if k >= n:
+            return self.seq
+        if k <= 1:
+            return random.permutation(self.letters).tobytes().decode("utf-32-le")
+        turn = random.random(len(self.order))
+        final = self.last_exits(random)
+        turn[final[final >= 0]] = 2.0
+        order = np.lexsort((turn, self.owner))
+        target, letter = self.target[order].tolist(), self.letter[order].tolist()
+        at, used, out = int(self.nodes[0]), self.begin[:-1].tolist(), []
+        for _ in range(n - k + 1):
+            i = used[at]
+            used[at] = i + 1
+            out.append(letter[i])
+            at = target[i]
+        return np.concatenate([self.letters[: k - 1], np.array(out, np.uint32)]).tobytes().decode("utf-32-le")
+
+
+def shuffled(seq: str, k: int, random: np.random.Generator) -> str:
+    """A random permutation of seq with the same counts of all substrings of length k."""
+    return Klets(seq, k).draw(random)
 
 
 def klet_shuffle(rows: DataFrame, ident: str, seq: str, k: int = 2, draws: int = 1, seed: int = 1) -> DataFrame:
-    """ident, draw, shuffled: `draws` permutations of each sequence, seeded by row and draw."""
+    """ident, draw, shuffled: `draws` permutations of each sequence, seeded by row and draw; each sequence is prepared once.
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [(i, d, None if s is None else shuffled(s, k, np.random.default_rng([seed, h & 0xFFFFFFFFFFFFFFFF, d]))) for i, s, h in zip(f[ident], f["_s"], f["_h"]) for d in range(draws)]
-            yield pd.DataFrame(out, columns=[ident, "draw", "shuffled"])
+    A null sequence gives nulls.  Draws are sent on as they are made.
+    """
+
+    def each(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            ids, out, size = batch.column(0), [], 0
+            for row, (s, h) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                own = None if s is None else Klets(s, k)
+                for d in range(draws):
+                    out.append((row, d, None if own is None else own.draw(np.random.default_rng([seed, h & 0xFFFFFFFFFFFFFFFF, d]))))
+                    size += len(s or "")
+                    if size > 4 << 20:
+                        yield batch_of(ids, out)
+                        out, size = [], 0
+            if out:
+                yield batch_of(ids, out)
+
+    def batch_of(ids, out):
+        at, draw, text = zip(*out)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(draw, pa.int32()), pa.array(text, pa.string())], [ident, "draw", "shuffled"])
 
     kind = dict(rows.dtypes)[ident]
-    return rows.select(ident, F.col(seq).alias("_s"), F.xxhash64(ident).alias("_h")).mapInPandas(each, f"{ident} {kind}, draw int, shuffled string")
+    return rows.select(ident, F.col(seq).cast("string").alias("_s"), F.xxhash64(ident).alias("_h")).mapInArrow(each, f"{ident} {kind}, draw int, shuffled string")
 
 
 def shuffled_matches(rows: DataFrame, ident: str, seq: str, pattern: str, k: int, draws: int = 1, seed: int = 1, invert: bool = False) -> DataFrame:
