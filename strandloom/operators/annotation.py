@@ -73,7 +73,7 @@ def reads_per_feature(isolated_ids: DataFrame, exons: DataFrame, reads: DataFram
     """
     own = exons.join(isolated_ids.select("transcript_id"), "transcript_id", "left_semi")
     parts = own.select("transcript_id", "seqname", "strand", "start", "end", F.lit("exon").alias("kind")).unionByName(intervals.gaps(own, ["transcript_id"], "seqname", "strand").withColumn("kind", F.lit("intron")))
-    hits = intervals.interval_join(parts, reads.select("seqname", "strand", "start", "end"), ["seqname", "strand"]).groupBy("transcript_id", "kind").agg(F.count("*").alias("reads"))
+    hits = intervals.count_overlaps(parts, reads, ["seqname", "strand"], ["transcript_id", "kind"]).withColumnRenamed("n", "reads")
     lengths = parts.groupBy("transcript_id", "kind").agg(F.sum(F.col("end") - F.col("start")).alias("length"))
     rows = lengths.join(hits, ["transcript_id", "kind"], "left")
     pick = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0)).alias(f"{kind}_{c}")

@@ -89,7 +89,7 @@ def interval_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner
 
 
 def count_overlaps(regions: DataFrame, rows: DataFrame, keys: list[str], ident: list[str]) -> DataFrame:
-    """Rows that overlap each region: ident columns, which tell regions apart, and n, zero included.
+    """Rows that overlap each region: ident columns and n, zero included; regions of the same ident are added up.
 
     No pairs are made.  Rows that begin before a region's end, less those that
     end at or before its start, overlap it: two numbers of one sweep over the

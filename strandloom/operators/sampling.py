@@ -141,14 +141,20 @@ def permutation_z(scores: DataFrame, ident: str, score: str, permuted: DataFrame
     return scores.join(stats, ident).select(ident, F.try_divide(F.col(score) - F.col("m"), F.col("s")).alias("z"))
 
 
-def random_sequences(spark, n: int, length: int, gc: float = 0.5, seed: int = 1, width: int = 80) -> DataFrame:
-    """n sequences of `length` bases with that chance of G or C each, in lines of `width`."""
+def random_bases(rows: DataFrame, gc: float = 0.5, seed: int = 1, width: int = 80) -> DataFrame:
+    """id, seq, wrapped: for each row (id, length) bases with that chance of G or C each, and the same in lines of `width`."""
+    from ..functions.sequences import wrap
+
     u = lambda i: uniform(seed, F.col("id"), i)
     base = lambda i: F.when(u(i) < gc / 2, "G").when(u(i) < gc, "C").when(u(i) < gc + (1 - gc) / 2, "A").otherwise("T")
-    seq = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), base), "") if length else F.lit("")
-    from ..functions.sequences import wrap
+    places = F.filter(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("length").cast("long"), F.lit(1))), lambda i: i <= F.col("length"))
+    drawn = rows.select("id", F.array_join(F.transform(places, base), "").alias("seq"))
+    return drawn.select("id", "seq", wrap(F.col("seq"), width).alias("wrapped"))
+
 
-    return spark.range(n).select("id", seq.alias("seq")).select("id", "seq", wrap(F.col("seq"), width).alias("wrapped"))
+def random_sequences(spark, n: int, length: int, gc: float = 0.5, seed: int = 1, width: int = 80) -> DataFrame:
+    """random_bases() of n rows of one length."""
+    return random_bases(spark.range(n).withColumn("length", F.lit(length)), gc, seed, width)
 
 
 def pipe_sequences(rows: DataFrame, ident: str, seq: str, command: list[str], allow: bool = False) -> DataFrame:

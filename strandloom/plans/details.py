@@ -114,14 +114,15 @@ def transcript_statistics(spark, d):
 
 
 @query(f"""WITH {V.SEQS}, a AS (SELECT 'd' || doc_id AS seqname, 'x' AS species, seq FROM seqs UNION ALL SELECT 'd' || doc_id, 'y', reverse(seq) FROM seqs),
-r AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS name, 'd' || (l_orderkey % 300) AS seqname, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, l_linenumber * 3 AS start, l_linenumber * 3 + floor(l_quantity)::BIGINT AS "end" FROM lineitem)
+r AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS name, 'd' || (l_orderkey % (SELECT max(doc_id) + 1 FROM documents)) AS seqname, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, l_linenumber * 3 AS start, l_linenumber * 3 + floor(l_quantity)::BIGINT AS "end" FROM lineitem)
 SELECT name, species, CASE WHEN strand = '-' THEN reverse(translate(p, 'ACGT', 'TGCA')) ELSE p END AS seq FROM (SELECT name, strand, species, substr(seq, start + 1, "end" - start) AS p FROM r JOIN a USING (seqname))""")
 def alignment_slices(spark, d):
     seqs = V.seqs(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("seqname"), "seq")
     both = seqs.select("seqname", F.explode(F.array(F.struct(F.lit("x").alias("species"), F.col("seq").alias("seq")), F.struct(F.lit("y").alias("species"), F.reverse("seq").alias("seq")))).alias("a")).select("seqname", "a.species", "a.seq")
     rows, start = V.table(spark, d, "lineitem"), F.col("l_linenumber") * 3
+    last = V.table(spark, d, "documents").agg(F.max("doc_id") + 1).scalar()
     regions = rows.select(
-        F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("name"), F.concat(F.lit("d"), (F.col("l_orderkey") % 300).cast("string")).alias("seqname"),
+        F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("name"), F.concat(F.lit("d"), (F.col("l_orderkey") % last).cast("string")).alias("seqname"),
         F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"), start.alias("start"), (start + F.floor("l_quantity")).alias("end"),
     )
     return alignments.slices(regions, both)

@@ -143,11 +143,11 @@ def binned_coverage(spark, d):
 
 
 @query(f"""WITH {V.READS}, {V.TARGETS}, g AS (SELECT seqname, unnest(range(0, length // 500 + 1)) AS bin FROM targets),
-u AS (SELECT seqname, pos FROM reads WHERE event_id % 2 = 0 UNION ALL SELECT seqname, pos FROM reads WHERE event_id % 3 = 0), c AS (SELECT seqname, pos // 500 AS bin, count(*) AS n FROM u GROUP BY ALL)
+u AS (SELECT seqname, pos FROM reads WHERE event_id % 2 = 0 UNION ALL SELECT seqname, pos FROM reads WHERE event_id % 2 = 1 OR event_id % 3 = 0), c AS (SELECT seqname, pos // 500 AS bin, count(*) AS n FROM u GROUP BY ALL)
 SELECT seqname, bin, coalesce(n, 0)::BIGINT AS n FROM g LEFT JOIN c USING (seqname, bin)""")
 def binned_coverage_multi(spark, d):
     rows = V.reads(spark, d)
-    return I.bin_counts(rows.filter("event_id % 2 = 0").union(rows.filter("event_id % 3 = 0")), V.targets(spark, d), 500)
+    return I.bin_counts(rows.filter("event_id % 2 = 0").union(rows.filter("event_id % 2 = 1 or event_id % 3 = 0")), V.targets(spark, d), 500)
 
 
 def _coverage_sql(blocks: str) -> str:
@@ -279,10 +279,13 @@ def index_statistics(spark, d):
     return R.flagstats(V.reads(spark, d))
 
 
-@query("""SELECT k, sum(if(event_type = 'click', 1, 0))::BIGINT AS click, sum(if(event_type = 'view', 1, 0))::BIGINT AS "view" FROM (SELECT (props->>'k')::BIGINT AS k, event_type FROM events) GROUP BY k""")
+_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(f"""SELECT k, {", ".join(f"count_if(event_type = '{t}')::BIGINT AS {t}" for t in _TYPES)} FROM (SELECT (props->>'k')::BIGINT AS k, event_type FROM events) GROUP BY k""")
 def attribute_pivot(spark, d):
     rows = V.table(spark, d, "events").select(F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type")
-    return rows.groupBy("k").pivot("event_type", ["click", "view"]).agg(F.count("k")).select("k", F.coalesce("click", F.lit(0)).alias("click"), F.coalesce("view", F.lit(0)).alias("view"))
+    return rows.groupBy("k").pivot("event_type", _TYPES).agg(F.count(F.lit(1))).select("k", *(F.coalesce(t, F.lit(0)).cast("long").alias(t) for t in _TYPES))
 
 
 @query("SELECT l_returnflag AS g, round(sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity), 6) AS slope FROM lineitem WHERE l_discount < 0.05 GROUP BY 1")
@@ -360,14 +363,14 @@ def transcript_structure(spark, d):
 
 @query(f"""WITH {V.EXON}, x AS (SELECT *, lead(start) OVER (PARTITION BY transcript_id ORDER BY start, "end") AS nx FROM exon),
 f AS (SELECT transcript_id, seqname, strand, start, "end", 'exon' AS kind FROM exon UNION ALL SELECT transcript_id, seqname, strand, "end", nx, 'intron' FROM x WHERE nx > "end"),
-r AS (SELECT seqname, strand, start + 40 AS s, start + 70 AS e FROM exon WHERE gene_id % 2 = 0),
+r AS (SELECT seqname, strand, start + 40 AS s, start + 70 AS e FROM exon),
 h AS (SELECT transcript_id, kind, count(r.s) AS reads FROM f JOIN r ON f.seqname = r.seqname AND f.strand = r.strand AND f.start < r.e AND r.s < f."end" GROUP BY ALL),
 l AS (SELECT transcript_id, kind, sum("end" - start) AS length FROM f GROUP BY ALL)
 SELECT transcript_id, coalesce(sum(reads) FILTER (kind = 'exon'), 0)::BIGINT AS exon_reads, coalesce(sum(reads) FILTER (kind = 'intron'), 0)::BIGINT AS intron_reads, sum(length) FILTER (kind = 'exon')::BIGINT AS exon_length, sum(length) FILTER (kind = 'intron')::BIGINT AS intron_length
 FROM l LEFT JOIN h USING (transcript_id, kind) GROUP BY transcript_id HAVING coalesce(sum(length) FILTER (kind = 'exon'), 0) > 0 AND coalesce(sum(length) FILTER (kind = 'intron'), 0) > 0""")
 def exon_intron_reads(spark, d):
     ex = V.exon(spark, d)
-    rows = ex.filter("gene_id % 2 = 0").select("seqname", "strand", (F.col("start") + 40).alias("start"), (F.col("start") + 70).alias("end"))
+    rows = ex.select("seqname", "strand", (F.col("start") + 40).alias("start"), (F.col("start") + 70).alias("end"))
     return A.reads_per_feature(ex.select("transcript_id").distinct(), ex, rows)
 
 
@@ -542,11 +545,12 @@ def shuffle(spark, d):
     return drawn.select("doc_id", "draw", F.explode(S.klets(F.col("shuffled"), 2)).alias("klet")).groupBy("doc_id", "draw", "klet").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH b AS (SELECT id, i, {V.uniform_sql("1", "id", "i")} AS u FROM (SELECT unnest(range(0, 50)) AS id), (SELECT unnest(range(1, 301)) AS i)),
+@query(f"""WITH b AS (SELECT id, i, {V.uniform_sql("1", "id", "i")} AS u FROM (SELECT s_suppkey AS id, unnest(range(1, s_suppkey % 400 + 2)) AS i FROM supplier)),
 s AS (SELECT id, string_agg(CASE WHEN u < 0.3 THEN 'G' WHEN u < 0.6 THEN 'C' WHEN u < 0.8 THEN 'A' ELSE 'T' END, '' ORDER BY i) AS seq FROM b GROUP BY id)
 SELECT id, seq, regexp_replace(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') AS wrapped FROM s""")
 def randseq(spark, d):
-    return sampling.random_sequences(spark, 50, 300, 0.6)
+    """A sequence for each supplier, of a length that its key gives."""
+    return sampling.random_bases(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 400 + 1).alias("length")), 0.6)
 
 
 from . import details, exchange  # noqa: E402, F401
