@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linerules import words
+from .runtime import cut
 
 
 def text_failures(docs: DataFrame, *carry: Column) -> DataFrame:
@@ -50,7 +51,7 @@ def with_copies(rows: DataFrame, bit: int) -> DataFrame:
     kinds = ["same", "part", "mask", "good", "toxic"]
     known = F.col("doc_id").isNotNull()
     ids = rows.groupBy("doc_id", *kinds).agg(F.count("*").alias("n"))
-    some = ids.groupBy(*kinds, known.alias("known")).agg(F.sum("n").alias("n"), F.min("doc_id").alias("low"), F.min_by("n", "doc_id").alias("n_low"))
+    some = cut(ids.groupBy(*kinds, known.alias("known")).agg(F.sum("n").alias("n"), F.min("doc_id").alias("low"), F.min_by("n", "doc_id").alias("n_low")))  # read twice
     least = some.filter("known").groupBy("same").agg(F.min("low").alias("least"))
     met = some.join(least, "same", "left")
     first = F.when(~F.col("known"), F.col("n")).when(F.col("low") == F.col("least"), F.col("n_low")).otherwise(0)
