@@ -1,7 +1,9 @@
-"""Column functions on sequences, colours and qualities; all are built-in expressions."""
+"""Column functions on sequences, colours and qualities; all but the decoding of colours are built-in expressions."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,19 +52,28 @@ def stop_codons(seq: Column, reverse: bool = False) -> Column:
     return F.regexp_count(seq, F.lit(REVERSE_STOPS if reverse else STOPS)).cast("long")
 
 
-def dibase_decode(colors: Column, width: int = 512) -> Column:
+def _decoded(colors: str) -> str:
+    """A running exclusive or over the codes of primer and colours; N from the first unknown on."""
+    points = np.frombuffer(colors.encode("utf-32-le"), np.uint32)
+    if not len(points):
+        return ""
+    codes = np.where((points >= ord("0")) & (points <= ord("3")), points - np.uint32(ord("0")), 4).astype(np.uint8)
+    codes[0] = max(0, "ACGT".find(colors[0])) if colors[0] in "ACGT" else 4
+    known = np.logical_and.accumulate(codes < 4)
+    bases = np.frombuffer(b"ACGT", np.uint8)[np.bitwise_xor.accumulate(np.where(known, codes, 0))]
+    return colors[0] + np.where(known, bases, ord("N"))[1:].astype(np.uint8).tobytes().decode()
+
+
+def _decoded_rows(rows: pd.Series) -> pd.Series:
+    return rows.map(_decoded, na_action="ignore")
+
+
+def dibase_decode(colors: Column) -> Column:
     """Primer base and colours to bases: a base's code (A C G T) is the one before xor the colour; from the first unknown on, N.
 
-    Colours are taken in pieces of `width`, so that long sequences are not copied for each base.
+    A running sum of codes is no built-in expression, so this one runs in numpy, an array for each read.
     """
-    place = lambda letters, c: F.instr(F.lit(letters), c) - 1
-    step = lambda a, c: F.struct(F.when((a["code"] < 0) | (place("0123", c) < 0), F.lit(-1)).otherwise(a["code"].bitwiseXOR(place("0123", c))).alias("code"), a["out"].alias("out"))
-    shown = lambda a: F.struct(a["code"].alias("code"), F.concat(a["out"], F.when(a["code"] < 0, "N").otherwise(F.substr(F.lit("ACGT"), a["code"] + 1, F.lit(1)))).alias("out"))
-    primer = F.substring(colors, 1, 1)
-    state = lambda code, out: F.struct(code.alias("code"), out.alias("out"))
-    pieces = F.regexp_extract_all(F.substr(colors, F.lit(2)), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
-    piece = lambda a, p: F.aggregate(F.split(p, ""), state(a["code"], F.lit("")), lambda b, c: shown(step(b, c)), lambda b: state(b["code"], F.concat(a["out"], b["out"])))
-    return F.aggregate(pieces, state(place("ACGT", primer).cast("int"), primer), piece, lambda a: a["out"])
+    return F.pandas_udf(_decoded_rows, "string")(colors)
 
 
 def double_encode(colors: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions import sequences as S
 from ..operators import intervals
@@ -78,3 +79,23 @@ def finished_coverage(changes: DataFrame, targets: DataFrame) -> DataFrame:
     zero = done.select("seqname").distinct().select("seqname", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("d"))
     events = done.union(zero).groupBy("seqname", "p").agg(F.sum("d").alias("d"))
     return intervals.depth_runs(events, targets, ["seqname"])
+
+
+class Progress(StreamingQueryListener):
+    """Rows in, rows a second and watermark of each batch that a query finishes, handed to `tell`; spark.streams.addListener() takes it."""
+
+    def __init__(self, tell=print):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        self.tell({"query": event.name or str(event.id), "state": "started"})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.tell({"query": p.name or str(p.id), "state": "running", "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "watermark": (p.eventTime or {}).get("watermark")})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.tell({"query": str(event.id), "state": "failed" if event.exception else "ended"})
