@@ -72,6 +72,8 @@ def expect_licences(text, holds, n):
     best = {}
     for label, notice, must in licences.NOTICES:
         t = notice.split()
+        if not all(find(p.split()) for p in must):
+            continue
         mine = sorted({w for w in t if w in ws}, key=lambda w: (holds[w], w))[: licences.RARE]
         for b in range(-len(t), len(ws)):
             agree = {w for j, w in enumerate(t) if w in mine and 0 <= b + j < len(ws) and ws[b + j] == w}
