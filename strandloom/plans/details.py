@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..coords import region
 from ..functions import sequences as S
-from ..operators import alignments, sampling
+from ..operators import alignments, folding, sampling
 from ..operators import annotation as A
 from ..operators import intervals as I
 from ..operators import reads as R
@@ -206,6 +206,21 @@ def name_helpers(spark, d):
     )
 
 
+# --- structures: recursions over stretches that SQL cannot say; tested against all structures of short sequences ---
+
+
+@query()
+def structure_scores(spark, d):
+    """Energy of each document's bases, and its z-score against ten shuffles that keep its pairs of letters."""
+    return folding.energy_z(V.seqs(spark, d), "doc_id", "seq", 10, 2, 1, folding.Model(24)).select("doc_id", "energy", F.round("z", 6).alias("z"))
+
+
+@query()
+def structure_marginals(spark, d):
+    """How likely each base of each document is paired."""
+    return folding.position_marginals(V.seqs(spark, d), "doc_id", "seq", folding.Model(24)).select("doc_id", "pos", F.round("p", 6).alias("p"))
+
+
 # --- streams: the same operators over a stream of the table's files, run until what is there has been read ---
 
 
@@ -218,4 +233,4 @@ def stream_windows(spark, d):
 @query(SQL["coverage_bedgraph"])
 def stream_coverage(spark, d):
     rows = V.reads_of(pipelines.table_stream(spark, d, "events"))
-    return pipelines.finished_coverage(pipelines.depth_changes(R.blocks(R.mapped(rows), "M", "seqname")), V.targets(spark, d))
+    return pipelines.finished_coverage(R.blocks(R.mapped(rows), "M", "seqname", "pos"), V.targets(spark, d))
