@@ -26,30 +26,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .runtime import spread
+from .runtime import MOST_PARTITIONS, spread
 
 
 def _tags(column: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(x.as_buffer()) if x.is_valid else 0 for x in column.cast(pa.binary())], np.uint32)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned integers by byte planes, as many as the largest needs; their number comes first."""
+    values = values.astype("<u8", copy=False)
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    return bytes([width]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplanes(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = data[at]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, width * n, at + 1).reshape(width, n).T
+    return out.view("<u8").ravel(), at + 1 + width * n
+
+
 def _payload(ids, tags, first, at, keys: list[np.ndarray]) -> bytes:
-    """Words at ascending numbers `at` with their keys; `first` places the documents among the numbers."""
-    parts = [np.array([len(ids), len(at)], "<u4").tobytes(), W.pack(np.diff(ids, prepend=0).view(np.uint64) & np.uint64(0xFFFFFFFF)), W.pack(np.diff(ids, prepend=0).view(np.uint64) >> np.uint64(32)), tags.astype("<u4").tobytes(), W.pack(np.diff(first, prepend=0)), W.pack(np.diff(at, prepend=0))]
+    """Words at ascending numbers `at` with their keys; `first` places the documents among the numbers.
+
+    Of the documents only those that own one of the words are listed, so a
+    payload grows with its words and not with the chunk.
+    """
+    own = np.unique(np.searchsorted(first, at, "right") - 1)
+    ids, tags, first = ids[own], tags[own], first[own]
+    steps = np.diff(ids, prepend=0)
+    zigzag = ((steps << 1) ^ (steps >> 63)).view(np.uint64)
+    parts = [np.array([len(ids), len(at)], "<u4").tobytes(), _planes(zigzag), tags.astype("<u4").tobytes(), _planes(np.diff(first, prepend=0)), _planes(np.diff(at, prepend=0))]
     return b"".join(parts + [k.astype("<u4").tobytes() for k in keys])
 
 
 def _parts(data: bytes, n_keys: int):
     """(ids, tags, document of each word, its number in the document, keys) of a payload."""
     n, m = np.frombuffer(data[:8], "<u4").tolist()
-    at, out = 8, []
-    for size, packed in ((n, True), (n, True), (n, False), (n, True), (m, True), *[(m, False)] * n_keys):
-        chunk = data[at : at + 4 * size]
-        out.append(W.unpack(chunk) if packed else np.frombuffer(chunk, "<u4"))
-        at += 4 * size
-    low, high, tags, first, place, *keys = out
-    ids = np.cumsum((low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))).view(np.int64))
-    first, place = np.cumsum(first, dtype=np.int64), np.cumsum(place, dtype=np.int64)
+    zigzag, at = _unplanes(data, 8, n)
+    steps = (zigzag >> np.uint64(1)).view(np.int64) ^ -(zigzag & np.uint64(1)).view(np.int64)
+    tags = np.frombuffer(data, "<u4", n, at)
+    first, at = _unplanes(data, at + 4 * n, n)
+    place, at = _unplanes(data, at, m)
+    keys = [np.frombuffer(data, "<u4", m, at + 4 * m * i) for i in range(n_keys)]
+    ids, first, place = np.cumsum(steps), np.cumsum(first.view(np.int64)), np.cumsum(place.view(np.int64))
     doc = np.searchsorted(first, place, "right") - 1
     return ids, tags, doc, place - first[doc], keys
 
@@ -58,12 +79,11 @@ def _deal(buckets: int, ids, tags, first, at, hashes: list[np.ndarray]):
     """Rows (bucket, payload): words dealt by the high half of the first hash, keyed by the rest."""
     bucket = ((hashes[0] >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    full, begin = np.unique(bucket[order], return_index=True)
     keys = [hashes[0] & np.uint64(0xFFFFFFFF)] + [k for h in hashes[1:] for k in (h & np.uint64(0xFFFFFFFF), h >> np.uint64(32))]
     at, keys = at[order], [k[order].astype(np.uint32) for k in keys]
-    full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    rows = [_payload(ids, tags, first[:-1], at[cuts[b] : cuts[b + 1]], [k[cuts[b] : cuts[b + 1]] for k in keys]) for b in full]
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.nulls(len(full), pa.int32()), pa.array(rows, pa.binary())], ["bucket", "part", "payload"])
+    rows = [_payload(ids, tags, first[:-1], at[a:b], [k[a:b] for k in keys]) for a, b in zip(begin, [*begin[1:], len(at)])]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.nulls(len(full), pa.int32()), pa.array(rows, pa.binary())], ["bucket", "part", "payload"])
 
 
 def _decided(buckets: int, parts: int, ids, tags, doc, place):
@@ -99,13 +119,12 @@ def _by_part(parts: int, ids, tags, doc, place) -> pa.Table:
     which, first = np.unique(doc, return_index=True) if len(doc) else (doc, np.zeros(0, np.int64))
     which = which[np.argsort(first)]
     first, count = np.sort(first), np.diff(np.append(np.sort(first), len(doc)))
-    cuts = np.searchsorted(part[which], np.arange(parts + 1))
-    rows, full = [], [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-    for p in full:
-        a, b = cuts[p], cuts[p + 1]
+    full, begin = np.unique(part[which], return_index=True)
+    rows = []
+    for a, b in zip(begin, [*begin[1:], len(which)]):
         own = place[first[a] : first[b - 1] + count[b - 1]]
         rows.append(b"".join([np.array([b - a], "<u4").tobytes(), ids[which[a:b]].astype("<i8").tobytes(), tags[which[a:b]].astype("<u4").tobytes(), count[a:b].astype("<u4").tobytes(), own.astype("<u4").tobytes()]))
-    return pa.Table.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.binary())], ["part", "payload"])
+    return pa.Table.from_arrays([pa.array(full.astype(np.int32)), pa.array(rows, pa.binary())], ["part", "payload"])
 
 
 def _by_document(table: pa.Table) -> pa.Table:
@@ -260,7 +279,8 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     if window < 2 or window % 2:
         raise ValueError("window must be an even number of words")
-    buckets = spread(docs.select("text"))
+    buckets = spread(docs.select("text"), most=1 << 31)
+    tasks = min(buckets, MOST_PARTITIONS)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts, kind, sent = max(12, buckets // 8), "part int, payload binary", "bucket int, part int, payload binary"
     anchors = own.mapInArrow(lambda s: _anchor_rows(s, buckets, parts, window), sent).groupBy("bucket").applyInArrow(lambda t: _anchors(t, parts, window), kind)
@@ -268,7 +288,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     def with_places(found: DataFrame) -> DataFrame:
         tagged = own.withColumn("tag", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)))
         gathered = found.groupBy("part").applyInArrow(_by_document, "doc_id long, tag long, places binary")
-        return tagged.repartition(buckets, "doc_id", "tag").join(gathered.repartition(buckets, "doc_id", "tag").hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "text", "places")
+        return tagged.repartition(tasks, "doc_id", "tag").join(gathered.repartition(tasks, "doc_id", "tag").hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "text", "places")
 
     windows = with_places(anchors).mapInArrow(lambda s: _window_rows(s, buckets, parts, window), sent)
     matches = windows.groupBy("bucket").applyInArrow(lambda t: _matches(t, parts), kind)

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from ..shared import scratch, shared_dir, stored
 
-__all__ = ["cut", "fresh", "held_out", "passing_shuffles", "planned_bytes", "read", "scratch", "shared_dir", "spread"]
+__all__ = ["MOST_PARTITIONS", "cut", "fresh", "held_out", "passing_shuffles", "planned_bytes", "read", "scratch", "shared_dir", "spread"]
+
+
+#: Partitions that one exchange is given at most.
+MOST_PARTITIONS = 1 << 16
 
 
 @contextmanager
@@ -43,13 +47,18 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def spread(df: DataFrame, per_part: int = 8 << 20) -> int:
+def spread(df: DataFrame, per_part: int = 8 << 20, most: int = MOST_PARTITIONS) -> int:
     """Number of partitions or buckets: the session's shuffle partitions, more where the input asks for it.
 
-    Sizes of a petabyte and more are what the optimizer says of inputs that it knows nothing of.
+    Partitions end at `most`, as a driver keeps each of them; groups inside partitions may be as many as the data ask for.
+    A petabyte and more is what the optimizer says of inputs that it knows nothing of: those are measured, by a job over their lengths.
     """
     size = planned_bytes(df)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, size // per_part) if size < 1 << 50 else 0)
+    if size >= 1 << 50:
+        lengths = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns]
+        size = df.agg(*(F.sum(n.cast("long")).alias(f"n{i}") for i, n in enumerate(lengths))).first()
+        size = sum(n or 0 for n in size)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, size // per_part))
 
 
 def held_out(doc_id: str) -> Column:

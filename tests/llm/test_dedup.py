@@ -66,6 +66,37 @@ def test_hot_passages_send_few_entries():
     assert 0 < sizes[1] < 1.2 * sizes[0]
 
 
+def test_payloads_do_not_repeat_documents():
+    """What a chunk sends stays near its words, however many buckets there are, and reads back as it was."""
+    rand = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rand.integers(0, 1 << 30, 60)) for _ in range(400)]
+    ids = rand.permutation(np.array([-(1 << 63), (1 << 63) - 1, 0, *range(7, 404)], np.int64))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["doc_id", "text"])
+    size = sum(len(t) for t in texts)
+    whole = None
+    for buckets in (1, 64, 4096, 1 << 17):
+        rows = pa.Table.from_batches(repeats._anchor_rows(iter([batch]), buckets, 4, 50))
+        assert sum(len(x.as_py()) for x in rows.column("payload")) < 4 * size
+        found = set()
+        for x in rows.column("payload"):
+            own, _, doc, place, (key,) = repeats._parts(x.as_py(), 1)
+            found |= set(zip(own[doc].tolist(), place.tolist(), key.tolist()))
+        assert len(found) == 400 * 36 and (whole is None or found == whole)
+        whole = found
+
+
+def test_inputs_of_unknown_size_are_measured(spark):
+    from pyspark.sql import functions as F
+
+    from strandloom.llm.runtime import planned_bytes, spread
+
+    rows = spark.createDataFrame(spark.sparkContext.range(64).map(lambda i: (i,)), "doc_id long").select("doc_id", F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    unknown = spark.createDataFrame(rows.rdd, rows.schema)
+    assert planned_bytes(unknown) >= 1 << 50
+    assert spread(unknown.select("text")) == 8 and spread(unknown.select("text"), 1 << 20) == 64
+    assert spread(unknown.select("text"), 1 << 20, 5) == 5
+
+
 def test_spans_are_maximal(make):
     a = [f"a{i}" for i in range(100)]
     rows = [(1, " ".join(a)), (2, " ".join(["x"] + a[10:80] + ["y"])), (3, " ".join(a[:30] + ["z"] + a[30:]))]
