@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .runtime import cut, fresh, spread
+from .runtime import cut, fresh, id_filter, perhaps, spread
 
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Members of a bucket that meet its pivot in one task, and slots over which copies and later pairs are dealt.
+#: Members of a bucket that meet its pivot in one task, and least number of slots over which copies and later pairs are dealt.
 CROWD, SLOTS = 256, 64
 
 
@@ -261,7 +261,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     pivots = members.join(central, "x").groupBy("band", "slots").agg(best).select("band", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), (-F.col("p.less")).alias("y"))
     stars = members.join(pivots, ["band", "slot"]).filter("x != y").groupBy(F.col("y").alias("hub"), F.col("x").alias("member")).agg(F.max("slot").alias("slot"))
     parts = spread(own.select("text"))
-    texts = own.repartition(parts, "doc_id").join(members.select(F.col("x").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    slots = max(SLOTS, parts)
+    # Texts that share no bucket, and those without an id, are left out before the shuffle; the join then leaves out the filter's false passes.
+    asked = members.select(F.col("x").alias("doc_id")).distinct()
+    near = perhaps(own, "doc_id", id_filter(asked, "doc_id", parts), parts, "near").filter("near").drop("near")
+    texts = near.repartition(parts, "doc_id").join(asked.hint("shuffle_hash"), "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(lambda s: _set_rows(s, shingle), "doc_id long, elements binary"))
 
     def edges(pairs: DataFrame) -> DataFrame:
@@ -270,11 +274,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         return verified(pairs, sets, parts).filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v")).repartition(parts, "u", "v")
 
     groups = components(edges(stars))
-    slot = F.pmod(F.xxhash64("y"), F.lit(SLOTS)).cast("int")
+    slot = F.pmod(F.xxhash64("y"), F.lit(slots)).cast("int")
     apart = cut(still_apart(members, groups, sets, percent, parts).select(F.col("x").alias("hub"), F.col("y").alias("member"), slot.alias("slot")))
     # Equal sets are linked with the smallest id of their class; so rows that share an id join their classes.
     # Copies are dealt over slots and first linked inside them, so that a large class is in no single task.
-    dealt = full.select("doc_id", *equal, F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
+    dealt = full.select("doc_id", *equal, F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot"))
     inner = dealt.groupBy(*equal, "slot").agg(F.min("doc_id").alias("v"))
     outer = inner.groupBy(*equal).agg(F.min("v").alias("u")).join(inner, equal).select("u", "v")
     copies = dealt.join(inner, [*equal, "slot"]).select(F.col("doc_id").alias("u"), "v").union(outer).filter("u != v")
@@ -288,7 +292,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
 
 def remove_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs without rows whose group has a smaller id; all columns stay as they are, rows with a null id stay."""
+    """docs without rows whose group has a smaller id; all columns stay as they are, rows with a null id stay.
+
+    docs is read again twice: rows that stay for certain (null ids too) are not
+    shuffled, and the others meet the ids that go.
+    """
     name = fresh("gone", docs.columns)
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col(name), "left_anti")
+    gone = cut(near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias(name)).distinct())
+    bitmaps, flag = spread(docs), fresh("perhaps", docs.columns)
+    rows = perhaps(docs, "doc_id", id_filter(gone, name, bitmaps), bitmaps, flag)
+    doubted = rows.filter(F.col(flag)).join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    return rows.filter(~F.col(flag)).union(doubted).drop(flag)

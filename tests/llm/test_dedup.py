@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandloom.llm import components, neardup, repeats
+from strandloom.llm import components, neardup, repeats, runtime
 from strandloom.llm import words as W
 
 
@@ -191,6 +191,25 @@ def test_near_odd(make, odd):
     assert kept.columns == make([]).columns and 6 not in [r.doc_id for r in kept.collect()]
 
 
+def test_ids_are_filtered_before_texts_move(make, spark):
+    rows = [(i, f"text {i}") for i in range(500)] + [(None, "no id")] * 300
+    ids = spark.createDataFrame([(i,) for i in (0, 7, 499, -5, 1 << 62)], "doc_id long")
+    for bitmaps in (1, 8, 1 << 13):
+        out = runtime.perhaps(make(rows), "doc_id", runtime.id_filter(ids, "doc_id", bitmaps), bitmaps, "near").collect()
+        near = [r.doc_id for r in out if r.near]
+        assert len(out) == 800 and {0, 7, 499} <= set(near) and None not in near and len(near) < 20
+    assert not runtime.perhaps(make(rows), "doc_id", runtime.id_filter(ids.limit(0), "doc_id", 4), 4, "near").filter("near").count()
+
+
+def test_many_null_ids(make):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text)] * 400 + [(i, text) for i in (5, 3, 9)] + [(20, "something else " * 9)]
+    kept = neardup.remove_near_duplicates(make(rows)).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [3, 20] and len(kept) == 402
+    plan = neardup.remove_near_duplicates(make(rows))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
 def test_superminhash():
     r = np.random.default_rng(1)
     for share in (0.2, 0.5, 0.8):
