@@ -114,8 +114,9 @@ def summary(reads: DataFrame, long_gap: int = 50) -> DataFrame:
 
 
 def unique(reads: DataFrame, columns: Column) -> DataFrame:
-    """Rows whose key stands once."""
-    return reads.withColumn("_n", F.count("*").over(Window.partitionBy(columns))).filter("_n = 1").drop("_n")
+    """Rows whose key stands once: counted with map-side combine, each key carrying one of its rows, so a hot key is a row a task."""
+    one = F.any_value(F.struct(*(F.col(f"`{c}`") for c in reads.columns)))
+    return reads.groupBy(columns.alias("_key")).agg(F.count("*").alias("_n"), one.alias("_row")).filter("_n = 1").select("_row.*")
 
 
 def with_ids(reads: DataFrame, ids: DataFrame, column: str = "qname", keep: bool = True) -> DataFrame:
