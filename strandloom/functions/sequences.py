@@ -1,4 +1,4 @@
-"""Column functions on sequences, colours and qualities; all but the decoding of colours are built-in expressions."""
+"""Column functions on sequences, colours and qualities; all but the decoding of colours and the printing of numbers are built-in expressions."""
 
 from __future__ import annotations
 
@@ -176,11 +176,20 @@ def file_chromosome(path: Column) -> Column:
     return F.when(name == "", path).otherwise(name)
 
 
+def _printed(value: Column, form: str) -> Column:
+    """A number as C prints it: the nearest text to its binary value, of two equally near the even one.
+
+    Java's formatter, and so format_string(), rounds halves up, and rounds the shortest decimal form instead of the value.
+    """
+    each = F.pandas_udf(lambda rows: rows.map(lambda x: form % x).astype(object), "string")
+    return F.when(value.isNotNull(), each(value.cast("double")))
+
+
 def scientific(value: Column, digits: int = 6) -> Column:
     """A number as %e prints it, with `digits` decimals."""
-    return F.format_string(f"%.{digits}e", value.cast("double"))
+    return _printed(value, f"%.{digits}e")
 
 
 def fixed(value: Column, digits: int = 6) -> Column:
     """A number as %f prints it, with `digits` decimals."""
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+    return _printed(value, f"%.{digits}f")

@@ -79,3 +79,11 @@ def test_hamming(spark):
     counts = Counter(s[:4] for s in seqs)
     far = lambda a, b: sum(x != y for x, y in zip(a, b))
     assert got == {a: (n, sum(m for b, m in counts.items() if 0 < far(a, b) <= 2)) for a, n in counts.items()}
+
+
+def test_numbers_are_printed_as_c_does(spark):
+    values = [100005.0, 100015.0, 1.000005, 2.5e-7, 0.125, 1e300, -3.00005, float("inf"), None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").select("i", S.scientific(F.col("x"), 4).alias("e"), S.fixed(F.col("x"), 2).alias("f"), S.fixed(F.col("x"), 5).alias("g"))
+    got = [tuple(r)[1:] for r in rows.orderBy("i").collect()]
+    assert got == [(None,) * 3 if x is None else ("%.4e" % x, "%.2f" % x, "%.5f" % x) for x in values]
+    assert got[0][0] == "1.0000e+05" and got[4][1] == "0.12"
