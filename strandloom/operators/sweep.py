@@ -70,8 +70,11 @@ def last_before(name: str, order) -> Column:
 
 
 def first_after(name: str, order) -> Column:
-    """The summary of the nearest later bin that has any."""
-    return F.first(name, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    """The summary of the nearest later bin that has any: the last one before, as seen from the other end.
+
+    A frame that ends at the last row would be worked anew for every row, so that time grew with the square of the bins.
+    """
+    return last_before(name, order.orderBy(F.desc("_bin")))
 
 
 def merge_runs(df: DataFrame, keys: list[str], touching: bool = True, width: int = BIN) -> DataFrame:

@@ -169,3 +169,12 @@ def test_empty(spark):
     assert I.subtract(some_rows, none, ["seqname"], "id").count() == 5
     assert I.coverage(none, targets).count() == 0
     assert I.nearest(some_rows, none, ["seqname"], "start", "end", "left", "name").filter(F.col("_distance").isNull()).count() == 5
+
+
+def test_looking_ahead_is_linear(spark):
+    """A frame up to the last row is worked anew for every row."""
+    rows = spark.createDataFrame(some(9, 1), ROWS)
+    near = I.neighbours(rows, ["seqname"], ["start", "id"], after="lead:start")
+    ends = I.running(rows.select("seqname", F.col("start").alias("p"), F.lit(1).alias("d")).distinct(), ["seqname"], "d")
+    for df in (near, ends):
+        assert "unboundedfollowing" not in df._jdf.queryExecution().analyzed().toString().lower()
