@@ -22,11 +22,17 @@ class Fields:
 
 
 def attributes(column: Column) -> Column:
-    """GTF column 9 as a map: quoted or bare values, a missing last ';' allowed, of repeated keys the last."""
-    group = lambda i: F.regexp_extract_all(column, F.lit(_ATTRIBUTE), F.lit(i))
-    pairs = F.zip_with(group(1), F.zip_with(group(2), F.zip_with(group(3), group(4), lambda a, b: F.concat(a, b)), lambda a, b: F.concat(a, b)), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    """GTF column 9 as a map: quoted or bare values, a missing last ';' allowed, of repeated keys the last.
+
+    One pass finds the pairs as they stand; what several steps need is the element of an array of one, as it would be worked out for each of them otherwise.
+    """
+    found = F.regexp_extract_all(column, F.lit(_ATTRIBUTE), F.lit(0))
+    bare = lambda v: F.when(F.substring(v, 1, 1).isin('"', "'"), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    halves = F.transform(found, lambda m: F.split(m, "[ \t]+", 2))
+    pairs = F.transform(halves, lambda h: F.struct(h[0].alias("key"), bare(h[1]).alias("value")))
+    last = lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.greatest(F.size(p) - i - 1, F.lit(0))), lambda q: q["key"] == x["key"]))
+    keys = lambda p: F.transform(p, lambda x: x["key"])
+    return F.transform(F.array(pairs), lambda p: F.map_from_entries(F.when(F.size(F.array_distinct(keys(p))) == F.size(p), p).otherwise(last(p))))[0]
 
 
 def read_gtf(spark: SparkSession, path: str | list[str]) -> DataFrame:

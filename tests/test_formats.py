@@ -273,3 +273,13 @@ def test_sequences_by_first_sign(spark, tmp_path):
     assert [tuple(r)[:4] for r in formats.read_sequences(spark, put(tmp_path, "a.fq", "@x\nAC\n+x\nII\n")).collect()] == [("x", "AC", "x", "II")]
     alone = formats.read_csfasta(spark, put(tmp_path, "a.csfasta", "# c\n>x\nT01\n")).first()
     assert (alone.name, alone.colors, alone.qual) == ("x", "T01", None)
+
+
+def test_attributes_are_searched_once(spark):
+    from strandloom.sources.formats import attributes
+
+    assert attributes(F.col("value"))._jc.toString().count("regexp_extract_all") == 1
+    texts = ['a "x; y"; b \'q "r\'; c 5; a "2"', "k  v;k\tw", "", None, 'e ""; f \'\'', "lone; p=q r s"]
+    want = [{"a": "2", "b": 'q "r', "c": "5"}, {"k": "w"}, {}, None, {"e": "", "f": ""}, {"q": "r"}]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, value string").select("i", attributes(F.col("value")).alias("m")).orderBy("i").collect()
+    assert [r.m for r in got] == want
