@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..shared import dealt
 from . import intervals
 
 _TID = ["transcript_id"]
@@ -13,15 +17,26 @@ _TID = ["transcript_id"]
 CHUNK = 1 << 16
 
 
+def _place() -> Column:
+    """Sequence and strand as one value; null if either is."""
+    return F.when(F.col("seqname").isNotNull() & F.col("strand").isNotNull(), F.struct("seqname", "strand"))
+
+
 def consistent(exons: DataFrame, group: list[str] = _TID) -> DataFrame:
-    """Exons of groups that lie on one sequence and strand; others are skipped."""
-    good = exons.groupBy(*group).agg(F.count_distinct("seqname", "strand").alias("k")).filter("k = 1").select(*group)
-    return exons.join(good, group, "left_semi")
+    """Exons of groups that lie on one sequence and strand; others are skipped.
+
+    The rows are looked at where they lie sorted for what comes next, so exons are not worked out twice.
+    """
+    w = Window.partitionBy(*group).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = exons.filter(reduce(and_, (F.col(c).isNotNull() for c in group)))
+    return known.withColumns({"_a": F.min(_place()).over(w), "_b": F.max(_place()).over(w)}).filter("_a = _b").drop("_a", "_b")
 
 
 def extents(exons: DataFrame, group: list[str], *carry: str) -> DataFrame:
     """group, carry (smallest), seqname, strand, start, end over each consistent group."""
-    return consistent(exons, group).groupBy(*group).agg(*(F.min(c).alias(c) for c in [*carry, "seqname", "strand"]), F.min("start").alias("start"), F.max("end").alias("end"))
+    known = exons.filter(reduce(and_, (F.col(c).isNotNull() for c in group)))
+    ends = known.groupBy(*group).agg(*(F.min(c).alias(c) for c in [*carry, "seqname", "strand"]), F.min("start").alias("start"), F.max("end").alias("end"), F.min(_place()).alias("_a"), F.max(_place()).alias("_b"))
+    return ends.filter("_a = _b").drop("_a", "_b")
 
 
 def annotated_regions(exons: DataFrame, group: list[str], stranded: bool = True) -> DataFrame:
@@ -126,7 +141,7 @@ def lift(alignments: DataFrame, exons: DataFrame) -> DataFrame:
     parts = parts.withColumns({"s": F.col("start") + a - F.col("before"), "m": b - a}).filter("m > 0")
     rows = parts.groupBy("qname", "transcript_id", "tpos", "length", "seqname").agg(F.sort_array(F.collect_list(F.struct("s", "m"))).alias("p")).filter(F.aggregate("p", F.lit(0).cast("long"), lambda x, y: x + y["m"]) == F.col("length"))
     text = lambda x, i: F.concat(F.when(i > 0, F.concat((x["s"] - F.get("p", i - 1)["s"] - F.get("p", i - 1)["m"]).cast("string"), F.lit("N"))).otherwise(""), x["m"].cast("string"), F.lit("M"))
-    return rows.select("qname", "seqname", F.col("p")[0]["s"].alias("pos"), F.array_join(F.transform("p", text), "").alias("cigar")).distinct()
+    return dealt(rows.select("qname", "seqname", F.col("p")[0]["s"].alias("pos"), F.array_join(F.transform("p", text), "").alias("cigar")), "qname").distinct()
 
 
 def distinct_rows(rows: DataFrame, *fields: str) -> DataFrame:

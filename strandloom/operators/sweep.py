@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..coords import BIN
+from ..shared import dealt
 
 
 def with_bin(df: DataFrame, position: str, width: int = BIN) -> DataFrame:
@@ -20,11 +21,11 @@ def with_bin(df: DataFrame, position: str, width: int = BIN) -> DataFrame:
 
 
 def binned(df: DataFrame, keys: list[str], position: str, width: int = BIN) -> DataFrame:
-    """df with _bin, dealt out by keys and bin; rows without a key or position are left out."""
+    """df with _bin, dealt out by keys and bin in as many parts as the input asks for; rows without a key or position are left out."""
     rows = with_bin(df, position, width)
     for c in (*keys, "_bin"):
         rows = rows.filter(F.col(c).isNotNull())
-    return rows.repartition(*keys, "_bin")
+    return dealt(rows, *keys, "_bin")
 
 
 def referred(df: DataFrame, aggregates: tuple[Column, ...]) -> list[str]:

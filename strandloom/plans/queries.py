@@ -10,6 +10,7 @@ from ..operators import annotation as A
 from ..operators import intervals as I
 from ..operators import reads as R
 from ..operators import sampling
+from ..shared import ordered
 from . import view as V
 from .registry import QUERIES, SQL, query
 
@@ -81,7 +82,7 @@ def introns(spark, d):
 SELECT 'exon' AS feature, transcript_id, gene_id, seqname, strand, start, "end" FROM exon UNION ALL
 SELECT 'intron', transcript_id, gene_id, seqname, strand, "end", nx FROM x WHERE nx > "end" """)
 def introns_union_sorted(spark, d):
-    return A.exons_and_introns(V.exon(spark, d)).orderBy("seqname", "start", "end", "transcript_id")
+    return ordered(A.exons_and_introns(V.exon(spark, d)), "seqname", "start", "end", "transcript_id")
 
 
 @query(f"""WITH {V.EXON} SELECT transcript_id, min(gene_id) AS gene_id, min(seqname) AS seqname, min(strand) AS strand, min(start) AS start, max("end") AS "end" FROM exon

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reads as R
+from ..shared import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +24,12 @@ def iv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exons: one for each order and line number, transcripts are orders and genes customers."""
-    own = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.floor(F.max("l_quantity")).alias("len"))
+    """Exons: one for each order and line number, transcripts are orders and genes customers.
+
+    Lines are dealt out by order before anything else: grouping, join and what is done per transcript then need no other exchange.
+    """
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey")
+    own = lines.groupBy("l_orderkey", "l_linenumber").agg(F.floor(F.max("l_quantity")).alias("len"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     start = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100
     return own.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(

@@ -1,4 +1,4 @@
-"""The shared folder of a session, and frames that are stored in it."""
+"""The shared folder of a session, frames that are stored in it, and frames dealt into as many parts as the input asks for."""
 
 from __future__ import annotations
 
@@ -34,3 +34,32 @@ def stored(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder: for frames that a plan reads more than once."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes of input files for one partition of what is dealt, so many of them as are worth it, and partitions of one exchange at most.
+PART_BYTES, FEW_PARTS, MOST_PARTS = 4 << 20, 8, 1 << 16
+
+
+def parts(df: DataFrame) -> int | None:
+    """Partitions for df: the session's shuffle partitions, more where the files that df reads ask for it; none for small inputs.
+
+    The sizes are those of the files, each as often as df reads it; no job runs.  Inputs of unknown size and streams count as small.
+    """
+    if df.isStreaming:
+        return None
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    n = sum(s for s in sizes if s < 1 << 50) // PART_BYTES
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, n)) if n >= FEW_PARTS else None
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt out by columns, so that a task's share does not grow with the input; small inputs are left to Spark's own coalescing."""
+    n = parts(df)
+    return df.repartition(n, *columns) if n else df.repartition(*columns)
+
+
+def ordered(df: DataFrame, *columns: str) -> DataFrame:
+    """df sorted as a whole: ranges of the order in as many parts as dealt() makes, sorted each."""
+    n = parts(df)
+    return df.repartitionByRange(n, *columns).sortWithinPartitions(*columns) if n else df.orderBy(*columns)
