@@ -21,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import spread
 from .sampling import klet_shuffle, permutation_z
 
 #: Hydrogen bonds of the pairs, G with U (or T) as one.
 WEIGHTS = {"AT": 2.0, "AU": 2.0, "CG": 3.0, "GT": 1.0, "GU": 1.0}
 TILE = 1 << 15
+#: Bases of a batch of which only the best values are asked for: its tiles are worked one by one, and the more sequences are swept side by side the fewer steps it takes.
+WIDE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -50,7 +53,8 @@ class Model:
             for a in (x, x.lower()):
                 for b in (y, y.lower()):
                     out[ord(a), ord(b)] = out[ord(b), ord(a)] = np.exp(w / self.temperature) if sums else w
-        return out
+        whole = not sums and (out == np.floor(out)).all() and out.max() * (self.span / 2 + 1) < 1 << 15
+        return out.astype(np.int16) if whole else out  # best values inside a span are exact in small whole numbers, of which more fit a register
 
 
 def letters(text: str) -> np.ndarray:
@@ -68,19 +72,19 @@ class Inner:
         n, span, loop = len(codes), model.span, model.loop
         plus, times, one = (np.add, np.multiply, 1.0) if sums else (np.maximum, np.add, 0.0)
         self.pair = {k: table[codes[:-k], codes[k:]] for k in range(loop + 1, min(span, n))}
-        self.within, self.closed = [np.full(n + 1 - d, one) for d in range(min(loop + 2, n + 1))], {}
+        self.within, self.closed = [np.full(n + 1 - d, one, table.dtype) for d in range(min(loop + 2, n + 1))], {}
         for d in range(loop + 1, min(span, n)):
             if d == len(self.within):  # then d > loop + 1
                 m = n + 1 - d
                 total = self.within[d - 1][1:].copy()
                 for k in range(loop + 1, d):
-                    total = plus(total, times(self.closed[k][:m], self.within[d - k - 1][k + 1 : k + 1 + m]))
+                    plus(total, times(self.closed[k][:m], self.within[d - k - 1][k + 1 : k + 1 + m]), out=total)
                 self.within.append(total)
             self.closed[d] = times(self.pair[d], self.within[d - 1][1 : n + 1 - d])
 
     def rows(self, n: int, model: Model, by_end: bool) -> np.ndarray:
         """closed as one row a base: by the pair's second base or by its first."""
-        out = np.zeros((n, max(0, model.span - model.loop - 1)))
+        out = np.zeros((n, max(0, model.span - model.loop - 1)), self.within[0].dtype)
         for k, c in self.closed.items():
             out[k if by_end else 0 : n if by_end else n - k, k - model.loop - 1] = c
         return out
@@ -111,8 +115,7 @@ def sweep(known: np.ndarray, at: np.ndarray, lengths: np.ndarray, closed: np.nda
     Sequences are sorted by falling length; row j of a sequence is closed[begin + step * (j - first)].
     """
     back = 1 + np.arange(model.loop + 1, model.span)
-    for j in range(first, last + 1):
-        live = int(np.searchsorted(-lengths, -j, "right"))
+    for j, live in zip(range(first, last + 1), np.searchsorted(-lengths, -np.arange(first, last + 1), "right").tolist()):
         here = at[:live] + j
         earlier, before = known[here[:, None] - back], known[here - 1]
         rows = closed[begin[:live] + step * (j - first)]
@@ -151,14 +154,20 @@ class Batch:
 
     def forward(self) -> np.ndarray:
         """The value of the first j bases of each sequence at at + j."""
-        known = self.empty()
-        for a, b in self.tiles():
-            low = max(0, a - self.model.span)
-            rows = self.inner(low, b).rows(b - low, self.model, True)[a - low :]
-            one = len(self.at) == 1
-            sweep(known, self.at, self.lengths, rows, self.start, 1, a + 1 if one else 1, b if one else int(self.lengths[0]), self.model, self.sums)
+        known, n = self.empty(), len(self.codes)
+        if len(self.at) == 1:
+            for a, b in self.tiles():
+                sweep(known, self.at, self.lengths, self.ends(a, b), self.start, 1, a + 1, b, self.model, self.sums)
+        elif n:
+            rows = np.concatenate([self.ends(a, min(a + TILE, n)) for a in range(0, n, TILE)])
+            sweep(known, self.at, self.lengths, rows, self.start, 1, 1, int(self.lengths[0]), self.model, self.sums)
         return known
 
+    def ends(self, a: int, b: int) -> np.ndarray:
+        """A row for each base of a stretch: its pairs with bases before it."""
+        low = max(0, a - self.model.span)
+        return self.inner(low, b).rows(b - low, self.model, True)[a - low :]
+
     def backward(self) -> np.ndarray:
         """The value of the last j bases of each sequence at at + j."""
         known, n = self.empty(), len(self.codes)
@@ -196,14 +205,14 @@ class Batch:
                 yield self.order[own[i]], place[i], place[i] + k, p[i - low]
 
 
-def _batches(stream, work):
-    """work(batch, rows, their letters) for runs of sequences of up to TILE bases, longer ones alone; like lengths come together, as a run takes as many steps as its longest."""
+def _batches(stream, work, most=TILE):
+    """work(batch, rows, their letters) for runs of sequences of up to `most` bases, longer ones alone; like lengths come together, as a run takes as many steps as its longest."""
     for batch in stream:
         codes, at, size = [], [], 0
         texts = batch.column(batch.num_columns - 1).to_pylist()
         for row in sorted((i for i, text in enumerate(texts) if text is not None), key=lambda i: len(texts[i])):
             text = texts[row]
-            if codes and size + len(text) > TILE:
+            if codes and size + len(text) > most:
                 yield from work(batch, np.array(at), codes)
                 codes, at, size = [], [], 0
             codes.append(letters(text)), at.append(row)
@@ -225,7 +234,7 @@ def energies(rows: DataFrame, ident: list[str], seq: str, model: Model = Model()
         values = -Batch(codes, model, False).best() + 0.0
         yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(at)) for i in range(len(ident))] + [pa.array(values)], [*ident, "energy"])
 
-    return own.mapInArrow(lambda stream: _batches(stream, work), f"{schema}, energy double")
+    return own.mapInArrow(lambda stream: _batches(stream, work, WIDE), f"{schema}, energy double")
 
 
 def energy_z(rows: DataFrame, ident: str, seq: str, draws: int = 100, k: int = 2, seed: int = 1, model: Model = Model()) -> DataFrame:
@@ -233,6 +242,7 @@ def energy_z(rows: DataFrame, ident: str, seq: str, draws: int = 100, k: int = 2
 
     ident tells the rows apart.  z is null where all shuffles have one energy (so it is for sequences that have one shuffle).
     """
+    rows = spread(rows.select(ident, seq), ident)
     scores = energies(rows, [ident], seq, model)
     permuted = energies(klet_shuffle(rows, ident, seq, k, draws, seed), [ident, "draw"], "shuffled", model)
     return scores.join(permutation_z(scores, ident, "energy", permuted, "energy"), ident, "left")
@@ -250,8 +260,8 @@ def pair_probabilities(rows: DataFrame, ident: str, seq: str, model: Model = Mod
 
 
 def position_marginals(rows: DataFrame, ident: str, seq: str, model: Model = Model()) -> DataFrame:
-    """ident, pos, p: how likely each base is paired at all; one row a base, summed where the sequence is and not shuffled."""
-    own, schema = _kept(rows, [ident], seq)
+    """ident, pos, p: how likely each base is paired at all; one row a base, summed where the sequence is dealt to."""
+    own, schema = _kept(spread(rows.select(ident, seq), ident), [ident], seq)
 
     def work(batch, at, codes):
         own = Batch(codes, model, True)

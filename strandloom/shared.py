@@ -63,3 +63,8 @@ def ordered(df: DataFrame, *columns: str) -> DataFrame:
     """df sorted as a whole: ranges of the order in as many parts as dealt() makes, sorted each."""
     n = parts(df)
     return df.repartitionByRange(n, *columns).sortWithinPartitions(*columns) if n else df.orderBy(*columns)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt out by columns for work that takes long for its bytes: in no fewer parts than the session's, however few its files have."""
+    return df.repartition(parts(df) or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
