@@ -9,17 +9,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..coords import BIN
+from ..shared import dealt, parts
 from .sweep import before, binned, first_after, from_bins, last_before, merge_runs, referred
 
 #: Widths of bins, in bits, at which intervals are joined.
 LEVELS = (*range(7, 32, 3), 62)
 
 
-def merge(df: DataFrame, keys: list[str], *aggregates: Column, touching: bool = True) -> DataFrame:
-    """Union of intervals per key: keys, start, end and the given aggregates of the merged rows."""
-    read = referred(df, aggregates) if aggregates else []
-    runs = merge_runs(df.select(*keys, "start", "end", *(c for c in read if c not in (*keys, "start", "end"))), keys, touching)
-    return runs.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggregates).drop("_island")
+def merge(df: DataFrame, keys: list[str], *aggregates: Column, touching: bool = True, of: DataFrame | None = None) -> DataFrame:
+    """Union of intervals per key: keys, start, end and the given aggregates of the merged rows.
+
+    Islands are dealt out in as many parts as the input asks for (see dealt()
+    for `of`).  Without aggregates a bin's rows of an island are one before that.
+    """
+    read, of = referred(df, aggregates) if aggregates else [], df if of is None else of
+    ends = [F.min("start").alias("start"), F.max("end").alias("end")]
+    runs = merge_runs(df.select(*keys, "start", "end", *(c for c in read if c not in (*keys, "start", "end"))), keys, touching, of=of)
+    if not aggregates:
+        runs = runs.groupBy(*keys, "_bin", "_island").agg(*ends)
+    if parts(of):
+        runs = dealt(runs.drop("_bin"), *keys, "_island", of=of)
+    return runs.groupBy(*keys, "_island").agg(*ends, *aggregates).drop("_island")
 
 
 def merge_named(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,7 +73,7 @@ def _dealt(df: DataFrame, other: DataFrame, home: int, visit: int, suffix: str)
     return rows.withColumn("_bin", F.explode(F.sequence("_first", "_last"))).drop("_last")
 
 
-def interval_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def interval_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner", *, of: DataFrame | None = None) -> DataFrame:
     """Overlapping pairs: columns of a, and of b with suffix _b.
 
     Each interval has a level by its length, where it touches two bins at most;
@@ -72,7 +82,9 @@ def interval_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner
     are at most eight times as long as what is at home there, what meets in a
     bin overlaps about as often as not: a task's pairs grow with its result.  A
     pair is kept in the first bin that both share, so nothing has to be made
-    distinct.  Bins with many rows are split by Spark's skew join.
+    distinct.  Bins with many rows are split by Spark's skew join.  With `of`
+    both sides are dealt out in as many parts as that frame asks for instead,
+    for sides of which no bin has many rows.
     """
     if how != "inner":
         raise ValueError("only pairs that overlap are joined")
@@ -84,6 +96,9 @@ def interval_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner
     on = [F.col(k) == F.col(f"{k}_b") for k in (*keys, "_role", "_level", "_bin")] + [
         F.col("start") < F.col("end_b"), F.col("start_b") < F.col("end"), F.col("_bin") == F.greatest("_first", "_first_b"),
     ]
+    if of is not None and parts(of):
+        left = dealt(left, *keys, "_role", "_level", "_bin", of=of)
+        right = dealt(right, *(f"{c}_b" for c in (*keys, "_role", "_level", "_bin")), of=of)
     drop = [c + x for c in ("_role", "_level", "_first", "_bin") for x in ("", "_b")]
     return left.join(right, on).drop(*drop)
 
@@ -137,8 +152,13 @@ def running(events: DataFrame, keys: list[str], *sums: str, xors: tuple[str, ...
 
     `end` is the next p of the key, or `last`.
     """
+    return _running(binned(events, keys, "p", width), keys, *sums, xors=xors, last=last)
+
+
+def _running(events: DataFrame, keys: list[str], *sums: str, xors: tuple[str, ...] = (), last: Column | None = None) -> DataFrame:
+    """running() of binned events."""
     values = {v: F.sum for v in sums} | {v: F.bit_xor for v in xors}
-    rows = from_bins(binned(events, keys, "p", width), keys, _later=(F.min("p"), first_after), **{f"_in_{v}": (f(v), before(f)) for v, f in values.items()})
+    rows = from_bins(events, keys, _later=(F.min("p"), first_after), **{f"_in_{v}": (f(v), before(f)) for v, f in values.items()})
     inner = Window.partitionBy(*keys, "_bin").orderBy("p")
     here = inner.rowsBetween(Window.unboundedPreceding, 0)
     whole = {v: F.coalesce(F.col(f"_in_{v}"), F.lit(0)) + f(v).over(here) if v in sums else F.coalesce(F.col(f"_in_{v}"), F.lit(0)).bitwiseXOR(f(v).over(here)) for v, f in values.items()}
@@ -150,14 +170,15 @@ def disjoin_unique(df: DataFrame, keys: list[str], owner: str) -> DataFrame:
     """Segments that exactly one owner covers: keys, owner (long), start, end; neighbouring segments of an owner join.
 
     An owner's own overlaps count once.  Events carry +1 / -1 and the owner;
-    where the running count is 1, the running exclusive or is the owner.
+    where the running count is 1, the running exclusive or is the owner.  Events
+    of a place are summed where their bin lies, and all steps have df's parts.
     """
     own = merge(df, [*keys, owner])
     ends = F.explode(F.array(F.struct(F.col("start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end").alias("p"), F.lit(-1).alias("d"))))
-    events = own.select(*keys, F.col(owner).cast("long").alias("o"), ends.alias("x")).groupBy(*keys, F.col("x.p").alias("p")).agg(F.sum("x.d").alias("d"), F.bit_xor("o").alias("o"))
-    depth = running(events, keys, "d", xors=("o",))
+    events = binned(own.select(*keys, F.col(owner).cast("long").alias("o"), ends.alias("x")).select(*keys, "o", "x.p", "x.d"), keys, "p", of=df)
+    depth = _running(events.groupBy(*keys, "_bin", "p").agg(F.sum("d").alias("d"), F.bit_xor("o").alias("o")), keys, "d", xors=("o",))
     single = depth.filter("d = 1").select(*keys, F.col("o").alias(owner), F.col("p").alias("start"), "end")
-    return merge(single, [*keys, owner])
+    return merge(single, [*keys, owner], of=df)
 
 
 def gaps(df: DataFrame, group: list[str], *carry: str) -> DataFrame:

@@ -20,12 +20,12 @@ def with_bin(df: DataFrame, position: str, width: int = BIN) -> DataFrame:
     return df.withColumn("_bin", F.floor(F.col(position) / width))
 
 
-def binned(df: DataFrame, keys: list[str], position: str, width: int = BIN) -> DataFrame:
-    """df with _bin, dealt out by keys and bin in as many parts as the input asks for; rows without a key or position are left out."""
+def binned(df: DataFrame, keys: list[str], position: str, width: int = BIN, *, of: DataFrame | None = None) -> DataFrame:
+    """df with _bin, dealt out by keys and bin in as many parts as the input (`of`, if named) asks for; rows without a key or position are left out."""
     rows = with_bin(df, position, width)
     for c in (*keys, "_bin"):
         rows = rows.filter(F.col(c).isNotNull())
-    return dealt(rows, *keys, "_bin")
+    return dealt(rows, *keys, "_bin", of=of)
 
 
 def referred(df: DataFrame, aggregates: tuple[Column, ...]) -> list[str]:
@@ -78,8 +78,8 @@ def first_after(name: str, order) -> Column:
     return last_before(name, order.orderBy(F.desc("_bin")))
 
 
-def merge_runs(df: DataFrame, keys: list[str], touching: bool = True, width: int = BIN) -> DataFrame:
-    """df (start, end) with _island: overlapping rows of a key share it; touching decides whether book-ended ones do.
+def merge_runs(df: DataFrame, keys: list[str], touching: bool = True, width: int = BIN, *, of: DataFrame | None = None) -> DataFrame:
+    """df (start, end) with _bin and _island: overlapping rows of a key share it; touching decides whether book-ended ones do.
 
     An island is known by the place of its first row: twice its start, plus 1
     unless it is empty.  Inside a bin islands are found without the bins before
@@ -88,7 +88,7 @@ def merge_runs(df: DataFrame, keys: list[str], touching: bool = True, width: int
     last island are enough to know the last island before every bin.
     """
     columns = df.columns
-    rows = binned(df, keys, "start", width)
+    rows = binned(df, keys, "start", width, of=of)
     inner, order = Window.partitionBy(*keys, "_bin").orderBy("start", "end"), Window.partitionBy(*keys).orderBy("_bin")
     earlier = Window.unboundedPreceding
     apart = lambda reach, start: reach.isNull() | ((reach < start) if touching else (reach <= start))
@@ -100,4 +100,4 @@ def merge_runs(df: DataFrame, keys: list[str], touching: bool = True, width: int
     bins = bins.withColumn("_last", F.when(apart(F.col("_in"), F.shiftright("_last", 1)), F.col("_last")))
     bins = bins.select(*keys, "_bin", "_in", F.last("_last", ignorenulls=True).over(order.rowsBetween(earlier, -1)).alias("_from"))
     met = local.join(bins, [*keys, "_bin"]).withColumn("_new", F.when(apart(F.greatest("_reach", "_in"), F.col("start")), first))
-    return met.withColumn("_island", F.coalesce(F.max("_new").over(inner.rangeBetween(earlier, 0)), F.col("_from"))).select(*columns, "_island")
+    return met.withColumn("_island", F.coalesce(F.max("_new").over(inner.rangeBetween(earlier, 0)), F.col("_from"))).select(*columns, "_bin", "_island")

@@ -53,9 +53,12 @@ def parts(df: DataFrame) -> int | None:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, n)) if n >= FEW_PARTS else None
 
 
-def dealt(df: DataFrame, *columns: str) -> DataFrame:
-    """df dealt out by columns, so that a task's share does not grow with the input; small inputs are left to Spark's own coalescing."""
-    n = parts(df)
+def dealt(df: DataFrame, *columns: str, of: DataFrame | None = None) -> DataFrame:
+    """df dealt out by columns, so that a task's share does not grow with the input; small inputs are left to Spark's own coalescing.
+
+    Where df is made of another frame's rows by steps that name its files again and again, that frame, `of`, tells how many parts it takes.
+    """
+    n = parts(df if of is None else of)
     return df.repartition(n, *columns) if n else df.repartition(*columns)
 
 
