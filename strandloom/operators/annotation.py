@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..shared import dealt
+from ..shared import dealt, parts
 from . import intervals
 
 _TID = ["transcript_id"]
@@ -99,11 +99,16 @@ def unique_segment_counts(features: DataFrame, owner: str, samples: DataFrame, w
     """Reads of each sample over segments that one owner alone covers: owner, sample, n (long form of the matrix).
 
     features: seqname, owner (long), start, end; samples: sample, seqname, start, end.
-    With `weight`, a column of samples, n is its sum.
+    With `weight`, a column of samples, n is its sum.  Equal reads of a sample
+    are one row by then, so no bin has more rows than stretches that lie in it.
     """
     segments = intervals.disjoin_unique(features, ["seqname"], owner)
-    n = F.count("*") if weight is None else F.sum(f"{weight}_b")
-    return intervals.interval_join(segments, samples, ["seqname"]).groupBy(owner, F.col("sample_b").alias("sample")).agg(n.alias("n"))
+    place = ["sample", "seqname", "start", "end"]
+    of = features.select(F.lit(0)).union(samples.select(F.lit(0)))
+    own = samples.select(*place, *([weight] if weight else []))
+    alike = (dealt(own, *place, of=of) if parts(of) else own).groupBy(*place).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
+    n = F.sum("_n_b")
+    return intervals.interval_join(segments, alike, ["seqname"], of=of).groupBy(owner, F.col("sample_b").alias("sample")).agg(n.alias("n"))
 
 
 def count_matrix(counts: DataFrame, owner: str, samples: list[str]) -> DataFrame:
