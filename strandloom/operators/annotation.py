@@ -207,29 +207,57 @@ def median(array: str) -> Column:
     return F.when(n > 0, (F.get(s, low) + F.get(s, high)) / 2.0)
 
 
-def spliced_sequences(exons: DataFrame, genome: DataFrame, group: str = "transcript_id", width: int = CHUNK) -> DataFrame:
-    """group, seq: exon sequences joined in genome order, reverse-complemented on the reverse strand.
+def placed(rows: DataFrame, genome: DataFrame, width: int = CHUNK, **values: Column) -> DataFrame:
+    """rows (seqname, start, end) with values of the genome's bases there, of which the columns read `seq`; rows of other sequences are skipped.
 
-    genome is cut into chunks of `width`: seqname, chunk_start, seq.  Exons are dealt to the chunks they touch.
+    Rows are dealt out by place.  Each place is looked up once, however many
+    rows have it, in the chunks that it touches, so no chunk draws all rows of a
+    crowded stretch into one task.  Both uses of the rows begin at one exchange,
+    for which a digest asks for all columns (see sweep.per_bin).
     """
-    parts = exons.select(group, "seqname", "strand", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("c"))
+    place, rest = ["seqname", "start", "end"], [c for c in rows.columns if c not in ("seqname", "start", "end")]
+    known = dealt(rows.filter(reduce(and_, (F.col(c).isNotNull() for c in place))), *place)
+    once = known.groupBy(*place).agg(F.max(F.xxhash64(*rest)).alias("_all")).filter("_all is not null")
+    parts = once.select(*place, F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("c"))
     chunks = genome.select("seqname", F.floor(F.col("chunk_start") / width).alias("c"), "chunk_start", "seq")
     cut = parts.join(chunks, ["seqname", "c"]).withColumn("from", F.greatest(F.col("start"), F.col("chunk_start")))
     cut = cut.withColumn("piece", F.substr("seq", (F.col("from") - F.col("chunk_start") + 1).cast("int"), (F.least(F.col("end"), F.col("chunk_start") + F.length("seq")) - F.col("from")).cast("int")))
-    joined = cut.groupBy(group).agg(F.min("strand").alias("strand"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("from", "piece"))), lambda x: x["piece"]), "").alias("seq"))
+    whole = cut.groupBy(*place).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("from", "piece"))), lambda x: x["piece"]), "").alias("seq"))
+    return known.join(whole.select(*place, *(v.alias(name) for name, v in values.items())), place)
+
+
+def spliced_sequences(exons: DataFrame, genome: DataFrame, group: str = "transcript_id", width: int = CHUNK) -> DataFrame:
+    """group, seq: exon sequences joined in genome order, reverse-complemented on the reverse strand.
+
+    genome is cut into chunks of `width`: seqname, chunk_start, seq.
+    """
+    cut = placed(exons.select(group, "seqname", "strand", "start", "end"), genome, width, piece=F.col("seq"))
+    joined = cut.groupBy(group).agg(F.min("strand").alias("strand"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), "").alias("seq"))
     return joined.select(group, F.when(F.col("strand") == "-", S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
 
 
 def transcript_statistics(exons: DataFrame, genome: DataFrame, start_codons: DataFrame | None = None, width: int = CHUNK) -> DataFrame:
-    """transcript_structure() with GC shares, stop-codon counts over introns, and whether a start codon is annotated."""
-    gc = lambda seqs, name: seqs.select("transcript_id", S.gc_fraction(F.col("seq")).alias(name))
-    gaps = introns(exons)
-    per = spliced_sequences(gaps.withColumn("key", F.concat_ws(":", "transcript_id", "start")), genome, "key", width).withColumn("transcript_id", F.regexp_extract("key", "^(.*):[0-9]+$", 1))
-    stops = per.select("transcript_id", S.stop_codons(F.col("seq")).alias("k")).groupBy("transcript_id").agg(F.sum("k").alias("intronic_tc_count"), F.count_if(F.col("k") > 0).alias("tc_intron_count"))
-    keyed = transcript_structure(exons).withColumn("transcript_id", F.col("transcript_id").cast("string"))
-    text = lambda df: df.withColumn("transcript_id", F.col("transcript_id").cast("string"))
-    out = keyed.join(gc(text(spliced_sequences(exons, genome, width=width)), "exonic_gc"), "transcript_id", "left").join(gc(text(spliced_sequences(gaps, genome, width=width)), "intronic_gc"), "transcript_id", "left").join(stops, "transcript_id", "left")
+    """transcript_structure() with GC shares, stop-codon counts over introns, and whether a start codon is annotated.
+
+    Exons and introns are looked up in one pass; what is counted in them adds up, so no transcript's sequence is put together.
+    """
+    seq, gap = F.col("seq"), F.col("gap")
+    w = Window.partitionBy("transcript_id").orderBy("start", "end")
+    near = consistent(exons).withColumns({"_next": F.lead("start").over(w), "_reach": F.max("end").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    part = lambda gap, start, end: F.struct(F.lit(gap).alias("gap"), F.col(start).alias("start"), F.col(end).alias("end"))
+    parts = F.array(part(False, "start", "end"), F.when(F.col("_next") > F.col("_reach"), part(True, "_reach", "_next")))
+    rows = placed(
+        near.select("transcript_id", "seqname", "strand", F.explode(parts).alias("x")).select("transcript_id", "seqname", "strand", "x.*"), genome, width, gc=S.count_of(seq, "GCgc"), known=F.length(seq) - S.count_of(seq, "Nn"),
+        stops=S.stop_codons(seq), stops_back=S.stop_codons(S.reverse_complement(seq)),
+    )
+    rows = rows.select("transcript_id", "gap", "gc", "known", F.when(gap, F.when(F.col("strand") == "-", F.col("stops_back")).otherwise(F.col("stops"))).alias("k"))
+    share = lambda of: F.try_divide(F.sum(F.when(of, F.col("gc"))).cast("double"), F.sum(F.when(of, F.col("known"))).cast("double"))
+    sums = dealt(rows, "transcript_id", of=exons).groupBy("transcript_id").agg(
+        share(~gap).alias("exonic_gc"), share(gap).alias("intronic_gc"), F.sum("k").alias("intronic_tc_count"), F.when(F.count("k") > 0, F.count_if(F.col("k") > 0)).alias("tc_intron_count"),
+    )
+    text = F.col("transcript_id").cast("string")
+    out = transcript_structure(exons).join(sums, "transcript_id", "left")
     if start_codons is None:
-        return out.withColumn("defined_start_codon", F.lit(False))
-    known = text(start_codons.select("transcript_id").distinct()).withColumn("defined_start_codon", F.lit(True))
-    return out.join(known, "transcript_id", "left").fillna(False, ["defined_start_codon"])
+        return out.withColumns({"transcript_id": text, "defined_start_codon": F.lit(False)})
+    known = start_codons.select("transcript_id").distinct().withColumn("defined_start_codon", F.lit(True))
+    return out.join(known, "transcript_id", "left").fillna(False, ["defined_start_codon"]).withColumn("transcript_id", text)

@@ -10,7 +10,7 @@ from ..operators import annotation as A
 from ..operators import intervals as I
 from ..operators import reads as R
 from ..operators import sampling
-from ..shared import ordered
+from ..shared import dealt, ordered
 from . import view as V
 from .registry import QUERIES, SQL, query
 
@@ -393,7 +393,8 @@ def _genome(spark, d, width=1000):
 
 
 def _features(spark, d):
-    own = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("transcript_id"), F.col("l_linenumber").alias("i")).agg(F.floor(F.max("l_quantity")).alias("len"))
+    lines = dealt(V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey")
+    own = lines.groupBy(F.col("l_orderkey").alias("transcript_id"), F.col("l_linenumber").alias("i")).agg(F.floor(F.max("l_quantity")).alias("len"))
     start = (F.col("transcript_id") % 50) * 20 + F.col("i") * 60
     return own.select("transcript_id", F.when(F.col("transcript_id") % 2 == 0, "+").otherwise("-").alias("strand"), F.concat(F.lit("c"), (F.col("transcript_id") % 5).cast("string")).alias("seqname"), start.alias("start"), (start + F.col("len")).alias("end"))
 
