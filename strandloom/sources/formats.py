@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reads as R
+from ..shared import dealt
 from .lines import numbered, text
 
 _ATTRIBUTE = r"""([^\s;"'=]+)[ \t]+(?:"([^"]*)"|'([^']*)'|([^\s;"']+))"""
@@ -182,15 +183,19 @@ def read_csfasta(spark: SparkSession, colors: str, quals: str | None = None) ->
 
 
 def read_emf(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """block, col (of the species), row (1, 2, ...), species, seqname, start, end, strand, base from alignment blocks."""
-    blocks = numbered(text(spark, path, "\n//", placed=True).filter(F.col("value").contains("DATA")), "block")
-    lines = F.filter(F.split("value", "\n"), lambda x: ~x.startswith("#") & (F.trim(x) != ""))
-    heads = F.filter(lines, lambda x: x.startswith("SEQ"))
-    rows = F.slice(lines, F.array_position(lines, F.lit("DATA")).cast("int") + 1, F.size(lines))
-    cells = blocks.select("block", heads.alias("h"), rows.alias("r")).select("block", F.posexplode("h").alias("col", "head"), "r")
-    f = Fields(F.split("head", r"\s+"))
-    each = cells.select("block", "col", f[1].alias("species"), f[2].alias("seqname"), f[3].try_cast("long").alias("start"), f[4].try_cast("long").alias("end"), F.when(f[5].try_cast("int") < 0, "-").otherwise("+").alias("strand"), F.posexplode("r").alias("row", "line"))
-    return each.select("block", "col", (F.col("row") + 1).alias("row"), "species", "seqname", "start", "end", "strand", F.substr(F.split("line", r"\s+")[0], F.col("col") + 1, F.lit(1)).alias("base"))
+    """block, col (of the species), row (1, 2, ...), species, seqname, start, end, strand, base from alignment blocks.
+
+    Blocks are dealt out before they are cells, so what is done within a block needs no other exchange; each line is split once.
+    """
+    blocks = dealt(numbered(text(spark, path, "\n//", placed=True).filter(F.col("value").contains("DATA")), "block"), "block")
+    lines = blocks.select("block", F.filter(F.split("value", "\n"), lambda x: ~x.startswith("#") & (F.trim(x) != "")).alias("l"))
+    heads = F.transform(F.filter("l", lambda x: x.startswith("SEQ")), lambda x: F.split(x, r"\s+"))
+    rows = F.slice("l", F.array_position("l", F.lit("DATA")).cast("int") + 1, F.size("l"))
+    cells = lines.select("block", heads.alias("h"), F.transform(rows, lambda x: F.split(x, r"\s+")[0]).alias("r")).select("block", F.posexplode("h").alias("col", "head"), "r")
+    f = Fields(F.col("head"))
+    each = cells.select("block", "col", f[1].alias("species"), f[2].alias("seqname"), f[3].try_cast("long").alias("start"), f[4].try_cast("long").alias("end"), F.when(f[5].try_cast("int") < 0, "-").otherwise("+").alias("strand"), "r")
+    each = each.select("*", F.posexplode("r").alias("row", "line"))
+    return each.select("block", "col", (F.col("row") + 1).alias("row"), "species", "seqname", "start", "end", "strand", F.substr("line", F.col("col") + 1, F.lit(1)).alias("base"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
